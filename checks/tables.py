@@ -132,7 +132,7 @@ from {EVENTS}
 
 STATS_LINES = """
 select concat('h', cast(l_suppkey % 4 as string)) as host, cast(l_orderkey as double) as time,
-       'stats' as path, l_orderkey * 8 + l_linenumber as line_no,
+       'stats' as path, ((l_partkey * 8 + l_linenumber) * 10000 + l_suppkey) * 64 + cast(l_quantity as bigint) as line_no,
        case l_linenumber % 4
          when 0 then 'snapshot_time 1700000000 secs'
          when 1 then concat('open ', cast(cast(l_quantity as bigint) as string), ' samples [reqs]')
@@ -144,7 +144,7 @@ from {LINEITEM}
 
 CPU_LINES = """
 select concat('h', cast(l_orderkey % 4 as string)) as host, cast(l_orderkey as double) as time,
-       l_partkey * 8 + l_linenumber as line_no,
+       ((l_partkey * 8 + l_linenumber) * 10000 + l_suppkey) * 64 + cast(l_quantity as bigint) as line_no,
        case when l_linenumber % 3 = 0 then concat('intr ', cast(l_partkey as string))
             when l_linenumber % 3 = 1 then concat('cpu  ', cast(l_partkey as string), ' 7 ', cast(l_suppkey as string), ' 900 11 2')
             else concat('cpu', cast(l_linenumber as string), ' 1 2 3 4 5 6 7 0 0 0') end as line
