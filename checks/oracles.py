@@ -399,3 +399,70 @@ select job, unnest(range(r)) as node_idx, p_size as tasks, null as error from go
 union all select job, r, p_size % 7, null from good
 union all select job, r + unnest([1, 2]), 8, null from good
 union all select p_partkey, null, null, 'bad task list syntax' from part where p_partkey % 20 = 7"""
+
+# --- whole feeds, the stored table, streams -------------------------------------------
+
+# Each report is tagged with the client's job after its report before.
+FEED = f"""{COUNTERS},
+seen as (select distinct client_nid, cast((time - 1704067200) / 16384 as bigint) as k, client, system, uid from entry),
+told as (
+  select m.* exclude (client, system, jid, uid), coalesce(s.client, m.client_nid) as client,
+         coalesce(s.system, '*') as system, case when s.k is null then '*' else concat('j', s.k % 5) end as jid,
+         coalesce(s.uid, '*') as uid
+  from (select *, cast((time - 1704067200) / 16384 as bigint) as k from matched) m
+  asof left join seen s on m.client_nid = s.client_nid and m.k > s.k),
+feed as (
+  select t.client, t.system, t.jid, t.uid, t.idx, r.* exclude (client, system, jid, uid, idx)
+  from told t join rated r using (host, time, client_nid, target)),
+feed_base as (
+  select host as server, cast(time as bigint) as time, system, fid, client, jid, uid, event, value from feed
+  union all
+  select host, cast(time as bigint), system, fid, client, jid, uid, 'nclients',
+         case when row_number() over (partition by host, time, client_nid order by idx) = 1 then 1.0 else 0.0 end
+  from told)"""
+
+
+def _feed_groups(tags, where="true"):
+    return _groups(tags, where=where).replace("from base", "from feed_base")
+
+
+_LAST = "(server, time) in (select host, cast(max(time) as bigint) from times group by host)"
+ORACLES["reports_to_groups"] = _with(FEED, _feed_groups(J), select=f"""
+select server, time, {_tags(J)} event, round(value, 6) as value from g""")
+ORACLES["current_top"] = _with(
+    FEED, _feed_groups(LEVELS["u"], _LAST), _derived(LEVELS["u"]),
+    select=f"select server, time, {_tags(LEVELS['u'])} {_DERIVED} from d order by iops desc nulls last",
+)
+ORACLES["write_history"] = ORACLES["to_history"]
+_STORED = f"stored as ({ORACLES['to_history']}), dated as (select *, cast(to_timestamp(time) at time zone 'UTC' as date) as date from stored)"
+ORACLES["compact_history"] = _with(_STORED, select="""
+select date, date < date '2024-01-12' as compacted, count(*) as n, round(sum(value), 3) as total from dated group by all""")
+ORACLES["storage_report"] = _with(_STORED, select="""
+select date, count(*) as n, true as sized, min(time) as first_time, max(time) as last_time from dated group by date""")
+ORACLES["stream_rates"] = _with(FEED, select="""
+select host as server, cast(time as bigint) as time, client_nid, target, client, system, jid, uid, fid, event, value as rate
+from feed
+union all
+select host, cast(time as bigint), null, null, null, null, null, null, null, e, rate * f
+from cpu_rated, (values ('system', 1), ('user', 2)) v(e, f)""")
+# Each micro-batch exports the last report of every server in it.
+ORACLES["export_stream"] = _with(
+    FEED,
+    """cuts as (select max(seq) + 1 as span from (
+                  select max(arrival_seq) as seq from cpu union all
+                  select max(cast(k * 8 + 4 as bigint)) from seen))""",
+    """last as (select host as server, cast(max(time) as bigint) as time
+               from cpu, cuts group by host, floor(arrival_seq * 3 / span))""",
+    _feed_groups(J, "(server, time) in (select server, time from last)"), _derived(J),
+    select=f"""
+select time, server as host, system, fid, jid, uid, '*' as client, event, round(value, 6) as value from (
+  select time, server, {_tags(J)} event,
+         case when contains(event, '[bytes') then value * (1.0 / 1048576) else value end as value
+  from g where event not in ('nclients', 'load')
+  union all select time, server, {_tags(J)} unnest(['nclients', 'load', 'load_eff', 'iops', 'bytes']),
+                   unnest([nclients, load, load_eff, iops, bytes]) from d)
+where value > 0""")
+ORACLES["stream_buckets"] = _r("""
+select cast(epoch(t) as bigint) as t, host, event, round(sum(value), 6) as value
+from (select *, time_bucket(interval '1 hour', time) as t from h)
+where t + interval '1 hour' <= (select max(time) from h) group by all""")

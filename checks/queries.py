@@ -18,8 +18,9 @@ from iolens.operators import tagging as M
 from iolens.operators import view as V
 from iolens.plans import pages, reports
 from iolens.schema import DERIVED, ORDER, TAGS
-from iolens.sources import captured, mappings
+from iolens.sources import captured, history_table, mappings
 from iolens.sources import reports as P
+from iolens.streaming.reports import export_stream, stream_buckets, stream_rates
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -484,3 +485,106 @@ def natural_sort(spark, sf):
 def expand_tasks_per_node_query(spark, sf):
     return expand_tasks_per_node(T.table(spark, sf, T.TASK_LISTS), "expr", ["job"])
 
+
+
+# --- whole feeds, the stored table, streams -----------------------------------
+
+FEED_FILES = 3
+
+
+def feed(spark, sf):
+    lines = T.feed_lines(spark, sf).select(F.split("value", "\t", 2).alias("__p"), "arrival_seq")
+    return P.parse_reports(lines.select("arrival_seq", F.get("__p", F.lit(1)).alias("msg")))[0]
+
+
+@query
+def reports_to_groups(spark, sf):
+    return rounded(seconds(R.group_events(reports.groups_from_messages(feed(spark, sf)))), "value")
+
+
+@query
+def current_top(spark, sf):
+    groups = reports.current_groups(feed(spark, sf), mode="asof")
+    return rounded(seconds(reports.top_report(groups, "u", by="iops")), *DERIVED)
+
+
+def stored_history(spark, sf):
+    """The history of the counters, written to a new folder."""
+    path = T.work_dir(spark)
+    history_table.write_history(H.to_history(G.derive_events(tag_groups(spark, sf))), path)
+    return path
+
+
+@query
+def write_history(spark, sf):
+    table = history_table.read_history(spark, stored_history(spark, sf))
+    return rounded(seconds(table.drop("date")), "value")
+
+
+COMPACT_NOW = dt.datetime(2024, 1, 12, 13, 0)
+
+
+@query
+def compact_history(spark, sf):
+    path = stored_history(spark, sf)
+    border = history_table.compact_history(spark, path, path + "-compact", COMPACT_NOW)
+    table = history_table.read_history(spark, path, path + "-compact", border)
+    old = F.col("date") < F.lit(border)
+    return table.groupBy("date", old.alias("compacted")).agg(
+        F.count(F.lit(1)).alias("n"), F.round(F.sum("value"), 3).alias("total")
+    )
+
+
+@query
+def storage_report(spark, sf):
+    report = history_table.storage_report(spark, stored_history(spark, sf))
+    return report.select(
+        "date", F.col("rows").alias("n"), (F.col("bytes") > 0).alias("sized"),
+        F.unix_seconds("first_time").alias("first_time"), F.unix_seconds("last_time").alias("last_time"),
+    )
+
+
+def feed_stream(spark, sf):
+    """The feed as a stream of files, one per micro-batch and in arrival order."""
+    path = T.work_dir(spark)
+    lines = T.feed_lines(spark, sf)
+    span = lines.agg(F.max("arrival_seq")).first()[0] + 1
+    for n in range(FEED_FILES):
+        part = lines.where(F.floor(F.col("arrival_seq") * FEED_FILES / span) == n)
+        part.orderBy("arrival_seq").coalesce(1).select("value").write.mode("append").text(path + "/feed")
+    stream = P.read_reports(spark, path + "/feed", streaming=True, maxFilesPerTrigger=1)
+    return P.parse_reports(stream)[0], path
+
+
+def finish(writer, path):
+    writer.option("checkpointLocation", path + "/offsets").trigger(availableNow=True).start().awaitTermination()
+
+
+@query
+def stream_rates_query(spark, sf):
+    messages, path = feed_stream(spark, sf)
+    finish(stream_rates(messages, path + "/state", path + "/rates"), path)
+    rows = spark.read.option("basePath", path + "/rates").parquet(path + "/rates")
+    return seconds(rows).select(
+        "server", "time", "client_nid", "target", "client", "system", "jid", "uid", "fid",
+        F.explode("rates").alias("event", "rate"),
+    )
+
+
+@query
+def export_stream_query(spark, sf):
+    messages, path = feed_stream(spark, sf)
+    finish(export_stream(messages, path + "/state", path + "/history"), path)
+    return rounded(seconds(spark.read.parquet(path + "/history").drop("date", "batch_id")), "value")
+
+
+@query
+def stream_buckets_query(spark, sf):
+    path = T.work_dir(spark)
+    rows = recent(spark, sf).withColumn("time", F.col("time").cast("timestamp"))
+    rows.write.parquet(path + "/history")
+    stream = spark.readStream.schema(rows.schema).parquet(path + "/history")
+    writer = stream_buckets(stream, "1h", "0 seconds").writeStream.format("parquet")
+    finish(writer.option("path", path + "/sums"), path)
+    # the last bucket stays open: nothing newer closes it
+    return rounded(spark.read.parquet(path + "/sums").withColumn("t", F.unix_seconds("t")), "value")

@@ -6,11 +6,12 @@ All rows of a table are used.
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from iolens.schema import ORDER
-
 SPARK = {
     "DAY": "datediff(to_date(ts), date '2024-01-01')",
     "T0": "timestamp_ntz '2024-01-01 00:00:00'",
@@ -269,3 +270,59 @@ def report_lines(spark: SparkSession, sf_dir: str, broken: bool = True) -> DataF
         .when(seq % 5 == 2, F.concat(F.lit("["), "msg", F.lit(","), "msg", F.lit("]")))
         .otherwise(F.col("msg")),
     )
+
+
+def feed_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counter reports, and after each of them a node message per client in it.
+
+    A client's job changes with every report, so a report is tagged with the job
+    of the client's report before.
+    """
+    data = entries(spark, sf_dir)
+    entry = F.struct(
+        "stats_type", "target", "client_nid", F.lit(None).cast("string").alias("server_nid"),
+        F.transform_values("stats", lambda _, v: v.cast("string")).alias("stats"),
+    )
+    reports = (
+        data.groupBy(F.col("host").alias("hostname"), "arrival_seq", "time", "obdclass")
+        .agg(F.collect_list(F.struct("entry_idx", entry.alias("e"))).alias("__data"))
+        .select(
+            "arrival_seq", "hostname", "time", "obdclass",
+            *[F.lit(None).cast("string").alias(c) for c in ("nid", "system", "jid", "uid")],
+            F.transform(
+                F.array_sort("__data", lambda a, b: a["entry_idx"] - b["entry_idx"]), lambda x: x["e"]
+            ).alias("data"),
+        )
+    )
+    number = F.floor(F.col("arrival_seq") / 8)
+    nodes = (
+        data.where("client_nid is not null")
+        .select(
+            (number * 8 + 4).alias("arrival_seq"), F.col("client").alias("hostname"),
+            F.lit(None).cast("double").alias("time"), F.lit(None).cast("string").alias("obdclass"),
+            F.col("client_nid").alias("nid"), "system",
+            F.concat(F.lit("j"), (number % 5).cast("string")).alias("jid"), "uid",
+        )
+        .distinct()
+        .withColumn("data", F.lit(None).cast(reports.schema["data"].dataType))
+    )
+    return reports.unionByName(nodes).withColumn("msg_idx", F.lit(0))
+
+
+def feed_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The feed as lines ``arrival_seq<TAB>message``."""
+    fields = ["hostname", "time", "obdclass", "nid", "system", "jid", "uid", "data"]
+    return feed_messages(spark, sf_dir).select(
+        "arrival_seq",
+        F.concat(F.col("arrival_seq").cast("string"), F.lit("\t"), F.to_json(F.struct(*fields))).alias("value"),
+    )
+
+
+def work_dir(spark: SparkSession) -> str:
+    """A new folder below the one the cluster shares; a local one only in local mode."""
+    shared = spark.conf.get("spark.checkpoint.dir", None)
+    if shared is None:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder all executors share")
+        shared = tempfile.mkdtemp(prefix="iolens-")
+    return f"{shared}/iolens-{uuid.uuid4().hex}"

@@ -42,8 +42,12 @@ def _at(df: DataFrame, moment: str | dt.datetime | Column) -> Column:
     return F.lit(str(moment)).cast(df.schema["time"].dataType)
 
 
+def time_window(width: str) -> Column:
+    return F.window("time", _window_text(width))
+
+
 def bucket_of(width: str) -> Column:
-    return F.window("time", _window_text(width))["start"]
+    return time_window(width)["start"]
 
 
 def to_history(derived: DataFrame) -> DataFrame:

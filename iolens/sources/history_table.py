@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import datetime as dt
+from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -14,26 +15,32 @@ _ROWS_PER_FILE = 20_000_000
 COMPACT_AFTER = dt.timedelta(hours=12)
 
 
-def _clustered(df: DataFrame) -> DataFrame:
+def _clustered(df: DataFrame, split: Sequence[str]) -> DataFrame:
     """Range partitions on day and tags: a large day is cut into many files, and
     the sort keeps each tag within few row groups, for the Parquet statistics."""
-    order = ["date", *[F.col(c) for c in _CLUSTER], F.col("time").desc()]
+    order = [*split, *[F.col(c) for c in _CLUSTER], F.col("time").desc()]
     return df.repartitionByRange(*order).sortWithinPartitions(*order)
 
 
 def write_history(
-    df: DataFrame, path: str, mode: str = "append", compat_real: bool = False
+    df: DataFrame, path: str, compat_real: bool = False, batch_id: int | None = None
 ) -> None:
-    """Write history rows, split by ``date(time)``; ``compat_real`` stores 4-byte values."""
+    """Append history rows, split by ``date(time)``; ``compat_real`` stores 4-byte values.
+
+    With ``batch_id`` the rows of that batch are replaced if they were written
+    before, which makes a repeated micro-batch harmless.
+    """
     value = F.col("value").cast("float" if compat_real else "double")
-    dated = df.select(*HISTORY_COLUMNS).withColumns(
-        {"value": value, "date": F.to_date("time")}
-    )
+    rows = df.select(*HISTORY_COLUMNS).withColumns({"value": value, "date": F.to_date("time")})
+    split = ["date"]
+    if batch_id is not None:
+        rows = rows.withColumn("batch_id", F.lit(batch_id))
+        split.append("batch_id")
+    writer = _clustered(rows, split).write.mode("append" if batch_id is None else "overwrite")
     (
-        _clustered(dated)
-        .write.mode(mode)
+        writer.option("partitionOverwriteMode", "dynamic")
         .option("maxRecordsPerFile", _ROWS_PER_FILE)
-        .partitionBy("date")
+        .partitionBy(*split)
         .parquet(path)
     )
 
@@ -42,11 +49,11 @@ def read_history(
     spark: SparkSession, path: str, compacted: str | None = None, before: dt.date | None = None
 ) -> DataFrame:
     """The table; days earlier than ``before`` come from the compacted copy."""
-    table = spark.read.parquet(path)
+    table = spark.read.parquet(path).select(*HISTORY_COLUMNS, "date")
     if compacted is None or before is None:
         return table
     border = F.lit(before)
-    old = spark.read.parquet(compacted).where(F.col("date") < border)
+    old = spark.read.parquet(compacted).select(*table.columns).where(F.col("date") < border)
     return table.where(F.col("date") >= border).unionByName(old)
 
 
@@ -69,8 +76,9 @@ def compact_history(
     """
     border = compaction_border(now, older_than)
     old = spark.read.parquet(path).where(F.col("date") < F.lit(border))
+    old = old.select(*HISTORY_COLUMNS, "date")
     (
-        _clustered(old)
+        _clustered(old, ["date"])
         .write.mode("overwrite")
         .option("partitionOverwriteMode", "dynamic")
         .option("maxRecordsPerFile", _ROWS_PER_FILE)
@@ -80,8 +88,9 @@ def compact_history(
     return border
 
 
-def storage_report(table: DataFrame) -> DataFrame:
+def storage_report(spark: SparkSession, path: str) -> DataFrame:
     """Files, bytes, rows and time range of each day; reads the time column only."""
+    table = spark.read.parquet(path)
     files = table.groupBy("date", F.col("_metadata.file_path").alias("__file")).agg(
         F.max("_metadata.file_size").alias("__bytes"),
         F.count(F.lit(1)).alias("__rows"),
@@ -97,10 +106,14 @@ def storage_report(table: DataFrame) -> DataFrame:
     )
 
 
-def compaction_report(before: DataFrame, after: DataFrame) -> DataFrame:
-    """Bytes of each day before and after compaction."""
-    sizes = [
-        storage_report(t).select("date", F.col("bytes").alias(name))
-        for t, name in ((before, "before_bytes"), (after, "after_bytes"))
-    ]
-    return sizes[0].join(sizes[1], "date", "left")
+def total_bytes(spark: SparkSession, path: str) -> DataFrame:
+    return storage_report(spark, path).agg(F.sum("bytes").alias("bytes"))
+
+
+def compaction_report(spark: SparkSession, path: str, compacted: str) -> DataFrame:
+    """Bytes of each day before and after compaction; null after where it is not compacted."""
+    before, after = (
+        storage_report(spark, p).select("date", F.col("bytes").alias(name))
+        for p, name in ((path, "before_bytes"), (compacted, "after_bytes"))
+    )
+    return before.join(after, "date", "left")
