@@ -494,7 +494,8 @@ FEED_FILES = 3
 
 def feed(spark, sf):
     lines = T.feed_lines(spark, sf).select(F.split("value", "\t", 2).alias("__p"), "arrival_seq")
-    return P.parse_reports(lines.select("arrival_seq", F.get("__p", F.lit(1)).alias("msg")))[0]
+    parsed = P.parse_reports(lines.select("arrival_seq", F.get("__p", F.lit(1)).alias("msg")))[0]
+    return P.store_messages(parsed, T.work_dir(spark))
 
 
 @query
@@ -547,11 +548,12 @@ def storage_report(spark, sf):
 def feed_stream(spark, sf):
     """The feed as a stream of files, one per micro-batch and in arrival order."""
     path = T.work_dir(spark)
-    lines = T.feed_lines(spark, sf)
+    T.feed_lines(spark, sf).write.parquet(path + "/lines")
+    lines = spark.read.parquet(path + "/lines")
     span = lines.agg(F.max("arrival_seq")).first()[0] + 1
     for n in range(FEED_FILES):
         part = lines.where(F.floor(F.col("arrival_seq") * FEED_FILES / span) == n)
-        part.orderBy("arrival_seq").coalesce(1).select("value").write.mode("append").text(path + "/feed")
+        part.select("value").coalesce(1).write.mode("append").text(path + "/feed")
     stream = P.read_reports(spark, path + "/feed", streaming=True, maxFilesPerTrigger=1)
     return P.parse_reports(stream)[0], path
 

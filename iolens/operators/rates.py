@@ -83,30 +83,68 @@ def coalesce_ticks(samples: DataFrame, every: float) -> DataFrame:
     )
 
 
+def newest_samples(samples: DataFrame) -> DataFrame:
+    """The last two accepted samples of every host, laid out as by :func:`accept_samples`.
+
+    The last is the earliest arrival of the latest time, the one before it the
+    same among the arrivals ahead of that; two aggregates, no ordered scan.
+    """
+    newest = F.max(F.struct("time", *[(-F.col(c)).alias(c) for c in ORDER]))
+    last = samples.groupBy("host").agg(newest.alias("__last"))
+    ahead = F.struct(*ORDER) < F.struct(*[(-F.col("__last")[c]).alias(c) for c in ORDER])
+    pairs = (
+        samples.join(last, "host")
+        .groupBy("host", "__last")
+        .agg(F.max(F.when(ahead, F.struct("time", *[(-F.col(c)).alias(c) for c in ORDER]))).alias("__prev"))
+    )
+
+    def row(sample: str, prev_time: Column, number: int) -> Column:
+        return F.struct(
+            *[(-F.col(sample)[c]).alias(c) for c in ORDER],
+            F.col(sample)["time"].alias("time"), prev_time.alias("prev_time"),
+            F.lit(number).alias("sample_no"),
+        )
+
+    first = row("__prev", F.lit(None).cast("double"), 1)
+    second = row("__last", F.col("__prev")["time"], 2)
+    zero = F.lit(0).cast("bigint")
+    return pairs.select(
+        "host",
+        F.inline(F.when(F.col("__prev").isNull(), F.array(second)).otherwise(F.array(first, second))),
+    ).select(
+        "*",
+        F.struct(zero.alias("block"), zero.alias("part")).alias("chunk"),
+        F.lit(None).cast("struct<block:bigint,part:bigint>").alias("next_chunk"),
+    )
+
+
 def rates(
     entries: DataFrame,
     samples: DataFrame | None = None,
     samples_per_chunk: int = SAMPLES_PER_CHUNK,
     block_rows: int = BLOCK_ROWS,
 ) -> DataFrame:
+    """Rates of all entries. ``samples`` names all samples of the hosts; without
+    it a sample that has no entries is not known of."""
+    if samples is None:
+        samples = entries.select(*_SAMPLE, "time").distinct()
+    return rates_of(entries, accept_samples(samples, samples_per_chunk, block_rows))
+
+
+def rates_of(entries: DataFrame, accepted: DataFrame) -> DataFrame:
     """Per event ``max(0, new - old) / dt`` against the previous accepted sample.
 
     An entry is compared with the entry of the same client, target and type in
     the host's immediately previous sample, and dropped if there is none. An
-    event missing there has rate 0. ``samples`` names all samples of the hosts;
-    without it a sample without entries is not known of. From here on ``time`` is
-    a timestamp: a double key would be normalised, and shuffled, at every step.
+    event missing there has rate 0. From here on ``time`` is a timestamp: a
+    double key would be normalised, and shuffled, at every step.
 
     The entries of a client are spread over the chunks of its samples. The last
     sample of a chunk is also sent to the next one, so that every entry finds
     its predecessor beside it, whatever the number of samples.
     """
-    if samples is None:
-        samples = entries.select(*_SAMPLE, "time").distinct()
-    accepted = (
-        accept_samples(samples, samples_per_chunk, block_rows)
-        .withColumn("__dt", F.col("time") - F.col("prev_time"))
-        .drop("time", "prev_time")
+    steps = accepted.withColumn("__dt", F.col("time") - F.col("prev_time")).drop(
+        "time", "prev_time"
     )
     cpu = F.col("stats_type") == "cpu"
     usable = entries.where(cpu | F.col("client_nid").isNotNull() & F.col("target").isNotNull())
@@ -125,7 +163,7 @@ def rates(
     )
     places = F.when(F.col("next_chunk").isNull(), F.array(here)).otherwise(F.array(here, ahead))
     placed = (
-        usable.join(accepted, [*_SAMPLE])
+        usable.join(steps, [*_SAMPLE])
         .withColumn("__places", places)
         .drop("chunk", "next_chunk", "sample_no")
         .select("*", F.inline("__places"))

@@ -5,11 +5,10 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from iolens.functions.scans import BLOCK_ROWS
 from iolens.operators.groups import derive_events, filter_groups, group_rates
-from iolens.operators.rates import accept_samples, aggregate_with_load, rates
+from iolens.operators.rates import aggregate_with_load, newest_samples, rates, rates_of
 from iolens.operators.tagging import node_map, tag_entries, tag_entries_asof
 from iolens.operators.view import rank, top_view
 from iolens.schema import ORDER, TAGS
@@ -36,8 +35,11 @@ def tagged_entries(
 def groups_from_messages(
     messages: DataFrame, mode: str = "asof", tags: Sequence[str] = TAGS
 ) -> DataFrame:
-    """All tag groups of a feed. Parse and store the messages first if the feed
-    is large: samples, mappings and entries each read them."""
+    """All tag groups of a feed.
+
+    Samples, mappings and entries each read the messages, so give it stored ones
+    (:func:`iolens.sources.reports.store_messages`), not the text.
+    """
     entries = explode_entries(messages)
     return groups_from_entries(tagged_entries(messages, entries, mode), samples_of(messages), tags)
 
@@ -45,22 +47,17 @@ def groups_from_messages(
 def current_groups(
     messages: DataFrame, mode: str = "latest", tags: Sequence[str] = TAGS
 ) -> DataFrame:
-    """Tag groups of every server's last accepted sample.
+    """Tag groups of every server's last accepted sample, from stored messages.
 
-    Only the last two samples of a server reach the rate step, so its cost does
-    not grow with the length of the feed.
+    Only the last two samples of a server reach the tagging and rate steps, so
+    their cost does not grow with the length of the feed.
     """
-    accepted = accept_samples(samples_of(messages))
-    newest = accepted.groupBy("host").agg(
-        F.max("time").alias("__newest"), F.max_by("prev_time", "time").alias("__before")
-    )
-    needed = (
-        accepted.join(newest, "host")
-        .where("time = __newest or time = __before")
-        .select("host", *ORDER, "time")
+    newest = newest_samples(samples_of(messages))
+    entries = explode_entries(messages).join(
+        newest.select("host", *ORDER), ["host", *ORDER], "left_semi"
     )
-    entries = explode_entries(messages).join(needed.drop("time"), ["host", *ORDER], "left_semi")
-    return groups_from_entries(tagged_entries(messages, entries, mode), needed, tags)
+    tagged = tagged_entries(messages, entries, mode)
+    return aggregate_with_load(rates_of(tagged, newest), tags)
 
 
 def top_report(

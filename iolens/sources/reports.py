@@ -60,6 +60,16 @@ def parse_reports(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
     return messages, unparsed.unionByName(nameless)
 
 
+def store_messages(messages: DataFrame, path: str) -> DataFrame:
+    """Write parsed messages as Parquet and read them back.
+
+    The JSON is parsed once, and the steps that follow read the columns they
+    need: samples and mappings never touch the counters.
+    """
+    messages.write.mode("overwrite").parquet(path)
+    return messages.sparkSession.read.schema(messages.schema).parquet(path)
+
+
 def classify_messages(messages: DataFrame) -> DataFrame:
     """Add ``kind``: a sample has data; else a node message has a node id; else host tags only."""
     return messages.withColumn(

@@ -19,7 +19,7 @@ from iolens.operators.rates import (
     accept_samples,
     aggregate_with_load,
     host_snapshot,
-    rates,
+    rates_of,
 )
 from iolens.operators.tagging import tag_entries_asof
 from iolens.schema import HISTORY_COLUMNS, ORDER, TAGS
@@ -48,37 +48,45 @@ class ReportState:
             compact_every,
         )
 
-    def advance(self, messages: DataFrame, batch_id: int) -> DataFrame:
-        """Rates of one batch of messages; stores the state after it."""
-        spark = messages.sparkSession
-        known = self._known_messages(spark, batch_id)
-        columns = ["hostname", "nid", "system", "jid", "uid"]
-        mapped = messages.select(*ORDER, *columns, F.col("data").isNotNull().alias("__sample"))
-        # a sample's node id maps nothing
-        mapped = mapped.withColumn("nid", F.when(~F.col("__sample"), F.col("nid"))).drop("__sample")
-        mapped = mapped.unionByName(known).withColumn("data", F.lit(None).cast("string"))
+    def advance(self, messages: DataFrame, batch_id: int, cache: Callable) -> DataFrame:
+        """Rates of one batch of messages; stores the state after it.
 
+        ``cache`` holds on to a frame until the batch is done.
+        """
+        spark = messages.sparkSession
         now = samples_of(messages)
-        hosts = now.select("host").distinct()
+        hosts = cache(now.select("host").distinct())
         before = self.samples.read(spark, batch_id).join(hosts, "host", "left_semi")
         old_entries = self.entries.read(spark, batch_id).join(hosts, "host", "left_semi")
         at_start = {"arrival_seq": F.lit(_BEFORE).cast("bigint"), "msg_idx": F.lit(0)}
-        samples = now.unionByName(before.withColumns(at_start))
+        accepted = cache(accept_samples(now.unionByName(before.withColumns(at_start))))
+
+        mapped = cache(self._mappings(messages, batch_id))
         new_entries = explode_entries(messages)
         tagged = tag_entries_asof(new_entries, mapped)
         entries = tagged.unionByName(old_entries.withColumns(at_start), allowMissingColumns=True)
 
-        accepted = accept_samples(samples).where(F.col("arrival_seq") > _BEFORE)
-        last = accepted.groupBy("host").agg(
-            F.max_by(F.struct(*ORDER, "time"), "time").alias("__last")
+        position = F.struct(*ORDER, "time")
+        last = (
+            accepted.where(F.col("arrival_seq") > _BEFORE)
+            .groupBy("host")
+            .agg(F.max_by(position, "time").alias("__last"))
+            .select("host", *[F.col("__last")[c].alias(c) for c in (*ORDER, "time")])
         )
-        last = last.select("host", *[F.col("__last")[c].alias(c) for c in (*ORDER, "time")])
+        last = cache(last)
         self.samples.write(spark, batch_id, last)
-        self.entries.write(
-            spark, batch_id, new_entries.join(last, ["host", *ORDER], "left_semi")
-        )
+        self.entries.write(spark, batch_id, new_entries.join(last, ["host", *ORDER], "left_semi"))
         self._store_mappings(spark, batch_id, mapped, messages)
-        return rates(entries, samples)
+        return rates_of(entries, accepted)
+
+    def _mappings(self, messages: DataFrame, batch_id: int) -> DataFrame:
+        """Mappings of the batch after the known ones of its nodes and hosts."""
+        known = self._known_messages(messages.sparkSession, batch_id)
+        # a sample's node id maps nothing
+        nid = F.when(F.col("data").isNull(), F.col("nid"))
+        told = messages.select(*ORDER, "hostname", nid.alias("nid"), "system", "jid", "uid")
+        told = told.where("coalesce(nid, system, jid, uid) is not null")
+        return told.unionByName(known).withColumn("data", F.lit(None).cast("string"))
 
     def _known_messages(self, spark: SparkSession, batch_id: int) -> DataFrame:
         """The mapping state as messages that arrived before the batch."""
@@ -119,11 +127,17 @@ def _each_batch(
     messages: DataFrame, state: ReportState, sink: Callable[[DataFrame, int], None]
 ) -> DataStreamWriter:
     def run(batch: DataFrame, batch_id: int) -> None:
-        batch.persist()
+        held: list[DataFrame] = []
+
+        def cache(df: DataFrame) -> DataFrame:
+            held.append(df.persist())
+            return df
+
         try:
-            sink(state.advance(batch, batch_id), batch_id)
+            sink(cache(state.advance(cache(batch), batch_id, cache)), batch_id)
         finally:
-            batch.unpersist()
+            for df in held:
+                df.unpersist()
 
     return messages.writeStream.foreachBatch(run)
 
