@@ -14,14 +14,12 @@ from pyspark.sql import functions as F
 
 SPARK = {
     "DAY": "datediff(to_date(ts), date '2024-01-01')",
-    "T0": "timestamp_ntz '2024-01-01 00:00:00'",
     "DIV": "div",
     "EVENTS": "{events}", "LINEITEM": "{lineitem}", "PART": "{part}",
     "ORDERS": "{orders}", "CUSTOMER": "{customer}",
 }
 DUCK = {
     "DAY": "date_diff('day', date '2024-01-01', cast(ts as date))",
-    "T0": "timestamp '2024-01-01 00:00:00'",
     "DIV": "//",
     "EVENTS": "events", "LINEITEM": "lineitem", "PART": "part",
     "ORDERS": "orders", "CUSTOMER": "customer",
