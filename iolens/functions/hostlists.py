@@ -34,42 +34,71 @@ def _bracket_error(expr: Column) -> Column:
     return F.when(rest.startswith("[["), NESTED).when(rest != "", UNBALANCED)
 
 
-def _range(item: Column) -> Column:
-    """A number or low-high range: its error, bounds, width and size."""
-    ends = F.split(item, "-")
-    low, high = (F.get(ends, F.lit(i)).try_cast("bigint") for i in (0, 1))
-    single = item.rlike("^[0-9]+$")
-    span = high - low
-    error = (
-        F.when(single, None)
-        .when(~item.rlike("^[0-9]+-[0-9]+$"), BAD_RANGE)
-        .when(low.isNull() | high.isNull(), LONG_RANGE)
-        .when(span < 0, BACKWARDS)
-        .when(span > MAX_SIZE, LONG_RANGE)
+def _ranges(inner: Column) -> Column:
+    """Numbers and low-high ranges of a bracket: error, bounds, width and size.
+
+    Each step binds what the next one uses, as a lambda computes its input anew
+    wherever it is named.
+    """
+    form = "^([0-9]+)(?:-([0-9]+))?$"
+    texts = F.transform(
+        F.split(inner, ","),
+        lambda item: F.struct(
+            item.alias("text"),
+            F.regexp_extract(item, form, 1).alias("low"),
+            F.regexp_extract(item, form, 2).alias("high"),
+        ),
     )
-    return F.struct(
-        item.alias("text"),
-        error.cast("string").alias("error"),
-        F.when(~single, low).alias("low"),
-        F.when(~single, high).alias("high"),
-        F.length(F.get(ends, F.lit(0))).alias("width"),
-        F.when(single | error.isNotNull(), F.lit(1).cast("bigint")).otherwise(span + 1).alias("size"),
+    bounds = F.transform(
+        texts,
+        lambda t: F.struct(
+            t["text"].alias("text"),
+            F.length(t["low"]).alias("width"),
+            (t["high"] == "").alias("single"),
+            F.when(t["high"] != "", t["low"].try_cast("bigint")).alias("low"),
+            F.when(t["high"] != "", t["high"].try_cast("bigint")).alias("high"),
+        ),
     )
 
+    def checked(b: Column) -> Column:
+        span = b["high"] - b["low"]
+        error = (
+            F.when(b["width"] == 0, BAD_RANGE)
+            .when(b["single"], F.lit(None).cast("string"))
+            .when(span.isNull(), LONG_RANGE)
+            .when(span < 0, BACKWARDS)
+            .when(span > MAX_SIZE, LONG_RANGE)
+        )
+        return F.struct(
+            b["text"].alias("text"),
+            error.alias("error"),
+            b["low"].alias("low"),
+            b["high"].alias("high"),
+            b["width"].alias("width"),
+            F.when((span >= 0) & (span <= MAX_SIZE), span + 1)
+            .otherwise(F.lit(1).cast("bigint"))
+            .alias("size"),
+        )
+
+    return F.transform(bounds, checked)
+
 
 def _piece(token: Column) -> Column:
     """Text before a bracket and the ranges inside it (none if there is no bracket)."""
-    inner = F.regexp_extract(token, r"\[([^\]]*)\]", 1)
-    ranges = F.when(token.contains("["), F.transform(F.split(inner, ","), _range))
+    at = F.instr(token, "[")
+    inner = token.substr(at + 1, F.length(token) - at - 1)
     return F.struct(
-        F.regexp_extract(token, r"^([^\[]*)", 1).alias("prefix"),
-        ranges.alias("ranges"),
-        F.coalesce(
-            F.aggregate(ranges, F.lit(0).cast("bigint"), lambda n, r: n + r["size"]), F.lit(1)
-        ).alias("size"),
+        F.when(at == 0, token).otherwise(F.left(token, at - 1)).alias("prefix"),
+        F.when(at > 0, _ranges(inner)).alias("ranges"),
     )
 
 
+def _size(piece: Column) -> Column:
+    one = F.lit(1).cast("bigint")
+    total = F.aggregate(piece["ranges"], F.lit(0).cast("bigint"), lambda n, r: n + r["size"])
+    return F.when(piece["ranges"].isNull(), one).otherwise(total)
+
+
 def _numbers(r: Column) -> Column:
     """Zero-padded text of every number of a range; longer numbers keep their digits."""
     padded = F.transform(
@@ -81,21 +110,25 @@ def _numbers(r: Column) -> Column:
     return F.when(r["low"].isNull(), F.array(r["text"])).otherwise(padded)
 
 
+def _options(piece: Column) -> Column:
+    """The names one piece can stand for."""
+    numbers = F.flatten(F.transform(piece["ranges"], _numbers))
+    return F.when(piece["ranges"].isNull(), F.array(piece["prefix"])).otherwise(
+        F.transform(numbers, lambda n: F.concat(piece["prefix"], n))
+    )
+
+
 def _names(pieces: Column) -> Column:
     """All names of one part, at most ``MAX_SIZE``; the leftmost number varies slowest."""
-
-    def options(piece: Column) -> Column:
-        numbers = F.flatten(F.transform(piece["ranges"], _numbers))
-        return F.when(piece["ranges"].isNull(), F.array(piece["prefix"])).otherwise(
-            F.transform(numbers, lambda n: F.concat(piece["prefix"], n))
+    options = F.transform(pieces, _options)
+    return F.when(F.size(pieces) == 1, F.get(options, F.lit(0))).otherwise(
+        F.aggregate(
+            options,
+            F.array(F.lit("")),
+            lambda done, more: F.flatten(
+                F.transform(done, lambda a: F.transform(more, lambda b: F.concat(a, b)))
+            ),
         )
-
-    return F.aggregate(
-        pieces,
-        F.array(F.lit("")),
-        lambda done, piece: F.flatten(
-            F.transform(done, lambda a: F.transform(options(piece), lambda b: F.concat(a, b)))
-        ),
     )
 
 
@@ -140,7 +173,7 @@ def expand_hosts(
             part,
             F.lit(1).cast("bigint"),
             # stop growing once too large, so the product cannot overflow
-            lambda n, p: F.when(n > MAX_SIZE, n).otherwise(n * p["size"]),
+            lambda n, p: F.when(n > MAX_SIZE, n).otherwise(n * _size(p)),
         )
         return F.coalesce(F.get(bad, F.lit(0))["error"], F.when(size > MAX_SIZE, LARGE))
 
@@ -153,32 +186,24 @@ def expand_hosts(
             ),
         ),
     )
-    hosts = (
-        checked.where("error is null")
-        .select(*keys, F.posexplode("__pieces").alias("part_no", "__part"))
-        .select(*keys, "part_no", F.posexplode(_names(F.col("__part"))).alias("item_no", "host"))
+    # A bad expression goes on as one row without a part.
+    parts_or_error = F.when(F.col("error").isNull(), F.col("__pieces"))
+    out = (
+        checked.select(*keys, "error", F.posexplode_outer(parts_or_error).alias("part_no", "__part"))
+        .select(*keys, "error", "part_no", F.posexplode_outer(_names(F.col("__part"))).alias("item_no", "host"))
+        .where("host is not null or error is not null")
     )
     if not allow_duplicates:
-        hosts = (
-            hosts.groupBy(*keys, "host")
-            .agg(F.min(F.struct("part_no", "item_no")).alias("__at"))
-            .select(*keys, "__at.part_no", "__at.item_no", "host")
+        out = (
+            out.groupBy(*keys, "host")
+            .agg(F.min(F.struct("part_no", "item_no")).alias("__at"), F.max("error").alias("error"))
+            .select(*keys, "host", "__at.part_no", "__at.item_no", "error")
         )
-    bad = checked.where("error is not null").select(
-        *keys,
-        F.lit(None).cast("int").alias("part_no"),
-        F.lit(None).cast("int").alias("item_no"),
-        F.lit(None).cast("string").alias("host"),
-        "error",
-    )
-    out = hosts.withColumn("error", F.lit(None).cast("string")).unionByName(bad)
     out = out.select(*keys, "host", "part_no", "item_no", "error")
     return out.orderBy(*keys, natural_key("host")) if sort else out
 
 
-_RANGES = (
-    "array<struct<text:string,error:string,low:bigint,high:bigint,width:int,size:bigint>>"
-)
+_RANGES = "array<struct<text:string,error:string,low:bigint,high:bigint,width:int,size:bigint>>"
 
 
 def expand_tasks_per_node(df: DataFrame, col: str, keys: Sequence[str]) -> DataFrame:
@@ -230,7 +255,7 @@ def expand_tasks_per_node(df: DataFrame, col: str, keys: Sequence[str]) -> DataF
 # ---------------------------------------------------------------------------
 
 _DIGITS = 18  # a longer digit run does not fit a bigint and is kept as text
-_FIELD = r"^(.*?)([0-9]+)([^0-9]*)$"
+_NO_NUMBER = -1
 _ISLAND_BLOCK = 1 << 16
 
 
@@ -333,55 +358,67 @@ def _joined_ranges(ranges: Column) -> Column:
     ends_low = lambda r: r["high"] + 1 == F.pow(F.lit(10), r["width"] - 1)
     alone = F.filter(padded, lambda r: ~(ends_low(r) & F.array_contains(used, r["width"])))
     natural = F.flatten(F.transform(runs, lambda r: r["ranges"]))
-    as_chain = F.transform(
-        F.concat(natural, alone),
-        lambda r: F.struct(r["low"].alias("low"), r["width"].alias("width"), r["high"].alias("high")),
+    chain = lambda r: F.struct(r["low"], r["width"], r["high"])
+    joined = F.concat(F.transform(natural, chain), F.transform(alone, chain))
+    as_they_are = F.transform(
+        ranges,
+        lambda r: F.struct(
+            r["low"].alias("low"),
+            F.when(r["width"] == 0, F.length(r["low"].cast("string"))).otherwise(r["width"]).alias("width"),
+            r["high"].alias("high"),
+        ),
     )
-    return F.array_sort(as_chain)
+    return F.array_sort(F.when(F.exists(padded, ends_low), joined).otherwise(as_they_are))
 
 
 def _collapse_once(df: DataFrame, by: Sequence[str], block: int) -> DataFrame:
-    """Fold the rightmost number of ``left`` into a range expression in ``right``."""
-    split = df.withColumn("__digits", F.regexp_extract("left", _FIELD, 2))
+    """Fold the rightmost number of ``left`` into a range expression in ``right``.
+
+    A name without one, or with a digit run too long for a bigint, moves to
+    ``right`` as it is written: it gets the width ``_NO_NUMBER``.
+    """
+    digits = F.regexp_extract("left", r"([0-9]+)[^0-9]*$", 1)
+    tail = F.regexp_extract("left", r"([^0-9]*)$", 1)
     usable = (F.col("__digits") != "") & (F.length("__digits") <= _DIGITS)
-    digits = F.regexp_replace("__digits", "^0+(?=[0-9])", "")
-    numbered = split.where(usable).select(
+    padded = F.col("__digits").startswith("0") & (F.length("__digits") > 1)
+    cut = F.length("left") - F.length("__digits") - F.length("__tail")
+    numbered = df.withColumns({"__digits": digits, "__tail": tail}).select(
         *by,
-        F.regexp_extract("left", _FIELD, 1).alias("prefix"),
-        F.concat(F.regexp_extract("left", _FIELD, 3), F.col("right")).alias("suffix"),
-        F.when(digits != F.col("__digits"), F.length("__digits")).otherwise(0).alias("width"),
-        F.col("__digits").try_cast("bigint").alias("num"),
+        F.when(usable, F.left("left", cut)).otherwise(F.lit("")).alias("prefix"),
+        F.when(usable, F.concat("__tail", "right"))
+        .otherwise(F.concat("left", "right"))
+        .alias("suffix"),
+        F.when(~usable, _NO_NUMBER)
+        .when(padded, F.length("__digits"))
+        .otherwise(0)
+        .alias("width"),
+        F.when(usable, F.col("__digits").try_cast("bigint")).otherwise(0).alias("num"),
     )
     group = [*by, "prefix", "suffix"]
     ranges = (
         _islands(numbered, [*group, "width"], block)
         .groupBy(*group)
-        .agg(F.collect_list(F.struct("low", "high", "width")).alias("__ranges"))
-        .withColumn("__ranges", _joined_ranges(F.col("__ranges")))
+        .agg(F.collect_list(F.struct("low", "width", "high")).alias("__ranges"))
+    )
+    fixed = F.get("__ranges", F.lit(0))["width"] == _NO_NUMBER
+    ranges = ranges.withColumn(
+        "__joined",
+        F.when(fixed, F.col("__ranges")).otherwise(_joined_ranges(F.col("__ranges"))),
     )
     texts = F.transform(
-        "__ranges",
+        "__joined",
         lambda r: F.when(r["low"] == r["high"], _padded(r["low"], r["width"])).otherwise(
             F.concat(_padded(r["low"], r["width"]), F.lit("-"), _padded(r["high"], r["width"]))
         ),
     )
-    first = F.get("__ranges", F.lit(0))
-    single = (F.size("__ranges") == 1) & (first["low"] == first["high"])
-    folded = ranges.select(
-        *by,
-        F.col("prefix").alias("left"),
-        F.concat(
-            F.when(single, F.get(texts, F.lit(0))).otherwise(
-                F.concat(F.lit("["), F.array_join(texts, ","), F.lit("]"))
-            ),
-            F.col("suffix"),
-        ).alias("right"),
+    first = F.get("__joined", F.lit(0))
+    number = F.when((F.size("__joined") == 1) & (first["low"] == first["high"]), F.get(texts, F.lit(0)))
+    number = F.when(fixed, F.lit("")).otherwise(
+        F.coalesce(number, F.concat(F.lit("["), F.array_join(texts, ","), F.lit("]")))
     )
-    # A too long digit run, and all to its left, is kept as it is written.
-    fixed = split.where(~usable).select(
-        *by, F.lit("").alias("left"), F.concat("left", "right").alias("right")
+    return ranges.select(
+        *by, F.col("prefix").alias("left"), F.concat(number, F.col("suffix")).alias("right")
     )
-    return folded.unionByName(fixed)
 
 
 def collapse_hosts(
@@ -398,12 +435,13 @@ def collapse_hosts(
     ``numeric_fields`` is the largest count of numbers in one name; it is looked
     up with one aggregate when not given.
     """
-    names = df.select(*by, F.trim(host).alias("left")).where("left <> ''").distinct()
-    good = names.where(~F.col("left").rlike(r"[\[\],]"))
+    trimmed = df.select(*by, F.trim(host).alias("left")).where("left <> ''")
+    forbidden = F.col("left").rlike(r"[\[\],]")
     if numeric_fields is None:
-        numeric_fields = (
-            good.agg(F.max(F.regexp_count("left", F.lit("[0-9]+")))).first()[0] or 0
-        )
+        count = F.regexp_count("left", F.lit("[0-9]+"))
+        numeric_fields = trimmed.where(~forbidden).agg(F.max(count)).first()[0] or 0
+    names = trimmed.distinct()
+    good = names.where(~forbidden)
     parts = good.withColumn("right", F.lit(""))
     for _ in range(numeric_fields):
         parts = _collapse_once(parts, by, block)
@@ -412,7 +450,7 @@ def collapse_hosts(
         F.array_join(F.array_sort(F.collect_list("__part")), ",").alias("hostlist")
     )
     errors = (
-        names.where(F.col("left").rlike(r"[\[\],]"))
+        trimmed.where(forbidden)
         .groupBy(*by)
         .agg(F.lit(FORBIDDEN).alias("error"))
     )

@@ -15,11 +15,20 @@ CPU_EVENTS = ("user", "nice", "system", "idle", "iowait", "irq", "softirq")
 
 def parse_stats_text(lines: DataFrame) -> DataFrame:
     """One row per counter: ``key`` = count, and ``key_[unit]`` = sum where a sum is given."""
-    groups = [F.regexp_extract("line", _STATS_LINE, i) for i in (1, 2, 3, 4)]
     keep = [c for c in lines.columns if c != "line"]
-    parsed = lines.select(
-        *keep, *[g.alias(n) for g, n in zip(groups, ("__key", "__n", "__unit", "__sum"))]
-    ).where("__key <> '' and __key <> 'snapshot_time'")
+    # all four groups in one match; a line that does not match stays in one piece
+    cut = F.split(F.regexp_replace("line", _STATS_LINE + ".*$", "$1\n$2\n$3\n$4"), "\n")
+    parsed = (
+        lines.select(*keep, cut.alias("__cut"))
+        .where((F.size("__cut") == 4) & (F.get("__cut", F.lit(0)) != "snapshot_time"))
+        .select(
+            *keep,
+            *[
+                F.get("__cut", F.lit(i)).alias(n)
+                for i, n in enumerate(("__key", "__n", "__unit", "__sum"))
+            ],
+        )
+    )
     count = F.struct(F.col("__key").alias("key"), F.col("__n").try_cast("bigint").alias("value"))
     total = F.struct(
         F.concat_ws("_", "__key", "__unit").alias("key"),
