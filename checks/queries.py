@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from checks import tables as T
 from iolens.functions.hostlists import collapse_hosts, expand_hosts, expand_tasks_per_node
-from iolens.functions.names import fs_name, local_time, natural_key, short_host
+from iolens.functions.names import epoch_seconds, fs_name, local_time, natural_key, short_host
 from iolens.operators import groups as G
 from iolens.operators import history as H
 from iolens.operators import rates as R
@@ -583,7 +583,7 @@ def export_stream_query(spark, sf):
 @query
 def stream_buckets_query(spark, sf):
     path = T.work_dir(spark)
-    rows = recent(spark, sf).withColumn("time", F.col("time").cast("timestamp"))
+    rows = recent(spark, sf).withColumn("time", F.timestamp_seconds(epoch_seconds("time")))
     rows.write.parquet(path + "/history")
     stream = spark.readStream.schema(rows.schema).parquet(path + "/history")
     writer = stream_buckets(stream, "1h", "0 seconds").writeStream.format("parquet")

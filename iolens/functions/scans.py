@@ -5,6 +5,9 @@ task. Here the order axis is cut into blocks: each block is summarised with an
 ordinary (map-side combined) aggregate, the summaries - one row per key and
 block - are scanned per key, and the result is carried into a window over
 (key, block). No task ever sees more than one block of one key in full.
+
+The order should be dense, like the offsets of a log: blocks have a fixed width
+on its axis, and one that holds few rows is no summary.
 """
 
 from __future__ import annotations

@@ -41,7 +41,7 @@ def write_feed(path, messages, per_file):
         os.utime(path / f"{n:05d}.txt", (1_700_000_000 + n, 1_700_000_000 + n))
 
 
-def start(spark, tmp_path, make, per_file=6):
+def start(spark, tmp_path, make, per_file=12):
     write_feed(tmp_path / "feed", feed(), per_file)
     lines = P.read_reports(spark, str(tmp_path / "feed"), streaming=True, maxFilesPerTrigger=1)
     writer = make(P.parse_reports(lines)[0])
@@ -80,7 +80,7 @@ def test_replayed_batch_gives_the_same_rows(spark, tmp_path):
 @pytest.mark.parametrize("dedupe", [True, False])
 def test_export_appends_the_latest_groups(spark, tmp_path, dedupe):
     state, out = str(tmp_path / "state"), str(tmp_path / "history")
-    start(spark, tmp_path, lambda m: export_stream(m, state, out, dedupe=dedupe), per_file=8)
+    start(spark, tmp_path, lambda m: export_stream(m, state, out, dedupe=dedupe))
     rows = spark.read.parquet(out)
     per_batch = rows.groupBy("batch_id", "host").agg(F.countDistinct("time").alias("n")).collect()
     assert {r.n for r in per_batch} == {1}
