@@ -46,18 +46,19 @@ def prepare(spark: SparkSession) -> dict[str, DataFrame]:
     root = T.work_dir(spark)
 
     def stored(name: str, df: DataFrame) -> DataFrame:
-        df.write.parquet(f"{root}/{name}")
+        # as many files as cores; the driver's tables are one file each
+        df.repartition(CPUS).write.parquet(f"{root}/{name}")
         return spark.read.parquet(f"{root}/{name}")
 
     tables = {
         "entries": stored("entries", T.entries(spark, SF_DIR)),
-        "feed": stored("feed", T.feed_messages(spark, SF_DIR)),
+        "feed": P.store_messages(T.feed_messages(spark, SF_DIR).repartition(CPUS), f"{root}/feed"),
         "messages": stored("messages", T.messages(spark, SF_DIR)),
         "stats_lines": stored("stats_lines", T.table(spark, SF_DIR, T.STATS_LINES)),
         "history": T.table(spark, SF_DIR, T.HISTORY),
         "recent": T.table(spark, SF_DIR, T.RECENT),
-        "expressions": T.table(spark, SF_DIR, T.HOST_EXPRESSIONS),
-        "group_hosts": T.table(spark, SF_DIR, T.GROUP_HOSTS),
+        "expressions": stored("expressions", T.table(spark, SF_DIR, T.HOST_EXPRESSIONS)),
+        "group_hosts": stored("group_hosts", T.table(spark, SF_DIR, T.GROUP_HOSTS)),
     }
     fields = ["hostname", "time", "obdclass", "nid", "system", "jid", "uid", "data"]
     tables["feed_text"] = stored(
@@ -75,7 +76,9 @@ def jobs(t: dict[str, DataFrame]) -> dict:
         "parse_reports": lambda: P.parse_reports(t["feed_text"])[0],
         "accept_samples": lambda: R.accept_samples(P.samples_of(t["feed"])),
         "tag_entries_latest": lambda: M.tag_entries(P.explode_entries(t["feed"]), M.node_map(t["feed"])),
-        "tag_entries_asof": lambda: M.tag_entries_asof(P.explode_entries(t["feed"]), t["feed"]),
+        "tag_entries_asof": lambda: M.tag_entries_asof(
+            P.explode_entries(t["feed"]), t["feed"], clients=P.clients_of(t["feed"])
+        ),
         "host_state": lambda: M.host_state(t["messages"]),
         "rates": lambda: R.rates(t["entries"]),
         "rates_to_groups": lambda: reports.groups_from_entries(t["entries"]),

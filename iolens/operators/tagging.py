@@ -84,14 +84,21 @@ def tag_entries(entries: DataFrame, nodes: DataFrame) -> DataFrame:
 
 
 def tag_entries_asof(
-    entries: DataFrame, messages: DataFrame, block_rows: int = BLOCK_ROWS
+    entries: DataFrame,
+    messages: DataFrame,
+    block_rows: int = BLOCK_ROWS,
+    clients: DataFrame | None = None,
 ) -> DataFrame:
     """Tag each entry with the mapping known when its report arrived.
 
     Two as-of lookups, node id to host and host to tags, both on the distinct
     (node id, report) pairs; the wide entries are shuffled once, for the join back.
+    ``clients`` gives those pairs where they can be had without the entries
+    (:func:`iolens.sources.reports.clients_of`).
     """
-    probes = entries.where("client_nid is not null").select("client_nid", *ORDER).distinct()
+    probes = clients
+    if probes is None:
+        probes = entries.where("client_nid is not null").select("client_nid", *ORDER).distinct()
     nodes = (
         classify_messages(messages)
         .where("kind = 'node'")

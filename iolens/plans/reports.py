@@ -6,13 +6,12 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
 
-from iolens.functions.scans import BLOCK_ROWS
 from iolens.operators.groups import derive_events, filter_groups, group_rates
 from iolens.operators.rates import aggregate_with_load, newest_samples, rates, rates_of
 from iolens.operators.tagging import node_map, tag_entries, tag_entries_asof
 from iolens.operators.view import rank, top_view
 from iolens.schema import ORDER, TAGS
-from iolens.sources.reports import explode_entries, samples_of
+from iolens.sources.reports import clients_of, explode_entries, samples_of
 
 
 def groups_from_entries(
@@ -23,10 +22,10 @@ def groups_from_entries(
 
 
 def tagged_entries(
-    messages: DataFrame, entries: DataFrame, mode: str = "asof", block_rows: int = BLOCK_ROWS
+    messages: DataFrame, entries: DataFrame, mode: str = "asof", clients: DataFrame | None = None
 ) -> DataFrame:
     if mode == "asof":
-        return tag_entries_asof(entries, messages, block_rows)
+        return tag_entries_asof(entries, messages, clients=clients)
     if mode == "latest":
         return tag_entries(entries, node_map(messages))
     raise ValueError(f"unknown tagging mode: {mode!r}")
@@ -40,8 +39,8 @@ def groups_from_messages(
     Samples, mappings and entries each read the messages, so give it stored ones
     (:func:`iolens.sources.reports.store_messages`), not the text.
     """
-    entries = explode_entries(messages)
-    return groups_from_entries(tagged_entries(messages, entries, mode), samples_of(messages), tags)
+    tagged = tagged_entries(messages, explode_entries(messages), mode, clients_of(messages))
+    return groups_from_entries(tagged, samples_of(messages), tags)
 
 
 def current_groups(

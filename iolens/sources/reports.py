@@ -60,18 +60,10 @@ def parse_reports(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
     return messages, unparsed.unionByName(nameless)
 
 
-def store_messages(messages: DataFrame, path: str) -> DataFrame:
-    """Write parsed messages as Parquet and read them back.
-
-    The JSON is parsed once, and the steps that follow read the columns they
-    need: samples and mappings never touch the counters.
-    """
-    messages.write.mode("overwrite").parquet(path)
-    return messages.sparkSession.read.schema(messages.schema).parquet(path)
-
-
 def classify_messages(messages: DataFrame) -> DataFrame:
     """Add ``kind``: a sample has data; else a node message has a node id; else host tags only."""
+    if "kind" in messages.columns:
+        return messages
     return messages.withColumn(
         "kind",
         F.when(F.col("data").isNotNull(), F.lit("sample"))
@@ -80,6 +72,18 @@ def classify_messages(messages: DataFrame) -> DataFrame:
     )
 
 
+def store_messages(messages: DataFrame, path: str) -> DataFrame:
+    """Write parsed messages as Parquet, split by kind, and read them back.
+
+    The JSON is parsed once, and the steps that follow read what they need: node
+    messages have files of their own, and the samples' times, hosts and clients
+    are read without the counters.
+    """
+    classified = classify_messages(messages)
+    classified.write.mode("overwrite").partitionBy("kind").parquet(path)
+    return messages.sparkSession.read.schema(classified.schema).parquet(path)
+
+
 def counter(value: str | Column) -> Column:
     """64-bit value of a counter's text; fractions are cut, other text is 0."""
     v = F.col(value) if isinstance(value, str) else value
@@ -88,17 +92,29 @@ def counter(value: str | Column) -> Column:
     )
 
 
+def _samples(messages: DataFrame) -> DataFrame:
+    return classify_messages(messages).where("kind = 'sample' and time is not null")
+
+
 def samples_of(messages: DataFrame) -> DataFrame:
     """The (host, arrival, time) of every message with data, empty data included."""
-    return messages.where(F.col("data").isNotNull() & F.col("time").isNotNull()).select(
-        F.col("hostname").alias("host"), *ORDER, "time"
+    return _samples(messages).select(F.col("hostname").alias("host"), *ORDER, "time")
+
+
+def clients_of(messages: DataFrame) -> DataFrame:
+    """The distinct (client_nid, arrival) of the samples; reads that field of the data only."""
+    clients = F.array_distinct(F.col("data.client_nid"))
+    return (
+        _samples(messages)
+        .select(*ORDER, F.explode(clients).alias("client_nid"))
+        .where("client_nid is not null")
     )
 
 
 def explode_entries(messages: DataFrame) -> DataFrame:
     """One row per data entry with its index; ``stats`` becomes ``map<string,bigint>``."""
     return (
-        messages.where(F.col("data").isNotNull() & F.col("time").isNotNull())
+        _samples(messages)
         .select(
             F.col("hostname").alias("host"), *ORDER, "time", "obdclass",
             F.posexplode("data").alias("entry_idx", "__e"),
@@ -114,7 +130,8 @@ def explode_entries(messages: DataFrame) -> DataFrame:
 def flatten_raw(messages: DataFrame) -> DataFrame:
     """Raw table rows: message tags x entry x event, cumulative values, UTC time."""
     return (
-        messages.where(F.col("data").isNotNull())
+        classify_messages(messages)
+        .where("kind = 'sample'")
         .select(
             F.timestamp_seconds("time").alias("time"),
             "hostname", "obdclass", "nid", "jid", "uid",

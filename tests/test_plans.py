@@ -10,7 +10,10 @@ sys.path.insert(0, str(Path(__file__).resolve().parents[1]))
 from __spark_entry__ import entry, oracle_sql, queries  # noqa: E402
 from checks import compare  # noqa: E402
 from checks import tables as T  # noqa: E402
+from iolens.operators import tagging as M  # noqa: E402
 from iolens.operators.rates import aggregate_with_load, rates  # noqa: E402
+from iolens.plans.reports import groups_from_messages  # noqa: E402
+from iolens.sources import reports as P  # noqa: E402
 
 SF = "/root/testdata/sf0.001"
 WRITING = {
@@ -59,6 +62,17 @@ def test_rate_plan_shuffles(spark):
     assert sorted("stats#" in s for s in scans) == [False] * (len(scans) - 1) + [True]
 
 
+def test_stored_messages_are_read_in_part(spark):
+    """Only the entries themselves read the counters; node messages have their own files."""
+    stored = P.store_messages(T.feed_messages(spark, SF), T.work_dir(spark))
+    assert "stats" not in plan(P.samples_of(stored)) and "data#" not in plan(P.samples_of(stored))
+    assert "stats:map" not in plan(P.clients_of(stored))
+    assert "data#" not in plan(M.node_map(stored))
+    assert "PartitionFilters: [isnotnull(kind" in plan(M.node_map(stored))
+    text = plan(groups_from_messages(stored))
+    assert text.count("stats:map") == 1
+
+
 def test_entry(spark):
     df = entry(spark)
     assert df.columns[:2] == ["server", "time"] and 0 < df.count() <= 20
