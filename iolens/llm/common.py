@@ -8,7 +8,7 @@ import tempfile
 import uuid
 from pathlib import Path
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: White space between words: space and tab to carriage return.
@@ -38,6 +38,18 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
+def numbered(df: DataFrame, order: list[Column], name: str) -> DataFrame:
+    """Number all rows from 0 in the given order, without bringing them into one task."""
+    dealt = df.repartitionByRange(*order).withColumn("__part", F.spark_partition_id())
+    parts = stored(dealt, "ordered")
+    sizes = parts.groupBy("__part").agg(F.count("*").alias("__n"))  # a row per task
+    before = F.sum("__n").over(Window.orderBy("__part")) - F.col("__n")
+    offsets = sizes.select("__part", before.alias("__before"))
+    place = F.row_number().over(Window.partitionBy("__part").orderBy(*order)) - 1
+    joined = parts.join(F.broadcast(offsets), "__part")
+    return joined.withColumn(name, (F.col("__before") + place).cast("long")).drop("__part", "__before")
+
+
 def blank_words(text: Column) -> Column:
     """Words between white space of a text; null has none."""
     trimmed = F.btrim(F.coalesce(text, F.lit("")), F.lit(BLANKS))
@@ -58,3 +70,10 @@ def ship_package(spark: SparkSession) -> None:
     shutil.copytree(root / "iolens", folder / "src/iolens", ignore=shutil.ignore_patterns("__pycache__"))
     context.addPyFile(shutil.make_archive(str(folder / "iolens-package"), "zip", folder / "src"))
     context._iolens_shipped = True
+
+
+def vocabulary(name: str = "word_bpe_49k.json") -> str:
+    """Where a public tokenizer's file is; all machines have the same."""
+    import public_tokenizers
+
+    return str(public_tokenizers.path(name))

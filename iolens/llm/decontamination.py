@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import re
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import repeat
 
 import ahocorasick
@@ -13,6 +13,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
+from iolens.llm.common import stored
+
 WINDOW = 10
 #: Most bytes of benchmark text in one automaton; a larger benchmark is scanned for in parts.
 MAX_BYTES = 2_000_000
@@ -97,19 +99,17 @@ def contamination(
     dealt by hash into parts of about that size (an item is never split), each document is scanned
     once per part, and the parts are put together.
     """
-    items = benchmark.select(F.col(item_col).alias("item"), F.col(item_text_col).alias("text")).dropna()
-    size = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    parts = -(-size // max_bytes) or 1
+    items, parts = _parts(benchmark, item_col, item_text_col, max_bytes)
     chosen = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     item_type = items.schema["item"].dataType
     schema = f"doc_id {chosen.schema['doc_id'].dataType.simpleString()}, {FOUND.format(item_type.simpleString())}"
-    if parts == 1:
+    if len(parts) == 1:
         return chosen.mapInArrow(_scanner(items, window), schema)
-    chosen = chosen.select(F.monotonically_increasing_id().alias("row"), "doc_id", "text")  # same files, same numbers
+    chosen = chosen.select(F.monotonically_increasing_id().alias("row"), "doc_id", "text")
+    chosen = stored(chosen, "scanned")  # numbered once for all parts
     found = None
-    for part in range(parts):
-        own = items.where(F.pmod(F.xxhash64("item"), F.lit(parts)) == part)
-        scanned = chosen.mapInArrow(_scanner(own, window), f"row long, {schema}")
+    for part in parts:
+        scanned = chosen.mapInArrow(_scanner(part, window), f"row long, {schema}")
         found = scanned if found is None else found.unionByName(scanned)
     merged = found.groupBy("row").agg(
         F.first("doc_id").alias("doc_id"),
@@ -121,6 +121,31 @@ def contamination(
     return merged.select("doc_id", "n_words", hit.alias("n_hit"), "items", "spans")
 
 
+def clean(
+    docs: DataFrame,
+    benchmark: DataFrame,
+    text_col: str = "text",
+    item_col: str = "item_id",
+    item_text_col: str = "text",
+    window: int = WINDOW,
+    max_bytes: int = MAX_BYTES,
+) -> DataFrame:
+    """The rows of ``docs``, with all their columns, whose text has no window of the benchmark."""
+    _, parts = _parts(benchmark, item_col, item_text_col, max_bytes)
+    columns = docs.columns
+    for i, part in enumerate(parts):
+        docs = stored(docs, "scanned") if i else docs  # one automaton in memory at a time
+        docs = docs.mapInArrow(_filter(part, window, columns.index(text_col)), docs.schema)
+    return docs
+
+
+def _parts(benchmark: DataFrame, item_col: str, text_col: str, max_bytes: int) -> tuple[DataFrame, list[DataFrame]]:
+    items = benchmark.select(F.col(item_col).alias("item"), F.col(text_col).alias("text")).dropna()
+    size = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    parts = -(-size // max_bytes) or 1
+    return items, [items.where(F.pmod(F.xxhash64("item"), F.lit(parts)) == i) for i in range(parts)]
+
+
 def _united(spans: Column) -> Column:
     """Unite sorted word ranges that overlap or touch."""
 
@@ -140,17 +165,37 @@ def _united(spans: Column) -> Column:
     return F.aggregate(spans, F.slice(spans, 1, 0), add)
 
 
-def _scanner(items: DataFrame, window: int):
-    item_type = to_arrow_type(items.schema["item"].dataType)
+def _matcher_of(items: DataFrame, window: int) -> Callable[[], Matcher]:
+    """Sends the items to the workers; each builds its automaton once."""
     shared = items.sparkSession.sparkContext.broadcast([tuple(r) for r in items.collect()])
-
     key = uuid.uuid4().hex
 
-    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if key not in _matchers:  # once per Python worker
+    def matcher() -> Matcher:
+        if key not in _matchers:
             _matchers.clear()
             _matchers[key] = Matcher(shared.value, window)
-        matcher = _matchers[key]
+        return _matchers[key]
+
+    return matcher
+
+
+def _filter(items: DataFrame, window: int, column: int):
+    matcher_of = _matcher_of(items, window)
+
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        matcher = matcher_of()
+        for batch in batches:
+            yield batch.filter(pa.array([not matcher.scan(t.as_py())[1] for t in batch.column(column)], pa.bool_()))
+
+    return keep
+
+
+def _scanner(items: DataFrame, window: int):
+    item_type = to_arrow_type(items.schema["item"].dataType)
+    matcher_of = _matcher_of(items, window)
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        matcher = matcher_of()
         for batch in batches:
             rows = [matcher.scan(t.as_py()) for t in batch.column("text")]
             words, hit, found, spans = zip(*rows) if rows else ([], [], [], [])

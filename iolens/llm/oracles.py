@@ -121,3 +121,43 @@ ORACLES["op7_quality_rules"] = f"""
 with {quality_sql()}
 select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept from q_judged
 """
+
+
+def _site_lines() -> str:
+    from iolens.llm.site_lines import BREAKS, HIDDEN, MIN_PAGES, RATIO, TAGS
+
+    def quoted(pattern: str) -> str:
+        return "'" + pattern.replace("'", "''") + "'"
+
+    flat = "regexp_replace(coalesce(html, ''), '[ \\t\\n\\x0B\\f\\r]+', ' ', 'g')"
+    plain = f"regexp_replace({flat}, {quoted(HIDDEN)}, ' ', 'g')"
+    plain = f"regexp_replace({plain}, {quoted(BREAKS)}, chr(10), 'g')"
+    plain = f"regexp_replace({plain}, {quoted(TAGS)}, '', 'g')"
+    return f"""
+with listed as (
+    select row_number() over () as r, page_id,
+           nullif(regexp_extract(lower(url), '^[a-z][a-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]+)', 1), '') as host,
+           list_filter(list_transform(string_split({plain}, chr(10)),
+                       lambda s: trim(regexp_replace(s, ' +', ' ', 'g'))), lambda s: s <> '') as lines
+    from pages
+), totals as (
+    select host, count(*) as pages from listed where host is not null group by host having count(*) >= {MIN_PAGES}
+), common as (
+    select host, line from (select host, unnest(list_distinct(lines)) as line from listed)
+    join totals using (host) group by host, line, pages having count(*) > {RATIO} * pages
+), numbered as (
+    select r, host, generate_subscripts(lines, 1) as i, unnest(lines) as line from listed
+), kept as (
+    select r, count(*) as n_kept, string_agg(line, chr(10) order by i) as text
+    from numbered n where not exists (select 1 from common c where c.host = n.host and c.line = n.line) group by r
+)
+select page_id, host, coalesce(n_kept, 0) as n_kept, len(lines) - coalesce(n_kept, 0) as n_dropped,
+       coalesce(text, '') as text
+from listed left join kept using (r)
+"""
+
+
+ORACLES["op8_site_lines"] = _site_lines()
+
+#: Mixing solves for its rates by iteration and the last stage tokenizes; SQL can say neither.
+PIPELINE_SQL = None

@@ -8,8 +8,19 @@ from functools import wraps
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from iolens.llm import decontamination, quality_rules, simhash
-from iolens.llm.common import documents, ship_package, stored
+from iolens.llm import (
+    decontamination,
+    html_tree,
+    mixing,
+    packing,
+    paragraph_dedup,
+    quality_rules,
+    simhash,
+    site_lines,
+    token_files,
+    toxicity,
+)
+from iolens.llm.common import documents, new_path, ship_package, stored, vocabulary
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -43,6 +54,49 @@ def op1_decontamination(spark, sf_dir):
     )
 
 
+@query
+def op2_html_tree(spark, sf_dir):
+    found = html_tree.extract(table(spark, sf_dir, "pages"))
+    return found.withColumn("n_chars", F.length("text").cast("long"))
+
+
+@query
+def op3_paragraph_dedup(spark, sf_dir):
+    return paragraph_dedup.repeated_paragraphs(documents(spark, sf_dir))
+
+
+@query
+def op4_token_files(spark, sf_dir):
+    path = new_path(spark, "tokens")
+    token_files.write_tokens(documents(spark, sf_dir), path, vocabulary())
+    return token_files.read_tokens(spark, path)
+
+
+@query
+def op5_toxicity(spark, sf_dir):
+    docs = documents(spark, sf_dir)
+    fold = F.crc32(F.col("doc_id").cast("string")) % 4
+    labels = table(spark, sf_dir, "labels").where(fold != 2)
+    scored = toxicity.score(docs, toxicity.fit(docs, labels))
+    return scored.select(
+        "doc_id",
+        F.coalesce(fold == 2, F.lit(False)).alias("held_out"),
+        "score",
+        (F.col("score") >= 0.3).cast("int").alias("predicted"),
+        F.col("evidence.doc_id").alias("evidence"),
+    )
+
+
+@query
+def op6_source_mixing(spark, sf_dir):
+    key = mixing.keys(F.col("doc_id"), F.col("source"), F.col("text"))
+    sized = stored(documents(spark, sf_dir).select("doc_id", "source", *key), "sized")
+    copies = mixing.copies_of(F.col("each"), F.col("upto"), F.col("h"))
+    return sized.join(mixing.mix(sized), ["skey", "size"]).select(
+        "doc_id", "size", "source_size", "target", (copies * F.col("size")).alias("taken")
+    )
+
+
 @query
 def op7_quality_rules(spark, sf_dir):
     docs = documents(spark, sf_dir).select("doc_id", "text", "lang")
@@ -60,8 +114,46 @@ def op7_quality_rules(spark, sf_dir):
     )
 
 
+@query
+def op8_site_lines(spark, sf_dir):
+    pages = table(spark, sf_dir, "pages")
+    listed = pages.select(
+        "page_id", site_lines.host_of(F.col("url")).alias("host"), site_lines.html_lines(F.col("html")).alias("lines")
+    )
+    kept = site_lines.drop_site_lines(stored(listed, "site-lines"), "host", "lines")
+    return kept.select(
+        "page_id",
+        "host",
+        F.size("lines").cast("long").alias("n_kept"),
+        "n_dropped",
+        F.array_join("lines", "\n").alias("text"),
+    )
+
+
 @query
 def op9_simhash(spark, sf_dir):
     named = simhash.with_components(documents(spark, sf_dir))
     digits = F.lpad(F.lower(F.hex("fp")), 16, "0")
     return named.select("doc_id", digits.alias("fingerprint"), "component_id")
+
+
+@query
+def op10_packing(spark, sf_dir):
+    text = F.coalesce("text", F.lit(""))
+    sized = documents(spark, sf_dir).select(
+        "doc_id",
+        (F.octet_length(text) + 1).cast("long").alias("size"),
+        F.crc32(text).alias("text_crc32"),
+        packing.group_key(text).alias("group_key"),
+    )
+    placed = packing.shards(stored(sized, "sized"), bins=8)
+    placed = placed.select("doc_id", "size", "text_crc32", "shard")
+    return packing.slots(placed, ["doc_id", "text_crc32", "size"]).select(
+        "doc_id",
+        "size",
+        "text_crc32",
+        F.lit("bytes").alias("law"),
+        "shard",
+        "slot",
+        F.lit(None).cast("int").alias("grown_shard"),
+    )
