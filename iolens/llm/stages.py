@@ -8,8 +8,6 @@ from pyspark.sql import functions as F
 from iolens.llm import decontamination, mixing, quality_rules, simhash, token_files
 from iolens.llm.common import new_path, ship_package, stored, vocabulary
 
-COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
-
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -52,12 +50,11 @@ def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as often as the mix takes it."""
     keys = mixing.keys(F.col("doc_id"), F.col("source"), F.col("text"))
-    sized = stored(docs.select("source", *keys), "sized")
-    plan = mixing.mix(sized).select("skey", "size", "each", "upto")
+    plan = mixing.mix(stored(docs.select("source", *keys), "sized")).select("skey", "size", "each", "upto")
+    keyed = docs.select(F.struct(*docs.columns).alias("row"), *keys).join(plan, ["skey", "size"])
     copies = mixing.copies_of(F.col("each"), F.col("upto"), F.col("h"))
-    keyed = docs.select(*docs.columns, *keys)
-    taken = keyed.join(plan, ["skey", "size"]).withColumn("copies", copies).where("copies > 0")
-    return taken.select(*docs.columns, F.explode(F.sequence(F.lit(1).cast("long"), "copies")).alias("copy")).drop("copy")
+    repeated = keyed.select("row", F.explode(F.array_repeat(F.lit(True), copies.cast("int"))).alias("copy"))
+    return repeated.select("row.*")
 
 
 def token_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
