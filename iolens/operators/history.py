@@ -13,11 +13,12 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from iolens.functions import times
 from iolens.functions.names import unit_of
 from iolens.schema import DERIVED, HISTORY_COLUMNS, UNKNOWN
 
 _SECONDS = {"s": 1, "m": 60, "h": 3600, "d": 86400}
-_EPOCH = dt.datetime(1970, 1, 1)
+_FILLED = 4096  # empty buckets made in one row at most
 
 
 def seconds_of(width: str) -> int:
@@ -36,10 +37,8 @@ def _window_text(width: str) -> str:
 
 
 def _at(df: DataFrame, moment: str | dt.datetime | Column) -> Column:
-    """A bound in the type of the time column, so that the scan filter is not cast."""
-    if isinstance(moment, Column):
-        return moment
-    return F.lit(str(moment)).cast(df.schema["time"].dataType)
+    """A bound in the type of the time column; moments without a zone are UTC."""
+    return moment if isinstance(moment, Column) else times.literal(moment, df.schema["time"].dataType)
 
 
 def time_window(width: str) -> Column:
@@ -75,16 +74,23 @@ def in_range(
     end: str | dt.datetime | Column | None = None,
     include_start: bool = False,
 ) -> DataFrame:
-    """Rows with ``start < time <= end``; prunes ``date`` partitions where there are any."""
+    """Rows with ``start < time <= end``; prunes ``date`` partitions where there are any.
+
+    ``date`` is the UTC day of the time, as the history table has it.
+    """
     dated = "date" in df.columns
+
+    def day(bound: Column) -> Column:
+        return times.utc_day(bound, df.schema["time"].dataType)
+
     if start is not None:
         low = _at(df, start)
         df = df.where(F.col("time") >= low if include_start else F.col("time") > low)
-        df = df.where(F.col("date") >= F.to_date(low)) if dated else df
+        df = df.where(F.col("date") >= day(low)) if dated else df
     if end is not None:
         high = _at(df, end)
         df = df.where(F.col("time") <= high)
-        df = df.where(F.col("date") <= F.to_date(high)) if dated else df
+        df = df.where(F.col("date") <= day(high)) if dated else df
     return df
 
 
@@ -129,38 +135,42 @@ def gapfill(
     """Every bucket from ``start`` to ``end`` for every key present in the range.
 
     Each bucket that has data also emits the empty ones up to the next, so there
-    is no join. A task sees the buckets of a key, never its rows.
+    is no join. A task sees the buckets of a key, never its rows. ``last`` is the
+    value of the latest row, the largest of them where several share that time.
     """
     step = seconds_of(width)
     _window_text(width)
     value = {
         "avg": F.avg("value"),
-        "last": F.max_by("value", "time"),
+        "last": F.max_by("value", F.struct("time", "value")),
         "sum": F.sum("value"),
     }[agg]
+    kind = df.schema["time"].dataType
 
     def bucket(moment: dt.datetime) -> Column:
-        seconds = math.floor((moment - _EPOCH).total_seconds() / step) * step
-        return _at(df, _EPOCH + dt.timedelta(seconds=seconds))
+        return F.lit(math.floor(times.seconds_since_epoch(moment) / step)).cast("bigint")
 
     buckets = (
         in_range(df, start, end)
-        .groupBy(*keys, bucket_of(width).alias("__t"))
+        .groupBy(*keys, F.floor(times.epoch(F.col("time"), kind) / step).alias("__n"))
         .agg(value.alias("__value"))
     )
-    along = Window.partitionBy(*keys).orderBy("__t")
-    interval = F.make_dt_interval(secs=F.lit(step))
-    spans = buckets.withColumns(
-        {
-            "__from": F.when(F.row_number().over(along) == 1, bucket(start)).otherwise(F.col("__t")),
-            "__next": F.lead("__t").over(along),
-        }
-    ).withColumn("__to", F.coalesce(F.col("__next") - interval, bucket(end)))
-    return spans.withColumn(
-        "t", F.explode(F.sequence(F.col("__from"), F.col("__to"), interval))
-    ).select(
-        "t", *keys,
-        F.when(F.col("t") == F.col("__t"), F.coalesce("__value", F.lit(fill)))
+    along = Window.partitionBy(*keys).orderBy("__n")
+    spans = buckets.select(
+        *keys, "__n", "__value",
+        F.when(F.row_number().over(along) == 1, bucket(start)).otherwise(F.col("__n")).alias("__from"),
+        F.coalesce(F.lead("__n").over(along) - 1, bucket(end)).alias("__to"),
+    )
+    # runs of buckets first, then the buckets of a run: no row holds a long array
+    runs = spans.withColumn(
+        "__run",
+        F.explode(F.sequence(F.floor(F.col("__from") / _FILLED), F.floor(F.col("__to") / _FILLED))),
+    )
+    first = F.greatest("__from", F.col("__run") * _FILLED)
+    last = F.least("__to", F.col("__run") * _FILLED + (_FILLED - 1))
+    return runs.withColumn("__b", F.explode(F.sequence(first, last))).select(
+        times.from_epoch(F.col("__b") * step, kind).alias("t"), *keys,
+        F.when(F.col("__b") == F.col("__n"), F.coalesce("__value", F.lit(fill)))
         .otherwise(F.lit(fill))
         .alias("value"),
     )
@@ -183,12 +193,14 @@ def focus_tag(series: DataFrame, tag: str, value: str) -> DataFrame:
     )
 
 
-def pivot_series(series: DataFrame, tag: str, values: Sequence[str] | None = None) -> DataFrame:
-    """Buckets as rows, tag values as columns. Naming the values saves a job."""
+def pivot_series(series: DataFrame, tag: str, values: Sequence[str]) -> DataFrame:
+    """Buckets as rows, the named tag values as columns.
+
+    The long series itself serves where the values are not known beforehand:
+    they may be too many for columns, and finding them takes a job.
+    """
     keys = [c for c in series.columns if c not in (tag, "value")]
-    grouped = series.groupBy(*keys)
-    pivoted = grouped.pivot(tag, list(values)) if values is not None else grouped.pivot(tag)
-    return pivoted.agg(F.sum("value"))
+    return series.groupBy(*keys).pivot(tag, list(values)).agg(F.sum("value"))
 
 
 def axis_limit(series: DataFrame, stacked: bool = False) -> DataFrame:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from iolens.schema import DERIVED
@@ -18,28 +18,33 @@ def _tags(derived: DataFrame) -> list[str]:
     return [c for c in derived.columns if c not in (*DERIVED, "events")]
 
 
+def _shown() -> Column:
+    return F.map_filter(
+        "events",
+        lambda e, v: (v >= SHOWN_FROM) & ~e.contains("[usec") & ~e.isin(*HIDDEN, "nclients"),
+    )
+
+
 def top_view(
     derived: DataFrame, detailed: bool = False, events: Sequence[str] | None = None
 ) -> DataFrame:
-    """Tags and the derived values; ``detailed`` adds a column per event of 2 or more.
+    """Tags and the derived values; ``detailed`` adds a column for each of ``events``.
 
-    The event columns are those with at least one shown value, 0 where a row has
-    none. Their names are looked up with one aggregate unless given.
+    A column holds values of 2 or more, and 0 where a row has none. Where the
+    names are not known beforehand, :func:`top_events` has the same in rows.
     """
-    view = derived.select(*_tags(derived), *DERIVED)
+    columns = [*_tags(derived), *DERIVED]
     if not detailed:
-        return view
-    shown = F.map_filter(
-        "events",
-        lambda e, v: (v >= SHOWN_FROM) & ~e.contains("[usec") & ~e.isin(*HIDDEN, "nclients"),
-    )
+        return derived.select(*columns)
     if events is None:
-        names = derived.select(F.explode(F.map_keys(shown)).alias("e")).distinct()
-        events = sorted(r.e for r in names.collect())
-    return derived.select(
-        *_tags(derived), *DERIVED,
-        *[F.coalesce(shown[e], F.lit(0.0)).alias(e) for e in events],
-    )
+        raise ValueError("name the events of the detailed view, or take top_events")
+    shown = _shown()
+    return derived.select(*columns, *[F.coalesce(shown[e], F.lit(0.0)).alias(e) for e in events])
+
+
+def top_events(derived: DataFrame) -> DataFrame:
+    """The detailed view in rows: tags, derived values, event and its value of 2 or more."""
+    return derived.select(*_tags(derived), *DERIVED, F.explode(_shown()).alias("event", "value"))
 
 
 def rank(view: DataFrame, by: str = "load_eff") -> DataFrame:

@@ -5,9 +5,11 @@ from __future__ import annotations
 import datetime as dt
 from collections.abc import Sequence
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from iolens.functions.times import utc, utc_day
 from iolens.schema import HISTORY_COLUMNS
 
 _CLUSTER = ("system", "uid", "jid", "host", "event")
@@ -25,13 +27,14 @@ def _clustered(df: DataFrame, split: Sequence[str]) -> DataFrame:
 def write_history(
     df: DataFrame, path: str, compat_real: bool = False, batch_id: int | None = None
 ) -> None:
-    """Append history rows, split by ``date(time)``; ``compat_real`` stores 4-byte values.
+    """Append history rows, split by the UTC day of their time; ``compat_real`` stores 4-byte values.
 
     With ``batch_id`` the rows of that batch are replaced if they were written
     before, which makes a repeated micro-batch harmless.
     """
     value = F.col("value").cast("float" if compat_real else "double")
-    rows = df.select(*HISTORY_COLUMNS).withColumns({"value": value, "date": F.to_date("time")})
+    day = utc_day(F.col("time"), df.schema["time"].dataType)
+    rows = df.select(*HISTORY_COLUMNS).withColumns({"value": value, "date": day})
     split = ["date"]
     if batch_id is not None:
         rows = rows.withColumn("batch_id", F.lit(batch_id))
@@ -58,8 +61,8 @@ def read_history(
 
 
 def compaction_border(now: dt.datetime, older_than: dt.timedelta = COMPACT_AFTER) -> dt.date:
-    """First day that is not yet wholly older than the limit."""
-    return (now - older_than).date()
+    """First UTC day that is not yet wholly older than the limit."""
+    return (utc(now) - older_than).date()
 
 
 def compact_history(
@@ -69,23 +72,48 @@ def compact_history(
     now: dt.datetime,
     older_than: dt.timedelta = COMPACT_AFTER,
 ) -> dt.date:
-    """Re-cluster all whole days older than the limit into ``compacted``.
+    """Re-cluster the whole days older than the limit into ``compacted``.
 
-    Days already there are replaced, so a failed run is simply run again. Returns
-    the border to read with; the original days can be dropped after that.
+    Only days that are not there yet, or that were written to since, are taken; a
+    day is replaced as a whole, so a failed run is simply run again and a run with
+    nothing to do writes nothing. Returns the border to read with; the original
+    days can be dropped after that.
     """
     border = compaction_border(now, older_than)
-    old = spark.read.parquet(path).where(F.col("date") < F.lit(border))
-    old = old.select(*HISTORY_COLUMNS, "date")
+    table = spark.read.parquet(path)
+    todo = _written(table).where(F.col("date") < F.lit(border)).withColumnRenamed("at", "__at")
+    done = _compacted(spark, compacted)
+    if done is not None:
+        todo = todo.join(_written(done), "date", "left").where("at is null or __at > at")
+    days = [r.date for r in todo.select("date").collect()]  # a row per day
+    if days:
+        _write_days(table.where(F.col("date").isin(days)).select(*HISTORY_COLUMNS, "date"), compacted)
+    return border
+
+
+def _written(table: DataFrame) -> DataFrame:
+    """When each day was last written to; opens files, reads no column of them."""
+    return table.groupBy("date").agg(F.max("_metadata.file_modification_time").alias("at"))
+
+
+def _compacted(spark: SparkSession, path: str) -> DataFrame | None:
+    try:
+        return spark.read.parquet(path)
+    except AnalysisException as e:
+        if e.getCondition() in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
+            return None
+        raise
+
+
+def _write_days(rows: DataFrame, path: str) -> None:
     (
-        _clustered(old, ["date"])
+        _clustered(rows, ["date"])
         .write.mode("overwrite")
         .option("partitionOverwriteMode", "dynamic")
         .option("maxRecordsPerFile", _ROWS_PER_FILE)
         .partitionBy("date")
-        .parquet(compacted)
+        .parquet(path)
     )
-    return border
 
 
 def storage_report(spark: SparkSession, path: str) -> DataFrame:

@@ -59,18 +59,84 @@ def test_gapfill_has_every_bucket_of_every_key(spark, agg):
     start, end = at(95), at(1300)
     got = {(r.t, r.host, r.jid): r.value for r in H.gapfill(frame(spark, rows), "30m", start, end, ("host", "jid"), agg).collect()}
     data = defaultdict(list)
-    for r in sorted(rows, key=lambda r: r[0]):
+    for r in sorted(rows, key=lambda r: (r[0], r[-1])):  # the largest of a time is its last
         if start < r[0] <= end:
             data[r[1], r[4], (r[0] - T0) // dt.timedelta(minutes=30)].append(r[-1])
     keys = {(h, j) for h, j, _ in data}
     assert got.keys() == {(at(30 * b), h, j) for h, j in keys for b in range(3, 44)}
     for (t, h, j), value in got.items():
         found = data.get((h, j, (t - T0) // dt.timedelta(minutes=30)))
-        if agg != "last" or not found:
-            want = 0 if not found else sum(found) / (len(found) if agg == "avg" else 1)
-            assert value == pytest.approx(want)
-        else:
-            assert value in found
+        want = 0 if not found else found[-1] if agg == "last" else sum(found) / (len(found) if agg == "avg" else 1)
+        assert value == pytest.approx(want)
+
+
+@pytest.fixture(params=["UTC", "America/Chicago", "Asia/Kolkata"])
+def zone(spark, request):
+    before = spark.conf.get("spark.sql.session.timeZone")
+    spark.conf.set("spark.sql.session.timeZone", request.param)
+    yield request.param
+    spark.conf.set("spark.sql.session.timeZone", before)
+
+
+def instants(spark, seconds):
+    """History rows at seconds since 1970, worth 1, 2, 3 ..."""
+    from pyspark.sql import functions as F
+
+    df = spark.createDataFrame([(s, float(i + 1)) for i, s in enumerate(seconds)], "s bigint, value double")
+    tags = [F.lit("x").alias(c) for c in ("host", "system", "fid", "jid", "uid", "client", "event")]
+    return df.select(F.timestamp_seconds("s").alias("time"), *tags, "value").select(*S.HISTORY_COLUMNS)
+
+
+# 10 March 2024 is the clock change in Chicago
+DAY = int(dt.datetime(2024, 3, 10, tzinfo=dt.UTC).timestamp())
+
+
+def test_stored_range_is_the_same_in_every_zone(spark, zone, tmp_path):
+    from pyspark.sql import functions as F
+
+    path = str(tmp_path / "h")
+    spark.conf.set("spark.sql.session.timeZone", "Asia/Tokyo")  # written elsewhere
+    S.write_history(instants(spark, [DAY - 1, DAY + 2 * 3600, DAY + 9 * 3600, DAY + 86399, DAY + 86400]), path)
+    spark.conf.set("spark.sql.session.timeZone", zone)
+    start, end = dt.datetime(2024, 3, 10), dt.datetime(2024, 3, 10, 23, 59, 59)
+    tokyo = dt.timezone(dt.timedelta(hours=9))
+    table = S.read_history(spark, path)
+    for low, high in (
+        (start, end), ("2024-03-10 00:00:00", "2024-03-10T23:59:59"), (start.replace(tzinfo=dt.UTC), end.replace(tzinfo=dt.UTC)),
+        (dt.datetime(2024, 3, 10, 9, tzinfo=tokyo), dt.datetime(2024, 3, 11, 8, 59, 59, tzinfo=tokyo)),
+    ):
+        rows = H.in_range(table, low, high)
+        assert sorted(r.s for r in rows.select(F.unix_seconds("time").alias("s")).collect()) == [DAY + 7200, DAY + 32400, DAY + 86399]
+    days = {r.date: r.rows for r in S.storage_report(spark, path).collect()}
+    assert days == {dt.date(2024, 3, 9): 1, dt.date(2024, 3, 10): 3, dt.date(2024, 3, 11): 1}
+    assert S.compaction_border(dt.datetime(2024, 3, 10, 15, tzinfo=tokyo)) == dt.date(2024, 3, 9)
+
+
+@pytest.mark.parametrize("width,step", [("1h", 3600), ("1d", 86400), ("30m", 1800)])
+def test_gapfill_is_the_same_in_every_zone(spark, zone, width, step):
+    from pyspark.sql import functions as F
+
+    seconds = [DAY + 60, DAY + 8 * 3600 - 1, DAY + 8 * 3600, DAY + 30 * 3600]
+    filled = H.gapfill(instants(spark, seconds), width, dt.datetime(2024, 3, 10), dt.datetime(2024, 3, 11, 12), ("host",), "sum")
+    got = {r.s: r.value for r in filled.select(F.unix_seconds("t").alias("s"), "value").collect()}
+    want = dict.fromkeys(range(DAY, DAY + 36 * 3600 + 1, step), 0.0)
+    for i, s in enumerate(seconds):
+        want[s // step * step] += i + 1
+    assert got == want
+
+
+def test_gapfill_of_a_long_range(spark):
+    rows = [row(0, 5), row(10 * 1440, 7)]
+    got = H.gapfill(frame(spark, rows), "1s", at(-1), at(10 * 1440), ("host",), "sum")
+    total = got.selectExpr("count(*)", "count(distinct t)", "sum(value)", "count_if(value > 0)").first()
+    assert tuple(total) == (10 * 86400 + 61, 10 * 86400 + 61, 12.0, 2)
+
+
+def test_last_takes_the_largest_of_a_time(spark):
+    rows = [row(5, 3), row(5, 1), row(5, 2), row(4, 9)]
+    for order in (rows, rows[::-1]):
+        got = H.gapfill(frame(spark, order), "30m", at(0), at(29), ("host",), "last").collect()
+        assert [r.value for r in got] == [3.0]
 
 
 def test_focus_pivot_limit_and_width(spark):
@@ -78,7 +144,7 @@ def test_focus_pivot_limit_and_width(spark):
     series = H.bucket_sum_by_tag(df, "30m", "jid", "iops")
     focus = {(r.t, r.jid): r.value for r in H.focus_tag(series, "jid", "j1").collect()}
     assert focus == {(at(0), "j1"): 1, (at(0), "*"): 2, (at(30), "*"): 4, (at(90), "j1"): 8}
-    wide = H.pivot_series(series, "jid").orderBy("t").collect()
+    wide = H.pivot_series(series, "jid", ["j1", "j2", "j3"]).orderBy("t").collect()
     assert [(r.j1, r.j2, r.j3) for r in wide] == [(1, 2, None), (None, None, 4), (8, None, None)]
     assert H.axis_limit(series).first().limit == pytest.approx(8.8)
     stacked = H.axis_limit(series.where("t < timestamp '2024-01-10 00:30:00'"), stacked=True)
@@ -123,7 +189,11 @@ def test_ranking_and_pages(spark):
         "server string, time timestamp, fid string, events map<string,double>",
     )
     derived = G.derive_events(groups)
-    ranked = V.rank(V.top_view(derived, detailed=True)).collect()
+    with pytest.raises(ValueError):
+        V.top_view(derived, detailed=True)
+    rows = V.top_events(derived).collect()
+    assert sorted((r.fid, r.event, r.value) for r in rows) == [("b", "open", 5.0), ("c", "open", 3.0)]
+    ranked = V.rank(V.top_view(derived, detailed=True, events=["open"])).collect()
     assert [r.fid for r in ranked] == ["b", "c", "a", "d"]
     assert [r.open for r in ranked] == [5.0, 3.0, 0.0, 0.0] and "rare" not in ranked[0].asDict()
     second = V.page(V.top_view(derived), "iops", offset=1, limit=2, total=True).collect()
@@ -160,10 +230,21 @@ def test_table_round_trip_pruning_and_compaction(spark, tmp_path):
         border = S.compact_history(spark, path, compacted, now)
         assert border == dt.date(2024, 1, 12)
         assert plain(S.read_history(spark, path, compacted, border)) == sorted(rows)
+    files = lambda: {str(f): f.stat().st_mtime_ns for f in (tmp_path / "c").rglob("*.parquet")}
+    before = files()
+    S.compact_history(spark, path, compacted, now)
+    assert files() == before
+    late = row(30, 99.0)  # a day that is written to again is taken again, and no other
+    S.write_history(frame(spark, [late]), path)
+    S.compact_history(spark, path, compacted, now)
+    assert plain(S.read_history(spark, path, compacted, border)) == sorted([*rows, late])
+    changed = {f for f in files().items() if f not in before.items()}
+    assert changed and all("date=2024-01-10" in f for f, _ in changed)
+    rows = [*rows, late]
     assert S.compaction_border(T0 + dt.timedelta(hours=11)) == dt.date(2024, 1, 9)
 
     report = {r.date: r for r in S.storage_report(spark, path).collect()}
-    assert sum(r.rows for r in report.values()) == 300
+    assert sum(r.rows for r in report.values()) == 301
     assert all(r.files >= 1 and r.bytes > 0 and r.first_time <= r.last_time for r in report.values())
     sizes = {r.date: r.after_bytes for r in S.compaction_report(spark, path, compacted).collect()}
     assert sizes[dt.date(2024, 1, 12)] is None and sizes[dt.date(2024, 1, 10)] > 0
