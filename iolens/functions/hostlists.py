@@ -2,7 +2,8 @@
 
 An expression such as ``n[9-11],d[01-02]`` is a comma list of parts; a part is
 text with bracketed number ranges, and several brackets multiply out. A bad
-expression yields one row with ``error`` set and no host.
+expression yields one row with ``error`` set and no host. Names and nodes are made
+one per row from their number in the part; no row holds a list of them.
 """
 
 from __future__ import annotations
@@ -14,7 +15,9 @@ from pyspark.sql import functions as F
 
 from iolens.functions.names import natural_key
 
-MAX_SIZE = 100000  # fixed value: largest range, expanded part, or repetition
+MAX_SIZE = 100000  # fixed value: the usual largest range, expanded part, or repetition
+_COUNTABLE = 10**15  # more names than that are not numbered
+_RUN = 4096  # numbers that are made in one row
 
 # Messages of the error column.
 NESTED = "nested brackets"
@@ -34,7 +37,19 @@ def _bracket_error(expr: Column) -> Column:
     return F.when(rest.startswith("[["), NESTED).when(rest != "", UNBALANCED)
 
 
-def _ranges(inner: Column) -> Column:
+def _numbered(df: DataFrame, size: Column, name: str) -> DataFrame:
+    """One row per number from 0 to ``size - 1``; runs of numbers first, then those of a run."""
+    last = size - 1
+    runs = df.withColumn("__run", F.explode(F.sequence(F.lit(0).cast("bigint"), F.floor(last / _RUN))))
+    end = F.least(last, F.col("__run") * _RUN + (_RUN - 1))
+    return runs.withColumn(name, F.explode(F.sequence(F.col("__run") * _RUN, end))).drop("__run")
+
+
+def _too_large(size: Column, max_size: int | None) -> Column:
+    return size > (_COUNTABLE if max_size is None else max_size)
+
+
+def _ranges(inner: Column, max_size: int | None) -> Column:
     """Numbers and low-high ranges of a bracket: error, bounds, width and size.
 
     Each step binds what the next one uses, as a lambda computes its input anew
@@ -67,7 +82,7 @@ def _ranges(inner: Column) -> Column:
             .when(b["single"], F.lit(None).cast("string"))
             .when(span.isNull(), LONG_RANGE)
             .when(span < 0, BACKWARDS)
-            .when(span > MAX_SIZE, LONG_RANGE)
+            .when(_too_large(span, max_size), LONG_RANGE)
         )
         return F.struct(
             b["text"].alias("text"),
@@ -75,7 +90,7 @@ def _ranges(inner: Column) -> Column:
             b["low"].alias("low"),
             b["high"].alias("high"),
             b["width"].alias("width"),
-            F.when((span >= 0) & (span <= MAX_SIZE), span + 1)
+            F.when((span >= 0) & ~_too_large(span, max_size), span + 1)
             .otherwise(F.lit(1).cast("bigint"))
             .alias("size"),
         )
@@ -83,13 +98,13 @@ def _ranges(inner: Column) -> Column:
     return F.transform(bounds, checked)
 
 
-def _piece(token: Column) -> Column:
+def _piece(token: Column, max_size: int | None) -> Column:
     """Text before a bracket and the ranges inside it (none if there is no bracket)."""
     at = F.instr(token, "[")
     inner = token.substr(at + 1, F.length(token) - at - 1)
     return F.struct(
         F.when(at == 0, token).otherwise(F.left(token, at - 1)).alias("prefix"),
-        F.when(at > 0, _ranges(inner)).alias("ranges"),
+        F.when(at > 0, _ranges(inner, max_size)).alias("ranges"),
     )
 
 
@@ -99,37 +114,40 @@ def _size(piece: Column) -> Column:
     return F.when(piece["ranges"].isNull(), one).otherwise(total)
 
 
-def _numbers(r: Column) -> Column:
-    """Zero-padded text of every number of a range; longer numbers keep their digits."""
-    padded = F.transform(
-        F.sequence(r["low"], r["high"]),
-        lambda n: F.lpad(
-            n.cast("string"), F.greatest(r["width"], F.length(n.cast("string"))), F.lit("0")
-        ),
-    )
-    return F.when(r["low"].isNull(), F.array(r["text"])).otherwise(padded)
+def _number_text(r: Column, at: Column) -> Column:
+    """Zero-padded text of a number of a range; longer numbers keep their digits."""
+    number = (r["low"] + at).cast("string")
+    padded = F.lpad(number, F.greatest(r["width"], F.length(number)), F.lit("0"))
+    return F.when(r["low"].isNull(), r["text"]).otherwise(padded)
 
 
-def _options(piece: Column) -> Column:
-    """The names one piece can stand for."""
-    numbers = F.flatten(F.transform(piece["ranges"], _numbers))
-    return F.when(piece["ranges"].isNull(), F.array(piece["prefix"])).otherwise(
-        F.transform(numbers, lambda n: F.concat(piece["prefix"], n))
-    )
+def _option(piece: Column, at: Column) -> Column:
+    """What a piece stands for at a place among its options."""
+    begin = F.struct(at.alias("left"), F.lit(None).cast("string").alias("text"))
 
+    def step(acc: Column, r: Column) -> Column:
+        here = acc["text"].isNull() & (acc["left"] < r["size"])
+        return F.struct(
+            F.when(acc["text"].isNull() & ~here, acc["left"] - r["size"]).otherwise(acc["left"]).alias("left"),
+            F.when(here, _number_text(r, acc["left"])).otherwise(acc["text"]).alias("text"),
+        )
 
-def _names(pieces: Column) -> Column:
-    """All names of one part, at most ``MAX_SIZE``; the leftmost number varies slowest."""
-    options = F.transform(pieces, _options)
-    return F.when(F.size(pieces) == 1, F.get(options, F.lit(0))).otherwise(
-        F.aggregate(
-            options,
-            F.array(F.lit("")),
-            lambda done, more: F.flatten(
-                F.transform(done, lambda a: F.transform(more, lambda b: F.concat(a, b)))
-            ),
+    found = F.aggregate(piece["ranges"], begin, step, lambda acc: acc["text"])
+    return F.when(piece["ranges"].isNull(), piece["prefix"]).otherwise(F.concat(piece["prefix"], found))
+
+
+def _name(pieces: Column, number: Column) -> Column:
+    """The name of a part at a number; the leftmost option varies slowest."""
+    begin = F.struct(number.alias("left"), F.lit("").alias("name"))
+
+    def step(acc: Column, piece: Column) -> Column:
+        size = _size(piece)
+        return F.struct(
+            F.floor(acc["left"] / size).cast("bigint").alias("left"),
+            F.concat(_option(piece, acc["left"] % size), acc["name"]).alias("name"),
         )
-    )
+
+    return F.aggregate(F.reverse(pieces), begin, step, lambda acc: acc["name"])
 
 
 def expand_hosts(
@@ -138,11 +156,13 @@ def expand_hosts(
     keys: Sequence[str],
     allow_duplicates: bool = False,
     sort: bool = False,
+    max_size: int | None = None,
 ) -> DataFrame:
     """Rows ``(*keys, host, part_no, item_no, error)`` of the expressions in ``col``.
 
     ``keys`` identify an expression. ``(part_no, item_no)`` is the place of a
-    host in the written order; a duplicate keeps its first place.
+    host in the written order; a duplicate keeps its first place. ``max_size``
+    makes larger ranges and parts errors; ``MAX_SIZE`` is the usual limit.
     """
     parts = df.select(
         *keys,
@@ -159,7 +179,7 @@ def expand_hosts(
                     F.regexp_extract_all(part, F.lit(r"([^\[]*\[[^\]]*\]|[^\[]+)"), F.lit(1)),
                     lambda token: token != "",
                 ),
-                _piece,
+                lambda token: _piece(token, max_size),
             ),
         ).alias("__pieces"),
     )
@@ -169,13 +189,8 @@ def expand_hosts(
             F.transform(part, lambda p: F.coalesce(p["ranges"], F.array().cast(_RANGES)))
         )
         bad = F.filter(ranges, lambda r: r["error"].isNotNull())
-        size = F.aggregate(
-            part,
-            F.lit(1).cast("bigint"),
-            # stop growing once too large, so the product cannot overflow
-            lambda n, p: F.when(n > MAX_SIZE, n).otherwise(n * _size(p)),
-        )
-        return F.coalesce(F.get(bad, F.lit(0))["error"], F.when(size > MAX_SIZE, LARGE))
+        size = F.aggregate(part, F.lit(1.0), lambda n, p: n * _size(p))
+        return F.coalesce(F.get(bad, F.lit(0))["error"], F.when(_too_large(size, max_size), LARGE))
 
     checked = pieces.withColumn(
         "error",
@@ -186,12 +201,22 @@ def expand_hosts(
             ),
         ),
     )
-    # A bad expression goes on as one row without a part.
-    parts_or_error = F.when(F.col("error").isNull(), F.col("__pieces"))
+    wrong = checked.where("error is not null").select(
+        *keys,
+        F.lit(None).cast("string").alias("host"),
+        F.lit(None).cast("int").alias("part_no"),
+        F.lit(None).cast("bigint").alias("item_no"),
+        "error",
+    )
+    right = checked.where("error is null").select(*keys, F.posexplode("__pieces").alias("part_no", "__part"))
+    total = F.aggregate("__part", F.lit(1).cast("bigint"), lambda n, p: n * _size(p))
     out = (
-        checked.select(*keys, "error", F.posexplode_outer(parts_or_error).alias("part_no", "__part"))
-        .select(*keys, "error", "part_no", F.posexplode_outer(_names(F.col("__part"))).alias("item_no", "host"))
-        .where("host is not null or error is not null")
+        _numbered(right, total, "item_no")
+        .select(
+            *keys, _name(F.col("__part"), F.col("item_no")).alias("host"), "part_no", "item_no",
+            F.lit(None).cast("string").alias("error"),
+        )
+        .unionByName(wrong)
     )
     if not allow_duplicates:
         out = (
@@ -206,15 +231,20 @@ def expand_hosts(
 _RANGES = "array<struct<text:string,error:string,low:bigint,high:bigint,width:int,size:bigint>>"
 
 
-def expand_tasks_per_node(df: DataFrame, col: str, keys: Sequence[str]) -> DataFrame:
-    """Rows ``(*keys, node_idx, tasks, error)`` of lists such as ``2(x3),1``."""
+def expand_tasks_per_node(
+    df: DataFrame, col: str, keys: Sequence[str], max_size: int | None = None
+) -> DataFrame:
+    """Rows ``(*keys, node_idx, tasks, error)`` of lists such as ``2(x3),1``.
+
+    ``max_size`` makes larger repetitions errors.
+    """
     form = r"^([0-9]+)(?:\(x([0-9]+)\))?$"
 
     def run(part: Column) -> Column:
         times = F.regexp_extract(part, form, 2)
         n = F.when(times == "", F.lit(1).cast("bigint")).otherwise(times.try_cast("bigint"))
         error = F.when(~part.rlike(form), BAD_TASKS).when(
-            (n > MAX_SIZE) | n.isNull(), LONG_TASKS
+            n.isNull() | _too_large(n, max_size), LONG_TASKS
         )
         return F.struct(
             F.regexp_extract(part, form, 1).try_cast("bigint").alias("tasks"),
@@ -231,15 +261,13 @@ def expand_tasks_per_node(df: DataFrame, col: str, keys: Sequence[str]) -> DataF
         F.array(F.lit(0).cast("bigint")),
         lambda done, r: F.concat(done, F.array(F.element_at(done, -1) + r["n"])),
     )
-    nodes = (
+    repeated = (
         runs.where("error is null")
         .select(*keys, F.inline(F.arrays_zip("__runs", F.slice(starts, F.lit(1), F.size("__runs")).alias("start"))))
         .where("__runs.n > 0")
-        .select(
-            *keys,
-            F.explode(F.sequence(F.col("start"), F.col("start") + F.col("__runs.n") - 1)).alias("node_idx"),
-            F.col("__runs.tasks").alias("tasks"),
-        )
+    )
+    nodes = _numbered(repeated, F.col("__runs.n"), "__at").select(
+        *keys, (F.col("start") + F.col("__at")).alias("node_idx"), F.col("__runs.tasks").alias("tasks")
     )
     bad = runs.where("error is not null").select(
         *keys,
@@ -254,7 +282,7 @@ def expand_tasks_per_node(df: DataFrame, col: str, keys: Sequence[str]) -> DataF
 # collapse
 # ---------------------------------------------------------------------------
 
-_DIGITS = 18  # a longer digit run does not fit a bigint and is kept as text
+_DIGITS = 18  # digits of a bigint; those before them in a longer number go with its prefix
 _NO_NUMBER = -1
 _ISLAND_BLOCK = 1 << 16
 
@@ -267,8 +295,8 @@ def _padded(number: Column, width: Column) -> Column:
 def _islands(df: DataFrame, keys: Sequence[str], block: int) -> DataFrame:
     """Runs of consecutive ``num`` per key as (low, high), built block-wise.
 
-    A run is found inside a block of the number axis first; only the runs, not
-    the hosts, are then merged over block borders.
+    A run is found inside a block of the number axis. Only runs that reach a border
+    of their block, at most two of each, are then looked at along the whole axis.
     """
     inside = Window.partitionBy(*keys, "__block").orderBy("num")
     runs = (
@@ -276,16 +304,19 @@ def _islands(df: DataFrame, keys: Sequence[str], block: int) -> DataFrame:
         .withColumn("__run", F.col("num") - F.row_number().over(inside))
         .groupBy(*keys, "__block", "__run")
         .agg(F.min("num").alias("low"), F.max("num").alias("high"))
+        .withColumn("__border", (F.col("low") % block == 0) | ((F.col("high") + 1) % block == 0))
     )
     along = Window.partitionBy(*keys).orderBy("low")
     starts = (F.coalesce(F.lag("high").over(along), F.lit(-2)) != F.col("low") - 1).cast("int")
-    return (
-        runs.withColumn("__start", starts)
+    merged = (
+        runs.where("__border")
+        .withColumn("__start", starts)
         .withColumn("__run", F.sum("__start").over(along.rowsBetween(Window.unboundedPreceding, 0)))
         .groupBy(*keys, "__run")
         .agg(F.min("low").alias("low"), F.max("high").alias("high"))
         .drop("__run")
     )
+    return merged.unionByName(runs.where("not __border").select(*keys, "low", "high"))
 
 
 _CHAIN = "struct<low:bigint,high:bigint,width:int>"
@@ -374,14 +405,15 @@ def _joined_ranges(ranges: Column) -> Column:
 def _collapse_once(df: DataFrame, by: Sequence[str], block: int) -> DataFrame:
     """Fold the rightmost number of ``left`` into a range expression in ``right``.
 
-    A name without one, or with a digit run too long for a bigint, moves to
-    ``right`` as it is written: it gets the width ``_NO_NUMBER``.
+    A name without one moves to ``right`` as it is written: it gets the width
+    ``_NO_NUMBER``. Of a number too long for a bigint the last digits are folded.
     """
-    digits = F.regexp_extract("left", r"([0-9]+)[^0-9]*$", 1)
+    digits = F.regexp_extract("left", r"([0-9]{1,18})[^0-9]*$", 1)
     tail = F.regexp_extract("left", r"([^0-9]*)$", 1)
-    usable = (F.col("__digits") != "") & (F.length("__digits") <= _DIGITS)
-    padded = F.col("__digits").startswith("0") & (F.length("__digits") > 1)
+    usable = F.col("__digits") != ""
     cut = F.length("left") - F.length("__digits") - F.length("__tail")
+    longer = F.substring("left", cut, F.lit(1)).rlike("[0-9]") & (cut > 0)
+    padded = (F.col("__digits").startswith("0") & (F.length("__digits") > 1)) | longer
     numbered = df.withColumns({"__digits": digits, "__tail": tail}).select(
         *by,
         F.when(usable, F.left("left", cut)).otherwise(F.lit("")).alias("prefix"),
@@ -425,33 +457,25 @@ def collapse_hosts(
     df: DataFrame,
     by: Sequence[str],
     host: str,
-    numeric_fields: int | None = None,
+    numeric_fields: int = 4,
     block: int = _ISLAND_BLOCK,
 ) -> DataFrame:
-    """Rows ``(*by, hostlist, error)``: the shortest written form of each group's hosts.
+    """Rows ``(*by, hostlist, error)``: the short written form of each group's hosts.
 
     Names are trimmed, blanks and duplicates dropped. A name with a bracket or
-    comma sets ``error`` of its group; the others are still collapsed.
-    ``numeric_fields`` is the largest count of numbers in one name; it is looked
-    up with one aggregate when not given.
+    comma sets ``error`` of its group; the others are still collapsed. The last
+    ``numeric_fields`` numbers of a name are folded into ranges, each by a pass
+    of its own; numbers before them stay as they are written.
     """
-    trimmed = df.select(*by, F.trim(host).alias("left")).where("left <> ''")
+    names = df.select(*by, F.trim(host).alias("left")).where("left <> ''").distinct()
+    # forbidden names go along as one row of their group without a number
     forbidden = F.col("left").rlike(r"[\[\],]")
-    if numeric_fields is None:
-        count = F.regexp_count("left", F.lit("[0-9]+"))
-        numeric_fields = trimmed.where(~forbidden).agg(F.max(count)).first()[0] or 0
-    names = trimmed.distinct()
-    good = names.where(~forbidden)
-    parts = good.withColumn("right", F.lit(""))
+    marked = names.select(*by, F.when(~forbidden, F.col("left")).otherwise("").alias("left"), forbidden.alias("__bad"))
+    parts = marked.distinct().withColumn("right", F.lit(""))
     for _ in range(numeric_fields):
-        parts = _collapse_once(parts, by, block)
-    parts = parts.select(*by, F.concat("left", "right").alias("__part"))
-    lists = parts.groupBy(*by).agg(
-        F.array_join(F.array_sort(F.collect_list("__part")), ",").alias("hostlist")
-    )
-    errors = (
-        trimmed.where(forbidden)
-        .groupBy(*by)
-        .agg(F.lit(FORBIDDEN).alias("error"))
+        parts = _collapse_once(parts, [*by, "__bad"], block)
+    part = F.when(~F.col("__bad"), F.concat("left", "right"))
+    return parts.groupBy(*by).agg(
+        F.nullif(F.array_join(F.array_sort(F.collect_list(part)), ","), F.lit("")).alias("hostlist"),
+        F.max(F.when(F.col("__bad"), FORBIDDEN)).alias("error"),
     )
-    return lists.join(errors, list(by), "full")

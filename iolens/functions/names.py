@@ -19,9 +19,7 @@ UNITS = {
 }
 DEFAULT_UNIT = "#/s"
 
-# A target name is kept to 31 characters and ends in "-XXX0000"-
-# style device suffix of 8 characters.
-TARGET_CHARS = 31
+# Fixed value: a target name ends in a device suffix such as "-OST0000".
 TARGET_SUFFIX = 8
 
 
@@ -31,7 +29,7 @@ def _column(col: str | Column) -> Column:
 
 def fs_name(target: str | Column) -> Column:
     """File system of a storage target: its name without the device suffix."""
-    name = F.left(_column(target), F.lit(TARGET_CHARS))
+    name = _column(target)
     keep = F.length(name) - TARGET_SUFFIX
     return F.when(keep >= 0, name.substr(F.lit(1), keep)).otherwise(F.lit(UNKNOWN))
 

@@ -74,10 +74,13 @@ def group_rates(
 def group_levels(groups: DataFrame, levels: Sequence[str] = tuple(LEVELS)) -> DataFrame:
     """Long rows of several levels at once: one GROUPING SETS pass over the groups.
 
-    Columns a level lacks are null; ``level`` names it.
+    Columns a level lacks are null; ``level`` names it. The groups must have the
+    tags of every level asked for.
     """
     tags = [t for t in ("system", "fid", "client", "jid", "uid") if t in groups.columns]
-    levels = [lv for lv in levels if set(LEVELS[lv]) <= set(tags)]
+    lacking = sorted({t for lv in levels for t in LEVELS[lv]} - set(tags))
+    if lacking:
+        raise ValueError(f"the groups have no {', '.join(lacking)}")
     sets = [("server", "time", *LEVELS[lv], "event") for lv in levels]
     bits = ["client", "fid", "jid", "system", "uid"]
     used = [t for t in bits if t in tags]

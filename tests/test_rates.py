@@ -178,7 +178,9 @@ def test_levels_keep_the_sums_and_the_load(spark):
         rows = [dict(r.events) for r in grouped.collect()]
         assert sum(r["open"] for r in rows) == 3.0
         assert {r["load"] for r in rows} == {5.0}
-    levels = G.group_levels(data).where("event = 'open'").groupBy("level").agg(F.sum("value").alias("v"))
+    with pytest.raises(ValueError, match="client"):
+        G.group_levels(data)
+    levels = G.group_levels(data, "fujsn").where("event = 'open'").groupBy("level").agg(F.sum("value").alias("v"))
     assert {r.level: r.v for r in levels.collect()} == dict.fromkeys("fujsn", 3.0)
 
 

@@ -40,13 +40,38 @@ def test_expand_keeps_duplicates_when_told(spark):
 
 def test_expand_errors(spark):
     texts = ["a[[1]]", "a]", "a[", "a[3-1]", "a[x]", "a[]", "a[0-100001]", "a[0-100000]", "a[1-400]b[1-400]"]
-    assert expand(spark, texts) == [
+    assert expand(spark, texts, max_size=L.MAX_SIZE) == [
         [e] for e in (
             L.NESTED, L.UNBALANCED, L.UNBALANCED, L.BACKWARDS, L.BAD_RANGE, L.BAD_RANGE, L.LONG_RANGE, L.LARGE, L.LARGE,
         )
     ]
 
 
+def test_large_expressions_are_no_errors(spark):
+    got = L.expand_hosts(frame(spark, ["a[0-200000],b[1-500]c[001-500]"]), "text", ["id"])
+    assert got.selectExpr("count(*)", "count(distinct host)", "count(error)").first()[:] == (450_001, 450_001, 0)
+    assert {r.host for r in got.where("item_no = 4097 and part_no = 0 or item_no = 249999 and part_no = 1").collect()} == {"a4097", "b500c500"}
+    tasks = L.expand_tasks_per_node(frame(spark, ["3(x150000),2"]), "text", ["id"])
+    assert tasks.selectExpr("count(*)", "max(node_idx)", "sum(tasks)").first()[:] == (150_001, 150_000, 450_002)
+    assert expand(spark, ["a[0-99999999999999999999]", "a[0-9999999999999999]"]) == [[L.LONG_RANGE], [L.LONG_RANGE]]
+
+
+def test_long_numbers_are_folded(spark):
+    base = 1234567890123456789012345
+    names = [f"h{base + i}" for i in range(3)]
+    assert collapse(spark, [names]) == {0: ("h1234567[890123456789012345-890123456789012347]", None)}
+    # a run is not folded over the border of the digits that fit
+    edge = ["h1999999999999999999", "h2000000000000000000", "h2000000000000000001"]
+    (text, _), = collapse(spark, [edge]).values()
+    assert sorted(expand(spark, [text])[0]) == sorted(edge)
+
+
+def test_alternating_numbers(spark):
+    names = [f"n{i}" for i in range(1, 400, 2)] + [f"m{i}" for i in range(60, 70)]
+    (text, error), = collapse(spark, [names], block=8).values()
+    assert error is None and text == "m[60-69],n[" + ",".join(str(i) for i in range(1, 400, 2)) + "]"
+
+
 @pytest.mark.parametrize("block", [4, 1 << 16])
 def test_collapse(spark, block):
     groups = {
@@ -81,7 +106,7 @@ def test_expand_undoes_collapse(spark):
 
 
 def test_tasks_per_node(spark):
-    df = L.expand_tasks_per_node(frame(spark, ["2(x3),1", "2(x0),7,3(x2)", "a", "1(x100001)", ""]), "text", ["id"])
+    df = L.expand_tasks_per_node(frame(spark, ["2(x3),1", "2(x0),7,3(x2)", "a", "1(x100001)", ""]), "text", ["id"], L.MAX_SIZE)
     got = defaultdict(list)
     for r in sorted(df.collect(), key=lambda r: (r.id, r.node_idx or 0)):
         got[r.id].append(r.error or r.tasks)
