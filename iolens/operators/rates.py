@@ -149,9 +149,22 @@ def rates_of(entries: DataFrame, accepted: DataFrame) -> DataFrame:
     sample of a chunk is also sent to the next one, so that every entry finds
     its predecessor beside it, whatever the number of samples.
     """
-    steps = accepted.withColumn("__dt", F.col("time") - F.col("prev_time")).drop(
-        "time", "prev_time"
-    )
+    return rates_of_placed(entries.join(steps_of(accepted), [*_SAMPLE]))
+
+
+def steps_of(accepted: DataFrame) -> DataFrame:
+    """What the entries of an accepted sample need to find those of the one before."""
+    return accepted.withColumn("__dt", F.col("time") - F.col("prev_time")).drop("time", "prev_time")
+
+
+STEP = ("sample_no", "chunk", "next_chunk", "__dt")
+
+
+def rates_of_placed(entries: DataFrame, first: int | None = None) -> DataFrame:
+    """:func:`rates_of` for entries that carry the columns ``STEP`` of their sample.
+
+    ``first`` leaves out the rates of reports that arrived earlier.
+    """
     cpu = F.col("stats_type") == "cpu"
     usable = entries.where(cpu | F.col("client_nid").isNotNull() & F.col("target").isNotNull())
     usable = usable.where("stats is not null").withColumns(
@@ -169,8 +182,7 @@ def rates_of(entries: DataFrame, accepted: DataFrame) -> DataFrame:
     )
     places = F.when(F.col("next_chunk").isNull(), F.array(here)).otherwise(F.array(here, ahead))
     placed = (
-        usable.join(steps, [*_SAMPLE])
-        .withColumn("__places", places)
+        usable.withColumn("__places", places)
         .drop("chunk", "next_chunk", "sample_no")
         .select("*", F.inline("__places"))
         .repartition("host", "client_nid", "chunk")
@@ -183,6 +195,8 @@ def rates_of(entries: DataFrame, accepted: DataFrame) -> DataFrame:
     matched = placed.withColumn(
         "__old", F.max_by("stats", "entry_idx").over(previous)
     ).where("not copied and __old is not null")
+    if first is not None:
+        matched = matched.where(F.col("arrival_seq") >= first)
 
     per_second = F.lit(1.0) / F.col("__dt")
     rate = F.transform_values(
@@ -218,7 +232,7 @@ def _tag_rows(rate_rows: DataFrame, tags: Sequence[str]) -> DataFrame:
         .select(
             "server", "time", cpu.alias("cpu"),
             *[F.when(~cpu, F.col(t)).alias(t) for t in tags],
-            F.explode(F.map_concat("rates", F.create_map(F.lit("nclients"), "__first"))).alias(
+            F.explode(F.map_concat(_without("rates", "nclients"), F.create_map(F.lit("nclients"), "__first"))).alias(
                 "event", "value"
             ),
         )
@@ -249,8 +263,13 @@ def aggregate_with_load(rate_rows: DataFrame, tags: Sequence[str] = TAGS) -> Dat
     )
 
 
+def _without(events: str, name: str) -> Column:
+    """A map without one event: a counter may have the name of a derived one."""
+    return F.map_filter(events, lambda e, _: e != name)
+
+
 def _with_load(rate: Column) -> Column:
-    events = F.map_filter("events", lambda e, _: e != "load")
+    events = _without("events", "load")
     return F.when(rate.isNull(), F.col("events")).otherwise(
         F.map_concat(events, F.create_map(F.lit("load"), rate))
     )

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -12,6 +14,7 @@ from iolens.sources.reports import classify_messages
 
 _ATTRIBUTES = ("time", "system", "jid", "uid", "obdclass")
 _LOOKED_UP = ("system", "jid", "uid")
+Keep = Callable[[DataFrame], DataFrame]
 
 
 def host_state(messages: DataFrame, asof: int | None = None) -> DataFrame:
@@ -83,32 +86,55 @@ def tag_entries(entries: DataFrame, nodes: DataFrame) -> DataFrame:
     return _tagged(entries.join(nodes.withColumnRenamed("nid", "client_nid"), "client_nid", "left"))
 
 
-def tag_entries_asof(
-    entries: DataFrame,
+def asof_tags(
+    clients: DataFrame,
     messages: DataFrame,
     block_rows: int = BLOCK_ROWS,
-    clients: DataFrame | None = None,
+    keep: Keep = lambda df: df,
 ) -> DataFrame:
-    """Tag each entry with the mapping known when its report arrived.
+    """``client_nid, *ORDER, client, system, jid, uid`` as known when each report arrived.
 
-    Two as-of lookups, node id to host and host to tags, both on the distinct
-    (node id, report) pairs; the wide entries are shuffled once, for the join back.
-    ``clients`` gives those pairs where they can be had without the entries
-    (:func:`iolens.sources.reports.clients_of`).
+    Two as-of lookups, node id to host and host to tags, on the distinct (node id,
+    report) pairs. Each reads its input twice; ``keep`` may hold on to it.
     """
-    probes = clients
-    if probes is None:
-        probes = entries.where("client_nid is not null").select("client_nid", *ORDER).distinct()
     nodes = (
         classify_messages(messages)
         .where("kind = 'node'")
         .select(F.col("nid").alias("client_nid"), *ORDER, F.col("hostname").alias("client"))
     )
-    named = asof_last(probes, nodes, ["client_nid"], ORDER, ["client"], block_rows)
+    named = keep(asof_last(keep(clients), nodes, ["client_nid"], ORDER, ["client"], block_rows))
     updates = messages.select(F.col("hostname").alias("client"), *ORDER, *_LOOKED_UP).where(
         "system is not null or jid is not null or uid is not null"
     )
-    tags = asof_last(
+    return asof_last(
         named.where("client is not null"), updates, ["client"], ORDER, list(_LOOKED_UP), block_rows
     )
-    return _tagged(entries.join(tags, ["client_nid", *ORDER], "left"))
+
+
+def tag_entries_asof(
+    entries: DataFrame,
+    messages: DataFrame,
+    block_rows: int = BLOCK_ROWS,
+    clients: DataFrame | None = None,
+) -> DataFrame:
+    """Tag each entry with the mapping known when its report arrived.
+
+    ``clients`` gives the (node id, report) pairs where they can be had without the
+    entries (:func:`iolens.sources.reports.clients_of`). The wide entries are shuffled
+    for the join back; :func:`tags_by_report` spares that.
+    """
+    if clients is None:
+        clients = entries.where("client_nid is not null").select("client_nid", *ORDER).distinct()
+    return _tagged(entries.join(asof_tags(clients, messages, block_rows), ["client_nid", *ORDER], "left"))
+
+
+def tags_by_report(tags: DataFrame) -> DataFrame:
+    """``*ORDER, tags``: one map per report from node id to tags, no longer than the report."""
+    pair = F.struct("client_nid", F.struct("client", *_LOOKED_UP))
+    return tags.groupBy(*ORDER).agg(F.map_from_entries(F.collect_list(pair)).alias("tags"))
+
+
+def tag_from_report(entries: DataFrame) -> DataFrame:
+    """Tag entries that carry their report's map in ``tags``."""
+    own = F.col("tags")[F.col("client_nid")]
+    return _tagged(entries.withColumns({c: own[c] for c in ("client", *_LOOKED_UP)}).drop("tags"))

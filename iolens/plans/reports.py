@@ -5,13 +5,32 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from iolens.operators.groups import derive_events, filter_groups, group_rates
-from iolens.operators.rates import aggregate_with_load, newest_samples, rates, rates_of
-from iolens.operators.tagging import node_map, tag_entries, tag_entries_asof
+from iolens.operators.rates import (
+    STEP,
+    accept_samples,
+    aggregate_with_load,
+    coalesce_ticks,
+    newest_samples,
+    rates,
+    rates_of_placed,
+    steps_of,
+)
+from iolens.operators.tagging import asof_tags, node_map, tag_from_report, tags_by_report
 from iolens.operators.view import rank, top_view
 from iolens.schema import ORDER, TAGS
-from iolens.sources.reports import clients_of, explode_entries, samples_of
+from iolens.sources.reports import (
+    BLOCK,
+    classify_messages,
+    clients_of,
+    explode_entries,
+    mappings_of,
+    messages_between,
+    samples_of,
+)
+from iolens.sources.shared import kept
 
 
 def groups_from_entries(
@@ -21,26 +40,55 @@ def groups_from_entries(
     return aggregate_with_load(rates(tagged, samples), tags)
 
 
-def tagged_entries(
-    messages: DataFrame, entries: DataFrame, mode: str = "asof", clients: DataFrame | None = None
-) -> DataFrame:
+def tags_of(messages: DataFrame, mode: str = "asof") -> DataFrame:
+    """``client_nid, *ORDER`` and tags of the clients of every report."""
     if mode == "asof":
-        return tag_entries_asof(entries, messages, clients=clients)
+        return asof_tags(clients_of(messages), messages, keep=kept)
     if mode == "latest":
-        return tag_entries(entries, node_map(messages))
+        nodes = node_map(messages).withColumnRenamed("nid", "client_nid")
+        return clients_of(messages).join(nodes, "client_nid")
     raise ValueError(f"unknown tagging mode: {mode!r}")
 
 
+def tagged_reports(messages: DataFrame, accepted: DataFrame, mode: str = "asof") -> DataFrame:
+    """Tagged entries of the accepted samples, with what rates need to match them.
+
+    Tags and places are found on narrow rows and joined to the whole reports; the
+    counters move once as reports, and once as entries to those of their client.
+    """
+    steps = steps_of(accepted).join(tags_by_report(tags_of(messages, mode)), [*ORDER], "left")
+    samples = messages.where("data is not null").join(
+        steps.withColumnRenamed("host", "hostname"), ["hostname", *ORDER]
+    )
+    return tag_from_report(explode_entries(samples, *STEP, "tags"))
+
+
 def groups_from_messages(
-    messages: DataFrame, mode: str = "asof", tags: Sequence[str] = TAGS
+    messages: DataFrame,
+    mode: str = "asof",
+    tags: Sequence[str] = TAGS,
+    every: float | None = None,
+    first: int | None = None,
+    last: int | None = None,
+    lookback: int = BLOCK,
+    block: int = BLOCK,
 ) -> DataFrame:
     """All tag groups of a feed.
 
-    Samples, mappings and entries each read the messages, so give it stored ones
-    (:func:`iolens.sources.reports.store_messages`), not the text.
+    Samples, mappings and reports each read the messages, so give it stored ones
+    (:func:`iolens.sources.reports.store_messages`), not the text. ``every`` keeps only the
+    last report of a host in each tick of so many seconds. ``first`` and ``last`` give the
+    groups of the reports that arrived in between, from that part of the store and
+    ``lookback`` arrivals before it.
     """
-    tagged = tagged_entries(messages, explode_entries(messages), mode, clients_of(messages))
-    return groups_from_entries(tagged, samples_of(messages), tags)
+    if first is not None or last is not None:
+        first, last = first or 0, (1 << 63) - 1 if last is None else last
+        messages = messages_between(messages, first, last, lookback, block)
+    samples = samples_of(messages)
+    if every is not None:
+        samples = coalesce_ticks(samples, every)
+    entries = tagged_reports(messages, accept_samples(samples), mode)
+    return aggregate_with_load(rates_of_placed(entries, first), tags)
 
 
 def current_groups(
@@ -48,15 +96,15 @@ def current_groups(
 ) -> DataFrame:
     """Tag groups of every server's last accepted sample, from stored messages.
 
-    Only the last two samples of a server reach the tagging and rate steps, so
-    their cost does not grow with the length of the feed.
+    Only the last two reports of a server are read whole and go on to the tagging
+    and rate steps, so their cost does not grow with the length of the feed.
     """
     newest = newest_samples(samples_of(messages))
-    entries = explode_entries(messages).join(
-        newest.select("host", *ORDER), ["host", *ORDER], "left_semi"
-    )
-    tagged = tagged_entries(messages, entries, mode)
-    return aggregate_with_load(rates_of(tagged, newest), tags)
+    places = newest.select(F.col("host").alias("hostname"), *ORDER)
+    messages = classify_messages(messages)
+    recent = messages.join(places, ["hostname", *ORDER], "left_semi")
+    told = recent.unionByName(mappings_of(messages))
+    return aggregate_with_load(rates_of_placed(tagged_reports(told, newest, mode)), tags)
 
 
 def top_report(

@@ -23,13 +23,42 @@ def read_reports(spark: SparkSession, path: str, streaming: bool = False, **opti
     )
 
 
-def _parsed(lines: DataFrame) -> DataFrame:
-    starts = F.substring("msg", 1, 1).isin("{", "[") & F.col("arrival_seq").isNotNull()
+_MESSAGE = MESSAGE_SCHEMA.removeprefix("array<struct<").removesuffix(">>")
+STORED = f"arrival_seq bigint, msg_idx int, {_MESSAGE}"
+
+# Every field as text, objects and arrays included: a field of an odd type then spoils no other.
+_FIELDS = ("hostname", "time", "obdclass", "nid", "system", "jid", "uid", "data")
+_BAD = "__bad"
+_ELEMENT = ", ".join(f"{f} string" for f in (*_FIELDS, _BAD))
+_ENTRY_FIELDS = ("stats_type", "target", "client_nid", "server_nid")
+_ENTRY = ", ".join(f"{f} string" for f in (*_ENTRY_FIELDS, "stats"))
+
+
+def _elements(lines: DataFrame) -> DataFrame:
+    """One row per element of each text: an object by itself, or the elements of an array."""
+    text = F.col("msg")
+    numbered = F.col("arrival_seq").isNotNull()
+    listed = F.when(numbered & text.startswith("["), F.from_json(text, "array<string>"))
+    single = F.when(numbered & text.startswith("{"), F.array(text))
+    # an array of strings is null for a text that is no JSON; an empty array holds no report
+    reason = F.when(numbered & text.startswith("[") & listed.isNull(), "bad json").otherwise("not a report")
     return lines.select(
-        "arrival_seq",
-        "msg",
-        F.when(starts, F.from_json("msg", MESSAGE_SCHEMA)).alias("__elements"),
-        starts.alias("__starts"),
+        "arrival_seq", "msg",
+        F.posexplode_outer(F.coalesce(listed, single)).alias("msg_idx", "__text"),
+        reason.alias("__reason"),
+    )
+
+
+def _entries_of(data: Column) -> Column:
+    """Data entries of their JSON text; what is no object among them is left out."""
+    texts = F.filter(F.from_json(data, "array<string>"), lambda t: t.startswith("{"))
+    parsed = F.transform(texts, lambda t: F.from_json(t, _ENTRY))
+    return F.transform(
+        parsed,
+        lambda e: F.struct(
+            *[e[f].alias(f) for f in _ENTRY_FIELDS],
+            F.from_json(e["stats"], "map<string,string>").alias("stats"),
+        ),
     )
 
 
@@ -37,27 +66,31 @@ def parse_reports(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Split a feed into messages and rejects.
 
     Messages carry ``arrival_seq, msg_idx`` and the report fields. Rejects are
-    ``(arrival_seq, msg, reason)``: text that is no object or array, bad JSON,
-    and array elements or objects without a host name.
+    ``(arrival_seq, msg, reason)``. Every element of a text is in one of them: a
+    text that is no object or array, bad JSON, an element that is no object or
+    has no host name, a time or data that does not parse, and data without a time.
     """
-    parsed = _parsed(lines)
-    elements = parsed.select(
-        "arrival_seq", "msg", F.posexplode("__elements").alias("msg_idx", "__m")
+    parsed = _elements(lines).withColumn(
+        "__m", F.when(F.col("__text").startswith("{"), F.from_json("__text", _ELEMENT, {"columnNameOfCorruptRecord": _BAD}))
     )
-    messages = elements.where(F.col("__m.hostname").isNotNull()).select(
-        "arrival_seq", "msg_idx", "__m.*"
+    time = F.trim("__m.time").try_cast("double")
+    data = F.when(F.col("__m.data").startswith("["), _entries_of(F.col("__m.data")))
+    reason = (
+        F.when(F.col("msg_idx").isNull(), F.col("__reason"))
+        .when(F.col("__m").isNull(), "not a report")
+        .when(F.col(f"__m.{_BAD}").isNotNull(), "bad json")
+        .when(F.col("__m.hostname").isNull(), "no hostname")
+        .when(F.col("__m.time").isNotNull() & (time.isNull() | F.isnan(time)), "bad time")
+        .when(F.col("__m.data").isNotNull() & data.isNull(), "bad data")
+        .when(F.col("__m.data").isNotNull() & time.isNull(), "no time")
     )
-    unparsed = parsed.where(F.col("__elements").isNull()).select(
-        "arrival_seq",
-        "msg",
-        F.when(F.coalesce("__starts", F.lit(False)), F.lit("bad json"))
-        .otherwise(F.lit("not a report"))
-        .alias("reason"),
+    judged = parsed.withColumns({"__time": time, "__data": data, "reason": reason})
+    plain = [F.col(f"__m.{f}").alias(f) for f in _FIELDS if f not in ("time", "data")]
+    messages = judged.where("reason is null").select(
+        "arrival_seq", "msg_idx", plain[0], F.col("__time").alias("time"), *plain[1:], F.col("__data").alias("data")
     )
-    nameless = elements.where(F.col("__m.hostname").isNull()).select(
-        "arrival_seq", "msg", F.lit("no hostname").alias("reason")
-    )
-    return messages, unparsed.unionByName(nameless)
+    rejects = judged.where("reason is not null").select("arrival_seq", "msg", "reason")
+    return messages, rejects
 
 
 def classify_messages(messages: DataFrame) -> DataFrame:
@@ -72,26 +105,83 @@ def classify_messages(messages: DataFrame) -> DataFrame:
     )
 
 
-def store_messages(messages: DataFrame, path: str) -> DataFrame:
-    """Write parsed messages as Parquet, split by kind, and read them back.
+BLOCK = 1 << 20  # arrivals that are stored together
+
 
-    The JSON is parsed once, and the steps that follow read what they need: node
-    messages have files of their own, and the samples' times, hosts and clients
-    are read without the counters.
+def store_messages(messages: DataFrame, path: str, load: str = "0", block: int = BLOCK) -> DataFrame:
+    """Add parsed messages to a store, split by load, arrival block and kind, and read it back.
+
+    The JSON is parsed once, and the steps that follow read what they need: a range of
+    arrivals, node messages by themselves, or the samples' times, hosts and clients
+    without the counters. A load that is stored again replaces itself and no other.
     """
-    classified = classify_messages(messages)
-    classified.write.mode("overwrite").partitionBy("kind").parquet(path)
-    return messages.sparkSession.read.schema(classified.schema).parquet(path)
+    number = F.floor(F.col("arrival_seq") / block).cast("bigint")
+    rows = classify_messages(messages).withColumn("block", number)
+    # the messages of a block come from few tasks, so that it has few files
+    dealt = rows.repartitionByRange("block", "kind", "arrival_seq")
+    dealt.write.mode("overwrite").partitionBy("block", "kind").parquet(f"{path}/load={load}")
+    return read_messages(messages.sparkSession, path)
+
+
+def read_messages(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.schema(f"{STORED}, load string, block bigint, kind string").parquet(path)
+
+
+def messages_between(
+    messages: DataFrame, first: int, last: int, lookback: int = BLOCK, block: int = BLOCK
+) -> DataFrame:
+    """What the reports that arrived from ``first`` to ``last`` need of a store.
+
+    All mappings up to then, and samples from ``lookback`` arrivals before: a host whose
+    report before is older begins anew.
+    """
+    seq = F.col("arrival_seq")
+    df = classify_messages(messages).where(seq <= last)
+    near, far = seq >= first - lookback, seq < first - lookback
+    if "block" in df.columns:
+        edge = (first - lookback) // block
+        df = df.where(F.col("block") <= last // block)
+        near, far = near & (F.col("block") >= edge), far & (F.col("block") <= edge)
+    return df.where(near).unionByName(mappings_of(df.where(far)))
+
+
+def mappings_of(messages: DataFrame) -> DataFrame:
+    """The messages that tell of nodes or tags, without their data; same columns."""
+    df = classify_messages(messages)
+    told = df.where("kind <> 'sample' or coalesce(system, jid, uid) is not null")
+    return told.withColumns(
+        {
+            "data": F.lit(None).cast(df.schema["data"].dataType),
+            "kind": F.when(F.col("kind") == "sample", "host").otherwise(F.col("kind")),
+        }
+    )
+
+
+_LARGEST = (1 << 63) - 1
 
 
 def counter(value: str | Column) -> Column:
-    """64-bit value of a counter's text; fractions are cut, other text is 0."""
+    """64-bit value of a counter's text; fractions are cut, larger values stop at the
+    largest, and other text is 0."""
     v = F.col(value) if isinstance(value, str) else value
+    real = v.try_cast("double")
     return F.coalesce(
-        v.try_cast("bigint"), v.try_cast("double").try_cast("bigint"), F.lit(0).cast("bigint")
+        v.try_cast("bigint"),
+        F.when(real >= float(_LARGEST), F.lit(_LARGEST)).when(real <= -float(_LARGEST), F.lit(-_LARGEST - 1)),
+        real.try_cast("bigint"),
+        F.lit(0).cast("bigint"),
     )
 
 
+def unique_keys(stats: Column) -> Column:
+    """A map in which each key of the text has its last value."""
+    pairs = F.map_entries(stats)
+    later = lambda p, i: F.exists(F.slice(pairs, i + 2, F.size(pairs)), lambda q: q["key"] == p["key"])
+    last = F.map_from_entries(F.filter(pairs, lambda p, i: ~later(p, i)))
+    keys = F.map_keys(stats)
+    return F.when(F.size(F.array_distinct(keys)) < F.size(keys), last).otherwise(stats)
+
+
 def _samples(messages: DataFrame) -> DataFrame:
     return classify_messages(messages).where("kind = 'sample' and time is not null")
 
@@ -111,18 +201,21 @@ def clients_of(messages: DataFrame) -> DataFrame:
     )
 
 
-def explode_entries(messages: DataFrame) -> DataFrame:
-    """One row per data entry with its index; ``stats`` becomes ``map<string,bigint>``."""
+def explode_entries(messages: DataFrame, *along: str) -> DataFrame:
+    """One row per data entry with its index; ``stats`` becomes ``map<string,bigint>``.
+
+    ``along`` names columns of the message to repeat on its entries.
+    """
     return (
         _samples(messages)
         .select(
-            F.col("hostname").alias("host"), *ORDER, "time", "obdclass",
+            F.col("hostname").alias("host"), *ORDER, "time", "obdclass", *along,
             F.posexplode("data").alias("entry_idx", "__e"),
         )
         .select(
-            "host", *ORDER, "time", "obdclass", "entry_idx",
+            "host", *ORDER, "time", "obdclass", *along, "entry_idx",
             "__e.stats_type", "__e.target", "__e.client_nid",
-            F.transform_values("__e.stats", lambda _, v: counter(v)).alias("stats"),
+            F.transform_values(unique_keys(F.col("__e.stats")), lambda _, v: counter(v)).alias("stats"),
         )
     )
 
@@ -140,7 +233,7 @@ def flatten_raw(messages: DataFrame) -> DataFrame:
         .select(
             "time", "hostname", "obdclass", "nid", "jid", "uid",
             "__e.target", "__e.client_nid", "__e.server_nid", "__e.stats_type",
-            F.explode("__e.stats").alias("event_name", "__v"),
+            F.explode(unique_keys(F.col("__e.stats"))).alias("event_name", "__v"),
         )
         .withColumn("value", F.col("__v").try_cast("double"))
         .drop("__v")

@@ -24,7 +24,7 @@ from iolens.operators.rates import (
 from iolens.operators.tagging import tag_entries_asof
 from iolens.schema import HISTORY_COLUMNS, ORDER, TAGS
 from iolens.sources.history_table import write_history
-from iolens.sources.reports import classify_messages, explode_entries, samples_of
+from iolens.sources.reports import classify_messages, clients_of, explode_entries, samples_of
 from iolens.streaming.state import BatchTable
 
 _BEFORE = -1  # arrival position of anything known before the batch
@@ -37,9 +37,14 @@ _ENTRY = (
 
 
 class ReportState:
-    """Last accepted sample of every host, node map and host tags."""
+    """Last accepted sample of every host, node map and host tags.
 
-    def __init__(self, path: str, compact_every: int = 50):
+    With ``idle_after`` seconds, hosts that much behind the newest sample are left out
+    when the state is next written whole; they begin anew if they come back.
+    """
+
+    def __init__(self, path: str, compact_every: int = 50, idle_after: float | None = None):
+        self.idle_after = idle_after
         self.samples = BatchTable(path, "samples", ["host"], _SAMPLE, compact_every)
         self.entries = BatchTable(path, "entries", ["host"], _ENTRY, compact_every)
         self.nodes = BatchTable(path, "nodes", ["nid"], "nid string, hostname string", compact_every)
@@ -61,8 +66,8 @@ class ReportState:
         at_start = {"arrival_seq": F.lit(_BEFORE).cast("bigint"), "msg_idx": F.lit(0)}
         accepted = cache(accept_samples(now.unionByName(before.withColumns(at_start))))
 
-        mapped = cache(self._mappings(messages, batch_id))
         new_entries = explode_entries(messages)
+        mapped = cache(self._mappings(messages, batch_id))
         tagged = tag_entries_asof(new_entries, mapped)
         entries = tagged.unionByName(old_entries.withColumns(at_start), allowMissingColumns=True)
 
@@ -74,30 +79,40 @@ class ReportState:
             .select("host", *[F.col("__last")[c].alias(c) for c in (*ORDER, "time")])
         )
         last = cache(last)
-        self.samples.write(spark, batch_id, last)
-        self.entries.write(spark, batch_id, new_entries.join(last, ["host", *ORDER], "left_semi"))
+        idle = None
+        if self.idle_after is not None:
+            newest = last.agg(F.max("time")).first()[0]  # one row
+            idle = F.col("time") < F.lit(newest) - self.idle_after
+        self.samples.write(spark, batch_id, last, idle)
+        self.entries.write(spark, batch_id, new_entries.join(last, ["host", *ORDER], "left_semi"), idle)
         self._store_mappings(spark, batch_id, mapped, messages)
         return rates_of(entries, accepted)
 
     def _mappings(self, messages: DataFrame, batch_id: int) -> DataFrame:
-        """Mappings of the batch after the known ones of its nodes and hosts."""
-        known = self._known_messages(messages.sparkSession, batch_id)
-        # a sample's node id maps nothing
-        nid = F.when(F.col("data").isNull(), F.col("nid"))
+        """Mappings of the batch after the known ones of the nodes and hosts it names."""
+        nid = F.when(F.col("data").isNull(), F.col("nid"))  # a sample's node id maps nothing
         told = messages.select(*ORDER, "hostname", nid.alias("nid"), "system", "jid", "uid")
         told = told.where("coalesce(nid, system, jid, uid) is not null")
+        known = self._known_messages(messages, batch_id)
         return told.unionByName(known).withColumn("data", F.lit(None).cast("string"))
 
-    def _known_messages(self, spark: SparkSession, batch_id: int) -> DataFrame:
-        """The mapping state as messages that arrived before the batch."""
-        hosts = self.hosts.read(spark, batch_id).withColumn("nid", F.lit(None).cast("string"))
-        nodes = self.nodes.read(spark, batch_id).withColumns(
-            {c: F.lit(None).cast("string") for c in ("system", "jid", "uid")}
-        )
-        return hosts.unionByName(nodes).withColumns(
-            {"arrival_seq": F.lit(_BEFORE).cast("bigint"), "msg_idx": F.lit(0)}
+    def _known_messages(self, messages: DataFrame, batch_id: int) -> DataFrame:
+        """The part of the mapping state a batch can ask for, as messages that arrived before it."""
+        spark = messages.sparkSession
+        clients = clients_of(messages).select(F.col("client_nid").alias("nid")).distinct()
+        nodes = self.nodes.read(spark, batch_id).join(clients, "nid", "left_semi")
+        named = messages.select("hostname").unionByName(nodes.select("hostname")).distinct()
+        hosts = self.hosts.read(spark, batch_id).join(named, "hostname", "left_semi")
+        return (
+            hosts.withColumn("nid", F.lit(None).cast("string"))
+            .unionByName(nodes.withColumns({c: F.lit(None).cast("string") for c in ("system", "jid", "uid")}))
+            .withColumns({"arrival_seq": F.lit(_BEFORE).cast("bigint"), "msg_idx": F.lit(0)})
         )
 
+    def prune(self, spark: SparkSession, batch_id: int) -> None:
+        for table in (self.samples, self.entries, self.nodes, self.hosts):
+            table.prune(spark, batch_id)
+
     def _store_mappings(
         self, spark: SparkSession, batch_id: int, mapped: DataFrame, messages: DataFrame
     ) -> None:
@@ -135,6 +150,7 @@ def _each_batch(
 
         try:
             sink(cache(state.advance(cache(batch), batch_id, cache)), batch_id)
+            state.prune(batch.sparkSession, batch_id)
         finally:
             for df in held:
                 df.unpersist()
@@ -142,18 +158,20 @@ def _each_batch(
     return messages.writeStream.foreachBatch(run)
 
 
-def stream_rates(messages: DataFrame, state_path: str, output_path: str) -> DataStreamWriter:
+def stream_rates(
+    messages: DataFrame, state_path: str, output_path: str, idle_after: float | None = None
+) -> DataStreamWriter:
     """Write the rate rows of each batch below ``output_path/batch_id=<n>``.
 
     Set trigger and checkpoint on the returned writer and start it. A sample not
     newer than the last accepted one of its host is dropped; there is no other
-    rule for late data.
+    rule for late data. ``idle_after`` is the idle timeout of :class:`ReportState`.
     """
 
     def sink(rows: DataFrame, batch_id: int) -> None:
         rows.write.mode("overwrite").parquet(f"{output_path}/batch_id={batch_id}")
 
-    return _each_batch(messages, ReportState(state_path), sink)
+    return _each_batch(messages, ReportState(state_path, idle_after=idle_after), sink)
 
 
 def export_stream(
@@ -162,6 +180,7 @@ def export_stream(
     history_path: str,
     tags: Sequence[str] = TAGS,
     dedupe: bool = True,
+    idle_after: float | None = None,
 ) -> DataStreamWriter:
     """Append each batch's latest groups per server to the history table.
 
@@ -190,8 +209,9 @@ def export_stream(
         current.write.mode("overwrite").parquet(f"{snapshots.path}/batch_id={batch_id}")
         stored = spark.read.schema(derived).parquet(f"{snapshots.path}/batch_id={batch_id}")
         write_history(to_history(stored), history_path, batch_id=batch_id)
+        snapshots.prune(spark, batch_id)
 
-    return _each_batch(messages, ReportState(state_path), sink)
+    return _each_batch(messages, ReportState(state_path, idle_after=idle_after), sink)
 
 
 def stream_buckets(
@@ -205,3 +225,17 @@ def stream_buckets(
         .agg(F.sum("value").alias("value"))
         .select(F.col("__window.start").alias("t"), *keys, "value")
     )
+
+
+def open_buckets(
+    history: DataFrame, sums: DataFrame, width: str, keys: Sequence[str] = ("host", "event")
+) -> DataFrame:
+    """Sums of the buckets after the last one that :func:`stream_buckets` has closed.
+
+    Closes a feed that has ended, or shows the running bucket, from the stored
+    history; ``sums`` is what the stream has put out.
+    """
+    closed = sums.agg(F.max("t").alias("closed")).scalar()
+    rows = history.select("time", *keys, "value", time_window(width)["start"].alias("t"))
+    after = rows.where(F.coalesce(F.col("t") > closed, F.lit(True)))
+    return after.groupBy("t", *keys).agg(F.sum("value").alias("value"))

@@ -4,14 +4,15 @@ Every batch writes what it changed below ``<root>/<table>/batch_id=<n>``; each
 ``compact_every``-th batch writes the whole table instead. A reader of batch n
 starts at the last whole one before it. Replaying a batch reads the same state
 and overwrites its own output, so the state survives any number of failures.
-One state belongs to one streaming checkpoint.
+One state belongs to one streaming checkpoint. Versions that no replay can ask for are
+removed once a batch is done: what is left are the last two whole ones and all since.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -37,12 +38,30 @@ class BatchTable:
         newest = versions.groupBy(*self.keys).agg(F.max("batch_id").alias("batch_id"))
         return versions.join(newest, [*self.keys, "batch_id"], "left_semi").drop("batch_id")
 
-    def write(self, spark: SparkSession, batch_id: int, changed: DataFrame) -> None:
-        """Store the rows of the keys that changed, or all rows when compacting."""
+    def write(
+        self, spark: SparkSession, batch_id: int, changed: DataFrame, forget: Column | None = None
+    ) -> None:
+        """Store the rows of the keys that changed, or all rows when compacting.
+
+        ``forget`` tells which of the unchanged rows a compaction leaves out.
+        """
         rows = changed
         if batch_id and batch_id % self.compact_every == 0:
             kept = self.read(spark, batch_id).join(
                 changed.select(*self.keys).distinct(), self.keys, "left_anti"
             )
+            kept = kept if forget is None else kept.where(~F.coalesce(forget, F.lit(False)))
             rows = changed.unionByName(kept)
         rows.write.mode("overwrite").parquet(f"{self.path}/batch_id={batch_id}")
+
+    def prune(self, spark: SparkSession, batch_id: int) -> None:
+        """Remove the versions before the last whole one but one; a batch after this one is safe."""
+        base = (batch_id // self.compact_every - 1) * self.compact_every
+        folder = spark._jvm.org.apache.hadoop.fs.Path(self.path)
+        files = folder.getFileSystem(spark._jsc.hadoopConfiguration())
+        if base <= 0 or not files.exists(folder):
+            return
+        for status in files.listStatus(folder):
+            name = status.getPath().getName()
+            if name.startswith("batch_id=") and int(name.removeprefix("batch_id=")) < base:
+                files.delete(status.getPath(), True)

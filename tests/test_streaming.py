@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from iolens.operators.rates import rates
 from iolens.operators.tagging import tag_entries_asof
 from iolens.sources import reports as P
-from iolens.streaming.reports import ReportState, export_stream, stream_buckets, stream_rates
+from iolens.streaming.reports import ReportState, export_stream, open_buckets, stream_buckets, stream_rates
 
 
 def feed(n=24, seed=2):
@@ -77,6 +77,40 @@ def test_replayed_batch_gives_the_same_rows(spark, tmp_path):
     assert sorted(sum(got, []), key=str) == plain(batch_rates(spark, tmp_path))
 
 
+def versions(path):
+    return {t.name: sorted(int(f.name.split("=")[1]) for f in t.iterdir() if "=" in f.name) for t in path.iterdir()}
+
+
+def test_old_state_is_removed_and_the_rest_suffices(spark, tmp_path):
+    write_feed(tmp_path / "feed", feed(40), 40)
+    messages = P.parse_reports(P.read_reports(spark, str(tmp_path / "feed")))[0].persist()
+    state, held, got = ReportState(str(tmp_path / "state"), compact_every=2), [], []
+    keep = lambda df: held.append(df) or df
+    for n in range(10):
+        part = messages.where(f"arrival_seq between {n * 4} and {n * 4 + 3}")
+        for _ in range(2):  # every batch is replayed after its clean-up
+            rows = plain(state.advance(part, n, keep))
+            state.prune(spark, n)
+        got += rows
+    assert sorted(got, key=str) == plain(batch_rates(spark, tmp_path))
+    assert versions(tmp_path / "state") == dict.fromkeys(["samples", "entries", "nodes", "hosts"], [6, 7, 8, 9])
+
+
+def test_idle_hosts_are_forgotten(spark, tmp_path):
+    def sample(seq, host, time):
+        return {"hostname": host, "time": time, "obdclass": "oss", "data": [{"stats_type": "oss", "client_nid": "n", "target": "fs0-OST0000", "stats": {"open": seq}}]}
+
+    feed_ = [sample(0, "old", 1.0), sample(1, "new", 100.0), sample(2, "new", 200.0), sample(3, "new", 300.0), sample(4, "old", 310.0), sample(5, "new", 320.0)]
+    write_feed(tmp_path / "feed", feed_, 10)
+    messages = P.parse_reports(P.read_reports(spark, str(tmp_path / "feed")))[0].persist()
+    for idle, want in ((None, {"old", "new"}), (150.0, {"new"})):
+        state, held, got = ReportState(str(tmp_path / f"state{idle}"), compact_every=1, idle_after=idle), [], set()
+        for n in range(3):
+            rates_ = state.advance(messages.where(f"arrival_seq between {n * 2} and {n * 2 + 1}"), n, lambda df: held.append(df) or df)
+            got |= {r.server for r in rates_.collect() if n == 2}
+        assert got == want
+
+
 @pytest.mark.parametrize("dedupe", [True, False])
 def test_export_appends_the_latest_groups(spark, tmp_path, dedupe):
     state, out = str(tmp_path / "state"), str(tmp_path / "history")
@@ -104,3 +138,7 @@ def test_buckets_close_after_the_delay(spark, tmp_path):
     writer.option("checkpointLocation", str(tmp_path / "offsets")).trigger(availableNow=True).start().awaitTermination()
     got = {r.t.hour * 60 + r.t.minute: r.value for r in spark.read.parquet(str(tmp_path / "out")).collect()}
     assert got == {0: 30.0, 30: 30.0}
+    rest = open_buckets(df, spark.read.parquet(str(tmp_path / "out")), "30m")
+    assert {r.t.hour * 60 + r.t.minute: r.value for r in rest.collect()} == {60: 30.0, 90: 5.0}
+    whole = open_buckets(df, spark.read.parquet(str(tmp_path / "out")).limit(0), "30m")
+    assert whole.agg(F.sum("value")).first()[0] == 95.0

@@ -6,6 +6,7 @@ import pytest
 
 from iolens.functions.names import fs_name
 from iolens.operators import tagging as M
+from iolens.plans.reports import groups_from_messages
 from iolens.schema import MESSAGE_SCHEMA
 from iolens.sources import mappings
 from iolens.sources import reports as P
@@ -32,6 +33,38 @@ def test_rejects(spark):
     ]
 
 
+def test_every_element_is_a_message_or_a_reject(spark):
+    """One odd field or element spoils nothing else."""
+    entries = '"data": [{"stats_type": "oss", "stats": {"a": 1}}, 7]'
+    good, bad = parse(
+        spark,
+        '[{"hostname": "a", "jid": "1"}, 5, null, "x", [1], {"hostname": 2}]',
+        f'{{"hostname": "b", "time": "12.5", {entries}}}',
+        f'{{"hostname": "c", "time": "soon", {entries}}}',
+        f'{{"hostname": "d", {entries}}}',
+        '{"hostname": "e", "time": 1, "data": {"x": 1}}',
+        "[]",
+        "[1, 2",
+        None,
+    )
+    got = sorted((r.arrival_seq, r.msg_idx, r.hostname, r.time, r.data and len(r.data)) for r in good.collect())
+    assert got == [(0, 0, "a", None, None), (0, 5, "2", None, None), (1, 0, "b", 12.5, 1)]
+    assert sorted((r.arrival_seq, r.reason) for r in bad.collect()) == [
+        *[(0, "not a report")] * 4, (2, "bad time"), (3, "no time"), (4, "bad data"), (5, "not a report"),
+        (6, "bad json"), (7, "not a report"),
+    ]
+
+
+def test_odd_counters_kill_no_job(spark):
+    text = '{{"hostname": "o", "time": {0}, "obdclass": "oss", "data": [{{"stats_type": "oss", "client_nid": "n", "target": "fs0-OST0000", "stats": {{"a": 1, "a": {1}, "nclients": 5, "big": 18446744073709551615, "low": -1e30}}}}]}}'
+    good, _ = parse(spark, text.format(1, 10), text.format(2, 30))
+    stats = [dict(r.stats) for r in P.explode_entries(good).orderBy("time").collect()]
+    assert stats[0] == {"a": 10, "nclients": 5, "big": 2**63 - 1, "low": -(2**63)}
+    (group,) = groups_from_messages(good).collect()
+    assert dict(group.events) == {"a": 20.0, "big": 0.0, "low": 0.0, "nclients": 1.0}
+    assert {r.event_name: r.value for r in P.flatten_raw(good).where("time = timestamp_seconds(1)").collect()}["a"] == 10.0
+
+
 def test_counters_stay_exact(spark):
     good, _ = parse(spark, '{"hostname": "o", "time": 1.5, "data": [{"stats_type": "oss", "stats": {"a": 9007199254740993, "b": 2.9, "c": "x"}}]}')
     (row,) = P.explode_entries(good).collect()
@@ -106,7 +139,7 @@ def test_asof_tags_equal_a_replay(spark, block):
 def test_fs_name(spark):
     names = ["blue-OST0000", "short", "12345678", "x" * 40, None]
     df = spark.createDataFrame([(n,) for n in names], "t string").select(fs_name("t").alias("f"))
-    assert [r.f for r in df.collect()] == ["blue", "*", "", "x" * 23, "*"]
+    assert [r.f for r in df.collect()] == ["blue", "*", "", "x" * 32, "*"]
 
 
 def test_flatten_and_migrate(spark):
