@@ -9,6 +9,7 @@ from __future__ import annotations
 import datetime as dt
 import json
 import os
+import tempfile
 import time
 
 from pyspark.sql import DataFrame, SparkSession
@@ -23,6 +24,7 @@ from iolens.operators import tagging as M
 from iolens.plans import pages, reports
 from iolens.sources import captured, history_table
 from iolens.sources import reports as P
+from iolens.streaming.reports import stream_rates
 
 SF_DIR = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
 CPUS = int(os.environ.get("BENCH_CPUS", "8"))
@@ -39,11 +41,12 @@ def session() -> SparkSession:
         .getOrCreate()
     )
     spark.sparkContext.setLogLevel("ERROR")
+    if spark.conf.get("spark.checkpoint.dir", None) is None:
+        spark.conf.set("spark.checkpoint.dir", tempfile.mkdtemp(prefix="iolens-bench-"))
     return spark
 
 
-def prepare(spark: SparkSession) -> dict[str, DataFrame]:
-    root = T.work_dir(spark)
+def prepare(spark: SparkSession, root: str) -> dict[str, DataFrame]:
 
     def stored(name: str, df: DataFrame) -> DataFrame:
         # as many files as cores; the driver's tables are one file each
@@ -70,7 +73,7 @@ def prepare(spark: SparkSession) -> dict[str, DataFrame]:
     return tables
 
 
-def jobs(t: dict[str, DataFrame]) -> dict:
+def jobs(spark: SparkSession, t: dict[str, DataFrame], root: str) -> dict:
     start, end = dt.datetime(2024, 1, 5), dt.datetime(2024, 1, 25)
     return {
         "parse_reports": lambda: P.parse_reports(t["feed_text"])[0],
@@ -95,11 +98,30 @@ def jobs(t: dict[str, DataFrame]) -> dict:
         "gapfill_avg": lambda: H.gapfill(t["recent"], "1h", start, end),
         "job_detail": lambda: pages.job_detail(t["recent"], "j7"),
         "parse_stats_text": lambda: captured.parse_stats_text(t["stats_lines"]),
+        "reports_to_groups_range": lambda: reports.groups_from_messages(t["feed"], first=400, last=480, lookback=64),
+        "compact_history": lambda: compacted(spark, f"{root}/history"),
+        "stream_rates": lambda: streamed(spark, f"{root}/feed_text"),
         "expand_hosts": lambda: expand_hosts(t["expressions"], "expr", ["job"]),
-        "collapse_hosts": lambda: collapse_hosts(t["group_hosts"], ["job"], "host"),
+        "collapse_hosts": lambda: collapse_hosts(t["group_hosts"], ["job"], "host", numeric_fields=1),
     }
 
 
+def compacted(spark: SparkSession, history: str) -> DataFrame:
+    """Compact the stored history into a new folder."""
+    path = T.work_dir(spark)
+    border = history_table.compact_history(spark, history, path, dt.datetime(2024, 3, 1))
+    return history_table.read_history(spark, history, path, border)
+
+
+def streamed(spark: SparkSession, feed: str) -> DataFrame:
+    """One micro-batch of rates over the whole feed."""
+    path = T.work_dir(spark)
+    stream = spark.readStream.schema("arrival_seq bigint, msg string").parquet(feed)
+    writer = stream_rates(P.parse_reports(stream)[0], f"{path}/state", f"{path}/rates")
+    writer.option("checkpointLocation", f"{path}/offsets").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.parquet(f"{path}/rates")
+
+
 def run(df: DataFrame) -> None:
     df.write.format("noop").mode("overwrite").save()
 
@@ -107,10 +129,11 @@ def run(df: DataFrame) -> None:
 def main() -> None:
     spark = session()
     begin = time.perf_counter()
-    tables = prepare(spark)
+    root = T.work_dir(spark)
+    tables = prepare(spark, root)
     prepared = time.perf_counter() - begin
     times = {}
-    for name, job in jobs(tables).items():
+    for name, job in jobs(spark, tables, root).items():
         begin = time.perf_counter()
         run(job())
         times[name] = round(time.perf_counter() - begin, 3)

@@ -130,9 +130,9 @@ for _name, _level in LEVELS.items():
 
 def _levels() -> str:
     parts, selects = [COUNTERS], []
-    for name in "fujsn":
-        parts.append(_groups(LEVELS[name], name=f"g_{name}"))
-        columns = ", ".join(t if t in LEVELS[name] else f"null as {t}" for t in ("system", "fid", "jid", "uid"))
+    for name, tags in LEVELS.items():
+        parts.append(_groups(tags, name=f"g_{name}"))
+        columns = ", ".join(t if t in tags else f"null as {t}" for t in LEVELS["c"])
         selects.append(
             f"select '{name}' as level, server, time, {columns}, event, round(value, 6) as value from g_{name}"
         )
@@ -224,7 +224,7 @@ ORACLES["gapfill_avg"] = _with(
     R, _filled("1 hour", "host, system, uid, jid, event", "avg(value)"),
     select="select * replace (round(value, 6) as value) from f")
 ORACLES["gapfill_last"] = _with(
-    R, _filled("30 minutes", "host, system, event", "arg_max(value, time)"), select="select * from f")
+    R, _filled("30 minutes", "host, system, event", "arg_max(value, struct_pack(t := time, v := value))"), select="select * from f")
 ORACLES["distinct_dims"] = _h("""
 select distinct 'system' as dim, system as value from h union all select distinct 'host', host from h
 union all select distinct 'event', event from h""")
@@ -269,7 +269,7 @@ ORACLES["host_total_overlay"] = _with(H, _UID, select="""
 select t, host, system, uid, round(value, 6) as value,
        round(sum(value) over (partition by t, host), 6) as total from s""")
 ORACLES["host_rate_series"] = _with(
-    R, _filled("1 hour", "host, system, uid, jid, event", "arg_max(value, time)", "event = 'load_eff'"),
+    R, _filled("1 hour", "host, system, uid, jid, event", "arg_max(value, struct_pack(t := time, v := value))", "event = 'load_eff'"),
     select="select t, host, round(sum(value), 6) as value from f group by all")
 ORACLES["local_time"] = _r("""
 select time at time zone 'UTC' at time zone 'America/Chicago' as local, host, event, value from h""")
@@ -293,14 +293,22 @@ node_map as (select nid, hostname as client, system, jid, uid from nodes join st
 ORACLES["migrate_raw"] = _with(M, select=f"""
 select time, hostname, cast(null as varchar) as fid, jid, uid, client_nid as client, event_name, value from ({_RAW})""")
 ORACLES["flatten_raw"] = _with(M, select=_RAW)
-ORACLES["parse_reports"] = _with(M, select="""
-select arrival_seq, cast(unnest(case when arrival_seq % 5 = 2 then [0, 1] else [0] end) as int) as msg_idx,
+_SPOILT = """spoilt as (
+  select *, case when arrival_seq % 17 = 3 then 'not a report' when arrival_seq % 19 = 5 then 'bad json'
+                 when arrival_seq % 23 = 7 then 'no hostname' when arrival_seq % 29 = 4 then 'mixed'
+                 when kind <> 'sample' or arrival_seq % 31 = 6 then 'plain'
+                 when arrival_seq % 37 = 8 then 'bad data' when arrival_seq % 41 = 9 then 'no time'
+                 when arrival_seq % 43 = 10 then 'bad time' else 'plain' end as how,
+         arrival_seq % 5 = 2 and not (kind = 'sample' and arrival_seq % 31 = 6) as twice from m)"""
+ORACLES["parse_reports"] = _with(M, _SPOILT, select="""
+select arrival_seq,
+       cast(unnest(case when how = 'mixed' then [1] when twice then [0, 1] else [0] end) as int) as msg_idx,
        hostname, time, nid, system, jid, uid, case when kind = 'sample' then 1 end as entries, null as reason
-from m where not (arrival_seq % 17 = 3 or arrival_seq % 19 = 5 or arrival_seq % 23 = 7)
+from spoilt where how in ('plain', 'mixed')
 union all
-select arrival_seq, null, null, null, null, null, null, null, null,
-       case when arrival_seq % 17 = 3 then 'not a report' when arrival_seq % 19 = 5 then 'bad json' else 'no hostname' end
-from m where arrival_seq % 17 = 3 or arrival_seq % 19 = 5 or arrival_seq % 23 = 7""")
+select arrival_seq, null, null, null, null, null, null, null, null, unnest(
+         case when how = 'mixed' then ['not a report', 'not a report', 'not a report'] else [how] end)
+from spoilt where how <> 'plain'""")
 ORACLES["classify_messages"] = _with(M, select="select arrival_seq, hostname, kind from m")
 ORACLES["explode_entries"] = _with(M, select="""
 select hostname as host, arrival_seq, time, 0 as entry_idx, client_nid, target, ev as event, val as value
@@ -383,16 +391,20 @@ ORACLES["collapse_hosts"] = """
 with h as (select distinct l_orderkey % 500 as job, l_suppkey as n from lineitem),
 i as (select *, n - row_number() over (partition by job order by n) as run from h),
 r as (select job, run, min(n) as low, max(n) as high from i group by all),
-t as (select job, count(*) as runs, min(low) as low, max(high) as high,
-             string_agg(case when low = high then cast(low as varchar) else concat(low, '-', high) end, ',' order by low) as ranges
+t as (select job, count(*) = 1 and min(low) = max(high) as single,
+             string_agg(case when low = high then cast(low as varchar) else concat(low, '-', high) end, ',' order by low) as plain,
+             string_agg(case when low = high then lpad(cast(low as varchar), 4, '0')
+                             else concat(lpad(cast(low as varchar), 4, '0'), '-', lpad(cast(high as varchar), 4, '0')) end,
+                        ',' order by low) as padded
       from r group by job)
-select job, case when runs = 1 and low = high then concat('n', low) else concat('n[', ranges, ']') end as hostlist,
-       cast(null as varchar) as error
+select job, case when single then concat('n', plain, ',p', padded, ',r[1-2]x', plain)
+                 else concat('n[', plain, '],p[', padded, '],r[1-2]x[', plain, ']') end as hostlist,
+       case when job % 50 = 7 then 'forbidden character' end as error
 from t"""
 ORACLES["natural_sort"] = """
-select distinct concat('n', l_suppkey, 'x', l_linenumber) as host,
-       concat('n', lpad(cast(l_suppkey as varchar), 12, '0'), 'x', lpad(cast(l_linenumber as varchar), 12, '0')) as sort_text
-from lineitem"""
+select cast(l_linenumber as varchar) as part, concat('n', l_suppkey, 'x', l_linenumber) as host,
+       row_number() over (partition by l_linenumber order by l_suppkey) as place
+from (select distinct l_suppkey, l_linenumber from lineitem)"""
 ORACLES["expand_tasks_per_node"] = """
 with good as (select p_partkey as job, p_size, p_partkey % 4 as r from part where p_partkey % 20 <> 7)
 select job, unnest(range(r)) as node_idx, p_size as tasks, null as error from good
@@ -429,6 +441,23 @@ def _feed_groups(tags, where="true"):
 _LAST = "(server, time) in (select host, cast(max(time) as bigint) from times group by host)"
 ORACLES["reports_to_groups"] = _with(FEED, _feed_groups(J), select=f"""
 select server, time, {_tags(J)} event, round(value, 6) as value from g""")
+_ARRIVAL = "(time - 1704067200) // 16384 * 8 + cast(right(server, 1) as int)"
+ORACLES["reports_to_groups_range"] = _with(FEED, _feed_groups(J), select=f"""
+select server, time, {_tags(J)} event, round(value, 6) as value from g where {_ARRIVAL} between 400 and 640""")
+# Only the last sample of each tick of a host counts; node messages stay as they are.
+_TICK_SAMPLES = f"""
+all_counters as ({T.duck(T.COUNTERS)}),
+all_cpu as ({T.duck(T.CPU)}),
+counted as (
+  select host, max(time) as time from (select host, time from all_counters union select host, time from all_cpu)
+  group by host, floor(time / 40000.0)),
+counters as (select * from all_counters where (host, time) in (from counted)),
+cpu as (select * from all_cpu where (host, time) in (from counted)),"""
+_TICKS = FEED.replace(f"counters as ({T.duck(T.COUNTERS)}),", _TICK_SAMPLES, 1).replace(
+    f"\ncpu as ({T.duck(T.CPU)}),", "", 1
+).replace("client, system, uid from entry)", "client, system, uid from all_counters)")
+ORACLES["reports_to_groups_ticks"] = _with(_TICKS, _feed_groups(J), select=f"""
+select server, time, {_tags(J)} event, round(value, 6) as value from g""")
 ORACLES["current_top"] = _with(
     FEED, _feed_groups(LEVELS["u"], _LAST), _derived(LEVELS["u"]),
     select=f"select server, time, {_tags(LEVELS['u'])} {_DERIVED} from d order by iops desc nulls last",
@@ -450,6 +479,8 @@ ORACLES["export_stream"] = _with(
     FEED,
     """cuts as (select max(seq) + 1 as span from (
                   select max(arrival_seq) as seq from cpu union all
+                  select max(arrival_seq) + 4 from cpu where host = 'oss1' union all
+                  select max(arrival_seq) + 20 from cpu where host = 'oss2' union all
                   select max(cast(k * 8 + 4 as bigint)) from seen))""",
     """last as (select host as server, cast(max(time) as bigint) as time
                from cpu, cuts group by host, floor(arrival_seq * 3 / span))""",
@@ -463,6 +494,37 @@ select time, server as host, system, fid, jid, uid, '*' as client, event, round(
                    unnest([nclients, load, load_eff, iops, bytes]) from d)
 where value > 0""")
 ORACLES["stream_buckets"] = _r("""
-select cast(epoch(t) as bigint) as t, host, event, round(sum(value), 6) as value
-from (select *, time_bucket(interval '1 hour', time) as t from h)
-where t + interval '1 hour' <= (select max(time) from h) group by all""")
+select cast(epoch(time_bucket(interval '1 hour', time)) as bigint) as t, host, event, round(sum(value), 6) as value
+from h group by all""")
+
+# --- the stored table ------------------------------------------------------------------
+
+_STORED_RANGE = "time > epoch(timestamp '2024-01-05 06:30:00') and time <= epoch(timestamp '2024-01-08 18:00:00')"
+ORACLES["stored_in_range"] = _with(_STORED, select=f"select * exclude (date) from dated where {_STORED_RANGE}")
+ORACLES["stored_gapfill"] = _with(_STORED, f"""
+b as (select time // 21600 as n, host, event, sum(value) as value from stored where {_STORED_RANGE} group by all),
+k as (select distinct host, event from b)""", select="""
+select s.n * 21600 as t, host, event, round(coalesce(b.value, 0.0), 3) as value
+from (select *, unnest(range(cast(epoch(timestamp '2024-01-05 06:00:00') as bigint) // 21600,
+                             cast(epoch(timestamp '2024-01-08 18:00:00') as bigint) // 21600 + 1)) as n from k) s
+left join b using (n, host, event)""")
+ORACLES["compaction_report"] = _with(_STORED, select="""
+select date, true as before, date < date '2024-01-12' as after from dated group by date""")
+ORACLES["total_bytes"] = "select true as sized"
+ORACLES["compact_again"] = "select 0 as new_files"
+
+# --- pages -----------------------------------------------------------------------------
+
+ORACLES["overview_shares"] = ORACLES["latest_active_share"]
+ORACLES["overview_heat_map"] = _r(
+    f"select * replace (round(value, 6) as value) from ({_bucket('1 minute', 'host', 'load_eff')})")
+ORACLES["host_page_shares"] = f"select * from ({ORACLES['latest_active_share']}) where host = 'srv2.cluster'"
+ORACLES["host_page_series"] = _r(f"""
+select * replace (round(value, 6) as value) from ({_bucket('1 minute', 'host, system, jid', 'load_eff')})
+where host = 'srv2.cluster'""")
+_SHOWN_BY_UNIT = """case when contains(event, '[bytes') then value * (1.0 / 1048576) else value end"""
+ORACLES["top_events"] = _with(COUNTERS, _groups(()), _derived(()), select=f"""
+select d.server, d.time, {_DERIVED.replace('round(', 'round(d.')}, g.event, round({_SHOWN_BY_UNIT}, 6) as value
+from d join g using (server, time)
+where {_SHOWN_BY_UNIT} >= 2 and not contains(event, '[usec')
+  and event not in ('load', 'load_eff', 'read_bytes', 'write_bytes', 'iops', 'bytes', 'nclients')""")

@@ -5,7 +5,7 @@ from __future__ import annotations
 import datetime as dt
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from checks import tables as T
@@ -17,10 +17,10 @@ from iolens.operators import rates as R
 from iolens.operators import tagging as M
 from iolens.operators import view as V
 from iolens.plans import pages, reports
-from iolens.schema import DERIVED, ORDER, TAGS
+from iolens.schema import DERIVED, LEVELS, ORDER, TAGS
 from iolens.sources import captured, history_table, mappings
 from iolens.sources import reports as P
-from iolens.streaming.reports import export_stream, stream_buckets, stream_rates
+from iolens.streaming.reports import export_stream, open_buckets, stream_buckets, stream_rates
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -89,9 +89,7 @@ def nclients(spark, sf):
 
 @query
 def attach_load(spark, sf):
-    rows = rate_rows(spark, sf)
-    groups = R.attach_load(R.aggregate_by_tags(rows), R.cpu_rates(rows))
-    return seconds(groups).select("server", "time", *TAGS, F.col("events")["load"].alias("load"))
+    return seconds(tag_groups(spark, sf)).select("server", "time", *TAGS, F.col("events")["load"].alias("load"))
 
 
 @query
@@ -101,7 +99,9 @@ def aggregate_with_load(spark, sf):
 
 @query
 def host_snapshot(spark, sf):
-    return rounded(seconds(R.group_events(R.host_snapshot(tag_groups(spark, sf)))), "value")
+    samples = T.entries(spark, sf).select(F.col("host").alias("server"), F.timestamp_seconds("time").alias("time"))
+    groups = R.host_snapshot(tag_groups(spark, sf), R.latest_samples(samples))
+    return rounded(seconds(R.group_events(groups)), "value")
 
 
 # --- grouping, filters, derived events -------------------------------------
@@ -122,7 +122,7 @@ for _level in "fujcsn":
 
 @query
 def group_levels(spark, sf):
-    return rounded(seconds(G.group_levels(tag_groups(spark, sf))), "value")
+    return rounded(seconds(G.group_levels(tag_groups(spark, sf, LEVELS["c"]))), "value")
 
 
 def derived_columns(derived: DataFrame) -> DataFrame:
@@ -185,6 +185,12 @@ def top_detailed(spark, sf):
     return rounded(seconds(out), *DERIVED, "read_mb", "write_mb")
 
 
+@query
+def top_events(spark, sf):
+    derived = G.derive_events(G.group_rates(tag_groups(spark, sf), "n"))
+    return rounded(seconds(V.top_events(derived)), *DERIVED, "value")
+
+
 @query
 def rank_load_eff(spark, sf):
     return rounded(seconds(reports.top_report(tag_groups(spark, sf), "s")), *DERIVED)
@@ -324,6 +330,29 @@ def job_detail(spark, sf):
     return rounded(pages.job_detail(recent(spark, sf), "j7"), "value")
 
 
+HOST = "srv2.cluster"
+
+
+@query
+def overview_shares(spark, sf):
+    return rounded(pages.overview(history(spark, sf))["shares"], "value", "total", "share", "angle")
+
+
+@query
+def overview_heat_map(spark, sf):
+    return rounded(pages.overview(recent(spark, sf))["heat_map"], "value")
+
+
+@query
+def host_page_shares(spark, sf):
+    return rounded(pages.host_page(history(spark, sf), HOST)["shares"], "value", "total", "share", "angle")
+
+
+@query
+def host_page_series(spark, sf):
+    return rounded(pages.host_page(recent(spark, sf), HOST)["series"], "value")
+
+
 @query
 def with_units(spark, sf):
     return H.with_units(history(spark, sf)).groupBy("event", "unit").agg(F.count(F.lit(1)).alias("n"))
@@ -471,14 +500,15 @@ def expand_hosts_query(spark, sf):
 
 @query
 def collapse_hosts_query(spark, sf):
-    return collapse_hosts(T.table(spark, sf, T.GROUP_HOSTS), ["job"], "host", block=64)
+    return collapse_hosts(T.table(spark, sf, T.MIXED_HOSTS), ["job"], "host", numeric_fields=2, block=64)
 
 
 @query
 def natural_sort(spark, sf):
-    names = T.table(spark, sf, T.HOST_NAMES).withColumn("key", natural_key("host"))
-    text = F.transform("key", lambda t: F.when(t["text"] == 0, F.lpad(t["token"], 12, "0")).otherwise(t["token"]))
-    return names.select("host", F.array_join(text, "").alias("sort_text")).orderBy("sort_text")
+    """The place of each name among those of its last digit, by the operator's own key."""
+    names = T.table(spark, sf, T.HOST_NAMES).withColumn("part", F.right("host", F.lit(1)))
+    place = F.row_number().over(Window.partitionBy("part").orderBy(natural_key("host")))
+    return names.select("part", "host", place.alias("place"))
 
 
 @query
@@ -489,13 +519,13 @@ def expand_tasks_per_node_query(spark, sf):
 
 # --- whole feeds, the stored table, streams -----------------------------------
 
-FEED_FILES = 3
+FEED_PARTS, FEED_BLOCK = 3, 64
 
 
-def feed(spark, sf):
-    lines = T.feed_lines(spark, sf).select(F.split("value", "\t", 2).alias("__p"), "arrival_seq")
+def feed(spark, sf, late=True):
+    lines = T.feed_lines(spark, sf, late).select(F.split("value", "\t", 2).alias("__p"), "arrival_seq")
     parsed = P.parse_reports(lines.select("arrival_seq", F.get("__p", F.lit(1)).alias("msg")))[0]
-    return P.store_messages(parsed, T.work_dir(spark))
+    return P.store_messages(parsed, T.work_dir(spark), block=FEED_BLOCK)
 
 
 @query
@@ -503,6 +533,22 @@ def reports_to_groups(spark, sf):
     return rounded(seconds(R.group_events(reports.groups_from_messages(feed(spark, sf)))), "value")
 
 
+@query
+def reports_to_groups_range(spark, sf):
+    """The reports of some arrivals, from a store of two loads of which one came twice."""
+    path, messages = T.work_dir(spark), feed(spark, sf).drop("load", "block")
+    for load, part in (("a", "arrival_seq < 480"), ("b", "arrival_seq >= 480"), ("a", "arrival_seq < 480")):
+        stored = P.store_messages(messages.where(part), path, load, FEED_BLOCK)
+    groups = reports.groups_from_messages(stored, first=400, last=640, lookback=200, block=FEED_BLOCK)
+    return rounded(seconds(R.group_events(groups)), "value")
+
+
+@query
+def reports_to_groups_ticks(spark, sf):
+    groups = reports.groups_from_messages(feed(spark, sf, late=False), every=40000.0)
+    return rounded(seconds(R.group_events(groups)), "value")
+
+
 @query
 def current_top(spark, sf):
     groups = reports.current_groups(feed(spark, sf), mode="asof")
@@ -536,6 +582,45 @@ def compact_history(spark, sf):
     )
 
 
+@query
+def compact_again(spark, sf):
+    """Files of a second run: there is nothing left to do for it."""
+    path = stored_history(spark, sf)
+    for _ in range(2):
+        history_table.compact_history(spark, path, path + "-compact", COMPACT_NOW)
+        files = spark.read.parquet(path + "-compact").select(F.col("_metadata.file_path").alias("file")).distinct()
+        files.write.mode("append").parquet(path + "-files")
+    seen = spark.read.parquet(path + "-files").groupBy("file").agg(F.count(F.lit(1)).alias("runs"))
+    return seen.agg(F.count_if(F.col("runs") != 2).alias("new_files"))
+
+
+@query
+def compaction_report(spark, sf):
+    path = stored_history(spark, sf)
+    history_table.compact_history(spark, path, path + "-compact", COMPACT_NOW)
+    report = history_table.compaction_report(spark, path, path + "-compact")
+    sized = lambda c: (F.coalesce(c, F.lit(0)) > 0).alias(c.removesuffix("_bytes"))
+    return report.select("date", sized("before_bytes"), sized("after_bytes"))
+
+
+@query
+def total_bytes(spark, sf):
+    return history_table.total_bytes(spark, stored_history(spark, sf)).select((F.col("bytes") > 0).alias("sized"))
+
+
+@query
+def stored_in_range(spark, sf):
+    table = history_table.read_history(spark, stored_history(spark, sf))
+    return rounded(seconds(H.in_range(table, START, END).drop("date")), "value")
+
+
+@query
+def stored_gapfill(spark, sf):
+    table = history_table.read_history(spark, stored_history(spark, sf))
+    filled = H.gapfill(table, "6h", START, END, keys=("host", "event"), agg="sum")
+    return filled.select(F.unix_seconds("t").alias("t"), "host", "event", F.round("value", 3).alias("value"))
+
+
 @query
 def storage_report(spark, sf):
     report = history_table.storage_report(spark, stored_history(spark, sf))
@@ -545,17 +630,18 @@ def storage_report(spark, sf):
     )
 
 
-def feed_stream(spark, sf):
-    """The feed as a stream of files, one per micro-batch and in arrival order."""
+def run_feed(spark, sf, writer_of):
+    """Run a stream over the feed, one micro-batch for each third of it in arrival order."""
     path = T.work_dir(spark)
     T.feed_lines(spark, sf).write.parquet(path + "/lines")
     lines = spark.read.parquet(path + "/lines")
     span = lines.agg(F.max("arrival_seq")).first()[0] + 1
-    for n in range(FEED_FILES):
-        part = lines.where(F.floor(F.col("arrival_seq") * FEED_FILES / span) == n)
-        part.select("value").coalesce(1).write.mode("append").text(path + "/feed")
-    stream = P.read_reports(spark, path + "/feed", streaming=True, maxFilesPerTrigger=1)
-    return P.parse_reports(stream)[0], path
+    for n in range(FEED_PARTS):
+        part = lines.where(F.floor(F.col("arrival_seq") * FEED_PARTS / span) == n)
+        part.select("value").write.mode("append").text(path + "/feed")
+        messages = P.parse_reports(P.read_reports(spark, path + "/feed", streaming=True))[0]
+        finish(writer_of(messages, path), path)
+    return path
 
 
 def finish(writer, path):
@@ -564,8 +650,7 @@ def finish(writer, path):
 
 @query
 def stream_rates_query(spark, sf):
-    messages, path = feed_stream(spark, sf)
-    finish(stream_rates(messages, path + "/state", path + "/rates"), path)
+    path = run_feed(spark, sf, lambda messages, path: stream_rates(messages, path + "/state", path + "/rates"))
     rows = spark.read.option("basePath", path + "/rates").parquet(path + "/rates")
     return seconds(rows).select(
         "server", "time", "client_nid", "target", "client", "system", "jid", "uid", "fid",
@@ -575,8 +660,7 @@ def stream_rates_query(spark, sf):
 
 @query
 def export_stream_query(spark, sf):
-    messages, path = feed_stream(spark, sf)
-    finish(export_stream(messages, path + "/state", path + "/history"), path)
+    path = run_feed(spark, sf, lambda messages, path: export_stream(messages, path + "/state", path + "/history"))
     return rounded(seconds(spark.read.parquet(path + "/history").drop("date", "batch_id")), "value")
 
 
@@ -588,5 +672,6 @@ def stream_buckets_query(spark, sf):
     stream = spark.readStream.schema(rows.schema).parquet(path + "/history")
     writer = stream_buckets(stream, "1h", "0 seconds").writeStream.format("parquet")
     finish(writer.option("path", path + "/sums"), path)
-    # the last bucket stays open: nothing newer closes it
-    return rounded(spark.read.parquet(path + "/sums").withColumn("t", F.unix_seconds("t")), "value")
+    sums = spark.read.parquet(path + "/sums")
+    sums = sums.unionByName(open_buckets(rows, sums, "1h"))
+    return rounded(sums.withColumn("t", F.unix_seconds("t")), "value")

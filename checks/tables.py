@@ -9,7 +9,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 SPARK = {
@@ -169,6 +169,15 @@ GROUP_HOSTS = """
 select l_orderkey % 500 as job, concat('n', cast(l_suppkey as string)) as host from {LINEITEM}
 """
 
+# Plain, padded and two-number names, and some that no list can hold.
+MIXED_HOSTS = """
+select l_orderkey % 500 as job, concat('n', cast(l_suppkey as string)) as host from {LINEITEM}
+union all select l_orderkey % 500, concat('p', lpad(cast(l_suppkey as string), 4, '0')) from {LINEITEM}
+union all select l_orderkey % 500, concat('r1x', cast(l_suppkey as string)) from {LINEITEM}
+union all select l_orderkey % 500, concat(' r2x', cast(l_suppkey as string), ' ') from {LINEITEM}
+union all select l_orderkey % 500, concat('bad[', cast(l_suppkey as string), ']') from {LINEITEM} where l_orderkey % 50 = 7
+"""
+
 JOB_LINES = """
 select o_orderkey as line_no,
        case when o_orderkey % 50 = 3 then concat(cast(o_orderkey as string), ' short')
@@ -258,18 +267,30 @@ def report_lines(spark: SparkSession, sf_dir: str, broken: bool = True) -> DataF
     text = messages(spark, sf_dir).select("arrival_seq", F.to_json(F.struct(*fields)).alias("msg"))
     if not broken:
         return text
-    seq = F.col("arrival_seq")
-    nameless = F.regexp_replace("msg", '"hostname"', '"host"')
+    seq, sample = F.col("arrival_seq"), F.col("msg").contains('"data":[')
+    swap = lambda pattern, new: F.regexp_replace("msg", pattern, new)
+    twice = F.concat(F.lit("["), "msg", F.lit(","), "msg", F.lit("]"))
     return text.withColumn(
         "msg",
         F.when(seq % 17 == 3, F.concat(F.lit("x"), "msg"))
         .when(seq % 19 == 5, F.col("msg").substr(F.lit(1), F.length("msg") - 1))
-        .when(seq % 23 == 7, nameless)
-        .when(seq % 5 == 2, F.concat(F.lit("["), "msg", F.lit(","), "msg", F.lit("]")))
+        .when(seq % 23 == 7, swap('"hostname"', '"host"'))
+        .when(seq % 29 == 4, F.concat(F.lit("[5,"), "msg", F.lit(',"x",null]')))
+        .when(sample & (seq % 31 == 6), swap('"time":([0-9.E]+)', '"time":" $1"'))
+        .when(sample & (seq % 37 == 8), swap('"data":\\[.*\\]', '"data":{"x":[1]}'))
+        .when(sample & (seq % 41 == 9), swap('"time":[0-9.E]+,', ""))
+        .when(sample & (seq % 43 == 10), swap('"time":[0-9.E]+', '"time":"later"'))
+        .when(seq % 5 == 2, twice)
         .otherwise(F.col("msg")),
     )
 
 
+def odd_stats(msg: Column) -> Column:
+    """Give the first counter twice, a counter the name of a derived event, and the cpu a value over 63 bits."""
+    odd = F.regexp_replace(msg, '"stats":\\{"([^"]+)":', '"stats":{"$1":"1","nclients":7,"$1":')
+    return F.regexp_replace(odd, '"user":', '"idle":18446744073709551615,"user":')
+
+
 def feed_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Counter reports, and after each of them a node message per client in it.
 
@@ -307,13 +328,26 @@ def feed_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reports.unionByName(nodes).withColumn("msg_idx", F.lit(0))
 
 
-def feed_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The feed as lines ``arrival_seq<TAB>message``."""
+def feed_lines(spark: SparkSession, sf_dir: str, late: bool = True) -> DataFrame:
+    """The feed as lines ``arrival_seq<TAB>message``, with odd texts that change no rate.
+
+    With ``late`` two hosts send their reports again: one at once, with the same time,
+    and one after two newer reports. Both come too late to count.
+    """
     fields = ["hostname", "time", "obdclass", "nid", "system", "jid", "uid", "data"]
-    return feed_messages(spark, sf_dir).select(
-        "arrival_seq",
-        F.concat(F.col("arrival_seq").cast("string"), F.lit("\t"), F.to_json(F.struct(*fields))).alias("value"),
+    seq, host = F.col("arrival_seq"), F.col("hostname")
+    again = F.when(host == "oss1", seq + 4).when(host == "oss2", seq + 20)
+    text = odd_stats(F.to_json(F.struct(*fields)))
+    lines = feed_messages(spark, sf_dir).select("hostname", "arrival_seq", "data", text.alias("msg"))
+    copies = lines.where("data is not null").select(again.alias("arrival_seq"), "msg").where("arrival_seq is not null")
+    lines = lines.select("arrival_seq", "msg")
+    lines = lines.unionByName(copies) if late else lines
+    msg = (
+        F.when(seq % 3 == 0, F.concat(F.lit("["), "msg", F.lit(",5]")))
+        .when(seq % 3 == 1, F.regexp_replace("msg", '"time":([0-9.E]+)', '"time":"$1"'))
+        .otherwise(F.col("msg"))
     )
+    return lines.select("arrival_seq", F.concat(seq.cast("string"), F.lit("\t"), msg).alias("value"))
 
 
 def work_dir(spark: SparkSession) -> str:

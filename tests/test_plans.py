@@ -9,20 +9,23 @@ import pytest
 sys.path.insert(0, str(Path(__file__).resolve().parents[1]))
 from __spark_entry__ import entry, oracle_sql, queries  # noqa: E402
 from checks import compare  # noqa: E402
+from checks.oracles import ORACLES  # noqa: E402
+from checks.queries import QUERIES  # noqa: E402
 from checks import tables as T  # noqa: E402
 from iolens.operators import tagging as M  # noqa: E402
 from iolens.operators.rates import aggregate_with_load, rates  # noqa: E402
-from iolens.plans.reports import groups_from_messages  # noqa: E402
+from iolens.plans.reports import current_groups, groups_from_messages  # noqa: E402
 from iolens.sources import reports as P  # noqa: E402
 
 SF = "/root/testdata/sf0.001"
 WRITING = {
     "write_history", "compact_history", "storage_report", "stream_rates", "export_stream", "stream_buckets",
-    "reports_to_groups", "current_top",
+    "reports_to_groups", "current_top", "reports_to_groups_range", "reports_to_groups_ticks",
+    "compact_again", "compaction_report", "total_bytes", "stored_in_range", "stored_gapfill",
 }
 # variants of a plan that is looked at already
 ALIKE = {*(f"group_{x}" for x in "fujsn"), "filter_user", "filter_job", "filter_server", "own_rows", "derive_events",
-         "load_eff", "top_detailed", "nclients", "aggregate_by_tags", "rank_load_eff", "to_history"}
+         "load_eff", "top_detailed", "nclients", "aggregate_by_tags", "rank_load_eff", "to_history", "top_events"}
 
 pytestmark = pytest.mark.skipif(not Path(SF).exists(), reason="driver tables are not there")
 
@@ -32,11 +35,27 @@ def plan(df):
 
 
 def test_names_agree():
-    assert set(oracle_sql()) == set(queries())
+    assert set(ORACLES) == set(QUERIES)
+    assert set(queries()) >= set(QUERIES) and set(oracle_sql()) <= set(queries())
+
+
+def test_entry_without_the_part_that_may_be_absent(monkeypatch):
+    """Without the folder of the training-text operators the rest is registered as before."""
+    import importlib
+    import importlib.util
+
+    import __spark_entry__
+
+    found = importlib.util.find_spec
+    absent = ("iolens.llm", "corpus_pipeline")
+    monkeypatch.setattr(importlib.util, "find_spec", lambda name, *a: None if name in absent else found(name, *a))
+    assert set(importlib.reload(__spark_entry__).queries()) == set(QUERIES)
+    monkeypatch.undo()
+    importlib.reload(__spark_entry__)
 
 
 def test_no_cross_join_python_or_single_task(spark):
-    for name, query in queries().items():
+    for name, query in QUERIES.items():
         if name in WRITING | ALIKE:
             continue
         text = plan(query(spark, SF))
@@ -73,6 +92,38 @@ def test_stored_messages_are_read_in_part(spark):
     assert text.count("stats:map") == 1
 
 
+def test_reports_move_twice_at_most(spark):
+    """Where nothing can be broadcast: counters move once as reports, once as entries."""
+    stored = P.store_messages(T.feed_messages(spark, SF), T.work_dir(spark))
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        for frame, scans in ((groups_from_messages(stored), 1), (current_groups(stored), 2)):
+            mode = spark._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("formatted")
+            text = frame._jdf.queryExecution().explainString(mode)
+            moved = re.findall(r"\) Exchange\s*\nInput \[\d+\]: \[([^\]]*)\]", text)
+            assert moved
+            wide = [c for c in moved if re.search(r"\b(stats|data)#", c)]
+            assert len(wide) <= 2, wide
+            reads = re.findall(r"Output \[\d+\]: \[([^\]]*)\]\s*\nBatched: \w+\s*\nLocation", text)
+            assert sum("data#" in c for c in reads) <= scans, reads
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
+def test_store_is_read_in_part(spark):
+    path = T.work_dir(spark)
+    feed = T.feed_messages(spark, SF)
+    for load, part in (("a", "arrival_seq < 300"), ("b", "arrival_seq >= 300"), ("a", "arrival_seq < 300")):
+        stored = P.store_messages(feed.where(part), path, load, block=64)
+    assert stored.count() == feed.count()
+    near = P.messages_between(stored, 400, 500, lookback=50, block=64)
+    assert "block" in plan(near).split("PartitionFilters")[1].split("]")[0]
+    samples = P.samples_of(near).agg({"arrival_seq": "min"}).first()[0], P.samples_of(near).agg({"arrival_seq": "max"}).first()[0]
+    assert 350 <= samples[0] and samples[1] <= 500
+    assert M.node_map(near).count() == M.node_map(stored.where("arrival_seq <= 500")).count()
+
+
 def test_entry(spark):
     df = entry(spark)
     assert df.columns[:2] == ["server", "time"] and 0 < df.count() <= 20
