@@ -285,6 +285,9 @@ def report_lines(spark: SparkSession, sf_dir: str, broken: bool = True) -> DataF
     )
 
 
+ODD_COUNTERS = ("nclients", "idle")
+
+
 def odd_stats(msg: Column) -> Column:
     """Give the first counter twice, a counter the name of a derived event, and the cpu a value over 63 bits."""
     odd = F.regexp_replace(msg, '"stats":\\{"([^"]+)":', '"stats":{"$1":"1","nclients":7,"$1":')
