@@ -2,10 +2,13 @@
 
 A paragraph is a line of a text. Its shingles are runs of five lower-cased words; ``ROWS`` MinHash values
 make a band, and paragraphs that share one of ``BANDS`` bands are candidates. At a similarity of 0.8 a
-pair misses all bands once in 1,600 times, at 0.85 once in 30,000. Candidates are verified by the exact
+pair misses all bands once in 1,300 times, at 0.85 once in 13,000. Candidates are verified by the exact
 Jaccard similarity of their shingle sets, links are gathered to connected components, and one
 occurrence of each component stays.
 
+A passage may also be repeated inside longer lines that are not alike. So the sentences of a line
+are units too, which meet other sentences and lines of the same words by one band more.
+
 Not all pairs of a band are looked at. First every paragraph of a band is compared with the band's
 smallest. Those that differ from it are then compared with all others of the band; in bands where that
 would be too many pairs, with one of them at a time, round by round.
@@ -13,12 +16,13 @@ would be too many pairs, with one of them at a time, round by round.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from iolens.llm.common import stored
@@ -27,22 +31,30 @@ from iolens.llm.components import connected_components
 SHINGLE = 5
 SIMILARITY = 0.8
 MIN_WORDS = 10
-BANDS, ROWS = 14, 4
+BANDS, ROWS = 10, 3
 #: Pairs of a band that are all compared in one round, and rounds.
 MOST_PAIRS, ROUNDS = 2048, 12
 #: Bits of the fixed-size filter that keeps texts without a candidate from being shuffled.
 FILTER_BITS = 24
 
 
-def paragraphs(text: str | None, min_words: int) -> Iterator[tuple[int, int, int, list[bytes]]]:
-    """``(number, start, end, words)`` of the lines with enough words; numbers count all lines."""
-    if not text:
-        return
+_SENTENCE_END = re.compile(r"(?<=[.!?])[\x20\x09-\x0D]")
+
+
+def units(text: str | None, min_words: int) -> Iterator[tuple[int, int, int, bool, list[bytes]]]:
+    """``(line, start, end, is a sentence, words)`` of lines, and sentences of them, with enough words."""
     at = 0
-    for number, line in enumerate(text.split("\n")):
+    for number, line in enumerate(text.split("\n") if text else ()):
         words = line.encode().lower().split()
         if len(words) >= min_words:
-            yield number, at, at + len(line), words
+            yield number, at, at + len(line), False, words
+            pieces = _SENTENCE_END.split(line) if len(words) > min_words else ()
+            inside = at
+            for piece in pieces if len(pieces) > 1 else ():
+                own = piece.encode().lower().split()
+                if min_words <= len(own) < len(words):
+                    yield number, inside, inside + len(piece), True, own
+                inside += len(piece) + 1
         at += len(line) + 1
 
 
@@ -103,11 +115,12 @@ def repeated_paragraphs(
     """One row per paragraph that has a near copy: where it is, its class, and whether it goes.
 
     ``doc_id, paragraph, start, end, n_words, class_doc_id, class_paragraph, removed``: ``paragraph``
-    numbers the lines of the text from 0, ``start`` and ``end`` are its characters, the class is named
-    by its first occurrence in the order of id and number, which is the one that stays. Paragraphs of
-    fewer than ``min_words`` (at least 5) words are never repeated ones; null and empty texts have
-    none. A null id comes before all others. Repeated rows repeat their paragraphs, all of which
-    but one go. Other columns are not read. An empty table gives no rows.
+    numbers the lines of the text from 0, ``start`` and ``end`` are the characters of the line or
+    sentence; sentences of lines that have a row themselves are left out. The class is named by its
+    first occurrence in the order of id, line and start, which is the one that stays. Lines and
+    sentences of fewer than ``min_words`` (at least 5) words are never repeated ones; null and empty
+    texts have none. A null id comes before all others. Repeated rows repeat their paragraphs, all of
+    which but one go. Other columns are not read. An empty table gives no rows.
     """
     if min_words < SHINGLE:
         raise ValueError(f"paragraphs need at least {SHINGLE} words")
@@ -117,57 +130,85 @@ def repeated_paragraphs(
     links = _links(chosen, stored(_crowded(bands), "bands"), min_words)
     members = connected_components(links)
     named = signed.drop("bands").join(members, signed["para"] == members["node"], "left")
-    named = named.select(
-        "doc_id", "paragraph", "start", "end", "n_words", F.coalesce("component", "para").alias("class")
-    )
-    place = F.struct("doc_id", "paragraph")
-    classes = named.groupBy("class").agg(F.min(place).alias("first"), F.count("*").alias("n")).where("n > 1")
-    return named.join(classes, "class").select(
+    named = named.withColumn("class", F.coalesce("component", "para"))
+    place = F.struct("doc_id", "paragraph", "start", "sentence")
+    # stored, so that the join below can split a large class
+    classes = stored(named.groupBy("class").agg(F.min(place).alias("first"), F.count("*").alias("n")).where("n > 1"), "classes")
+    found = stored(named.join(classes, "class").withColumn("removed", ~place.eqNullSafe(F.col("first"))), "repeated")
+    whole = found.where("not sentence").select(F.col("doc_id").alias("d"), F.col("paragraph").alias("p")).distinct()
+    inside = found.where("sentence")
+    inside = inside.join(whole, inside["doc_id"].eqNullSafe(whole["d"]) & (F.col("paragraph") == F.col("p")), "left_anti")
+    return found.where("not sentence").unionByName(inside).select(
         "doc_id", "paragraph", "start", "end", "n_words",
-        F.col("first.doc_id").alias("class_doc_id"), F.col("first.paragraph").alias("class_paragraph"),
-        (~place.eqNullSafe(F.col("first"))).alias("removed"),
+        F.col("first.doc_id").alias("class_doc_id"), F.col("first.paragraph").alias("class_paragraph"), "removed",
     )
 
 
 def remove_paragraphs(docs: DataFrame, repeated: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` with the paragraphs that go, and their line ends, taken out of the text."""
-    gone = repeated.where("removed").groupBy(F.col("doc_id").alias("__id")).agg(F.collect_set("paragraph").alias("__gone"))
+    """``docs`` with what goes, and one blank or line end after it, taken out of the text."""
+    span = F.struct("start", "end")
+    gone = repeated.where("removed").groupBy(F.col("doc_id").alias("__id")).agg(F.collect_set(span).alias("__gone"))
     joined = docs.join(gone, docs[id_col].eqNullSafe(gone["__id"]), "left")
-    lines = F.filter(F.split(F.col(text_col), "\n"), lambda s, i: ~F.array_contains("__gone", i.cast("long")))
-    text = F.when(F.col("__gone").isNull(), F.col(text_col)).otherwise(F.array_join(lines, "\n"))
-    return joined.select(*[text.alias(c) if c == text_col else docs[c] for c in docs.columns])
+    text = F.col(text_col)
+    begin = F.struct(F.lit(0).cast("long").alias("at"), F.lit("").alias("kept"))
+
+    def step(acc: Column, cut: Column) -> Column:
+        piece = F.substring(text, (acc["at"] + 1).cast("int"), (cut["start"] - acc["at"]).cast("int"))
+        return F.struct((cut["end"] + 1).alias("at"), F.concat(acc["kept"], piece).alias("kept"))
 
+    def rest(acc: Column) -> Column:
+        return F.concat(acc["kept"], F.substring(text, (acc["at"] + 1).cast("int"), F.length(text)))
 
-_SIGNED = "doc_id long, paragraph long, start long, end long, n_words long, para long, bands array<long>"
+    cleaned = F.when(F.col("__gone").isNull(), text).otherwise(F.aggregate(F.array_sort("__gone"), begin, step, rest))
+    return joined.select(*[cleaned.alias(c) if c == text_col else docs[c] for c in docs.columns])
+
+
+_FIELDS = ("doc_id", "paragraph", "start", "end", "n_words", "para")
+_SIGNED = ", ".join(f"{f} long" for f in _FIELDS) + ", sentence boolean, bands array<long>"
 
 
 def _signer(min_words: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: set[int] = set()  # a paragraph's bands are given once per task
+        lines, sentences = set(), set()  # bands are given once per task
         for batch in batches:
-            rows, fresh, at = [], [], []
+            rows, fresh, line_at, sentence_at = [], [], [], []
             for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text")):
-                for number, start, end, words in paragraphs(text.as_py(), min_words):
+                for number, start, end, sentence, words in units(text.as_py(), min_words):
                     para = paragraph_id(words)
-                    if para not in seen:
-                        seen.add(para)
+                    if sentence and para not in sentences:
+                        sentences.add(para)
+                        sentence_at.append(len(rows))
+                    elif not sentence and para not in lines:
+                        lines.add(para)
+                        line_at.append(len(rows))
                         fresh.append(words)
-                        at.append(len(rows))
-                    rows.append((doc_id, number, start, end, len(words), para))
-            columns = [pa.array(c, pa.int64()) for c in zip(*rows)] if rows else [pa.array([], pa.int64())] * 6
-            sizes = np.zeros(len(rows), np.int32)
-            sizes[at] = BANDS
-            offsets = pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32))
-            lists = pa.ListArray.from_arrays(offsets, pa.array(bands_of(fresh).ravel()), mask=pa.array(sizes == 0))
-            names = ["doc_id", "paragraph", "start", "end", "n_words", "para", "bands"]
-            yield pa.RecordBatch.from_arrays([*columns, lists], names)
+                    rows.append((doc_id, number, start, end, len(words), para, sentence))
+            values = list(zip(*rows)) or [()] * 7
+            columns = [pa.array(c, pa.int64()) for c in values[:6]] + [pa.array(values[6], pa.bool_())]
+            columns.append(_band_lists(np.array(values[5], np.int64), line_at, sentence_at, bands_of(fresh)))
+            yield pa.RecordBatch.from_arrays(columns, [*_FIELDS, "sentence", "bands"])
 
     return run
 
 
+def _band_lists(paras: np.ndarray, line_at: list[int], sentence_at: list[int], bands: np.ndarray) -> pa.Array:
+    """For new lines the band of equal words and the MinHash bands, for new sentences the first."""
+    sizes = np.zeros(len(paras), np.int32)
+    sizes[line_at], sizes[sentence_at] = BANDS + 1, 1
+    offsets = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)
+    flat = np.empty(offsets[-1], np.int64)
+    equal = _mixed(paras.view(np.uint64)).view(np.int64)
+    for at in (line_at, sentence_at):
+        flat[offsets[at]] = equal[at]
+    if line_at:
+        flat[offsets[line_at][:, None] + 1 + np.arange(BANDS)] = bands
+    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat), mask=pa.array(sizes == 0))
+
+
 def _crowded(bands: DataFrame) -> DataFrame:
     """``band, para, leader, n`` for bands of several paragraphs."""
-    leaders = bands.groupBy("band").agg(F.min("para").alias("leader"), F.count("*").alias("n")).where("n > 1")
+    # stored, so that the join below can split a large band
+    leaders = stored(bands.groupBy("band").agg(F.min("para").alias("leader"), F.count("*").alias("n")).where("n > 1"), "leaders")
     return bands.join(leaders, "band")
 
 
@@ -216,7 +257,7 @@ def _texts(docs: DataFrame, wanted: DataFrame, min_words: int) -> DataFrame:
         for batch in batches:
             out: dict[int, bytes] = {}
             for text in batch.column("text"):
-                for _, _, _, own in paragraphs(text.as_py(), min_words):
+                for *_, own in units(text.as_py(), min_words):
                     para = paragraph_id(own)
                     at = para % size
                     if para not in seen and int(bits[at >> 6]) >> (at & 63) & 1:

@@ -8,15 +8,15 @@ from iolens.llm import paragraph_dedup as P
 
 
 def brute(rows, min_words=P.MIN_WORDS):
-    """Class of each paragraph by comparing all pairs."""
-    occurrences, sets = [], {}
+    """Class of each line and lone sentence: all pairs of lines compared, sentences by their words."""
+    occurrences, lines = [], {}
     for name, text in rows:
-        for number, _, _, words in P.paragraphs(text, min_words):
+        for number, start, _, sentence, words in P.units(text, min_words):
             key = b" ".join(words)
-            occurrences.append((name, number, key))
-            sets.setdefault(key, P.shingles(words))
-    keys = list(sets)
-    parent = {k: k for k in keys}
+            occurrences.append(((name, number, start, sentence), key))
+            if not sentence:
+                lines.setdefault(key, P.shingles(words))
+    keys, parent = list(lines), {k: k for _, k in occurrences}
 
     def root(k):
         while parent[k] != k:
@@ -25,23 +25,23 @@ def brute(rows, min_words=P.MIN_WORDS):
 
     for i, a in enumerate(keys):
         for b in keys[i + 1 :]:
-            both = len(sets[a] & sets[b])
-            if both >= P.SIMILARITY * (len(sets[a]) + len(sets[b]) - both):
+            both = len(lines[a] & lines[b])
+            if both >= P.SIMILARITY * (len(lines[a]) + len(lines[b]) - both):
                 parent[root(a)] = root(b)
     classes = defaultdict(list)
-    for name, number, key in occurrences:
-        classes[root(key)].append((name, number))
+    for place, key in occurrences:
+        classes[root(key)].append(place)
     out = {}
     for places in classes.values():
         if len(places) > 1:
             first = min(places, key=lambda p: (p[0] is not None, p))
-            for p in places:
-                out[p] = first
-    return out
+            out.update((p, first[:2]) for p in places)
+    whole = {p[:2] for p in out if not p[3]}
+    return {p[:3]: c for p, c in out.items() if not p[3] or p[:2] not in whole}
 
 
 def classes_of(result):
-    return {(r.doc_id, r.paragraph): (r.class_doc_id, r.class_paragraph) for r in result}
+    return {(r.doc_id, r.paragraph, r.start): (r.class_doc_id, r.class_paragraph) for r in result}
 
 
 def edited(rng, words, n):
@@ -75,8 +75,8 @@ def test_against_all_pairs(frame):
     assert sum(mine[k] == want[k] for k in mine) >= 0.99 * len(mine)
     texts = dict(rows)
     for r in got:
-        assert texts[r.doc_id][r.start : r.end] == texts[r.doc_id].split("\n")[r.paragraph]
-        assert r.removed == ((r.doc_id, r.paragraph) != (r.class_doc_id, r.class_paragraph))
+        assert texts[r.doc_id][r.start : r.end] in texts[r.doc_id].split("\n")[r.paragraph]
+        assert r.removed or (r.doc_id, r.paragraph) == (r.class_doc_id, r.class_paragraph)
 
 
 def test_table(spark, sf):
@@ -113,11 +113,30 @@ def test_odd_rows(frame):
         P.repeated_paragraphs(frame(rows), min_words=3)
 
 
+def test_passages_inside_other_lines(frame):
+    """A passage of some sentences in the middle of unlike lines, and as a line of its own."""
+    rng = random.Random(2)
+    word = lambda: "".join(rng.choice("abcdefghijklmnop") for _ in range(5))
+    prose = lambda k: " ".join(" ".join(word() for _ in range(rng.randrange(3, 16))) + "." for _ in range(k))
+    passage = prose(7)
+    rows = [(i, f"{prose(20)} {passage} {prose(20)}\n{prose(9)}") for i in range(6)] + [(6, passage), (7, prose(30))]
+    got = P.repeated_paragraphs(frame(rows)).collect()
+    assert classes_of(got) == brute(rows)
+    assert {r.doc_id for r in got} >= set(range(6)) and 7 not in {r.doc_id for r in got}
+    sentences = [s + "." for s in passage.rstrip(".").split(". ")]
+    long = {s for s in sentences if len(s.split()) >= P.MIN_WORDS}
+    texts = dict(rows)
+    assert {texts[r.doc_id][r.start : r.end] for r in got} == long
+    cleaned = {r.doc_id: r.text for r in P.remove_paragraphs(frame(rows), P.repeated_paragraphs(frame(rows))).collect()}
+    assert cleaned[0] == texts[0] and all(s not in cleaned[i] for s in long for i in range(1, 6))
+    assert len(cleaned[3].split()) == len(texts[3].split()) - sum(len(s.split()) for s in long)
+
+
 def test_removal(frame):
     line = " ".join(f"w{i}" for i in range(20))
     docs = frame([(1, line), (2, f"a\n{line}\nb"), (3, None)])
     cleaned = P.remove_paragraphs(docs, P.repeated_paragraphs(docs))
-    assert cleaned.columns == docs.columns
+    assert "sentence" not in cleaned.columns and cleaned.columns == docs.columns
     assert {r.doc_id: r.text for r in cleaned.collect()} == {1: line, 2: "a\nb", 3: None}
 
 
