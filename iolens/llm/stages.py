@@ -24,21 +24,36 @@ def quality_rules_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
     return quality_rules.judged(measured, cuts).where("kept").select("row.*")
 
 
+#: Bits of the fixed-size filter that tells most documents that stay from those that are looked up.
+FILTER_BITS = 24
+
+
 def simhash_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies: the one with the smallest id.
 
     Rows of the same id are one document, and rows without an id are one if their texts are equal;
     of those the smallest row stays. Documents with an id go before documents without.
+
+    Only documents that may go, or come several times, are shuffled whole: a filter with no more
+    rows than ``2 ** FILTER_BITS / 64``, whatever the data, is broadcast to let the others pass.
     """
     ship_package(spark)
     unnamed = F.lit(1 << 62) + F.shiftrightunsigned(F.xxhash64("text"), 2)
     keyed = docs.select(F.coalesce("doc_id", unnamed).alias("key"), F.struct(*docs.columns).alias("row"), "text")
-    named = simhash.with_components(keyed, "key")
-    heads = stored(named.where("doc_id = component_id").groupBy("doc_id").agg(F.count("*").alias("n")), "heads")
-    rows = keyed.select("key", "row")
-    single = rows.join(heads.where("n = 1"), F.col("key") == F.col("doc_id"), "left_semi").select("row")
-    repeated = rows.join(heads.where("n > 1"), F.col("key") == F.col("doc_id"), "left_semi")
-    return single.union(repeated.groupBy("key").agg(F.min("row").alias("row")).select("row")).select("row.*")
+    named = simhash.with_components(keyed, "key").groupBy(F.col("doc_id").alias("key"))
+    counted = stored(named.agg(F.count("*").alias("n"), F.bool_or(F.expr("doc_id = component_id")).alias("head")), "heads")
+    doubtful = counted.where("n > 1 or not head")
+    place = F.pmod(F.xxhash64("key"), F.lit(1 << FILTER_BITS))
+    bit = F.expr(f"shiftleft(1L, cast(pmod(xxhash64(key), {1 << FILTER_BITS}) % 64 as int))")
+    words = doubtful.groupBy(F.floor(place / 64).alias("word")).agg(F.bit_or(bit).alias("bits"))
+    marked = keyed.select("key", "row", F.floor(place / 64).alias("word"), bit.alias("bit"))
+    marked = marked.join(F.broadcast(words), "word", "left")
+    looked_up = F.coalesce(F.col("bits").bitwiseAND(F.col("bit")) != 0, F.lit(False))
+    plain = marked.where(~looked_up).select("row")
+    rest = marked.where(looked_up).select("key", "row").join(counted, "key").where("head")
+    single = rest.where("n = 1").select("row")
+    repeated = rest.where("n > 1").groupBy("key").agg(F.min("row").alias("row")).select("row")
+    return plain.union(single).union(repeated).select("row.*")
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
