@@ -34,7 +34,8 @@ def _signature(edges: DataFrame) -> tuple:
 
 def _large_star(edges: DataFrame) -> DataFrame:
     """Join each larger neighbour of a node to the smallest node next to it."""
-    smaller = edges.groupBy(F.col("hi").alias("u")).agg(F.min("lo").alias("m"))
+    # stored, so that the join can split the edges of a hub
+    smaller = stored(edges.groupBy(F.col("hi").alias("u")).agg(F.min("lo").alias("m")), "smaller")
     # the larger neighbours of u are the edges whose low end is u; its smallest is below u if it has one
     moved = edges.join(smaller, edges["lo"] == smaller["u"], "left")
     return moved.select("hi", F.coalesce("m", "lo").alias("lo")).distinct()

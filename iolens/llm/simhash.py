@@ -63,7 +63,8 @@ def with_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     rooted = smallest.join(members, smallest["fp"] == members["node"], "left").select(
         "fp", "first_id", F.coalesce("component", "fp").alias("root")
     )
-    heads = rooted.groupBy("root").agg(F.min("first_id").alias("component_id"))
+    # stored, so that the join below can split a large component
+    heads = stored(rooted.groupBy("root").agg(F.min("first_id").alias("component_id")), "simhash-heads")
     named = rooted.join(heads, "root").select("fp", "component_id")
     return prints.join(named, "fp").select("doc_id", "fp", "component_id")
 
