@@ -33,7 +33,7 @@ END = 1
 #: A file is closed once it has this many ids.
 FILE_IDS = 4_000_000
 #: Parsed pieces of text an encoder remembers before it starts anew.
-REMEMBERED = 400_000
+REMEMBERED = 250_000
 
 #: Characters on which the fast way is proven to agree with the library (see the tests).
 _PLAIN = re.compile("[\t\n\r -~¡-¬®-ÿ]*")
