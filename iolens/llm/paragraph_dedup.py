@@ -34,6 +34,8 @@ MIN_WORDS = 10
 BANDS, ROWS = 10, 3
 #: Pairs of a band that are all compared in one round, and rounds.
 MOST_PAIRS, ROUNDS = 2048, 12
+#: Words of new lines that a worker signs at a time.
+HELD_WORDS = 200_000
 #: Bits of the fixed-size filter that keeps texts without a candidate from being shuffled.
 FILTER_BITS = 24
 
@@ -126,7 +128,7 @@ def repeated_paragraphs(
         raise ValueError(f"paragraphs need at least {SHINGLE} words")
     chosen = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     signed = stored(chosen.mapInArrow(_signer(min_words), _SIGNED), "paragraphs")
-    bands = signed.where("bands is not null").select("para", F.explode("bands").alias("band")).distinct()
+    bands = signed.where("bands is not null").select("para", F.explode("bands").alias("band"))
     links = _links(chosen, stored(_crowded(bands), "bands"), min_words)
     members = connected_components(links)
     named = signed.drop("bands").join(members, signed["para"] == members["node"], "left")
@@ -170,8 +172,8 @@ _SIGNED = ", ".join(f"{f} long" for f in _FIELDS) + ", sentence boolean, bands a
 def _signer(min_words: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lines, sentences = set(), set()  # bands are given once per task
+        rows, fresh, line_at, sentence_at, held = [], [], [], [], 0
         for batch in batches:
-            rows, fresh, line_at, sentence_at = [], [], [], []
             for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text")):
                 for number, start, end, sentence, words in units(text.as_py(), min_words):
                     para = paragraph_id(words)
@@ -182,15 +184,23 @@ def _signer(min_words: int):
                         lines.add(para)
                         line_at.append(len(rows))
                         fresh.append(words)
+                        held += len(words)
                     rows.append((doc_id, number, start, end, len(words), para, sentence))
-            values = list(zip(*rows)) or [()] * 7
-            columns = [pa.array(c, pa.int64()) for c in values[:6]] + [pa.array(values[6], pa.bool_())]
-            columns.append(_band_lists(np.array(values[5], np.int64), line_at, sentence_at, bands_of(fresh)))
-            yield pa.RecordBatch.from_arrays(columns, [*_FIELDS, "sentence", "bands"])
+                if held > HELD_WORDS:  # whole documents, but few at a time
+                    yield _signed(rows, line_at, sentence_at, fresh)
+                    rows, fresh, line_at, sentence_at, held = [], [], [], [], 0
+        yield _signed(rows, line_at, sentence_at, fresh)
 
     return run
 
 
+def _signed(rows: list[tuple], line_at: list[int], sentence_at: list[int], fresh: list) -> pa.RecordBatch:
+    values = list(zip(*rows)) or [()] * 7
+    columns = [pa.array(c, pa.int64()) for c in values[:6]] + [pa.array(values[6], pa.bool_())]
+    columns.append(_band_lists(np.array(values[5], np.int64), line_at, sentence_at, bands_of(fresh)))
+    return pa.RecordBatch.from_arrays(columns, [*_FIELDS, "sentence", "bands"])
+
+
 def _band_lists(paras: np.ndarray, line_at: list[int], sentence_at: list[int], bands: np.ndarray) -> pa.Array:
     """For new lines the band of equal words and the MinHash bands, for new sentences the first."""
     sizes = np.zeros(len(paras), np.int32)
@@ -206,10 +216,11 @@ def _band_lists(paras: np.ndarray, line_at: list[int], sentence_at: list[int], b
 
 
 def _crowded(bands: DataFrame) -> DataFrame:
-    """``band, para, leader, n`` for bands of several paragraphs."""
+    """``band, para, leader, n`` for bands of several paragraphs; ``n`` also counts repeats by tasks."""
+    leaders = bands.groupBy("band").agg(F.min("para").alias("leader"), F.max("para").alias("last"), F.count("*").alias("n"))
     # stored, so that the join below can split a large band
-    leaders = stored(bands.groupBy("band").agg(F.min("para").alias("leader"), F.count("*").alias("n")).where("n > 1"), "leaders")
-    return bands.join(leaders, "band")
+    leaders = stored(leaders.where("leader < last").drop("last"), "leaders")
+    return bands.join(leaders, "band").distinct()
 
 
 def _links(docs: DataFrame, crowded: DataFrame, min_words: int) -> DataFrame:
