@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from iolens.llm.common import stored
+
 RATIO = 0.5
 MIN_PAGES = 10
 
@@ -51,7 +53,8 @@ def drop_site_lines(
     pages_with = listed.where("h is not null").groupBy("h", "line").agg(F.count("*").alias("n"))
     totals = pages.where(F.col(host).isNotNull()).groupBy(F.col(host).alias("h")).agg(F.count("*").alias("pages"))
     common = pages_with.join(totals.where(F.col("pages") >= min_pages), "h").where(F.col("n") > ratio * F.col("pages"))
-    drops = common.groupBy("h").agg(F.collect_list("line").alias("__drops"))
+    # stored, so that the join below can split the pages of a large host
+    drops = stored(common.groupBy("h").agg(F.collect_list("line").alias("__drops")), "site-drops")
     joined = pages.join(drops, pages[host] == drops["h"], "left")
     own = F.coalesce(lines, F.array().cast("array<string>"))
     kept = F.when(F.col("__drops").isNull(), own).otherwise(
