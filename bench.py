@@ -87,7 +87,7 @@ def jobs(spark: SparkSession, t: dict[str, DataFrame], root: str) -> dict:
         "rates_to_groups": lambda: reports.groups_from_entries(t["entries"]),
         "reports_to_groups": lambda: reports.groups_from_messages(t["feed"]),
         "current_groups": lambda: reports.current_groups(t["feed"]),
-        "group_levels": lambda: G.group_levels(t["groups"]),
+        "group_levels": lambda: G.group_levels(t["groups"], "fujsn"),
         "top_report": lambda: reports.top_report(t["groups"], "u"),
         "to_history": lambda: H.to_history(G.derive_events(t["groups"])),
         "stored_history_day": lambda: H.bucket_sum_by_host(
