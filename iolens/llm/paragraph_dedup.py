@@ -216,8 +216,8 @@ def _band_lists(paras: np.ndarray, line_at: list[int], sentence_at: list[int], b
 
 
 def _crowded(bands: DataFrame) -> DataFrame:
-    """``band, para, leader, n`` for bands of several paragraphs; ``n`` also counts repeats by tasks."""
-    leaders = bands.groupBy("band").agg(F.min("para").alias("leader"), F.max("para").alias("last"), F.count("*").alias("n"))
+    """``band, para, leader`` for bands of several paragraphs, each once however many tasks gave it."""
+    leaders = bands.groupBy("band").agg(F.min("para").alias("leader"), F.max("para").alias("last"))
     # stored, so that the join below can split a large band
     leaders = stored(leaders.where("leader < last").drop("last"), "leaders")
     return bands.join(leaders, "band").distinct()
@@ -226,11 +226,12 @@ def _crowded(bands: DataFrame) -> DataFrame:
 def _links(docs: DataFrame, crowded: DataFrame, min_words: int) -> DataFrame:
     """``a, b``: verified links that connect what the bands hold."""
     texts = stored(_texts(docs, crowded.select("para").distinct(), min_words), "texts")
-    star = crowded.where("para <> leader").select("band", "n", F.col("leader").alias("a"), F.col("para").alias("b"))
+    star = crowded.where("para <> leader").select("band", F.col("leader").alias("a"), F.col("para").alias("b"))
     checked = stored(_verified(star.select("a", "b").distinct(), texts), "checked")
     links = checked.where("near").select("a", "b")
-    open_ = star.join(checked.where("not near"), ["a", "b"]).select("band", "n", F.col("b").alias("para"))
-    open_ = stored(open_, "open")
+    open_ = star.join(checked.where("not near"), ["a", "b"]).select("band", F.col("b").alias("para"))
+    counts = crowded.groupBy("band").agg(F.count("*").alias("n"))
+    open_ = stored(open_.join(counts, "band"), "open")
     for _ in range(ROUNDS):
         sizes = open_.groupBy("band").agg(F.count("*").alias("left"), F.min("para").alias("next"), F.first("n").alias("n"))
         if sizes.isEmpty():

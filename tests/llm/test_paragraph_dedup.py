@@ -100,6 +100,13 @@ def test_crowded_bands(frame, monkeypatch, most):
     assert got == brute(rows)
 
 
+def test_size_of_a_band_is_that_of_its_paragraphs(spark):
+    """However many tasks gave a paragraph, it counts once."""
+    signed = [(7, p) for p in range(3)] + [(7, 1)] * 240 + [(8, 5)] * 9
+    crowded = P._crowded(spark.createDataFrame(signed, "band long, para long").repartition(16))
+    assert sorted(map(tuple, crowded.collect())) == [(7, 0, 0), (7, 1, 0), (7, 2, 0)]
+
+
 def test_odd_rows(frame):
     line = " ".join(f"w{i}" for i in range(20))
     rows = [(None, line), (5, None), (6, ""), (7, f"\n\n{line.upper()}  \nshort line\n{line}"), (8, "short line"), (8, "short line"), (9, line), (9, line)]
