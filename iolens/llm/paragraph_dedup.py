@@ -10,8 +10,9 @@ A passage may also be repeated inside longer lines that are not alike. So the se
 are units too, which meet other sentences and lines of the same words by one band more.
 
 Not all pairs of a band are looked at. First every paragraph of a band is compared with the band's
-smallest. Those that differ from it are then compared with all others of the band; in bands where that
-would be too many pairs, with one of them at a time, round by round.
+smallest. Those that differ from it are then compared with all others of the band; the paragraphs of bands
+where that would be too many pairs are compared with all those that can be alike, which an exact join
+by their rarest shingles finds.
 """
 
 from __future__ import annotations
@@ -32,8 +33,8 @@ SHINGLE = 5
 SIMILARITY = 0.8
 MIN_WORDS = 10
 BANDS, ROWS = 10, 3
-#: Pairs of a band that are all compared in one round, and rounds.
-MOST_PAIRS, ROUNDS = 2048, 12
+#: Pairs of a band that are all compared; the paragraphs of bands with more meet by rare shingles.
+MOST_PAIRS = 2048
 #: Words of new lines that a worker signs at a time.
 HELD_WORDS = 200_000
 #: Bits of the fixed-size filter that keeps texts without a candidate from being shuffled.
@@ -230,25 +231,56 @@ def _links(docs: DataFrame, crowded: DataFrame, min_words: int) -> DataFrame:
     checked = stored(_verified(star.select("a", "b").distinct(), texts), "checked")
     links = checked.where("near").select("a", "b")
     open_ = star.join(checked.where("not near"), ["a", "b"]).select("band", F.col("b").alias("para"))
-    counts = crowded.groupBy("band").agg(F.count("*").alias("n"))
-    open_ = stored(open_.join(counts, "band"), "open")
-    for _ in range(ROUNDS):
-        sizes = open_.groupBy("band").agg(F.count("*").alias("left"), F.min("para").alias("next"), F.first("n").alias("n"))
-        if sizes.isEmpty():
-            break
-        # few pairs: all that are left with all of the band; many: the next one with all
-        whole = open_.join(sizes.where(F.col("left") * F.col("n") <= MOST_PAIRS).select("band"), "band")
-        alone = sizes.where(F.col("left") * F.col("n") > MOST_PAIRS).select("band", "n", F.col("next").alias("para"))
-        tried = whole.select("band", "n", "para").union(alone.select("band", "n", "para"))
-        pairs = tried.select("band", F.col("para").alias("x")).join(crowded.select("band", "para"), "band")
-        pairs = pairs.where("x <> para").select("band", F.least("x", "para").alias("a"), F.greatest("x", "para").alias("b"), "para")
-        pairs = stored(pairs, "pairs")
-        found = stored(_verified(pairs.select("a", "b").distinct(), texts), "checked")
-        links = links.union(found.where("near").select("a", "b"))
-        near = pairs.join(found.where("near"), ["a", "b"]).select("band", "para").distinct()
-        rest = open_.join(alone.select("band", F.col("para").alias("next")), "band").where("para <> next").drop("next")
-        open_ = stored(rest.join(near, ["band", "para"], "left_anti"), "open")
-    return links
+    left = open_.groupBy("band").agg(F.count("*").alias("left"))
+    sizes = stored(crowded.groupBy("band").agg(F.count("*").alias("n")).join(left, "band"), "sizes")
+    few = F.col("left") * F.col("n") <= MOST_PAIRS
+    # few pairs: all that are left with all of the band
+    tried = open_.join(sizes.where(few).select("band"), "band").select("band", F.col("para").alias("x"))
+    pairs = tried.join(crowded.select("band", "para"), "band").where("x <> para")
+    pairs = pairs.select(F.least("x", "para").alias("a"), F.greatest("x", "para").alias("b")).distinct()
+    found = stored(_verified(pairs, texts), "checked")
+    links = links.union(found.where("near").select("a", "b"))
+    # many: all of those bands that are not connected yet and can be alike
+    many = crowded.join(sizes.where(~few).select("band"), "band").select("para").distinct()
+    pairs = _alike(many, texts, connected_components(links))
+    found = stored(_verified(pairs, texts), "checked")
+    return links.union(found.where("near").select("a", "b"))
+
+
+def _alike(paras: DataFrame, texts: DataFrame, members: DataFrame) -> DataFrame:
+    """``a, b``: all pairs of different components that can be alike, by a prefix filter.
+
+    The shingles of a paragraph are put in order, rarest first. Let ``o`` of ``m`` and of ``n`` shingles be
+    common. The first common one has at least ``o - 1`` after it on both sides, so it is among the first
+    ``m - o + 1`` and ``n - o + 1``, and its places tell whether ``o`` can be large enough. At a similarity of
+    ``s``, ``o`` is at least ``s / (1 + s) * (m + n)``, and that at least ``s * n``: paragraphs meet by their
+    rarest fifth. Shingles that no other paragraph has come first and meet nothing.
+    """
+    lists = stored(paras.join(texts, "para").mapInArrow(_shingle_hashes, "para long, size long, shingle long"), "shingles")
+    # stored, so that the join below can split a common shingle
+    common = stored(lists.groupBy("shingle").agg(F.count("*").alias("df")).where("df > 1"), "common")
+    own = lists.join(common, "shingle").groupBy("para", "size").agg(F.array_sort(F.collect_list(F.struct("df", "shingle"))).alias("own"))
+    place = F.col("i") + F.col("size") - F.size("own")
+    rare = own.select("para", "size", "own", F.posexplode("own").alias("i", "at")).select(
+        "para", F.col("size").cast("long"), place.cast("long").alias("place"), F.col("at.shingle").alias("shingle")
+    )
+    rare = rare.where(F.col("place") <= F.col("size") * (1 - SIMILARITY) + 1e-6)
+    named = rare.join(members.withColumnRenamed("node", "para"), "para", "left").withColumn("component", F.coalesce("component", "para"))
+    left = stored(named, "rare")
+    right = left.select("shingle", *[F.col(c).alias(f"{c}_") for c in ("para", "size", "place", "component")])
+    most = F.least(F.col("size") - F.col("place"), F.col("size_") - F.col("place_"))
+    enough = most * (1 + SIMILARITY) + 1e-6 >= (F.col("size") + F.col("size_")) * SIMILARITY
+    met = (left["shingle"] == right["shingle"]) & (F.col("para") < F.col("para_")) & (F.col("component") != F.col("component_")) & enough
+    return left.join(right, met).select(F.col("para").alias("a"), F.col("para_").alias("b")).distinct()
+
+
+def _shingle_hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for para, text in zip(batch.column("para").to_pylist(), batch.column("text").to_pylist()):
+            own = {xxhash.xxh64_intdigest(s) for s in shingles(text.encode().split())}
+            hashes = pa.array(np.fromiter(own, np.uint64, len(own)).view(np.int64))
+            same = [pa.array(np.full(len(own), x, np.int64)) for x in (para, len(own))]
+            yield pa.RecordBatch.from_arrays([*same, hashes], ["para", "size", "shingle"])
 
 
 def _texts(docs: DataFrame, wanted: DataFrame, min_words: int) -> DataFrame:

@@ -107,6 +107,22 @@ def test_size_of_a_band_is_that_of_its_paragraphs(spark):
     assert sorted(map(tuple, crowded.collect())) == [(7, 0, 0), (7, 1, 0), (7, 2, 0)]
 
 
+def test_all_of_a_crowded_band_is_compared(spark, frame):
+    """A band of 130 paragraphs that differ from the smallest, with a few like pairs among them."""
+    rng = random.Random(6)
+    fresh = lambda: [f"w{rng.randrange(10**9)}" for _ in range(60)]
+    lines = [fresh() for _ in range(100)]
+    lines += [edited(rng, line, 1) for line in lines[:30]]
+    texts = [" ".join(line) for line in lines]
+    keys = [P.paragraph_id(t.encode().split()) for t in texts]
+    band = P._crowded(spark.createDataFrame([(3, k) for k in keys], "band long, para long"))
+    links = {frozenset(r) for r in P._links(frame(list(enumerate(texts))), band, P.MIN_WORDS).collect()}
+    sets = dict(zip(keys, (P.shingles(t.encode().split()) for t in texts)))
+    like = lambda a, b: len(sets[a] & sets[b]) >= P.SIMILARITY * len(sets[a] | sets[b])
+    want = {frozenset((a, b)) for i, a in enumerate(keys) for b in keys[i + 1 :] if like(a, b)}
+    assert len(want) > 10 and links == want
+
+
 def test_odd_rows(frame):
     line = " ".join(f"w{i}" for i in range(20))
     rows = [(None, line), (5, None), (6, ""), (7, f"\n\n{line.upper()}  \nshort line\n{line}"), (8, "short line"), (8, "short line"), (9, line), (9, line)]
