@@ -113,14 +113,17 @@ def bands_of(texts: list[list[bytes]]) -> np.ndarray:
 
 
 def repeated_paragraphs(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS, kept_lines: bool = False
 ) -> DataFrame:
     """One row per paragraph that has a near copy: where it is, its class, and whether it goes.
 
     ``doc_id, paragraph, start, end, n_words, class_doc_id, class_paragraph, removed``: ``paragraph``
     numbers the lines of the text from 0, ``start`` and ``end`` are the characters of the line or
     sentence; sentences of lines that have a row themselves are left out. The class is named by its
-    first occurrence in the order of id, line and start, which is the one that stays. Lines and
+    first occurrence in the order of id, line and start, which is the one that stays. With ``kept_lines``
+    only the sentences of lines that go are left out, and of a line that stays they go by themselves;
+    the class is then named by the occurrence that stays, which is the first one in lines that stay, or
+    the line itself if it holds sentences of enough words. Lines and
     sentences of fewer than ``min_words`` (at least 5) words are never repeated ones; null and empty
     texts have none. A null id comes before all others. Repeated rows repeat their paragraphs, all of
     which but one go. Other columns are not read. An empty table gives no rows.
@@ -133,7 +136,16 @@ def repeated_paragraphs(
     links = _links(chosen, stored(_crowded(bands), "bands"), min_words)
     members = connected_components(links)
     named = signed.drop("bands").join(members, signed["para"] == members["node"], "left")
-    named = named.withColumn("class", F.coalesce("component", "para"))
+    named = named.withColumn("class", F.coalesce("component", "para")).drop("node", "component")
+    found = _found_in_kept(stored(named, "named")) if kept_lines else _found(named)
+    return found.select(
+        "doc_id", "paragraph", "start", "end", "n_words",
+        F.col("first.doc_id").alias("class_doc_id"), F.col("first.paragraph").alias("class_paragraph"), "removed",
+    )
+
+
+def _found(named: DataFrame) -> DataFrame:
+    """Repeated lines, and repeated sentences of other lines."""
     place = F.struct("doc_id", "paragraph", "start", "sentence")
     # stored, so that the join below can split a large class
     classes = stored(named.groupBy("class").agg(F.min(place).alias("first"), F.count("*").alias("n")).where("n > 1"), "classes")
@@ -141,10 +153,26 @@ def repeated_paragraphs(
     whole = found.where("not sentence").select(F.col("doc_id").alias("d"), F.col("paragraph").alias("p")).distinct()
     inside = found.where("sentence")
     inside = inside.join(whole, inside["doc_id"].eqNullSafe(whole["d"]) & (F.col("paragraph") == F.col("p")), "left_anti")
-    return found.where("not sentence").unionByName(inside).select(
-        "doc_id", "paragraph", "start", "end", "n_words",
-        F.col("first.doc_id").alias("class_doc_id"), F.col("first.paragraph").alias("class_paragraph"), "removed",
-    )
+    return found.where("not sentence").unionByName(inside)
+
+
+def _found_in_kept(named: DataFrame) -> DataFrame:
+    """Repeated lines, and repeated sentences of the lines that stay."""
+    place = F.struct("doc_id", "paragraph", "start", "sentence")
+    # stored, so that the joins below can split a large class
+    heads = stored(named.where("not sentence").groupBy("class").agg(F.min(place).alias("head")), "heads")
+    headed = named.where("not sentence").join(heads, "class").withColumn("copy", ~place.eqNullSafe(F.col("head"))).drop("head")
+    lines = stored(headed, "lines")
+    # sentences of copies go with their line; those of other lines are occurrences of their own
+    gone = lines.where("copy").select(F.col("doc_id").alias("d"), F.col("paragraph").alias("p")).distinct()
+    inside = named.where("sentence")
+    inside = inside.join(gone, inside["doc_id"].eqNullSafe(gone["d"]) & (F.col("paragraph") == F.col("p")), "left_anti")
+    units_ = stored(lines.unionByName(inside.withColumn("copy", F.lit(False))), "units")
+    # a line with sentences of its own stays before any sentence, so that no sentence that stays is lost with its line
+    rank = F.when(F.col("copy"), 2).when(F.col("holds"), 0).otherwise(1)
+    ranked = F.struct(rank.alias("rank"), *[F.col(c) for c in ("doc_id", "paragraph", "start", "sentence")])
+    classes = stored(units_.groupBy("class").agg(F.min(ranked).alias("first"), F.count("*").alias("n")).where("n > 1"), "classes")
+    return units_.join(classes, "class").withColumn("removed", ~ranked.eqNullSafe(F.col("first")))
 
 
 def remove_paragraphs(docs: DataFrame, repeated: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -167,7 +195,7 @@ def remove_paragraphs(docs: DataFrame, repeated: DataFrame, id_col: str = "doc_i
 
 
 _FIELDS = ("doc_id", "paragraph", "start", "end", "n_words", "para")
-_SIGNED = ", ".join(f"{f} long" for f in _FIELDS) + ", sentence boolean, bands array<long>"
+_SIGNED = ", ".join(f"{f} long" for f in _FIELDS) + ", sentence boolean, holds boolean, bands array<long>"
 
 
 def _signer(min_words: int):
@@ -186,7 +214,11 @@ def _signer(min_words: int):
                         line_at.append(len(rows))
                         fresh.append(words)
                         held += len(words)
-                    rows.append((doc_id, number, start, end, len(words), para, sentence))
+                    if sentence:
+                        rows[line][-1] = True
+                    else:
+                        line = len(rows)
+                    rows.append([doc_id, number, start, end, len(words), para, sentence, False])
                 if held > HELD_WORDS:  # whole documents, but few at a time
                     yield _signed(rows, line_at, sentence_at, fresh)
                     rows, fresh, line_at, sentence_at, held = [], [], [], [], 0
@@ -195,11 +227,11 @@ def _signer(min_words: int):
     return run
 
 
-def _signed(rows: list[tuple], line_at: list[int], sentence_at: list[int], fresh: list) -> pa.RecordBatch:
-    values = list(zip(*rows)) or [()] * 7
-    columns = [pa.array(c, pa.int64()) for c in values[:6]] + [pa.array(values[6], pa.bool_())]
+def _signed(rows: list[list], line_at: list[int], sentence_at: list[int], fresh: list) -> pa.RecordBatch:
+    values = list(zip(*rows)) or [()] * 8
+    columns = [pa.array(c, pa.int64()) for c in values[:6]] + [pa.array(c, pa.bool_()) for c in values[6:]]
     columns.append(_band_lists(np.array(values[5], np.int64), line_at, sentence_at, bands_of(fresh)))
-    return pa.RecordBatch.from_arrays(columns, [*_FIELDS, "sentence", "bands"])
+    return pa.RecordBatch.from_arrays(columns, [*_FIELDS, "sentence", "holds", "bands"])
 
 
 def _band_lists(paras: np.ndarray, line_at: list[int], sentence_at: list[int], bands: np.ndarray) -> pa.Array:

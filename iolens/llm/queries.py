@@ -62,7 +62,7 @@ def op2_html_tree(spark, sf_dir):
 
 @query
 def op3_paragraph_dedup(spark, sf_dir):
-    return paragraph_dedup.repeated_paragraphs(documents(spark, sf_dir))
+    return paragraph_dedup.repeated_paragraphs(documents(spark, sf_dir), kept_lines=True)
 
 
 @query

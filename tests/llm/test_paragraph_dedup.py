@@ -155,6 +155,23 @@ def test_passages_inside_other_lines(frame):
     assert len(cleaned[3].split()) == len(texts[3].split()) - sum(len(s.split()) for s in long)
 
 
+def test_sentences_of_a_line_that_stays(frame):
+    """A passage of document 1 goes from the line of document 5 that stays, and one occurrence stays of each."""
+    words = lambda c, n=14: " ".join(f"{c}{i}" for i in range(n)) + "."
+    passage, line = words("p"), f"{words('a')} {words('p')} {words('b')}"
+    rows = [(1, f"{words('x')} {passage} {words('y')}"), (5, line), (9, line)]
+    rows += [(10, f"{words('u')} {words('only')}"), (2, f"{words('u')} {words('only')}")]
+    rows += [(3, f"{words('c')} {words('s')}"), (4, words("s"))]
+    found = P.repeated_paragraphs(frame(rows), kept_lines=True)
+    cleaned = {r.doc_id: r.text for r in P.remove_paragraphs(frame(rows), found).collect()}
+    assert cleaned[1] == rows[0][1] and cleaned[5] == f"{words('a')} {words('b')}" and cleaned[9] == ""
+    assert cleaned[2] == rows[3][1] and cleaned[10] == "" and cleaned[3] == rows[5][1] and cleaned[4] == ""
+    got = sorted((r.doc_id, r.paragraph, r.start, r.class_doc_id, r.removed) for r in found.collect())
+    at = len(words("x")) + 1
+    assert got == sorted([(1, 0, at, 1, False), (5, 0, 0, 5, False), (5, 0, len(words("a")) + 1, 1, True), (9, 0, 0, 5, True),
+                          (2, 0, 0, 2, False), (10, 0, 0, 2, True), (3, 0, len(words("c")) + 1, 3, False), (4, 0, 0, 3, True)])
+
+
 def test_removal(frame):
     line = " ".join(f"w{i}" for i in range(20))
     docs = frame([(1, line), (2, f"a\n{line}\nb"), (3, None)])
