@@ -26,6 +26,7 @@ from iolens.sources.reports import (
     classify_messages,
     clients_of,
     explode_entries,
+    last_before,
     mappings_of,
     messages_between,
     samples_of,
@@ -79,11 +80,16 @@ def groups_from_messages(
     (:func:`iolens.sources.reports.store_messages`), not the text. ``every`` keeps only the
     last report of a host in each tick of so many seconds. ``first`` and ``last`` give the
     groups of the reports that arrived in between, from that part of the store and
-    ``lookback`` arrivals before it.
+    ``lookback`` arrivals before it; hosts that were silent for longer go on from their last
+    accepted report, so the rows are those of the feed up to ``last``.
     """
     if first is not None or last is not None:
         first, last = first or 0, (1 << 63) - 1 if last is None else last
-        messages = messages_between(messages, first, last, lookback, block)
+        narrow = samples_of(messages.where(F.col("arrival_seq") <= last))
+        if every is not None:
+            narrow = coalesce_ticks(narrow, every)
+        older = last_before(messages, narrow, first - lookback, block)
+        messages = messages_between(messages, first, last, lookback, block).unionByName(older)
     samples = samples_of(messages)
     if every is not None:
         samples = coalesce_ticks(samples, every)

@@ -132,8 +132,8 @@ def messages_between(
 ) -> DataFrame:
     """What the reports that arrived from ``first`` to ``last`` need of a store.
 
-    All mappings up to then, and samples from ``lookback`` arrivals before: a host whose
-    report before is older begins anew.
+    All mappings up to then, and samples from ``lookback`` arrivals before. Of the older ones
+    :func:`last_before` has those that hosts go on from.
     """
     seq = F.col("arrival_seq")
     df = classify_messages(messages).where(seq <= last)
@@ -145,6 +145,22 @@ def messages_between(
     return df.where(near).unionByName(mappings_of(df.where(far)))
 
 
+def last_before(messages: DataFrame, samples: DataFrame, first: int, block: int = BLOCK) -> DataFrame:
+    """The reports of each host's last accepted one of ``samples`` that arrived before ``first``.
+
+    They are found on narrow rows: the last accepted is the earliest arrival of the latest time.
+    """
+    place = F.struct("time", *[(-F.col(c)).alias(c) for c in ORDER])
+    newest = samples.where(F.col("arrival_seq") < first).groupBy("host").agg(F.max(place).alias("__last"))
+    places = newest.select(F.col("host").alias("hostname"), *[(-F.col("__last")[c]).cast(t).alias(c) for c, t in samples.select(*ORDER).dtypes])
+    df, keys = classify_messages(messages).where("kind = 'sample'").where(F.col("arrival_seq") < first), ["hostname", *ORDER]
+    if "block" in df.columns:
+        places, keys = places.withColumn("block", F.floor(F.col("arrival_seq") / block).cast("bigint")), [*keys, "block"]
+    # their tags are among the mappings
+    tags = {c: F.lit(None).cast("string") for c in ("system", "jid", "uid")}
+    return df.join(places, keys, "left_semi").withColumns(tags).select(df.columns)
+
+
 def mappings_of(messages: DataFrame) -> DataFrame:
     """The messages that tell of nodes or tags, without their data; same columns."""
     df = classify_messages(messages)

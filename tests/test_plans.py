@@ -124,6 +124,24 @@ def test_store_is_read_in_part(spark):
     assert M.node_map(near).count() == M.node_map(stored.where("arrival_seq <= 500")).count()
 
 
+@pytest.mark.parametrize("every", [None, 10.0])
+def test_range_goes_on_from_older_reports(spark, every):
+    """A host silent for longer than the look-back has its rate, and its late report is rejected."""
+    report = lambda host, time, n: (
+        f'{{"hostname":"{host}","obdclass":"mds","time":{time},"jid":"j{n}","data":[{{"stats_type":"mds","target":"fs-MDT0000",'
+        f'"client_nid":"c@tcp","stats":{{"open":"{n}"}}}}]}}'
+    )
+    feed = [(1, report("quiet", 100, 5)), (2, report("quiet", 90, 3)), (3, report("late", 200, 7))]
+    feed += [(10 + i, report("busy", 100 + 20 * i, i)) for i in range(30)]
+    feed += [(41, report("quiet", 140, 25)), (42, report("late", 150, 9)), (43, report("late", 240, 47))]
+    messages = P.parse_reports(spark.createDataFrame(feed, "arrival_seq long, msg string"))[0]
+    stored = P.store_messages(messages, T.work_dir(spark), block=8)
+    rows = lambda df: sorted((r.server, r.time, r.jid, sorted(r.events.items())) for r in df.collect())
+    want = [r for r in rows(groups_from_messages(stored, every=every)) if r[0] != "busy"]
+    got = rows(groups_from_messages(stored, every=every, first=40, last=50, lookback=4, block=8))
+    assert len(want) == 2 and got == want
+
+
 def test_entry(spark):
     df = entry(spark)
     assert df.columns[:2] == ["server", "time"] and 0 < df.count() <= 20
