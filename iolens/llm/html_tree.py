@@ -7,7 +7,7 @@ node's pages carries little information: with ``c`` of ``m`` pages alike, a page
 ``log(m / c) / log(m)``, whose mean over the pages is the normalised entropy of the node. Nodes seen on few
 pages score 1. A branch's importance is put together bottom-up from presentation and content scores;
 what the page itself says weighs in as a prior: 0 for elements that name themselves as menus, adverts,
-forms and the like, 1 inside an element marked as the article. Branches of low importance are
+forms and the like, more inside an element marked as the article. Branches of low importance are
 removed, and the text blocks of the rest are joined.
 """
 
@@ -34,6 +34,8 @@ MIN_PAGES = 5
 OWN_SHARE = 0.1
 #: Branches below are removed.
 LEAST_IMPORTANCE = 0.2
+#: What is inside an article weighs so much more: only what nearly all of the host's pages share goes.
+MAIN_WEIGHT = 1.5
 #: Most entries of the score table that are broadcast (16 bytes each); beyond, pages are joined with theirs.
 MAX_BROADCAST = 4_000_000
 
@@ -109,6 +111,7 @@ class Tag:
     block: bool
     raw: bool
     empty: bool
+    soft: bool  # noise by the words of its class or id only
 
 
 class Page:
@@ -116,6 +119,7 @@ class Page:
 
     def __init__(self, html: str) -> None:
         self.tags, self.parents, self.kinds, self.children = ["#"], [-1], [NONE], [[]]
+        self.hard = [False]  # noise by more than words, or inside such
         self.blocks: list[tuple[int, str]] = []  # (node, text) in page order
         self._run: list[str] = []
         self._held: dict[int, list[str]] = {}  # lines that go on after noise inside them
@@ -163,7 +167,7 @@ class Page:
         over = self.kinds[parent]
         if over:
             if over == NOISE:
-                kind = MAIN if kind == MAIN and self._in_form(parent) else NOISE
+                kind = MAIN if kind == MAIN and (not self.hard[parent] or self._in_form(parent)) else NOISE
             elif kind == NONE or name == "header":  # an article's own head has its title
                 kind = MAIN
         node = len(tags)
@@ -172,6 +176,7 @@ class Page:
         tags.append(name)
         self.parents.append(parent)
         self.kinds.append(kind)
+        self.hard.append(kind == NOISE and (self.hard[parent] or tag.kind == NOISE and not tag.soft))
         self.children.append([])
         self.children[parent].append((node, tag.shape))
         stack.append(node)
@@ -235,31 +240,32 @@ def _tag(text: str) -> Tag | None:
     if text[1] not in "!?":
         name, attrs = _NAME.match(text).groups()
         name, ends = name.lower(), text[1] == "/"
-        kind, shape = (NONE, "") if ends else _read_shape(name, attrs if _TELLING.search(attrs) else "")
+        kind, shape, soft = (NONE, "", False) if ends else _read_shape(name, attrs if _TELLING.search(attrs) else "")
         block, raw = name in BLOCK, name in RAW
         empty = name in VOID or attrs.endswith("/") and not block and not raw
-        tag = Tag(name, ends, kind, shape, block, raw, empty)
+        tag = Tag(name, ends, kind, shape, block, raw, empty, soft)
     if len(_tags) > 20_000:
         _tags.clear()
     _tags[text] = tag
     return tag
 
 
-def _read_shape(name: str, attrs: str) -> tuple[int, str]:
+def _read_shape(name: str, attrs: str) -> tuple[int, str, bool]:
     given = {k.lower(): unescape(a or b or c) for k, a, b, c in _ATTR.findall(attrs)} if attrs.strip() else {}
     css = given.get("class", "")
     words = {w.lower() for w in _PART.findall(f"{css} {given.get('id', '')}")}
     role = given.get("role", "").lower()
     main = name in MAIN_TAGS or role in MAIN_TAGS or given.get("itemprop", "").lower() == "articlebody"
     hides = "hidden" in given or re.search(r"display\s*:\s*none", given.get("style", ""), re.I) is not None
+    told = name in NOISE_TAGS or role in NOISE_ROLES or hides
     if name in ("html", "body", "main"):
         kind = MAIN if name == "main" else NONE
     elif main:
         kind = NOISE if hides or words & NOT_ARTICLES else MAIN
     else:
-        noise = name in NOISE_TAGS or role in NOISE_ROLES or hides or bool(words & NOISE_WORDS)
+        noise = told or bool(words & NOISE_WORDS)
         kind = NOISE if noise and name not in HEADINGS or hides else NONE
-    return kind, f"{name}.{' '.join(sorted(css.split()))}"
+    return kind, f"{name}.{' '.join(sorted(css.split()))}", not told and not words & NOT_ARTICLES
 
 
 def features(page: Page, host: str) -> list[tuple[int, int, int, int]]:
@@ -289,28 +295,30 @@ def main_text(page: Page, scores: dict[tuple[int, int], float]) -> str:
     importance = _importance(page, scores)
     removed = [False] * len(page.tags)
     for node in range(1, len(page.tags)):
-        if page.kinds[node] == NONE:
-            removed[node] = removed[page.parents[node]] or importance[node] < LEAST_IMPORTANCE
+        kind, low = page.kinds[node], importance[node] < LEAST_IMPORTANCE
+        if kind == MAIN:  # an article by itself, or a part of one
+            removed[node] = low or page.kinds[page.parents[node]] == MAIN and removed[page.parents[node]]
         else:
-            removed[node] = page.kinds[node] == NOISE
+            removed[node] = kind == NOISE or removed[page.parents[node]] or low
     kept = [t for n, t in page.blocks if not removed[n] and (page.kinds[n] == MAIN or not marked)]
+    if marked and not kept:  # nearly all pages are copies of this one
+        kept = [t for n, t in page.blocks if page.kinds[n] == MAIN]
     return "\n".join(kept)
 
 
 def _importance(page: Page, scores: dict[tuple[int, int], float]) -> list[float]:
     """Bottom-up: a share from the node's presentation, the rest the largest of its content and children.
 
-    The page's own word is a prior: noise counts 0, what is inside an article counts 1.
+    The page's own word is a prior: noise counts 0, what is inside an article counts ``MAIN_WEIGHT`` fold.
     """
     inside, out = [0.0] * len(page.tags), [0.0] * len(page.tags)
     for node, _ in page.blocks:
         inside[node] = scores.get((node, 1), 1.0)
     for node in range(len(page.tags) - 1, 0, -1):  # children come after their parents
         kind, parent = page.kinds[node], page.parents[node]
-        if kind == NONE and inside[node]:
+        if kind != NOISE and inside[node]:
             out[node] = (1 - OWN_SHARE) * inside[node] + OWN_SHARE * scores.get((node, 0), 1.0)
-        elif kind == MAIN:
-            out[node] = 1.0
+            out[node] = min(1.0, out[node] * (MAIN_WEIGHT if kind == MAIN else 1.0))
         inside[parent] = max(inside[parent], out[node])
     return out
 

@@ -98,3 +98,17 @@ def test_scores_are_entropies(spark):
     m = sum(counts.values())
     mean = sum(c / m * log(m / c) / log(m) for c in counts.values())
     assert mean == pytest.approx(-sum(c / m * log(c / m, m) for c in counts.values()))
+
+
+def test_article_inside_a_named_wrapper():
+    assert text("<div class='page has-sidebar'><article><p>t</article><p>n</div><div class=menu>m</div>") == "t"
+    assert text("<div class=comments><article>c</article></div><nav><article>m</article></nav><article>a</article>") == "a"
+
+
+def test_what_a_site_repeats_inside_articles_is_removed(spark):
+    rows = [
+        (i, f"http://a.example/{i}", f"<article><h1>Head {i}</h1><div class=x><p>Follow us</p></div><p>Story {i}</p></article>")
+        for i in range(40)
+    ]
+    got = H.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
+    assert {r.page_id: r.text for r in got} == {i: f"Head {i}\nStory {i}" for i in range(40)}
