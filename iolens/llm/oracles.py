@@ -159,5 +159,57 @@ from listed left join kept using (r)
 
 ORACLES["op8_site_lines"] = _site_lines()
 
+def _crc32(text: str) -> str:
+    """Unsigned CRC-32 of an ASCII text, a bit at a time, lowest bit of each byte first."""
+    bits = f"flatten(list_transform(string_split({text}, ''), lambda s: list_transform(range(8), lambda j: (ascii(s) >> j) & 1)))"
+    step = "lambda c, b: xor(c >> 1, case when (xor(c, b) & 1) = 1 then 3988292384 else 0 end)"
+    return f"xor(list_reduce(list_prepend(4294967295, cast({bits} as bigint[])), {step}), 4294967295)"
+
+
+def _row_hash(*fields: str) -> str:
+    parts = ", ".join(f"coalesce(strlen(cast({f} as varchar)) || ':' || cast({f} as varchar), '-')" for f in fields)
+    return f"sha256(concat({parts}))"
+
+
+ORACLES["op12_merkle_manifest"] = f"""
+with recursive leaves as (
+    select row_number() over (partition by lang order by doc_id nulls first, leaf) - 1 as i, count(*) over (partition by lang) as n,
+           doc_id, lang, leaf, case when {_crc32("cast(doc_id as varchar)")} % 7 = 0 then changed else leaf end as changed
+    from (select *, {_row_hash("doc_id", "source", "lang", "n_chars", "text")} as leaf,
+                 {_row_hash("doc_id", "source", "lang", "n_chars + 1", "text")} as changed from documents)
+), tree as (
+    select lang, 0 as level, i, n, leaf as hash from leaves
+    union all
+    select lang, level + 1, i // 2, (n + 1) // 2, sha256(string_agg(hash, '' order by i)) from tree where n > 1
+    group by lang, level, n, i // 2
+), subroots as (
+    select lang, hash, level as height, row_number() over (order by lang nulls first) - 1 as t, count(*) over () as n
+    from tree where n = 1
+), upper as (
+    select 0 as level, t as i, n, hash from subroots
+    union all
+    select level + 1, i // 2, (n + 1) // 2, sha256(string_agg(hash, '' order by i)) from upper where n > 1 group by level, n, i // 2
+), climb as (
+    select l.lang, l.i as leaf_i, l.doc_id, l.leaf, s.hash as subroot, s.t, s.height, 0 as level, l.i, l.changed as up, '' as proof
+    from leaves l join subroots s on s.lang is not distinct from l.lang
+    union all
+    select c.lang, c.leaf_i, c.doc_id, c.leaf, c.subroot, c.t, c.height, c.level + 1, c.i // 2,
+           case when o.hash is null then sha256(c.up) when c.i % 2 = 1 then sha256(o.hash || c.up) else sha256(c.up || o.hash) end,
+           c.proof || coalesce(o.hash, '')
+    from climb c left join tree o on o.lang is not distinct from c.lang and o.level = c.level and o.i = xor(c.i, 1)
+    where c.level < c.height
+), top as (
+    select lang, leaf_i, doc_id, leaf, subroot, 0 as level, t as i, up, proof from climb where level = height
+    union all
+    select c.lang, c.leaf_i, c.doc_id, c.leaf, c.subroot, c.level + 1, c.i // 2,
+           case when o.hash is null then sha256(c.up) when c.i % 2 = 1 then sha256(o.hash || c.up) else sha256(c.up || o.hash) end,
+           c.proof || coalesce(o.hash, '')
+    from top c left join upper o on o.level = c.level and o.i = xor(c.i, 1)
+    where c.level < (select max(level) from upper)
+)
+select doc_id, leaf, subroot, hash as root, sha256(proof) as proof_sha256, up as folded_root, up = hash as verified
+from top, (select level as last, hash from upper where n = 1) where level = last
+"""
+
 #: Mixing solves for its rates by iteration and the last stage tokenizes; SQL can say neither.
 PIPELINE_SQL = None

@@ -11,16 +11,18 @@ from pyspark.sql import functions as F
 from iolens.llm import (
     decontamination,
     html_tree,
+    merkle,
     mixing,
     packing,
     paragraph_dedup,
+    periodic_runs,
     quality_rules,
     simhash,
     site_lines,
     token_files,
     toxicity,
 )
-from iolens.llm.common import documents, new_path, ship_package, stored, vocabulary
+from iolens.llm.common import blank_words, documents, new_path, ship_package, stored, vocabulary
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -157,3 +159,57 @@ def op10_packing(spark, sf_dir):
         "slot",
         F.lit(None).cast("int").alias("grown_shard"),
     )
+
+
+MANIFEST_FIELDS = ("doc_id", "source", "lang", "n_chars", "text")
+
+
+def _proof_digests(leaf: dict, path: list[str], above: dict) -> tuple:
+    up = merkle.folded(leaf["f1"], leaf["place"], path)
+    up = merkle.folded(up, above["place"], above["path"])
+    return leaf["f0"], leaf["hash"], above["subroot"], above["root"], merkle.node(*path, *above["path"]), up, up == above["root"]
+
+
+@query
+def op12_merkle_manifest(spark, sf_dir):
+    docs = documents(spark, sf_dir)
+    fields = {c: F.col(c) for c in MANIFEST_FIELDS}
+    one_more = fields | {"n_chars": F.col("n_chars").cast("decimal(20,0)") + 1}
+    touched = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 7 == 0, F.lit(False))
+    leaf = merkle.row_hash(fields.values())
+    leaves = docs.select("doc_id", "lang", leaf.alias("leaf"), F.when(touched, merkle.row_hash(one_more.values())).alias("touched"))
+    leaves = leaves.withColumn("touched", F.coalesce("touched", "leaf"))
+    return merkle.manifest(
+        leaves, "lang", ["doc_id"], "leaf", ("doc_id", "touched"), _proof_digests,
+        "doc_id long, leaf string, subroot string, root string, proof_sha256 string, folded_root string, verified boolean",
+    )
+
+
+@query
+def op13_periodic_runs(spark, sf_dir):
+    docs = documents(spark, sf_dir).select("doc_id", "text")
+    h = F.crc32(F.col("doc_id").cast("string"))
+    words, n = F.col("words"), F.size("words").cast("long")
+    g = F.floor(F.col("h") / 10)
+    docs = docs.withColumn("h", h).withColumn("words", F.when(h % 10 == 0, blank_words(F.col("text"))))
+    a, p = F.col("a"), 1 + F.floor((n - F.col("a")) / (3 + g % 8))
+    docs = docs.withColumn("a", F.when(n > 0, g % n)).withColumn("p", F.when(n > 0, p))
+    place = lambda i: F.when(i < a, i).otherwise(a + (i - a) % F.col("p")).cast("int")
+    repeated = F.transform(F.sequence(F.lit(0).cast("long"), n - 1), lambda i: F.get(words, place(i)))
+    text = F.when((F.col("h") % 10 == 0) & (n > 0), F.array_join(repeated, " ")).otherwise(F.col("text"))
+    found = periodic_runs.periodic_runs(docs.select("doc_id", text.alias("text")))
+    line = lambda r: F.concat_ws(",", r["start"].cast("string"), r["length"].cast("string"), r["period"].cast("string"))
+    lines = F.concat(F.array_join(F.transform("runs", line), "\n"), F.when(F.size("runs") > 0, "\n").otherwise(""))
+    order = F.transform("runs", lambda r: F.struct((-r["length"]).alias("less"), r["start"].alias("start"), r["period"].alias("period")))
+    best = F.array_min(order)
+    length = -best["less"]
+    return found.select(
+        "doc_id",
+        F.size("runs").cast("long").alias("n_runs"),
+        best["start"].alias("start"),
+        length.alias("length"),
+        best["period"].alias("period"),
+        F.floor(1000 * length / best["period"]).cast("long").alias("exponent_milli"),
+        F.sha2(lines, 256).alias("runs_sha256"),
+        F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    )
