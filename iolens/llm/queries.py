@@ -16,6 +16,7 @@ from iolens.llm import (
     packing,
     paragraph_dedup,
     periodic_runs,
+    personal_data,
     quality_rules,
     simhash,
     site_lines,
@@ -161,6 +162,20 @@ def op10_packing(spark, sf_dir):
     )
 
 
+@query
+def op11_personal_data(spark, sf_dir):
+    field = personal_data.fit_table(personal_data.labelled_table(spark))
+    found = personal_data.find(documents(spark, sf_dir), field)
+    part = lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))
+    joined = {c: F.array_join(F.transform(c, part), ",") for c in ("base", "spans")}
+
+    def count(kind: str):
+        return F.size(F.filter("base", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+
+    counts = [count(k) for k in personal_data.KINDS]
+    return found.select("doc_id", *counts, F.sha2(joined["base"], 256).alias("base_sha256"), joined["spans"].alias("spans"))
+
+
 MANIFEST_FIELDS = ("doc_id", "source", "lang", "n_chars", "text")
 
 
