@@ -9,10 +9,14 @@ occurrence of each component stays.
 A passage may also be repeated inside longer lines that are not alike. So the sentences of a line
 are units too, which meet other sentences and lines of the same words by one band more.
 
-Not all pairs of a band are looked at. First every paragraph of a band is compared with the band's
-smallest. Those that differ from it are then compared with all others of the band; the paragraphs of bands
-where that would be too many pairs are compared with all those that can be alike, which an exact join
-by their rarest shingles finds.
+A band is compared in two steps. First every paragraph of it is compared with the band's hub, the one that meets
+most others in all of its bands; in a group of near copies that is the text they come from, so one step
+connects the group. Of bands that are then not of one component, all pairs are compared: their paragraphs are dealt into
+blocks of bounded size, each two blocks meet in one task, which counts common shingles for all pairs and gives
+nothing but links between components. No pair becomes a row, and a band's size changes nothing but the number of blocks.
+
+A passage is repeated if it has enough words: units that follow each other count together, single
+sentences that many texts share by chance, or license lines, do not.
 """
 
 from __future__ import annotations
@@ -23,7 +27,8 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark import TaskContext
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from iolens.llm.common import stored
@@ -32,9 +37,11 @@ from iolens.llm.components import connected_components
 SHINGLE = 5
 SIMILARITY = 0.8
 MIN_WORDS = 10
+#: Least words of a repeated passage, which may be several units in a row.
+MIN_PASSAGE = 40
 BANDS, ROWS = 10, 3
-#: Pairs of a band that are all compared; the paragraphs of bands with more meet by rare shingles.
-MOST_PAIRS = 2048
+#: Paragraphs of a block on average, and characters of them.
+BLOCK, BLOCK_CHARS = 512, 1_000_000
 #: Words of new lines that a worker signs at a time.
 HELD_WORDS = 200_000
 #: Bits of the fixed-size filter that keeps texts without a candidate from being shuffled.
@@ -44,21 +51,21 @@ FILTER_BITS = 24
 _SENTENCE_END = re.compile(r"(?<=[.!?])[\x20\x09-\x0D]")
 
 
-def units(text: str | None, min_words: int) -> Iterator[tuple[int, int, int, bool, list[bytes]]]:
-    """``(line, start, end, is a sentence, words)`` of lines, and sentences of them, with enough words."""
-    at = 0
+def units(text: str | None, min_words: int) -> Iterator[tuple[int, int, int, int, bool, list[bytes]]]:
+    """``(line, start, end, number of the first word, is a sentence, words)`` of lines, and sentences of them, with enough words."""
+    at = word = 0
     for number, line in enumerate(text.split("\n") if text else ()):
         words = line.encode().lower().split()
         if len(words) >= min_words:
-            yield number, at, at + len(line), False, words
+            yield number, at, at + len(line), word, False, words
             pieces = _SENTENCE_END.split(line) if len(words) > min_words else ()
-            inside = at
+            inside, first = at, word
             for piece in pieces if len(pieces) > 1 else ():
                 own = piece.encode().lower().split()
                 if min_words <= len(own) < len(words):
-                    yield number, inside, inside + len(piece), True, own
-                inside += len(piece) + 1
-        at += len(line) + 1
+                    yield number, inside, inside + len(piece), first, True, own
+                inside, first = inside + len(piece) + 1, first + len(own)
+        at, word = at + len(line) + 1, word + len(words)
 
 
 def paragraph_id(words: list[bytes]) -> int:
@@ -113,8 +120,9 @@ def bands_of(texts: list[list[bytes]]) -> np.ndarray:
 
 
 def repeated_paragraphs(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS, kept_lines: bool = False
-) -> DataFrame:
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS,
+    kept_lines: bool = False, min_passage: int = 0,
+) -> DataFrame:
     """One row per paragraph that has a near copy: where it is, its class, and whether it goes.
 
     ``doc_id, paragraph, start, end, n_words, class_doc_id, class_paragraph, removed``: ``paragraph``
@@ -125,25 +133,37 @@ def repeated_paragraphs(
     the class is then named by the occurrence that stays, which is the first one in lines that stay, or
     the line itself if it holds sentences of enough words. Lines and
     sentences of fewer than ``min_words`` (at least 5) words are never repeated ones; null and empty
-    texts have none. A null id comes before all others. Repeated rows repeat their paragraphs, all of
-    which but one go. Other columns are not read. An empty table gives no rows.
+    texts have none. A stretch of repeated units of a text, with fewer than ``min_words`` words between
+    one and the next, counts from ``min_passage`` words on, so the class may be named by an occurrence without a row. A null id comes before all others. Rows of the same id that hold a paragraph at
+    the same place stay or go together. Other columns are not read. An empty table gives no rows.
     """
     if min_words < SHINGLE:
         raise ValueError(f"paragraphs need at least {SHINGLE} words")
     chosen = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     signed = stored(chosen.mapInArrow(_signer(min_words), _SIGNED), "paragraphs")
     bands = signed.where("bands is not null").select("para", F.explode("bands").alias("band"))
-    links = _links(chosen, stored(_crowded(bands), "bands"), min_words)
-    members = connected_components(links)
+    members = _members(chosen, stored(_crowded(bands), "bands"), min_words)
     named = signed.drop("bands").join(members, signed["para"] == members["node"], "left")
     named = named.withColumn("class", F.coalesce("component", "para")).drop("node", "component")
     found = _found_in_kept(stored(named, "named")) if kept_lines else _found(named)
+    found = _passages(found, min_words, min_passage) if min_passage > min_words else found
     return found.select(
         "doc_id", "paragraph", "start", "end", "n_words",
         F.col("first.doc_id").alias("class_doc_id"), F.col("first.paragraph").alias("class_paragraph"), "removed",
     )
 
 
+def _passages(found: DataFrame, min_words: int, min_passage: int) -> DataFrame:
+    """Units in stretches of enough words. The windows are over the units of one text."""
+    order = Window.partitionBy("row").orderBy("word", F.desc("n_words"), "sentence")
+    end = F.max(F.col("word") + F.col("n_words")).over(order.rowsBetween(Window.unboundedPreceding, -1))
+    begins = F.coalesce(F.col("word") - F.col("reached") >= min_words, F.lit(True)).cast("int")
+    part = found.withColumn("reached", end).withColumn("stretch", F.sum(begins).over(order))
+    whole = Window.partitionBy("row", "stretch")
+    size = F.max(F.col("word") + F.col("n_words")).over(whole) - F.min("word").over(whole)
+    return part.withColumn("size", size).where(F.col("size") >= min_passage).drop("reached", "stretch", "size")
+
+
 def _found(named: DataFrame) -> DataFrame:
     """Repeated lines, and repeated sentences of other lines."""
     place = F.struct("doc_id", "paragraph", "start", "sentence")
@@ -194,7 +214,7 @@ def remove_paragraphs(docs: DataFrame, repeated: DataFrame, id_col: str = "doc_i
     return joined.select(*[cleaned.alias(c) if c == text_col else docs[c] for c in docs.columns])
 
 
-_FIELDS = ("doc_id", "paragraph", "start", "end", "n_words", "para")
+_FIELDS = ("doc_id", "paragraph", "start", "end", "n_words", "para", "row", "word")
 _SIGNED = ", ".join(f"{f} long" for f in _FIELDS) + ", sentence boolean, holds boolean, bands array<long>"
 
 
@@ -202,9 +222,11 @@ def _signer(min_words: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lines, sentences = set(), set()  # bands are given once per task
         rows, fresh, line_at, sentence_at, held = [], [], [], [], 0
+        row = TaskContext.get().partitionId() << 40
         for batch in batches:
             for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text")):
-                for number, start, end, sentence, words in units(text.as_py(), min_words):
+                row += 1
+                for number, start, end, word, sentence, words in units(text.as_py(), min_words):
                     para = paragraph_id(words)
                     if sentence and para not in sentences:
                         sentences.add(para)
@@ -218,7 +240,7 @@ def _signer(min_words: int):
                         rows[line][-1] = True
                     else:
                         line = len(rows)
-                    rows.append([doc_id, number, start, end, len(words), para, sentence, False])
+                    rows.append([doc_id, number, start, end, len(words), para, row, word, sentence, False])
                 if held > HELD_WORDS:  # whole documents, but few at a time
                     yield _signed(rows, line_at, sentence_at, fresh)
                     rows, fresh, line_at, sentence_at, held = [], [], [], [], 0
@@ -228,8 +250,8 @@ def _signer(min_words: int):
 
 
 def _signed(rows: list[list], line_at: list[int], sentence_at: list[int], fresh: list) -> pa.RecordBatch:
-    values = list(zip(*rows)) or [()] * 8
-    columns = [pa.array(c, pa.int64()) for c in values[:6]] + [pa.array(c, pa.bool_()) for c in values[6:]]
+    values = list(zip(*rows)) or [()] * 10
+    columns = [pa.array(c, pa.int64()) for c in values[:8]] + [pa.array(c, pa.bool_()) for c in values[8:]]
     columns.append(_band_lists(np.array(values[5], np.int64), line_at, sentence_at, bands_of(fresh)))
     return pa.RecordBatch.from_arrays(columns, [*_FIELDS, "sentence", "holds", "bands"])
 
@@ -249,70 +271,84 @@ def _band_lists(paras: np.ndarray, line_at: list[int], sentence_at: list[int], b
 
 
 def _crowded(bands: DataFrame) -> DataFrame:
-    """``band, para, leader`` for bands of several paragraphs, each once however many tasks gave it."""
-    leaders = bands.groupBy("band").agg(F.min("para").alias("leader"), F.max("para").alias("last"))
-    # stored, so that the join below can split a large band
-    leaders = stored(leaders.where("leader < last").drop("last"), "leaders")
-    return bands.join(leaders, "band").distinct()
-
-
-def _links(docs: DataFrame, crowded: DataFrame, min_words: int) -> DataFrame:
-    """``a, b``: verified links that connect what the bands hold."""
+    """``band, para, hub`` for bands of several paragraphs, each once however many tasks gave it."""
+    several = bands.groupBy("band").agg(F.min("para").alias("one"), F.max("para").alias("other")).where("one < other")
+    # stored, so that the joins below can split a large band
+    several = stored(several.select("band"), "several")
+    crowded = stored(bands.join(several, "band").distinct(), "crowded")
+    sizes = stored(crowded.groupBy("band").agg(F.count("*").alias("n")), "sizes")
+    met = stored(crowded.join(sizes, "band").groupBy("para").agg(F.sum("n").alias("met")), "met")
+    rank = F.struct("met", F.xxhash64("para").alias("mix"), "para")
+    hubs = crowded.join(met, "para").groupBy("band").agg(F.max(rank)["para"].alias("hub"))
+    return crowded.join(stored(hubs, "hubs"), "band")
+
+
+def _members(docs: DataFrame, crowded: DataFrame, min_words: int) -> DataFrame:
+    """``node, component`` of the paragraphs that are linked to a smaller one."""
     texts = stored(_texts(docs, crowded.select("para").distinct(), min_words), "texts")
-    star = crowded.where("para <> leader").select("band", F.col("leader").alias("a"), F.col("para").alias("b"))
-    checked = stored(_verified(star.select("a", "b").distinct(), texts), "checked")
-    links = checked.where("near").select("a", "b")
-    open_ = star.join(checked.where("not near"), ["a", "b"]).select("band", F.col("b").alias("para"))
-    left = open_.groupBy("band").agg(F.count("*").alias("left"))
-    sizes = stored(crowded.groupBy("band").agg(F.count("*").alias("n")).join(left, "band"), "sizes")
-    few = F.col("left") * F.col("n") <= MOST_PAIRS
-    # few pairs: all that are left with all of the band
-    tried = open_.join(sizes.where(few).select("band"), "band").select("band", F.col("para").alias("x"))
-    pairs = tried.join(crowded.select("band", "para"), "band").where("x <> para")
-    pairs = pairs.select(F.least("x", "para").alias("a"), F.greatest("x", "para").alias("b")).distinct()
-    found = stored(_verified(pairs, texts), "checked")
-    links = links.union(found.where("near").select("a", "b"))
-    # many: all of those bands that are not connected yet and can be alike
-    many = crowded.join(sizes.where(~few).select("band"), "band").select("para").distinct()
-    pairs = _alike(many, texts, connected_components(links))
-    found = stored(_verified(pairs, texts), "checked")
-    return links.union(found.where("near").select("a", "b"))
-
-
-def _alike(paras: DataFrame, texts: DataFrame, members: DataFrame) -> DataFrame:
-    """``a, b``: all pairs of different components that can be alike, by a prefix filter.
-
-    The shingles of a paragraph are put in order, rarest first. Let ``o`` of ``m`` and of ``n`` shingles be
-    common. The first common one has at least ``o - 1`` after it on both sides, so it is among the first
-    ``m - o + 1`` and ``n - o + 1``, and its places tell whether ``o`` can be large enough. At a similarity of
-    ``s``, ``o`` is at least ``s / (1 + s) * (m + n)``, and that at least ``s * n``: paragraphs meet by their
-    rarest fifth. Shingles that no other paragraph has come first and meet nothing.
-    """
-    lists = stored(paras.join(texts, "para").mapInArrow(_shingle_hashes, "para long, size long, shingle long"), "shingles")
-    # stored, so that the join below can split a common shingle
-    common = stored(lists.groupBy("shingle").agg(F.count("*").alias("df")).where("df > 1"), "common")
-    own = lists.join(common, "shingle").groupBy("para", "size").agg(F.array_sort(F.collect_list(F.struct("df", "shingle"))).alias("own"))
-    place = F.col("i") + F.col("size") - F.size("own")
-    rare = own.select("para", "size", "own", F.posexplode("own").alias("i", "at")).select(
-        "para", F.col("size").cast("long"), place.cast("long").alias("place"), F.col("at.shingle").alias("shingle")
-    )
-    rare = rare.where(F.col("place") <= F.col("size") * (1 - SIMILARITY) + 1e-6)
-    named = rare.join(members.withColumnRenamed("node", "para"), "para", "left").withColumn("component", F.coalesce("component", "para"))
-    left = stored(named, "rare")
-    right = left.select("shingle", *[F.col(c).alias(f"{c}_") for c in ("para", "size", "place", "component")])
-    most = F.least(F.col("size") - F.col("place"), F.col("size_") - F.col("place_"))
-    enough = most * (1 + SIMILARITY) + 1e-6 >= (F.col("size") + F.col("size_")) * SIMILARITY
-    met = (left["shingle"] == right["shingle"]) & (F.col("para") < F.col("para_")) & (F.col("component") != F.col("component_")) & enough
-    return left.join(right, met).select(F.col("para").alias("a"), F.col("para_").alias("b")).distinct()
-
-
-def _shingle_hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    star = crowded.where("para <> hub").select(F.col("hub").alias("a"), F.col("para").alias("b")).distinct()
+    near = stored(connected_components(_verified(star, texts)), "near")
+    named = crowded.join(near, crowded["para"] == near["node"], "left").select("band", "para", F.coalesce("component", "para").alias("component"))
+    named = stored(named, "joined")
+    members = F.struct(F.count("*").alias("n"), F.bit_xor(F.xxhash64("para")).alias("mix"))
+    several = named.groupBy("band").agg(F.min("component").alias("one"), F.max("component").alias("other"), members.alias("members")).where("one < other")
+    open_ = stored(several.groupBy("members").agg(F.min("band").alias("band")).select("band"), "open")  # alike bands once
+    more = stored(connected_components(_block_links(named.join(open_, "band"), texts)), "more")
+    moved = near.join(more.withColumnRenamed("node", "old").withColumnRenamed("component", "new"), F.col("component") == F.col("old"), "left")
+    first = moved.select("node", F.coalesce("new", "component").alias("component"))
+    return first.union(more.join(near.select("node"), "node", "left_anti").select("node", "component"))
+
+
+def _block_links(members: DataFrame, texts: DataFrame) -> DataFrame:
+    """``a, b``: components of ``band, para, component`` rows that near paragraphs of a band connect."""
+    held = stored(members.join(texts, "para"), "open-texts")
+    count = F.greatest(F.ceil(F.count("*") / BLOCK), F.ceil(F.sum(F.length("text")) / BLOCK_CHARS)).cast("int")
+    blocks = stored(held.groupBy("band").agg(count.alias("blocks")), "blocks")
+    own = F.pmod(F.xxhash64("para", "band"), F.col("blocks")).cast("int")
+    dealt = held.join(blocks, "band").withColumn("own", own)
+    met = dealt.select("*", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
+    met = met.select("band", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), F.struct("own", "component", "text").alias("member"))
+    pairs = met.groupBy("band", "i", "j").agg(F.collect_list("member").alias("members"))
+    return pairs.select("members").mapInArrow(_linked, "a long, b long")
+
+
+def _linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for para, text in zip(batch.column("para").to_pylist(), batch.column("text").to_pylist()):
-            own = {xxhash.xxh64_intdigest(s) for s in shingles(text.encode().split())}
-            hashes = pa.array(np.fromiter(own, np.uint64, len(own)).view(np.int64))
-            same = [pa.array(np.full(len(own), x, np.int64)) for x in (para, len(own))]
-            yield pa.RecordBatch.from_arrays([*same, hashes], ["para", "size", "shingle"])
+        for members in batch.column("members"):
+            columns = list(zip(*_component_links(members.as_py()))) or [()] * 2
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], ["a", "b"])
+
+
+def _component_links(members: list[dict]) -> Iterator[tuple[int, int]]:
+    """Links that connect the components of the members of one or two blocks: those of all near pairs, without circles."""
+    roots: dict[int, int] = {}
+
+    def root(c: int) -> int:
+        while (up := roots.get(c, c)) != c:
+            roots[c] = c = roots.get(up, up)
+        return c
+
+    cross = len({m["own"] for m in members}) > 1
+    members.sort(key=lambda m: m["own"])
+    ids: dict[bytes, int] = {}
+    where: list[list[int]] = []  # members that have a shingle
+    sizes = np.zeros(len(members))
+    for x, member in enumerate(members):
+        own = [ids.setdefault(s, len(ids)) for s in shingles(member["text"].encode().split())]
+        where.extend([] for _ in range(len(ids) - len(where)))
+        met = [i for s in own for i in where[s]]
+        sizes[x] = len(own)
+        if met:
+            both = np.bincount(met, minlength=x)
+            near = np.flatnonzero(both >= SIMILARITY * (len(own) + sizes[:x] - both))
+            for y in near.tolist():
+                a, b = root(member["component"]), root(members[y]["component"])
+                if a != b:
+                    roots[max(a, b)] = min(a, b)
+                    yield a, b
+        if not cross or member["own"] == members[0]["own"]:
+            for s in own:
+                where[s].append(x)
 
 
 def _texts(docs: DataFrame, wanted: DataFrame, min_words: int) -> DataFrame:
@@ -347,7 +383,7 @@ def _texts(docs: DataFrame, wanted: DataFrame, min_words: int) -> DataFrame:
 
 
 def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """``a, b, near`` by the exact similarity of the shingle sets."""
+    """The ``a, b`` with shingle sets that are similar, exactly."""
     left = texts.select(F.col("para").alias("a"), F.col("text").alias("left"))
     right = texts.select(F.col("para").alias("b"), F.col("text").alias("right"))
 
@@ -361,7 +397,6 @@ def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
                 other = shingles(y.encode().split())
                 both = len(own & other)
                 near.append(both >= SIMILARITY * (len(own) + len(other) - both))
-            columns = [batch.column("a"), batch.column("b"), pa.array(near, pa.bool_())]
-            yield pa.RecordBatch.from_arrays(columns, ["a", "b", "near"])
+            yield batch.select(["a", "b"]).filter(pa.array(near, pa.bool_()))
 
-    return pairs.join(left, "a").join(right, "b").mapInArrow(run, "a long, b long, near boolean")
+    return pairs.join(left, "a").join(right, "b").select("a", "b", "left", "right").mapInArrow(run, "a long, b long")

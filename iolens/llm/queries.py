@@ -65,7 +65,9 @@ def op2_html_tree(spark, sf_dir):
 
 @query
 def op3_paragraph_dedup(spark, sf_dir):
-    return paragraph_dedup.repeated_paragraphs(documents(spark, sf_dir), kept_lines=True)
+    return paragraph_dedup.repeated_paragraphs(
+        documents(spark, sf_dir), kept_lines=True, min_passage=paragraph_dedup.MIN_PASSAGE
+    )
 
 
 @query

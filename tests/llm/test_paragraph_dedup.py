@@ -11,7 +11,7 @@ def brute(rows, min_words=P.MIN_WORDS):
     """Class of each line and lone sentence: all pairs of lines compared, sentences by their words."""
     occurrences, lines = [], {}
     for name, text in rows:
-        for number, start, _, sentence, words in P.units(text, min_words):
+        for number, start, _, _, sentence, words in P.units(text, min_words):
             key = b" ".join(words)
             occurrences.append(((name, number, start, sentence), key))
             if not sentence:
@@ -87,10 +87,10 @@ def test_table(spark, sf):
     assert got.keys() <= want.keys() and len(got) >= 0.99 * len(want)
 
 
-@pytest.mark.parametrize("most", [2048, 4])
-def test_crowded_bands(frame, monkeypatch, most):
+@pytest.mark.parametrize("block", [512, 4])
+def test_crowded_bands(frame, monkeypatch, block):
     """Drifting versions: far ends are unlike, neighbours are alike, all share bands with some."""
-    monkeypatch.setattr(P, "MOST_PAIRS", most)
+    monkeypatch.setattr(P, "BLOCK", block)
     rng = random.Random(4)
     line, rows = [f"v{i}" for i in range(120)], []
     for i in range(40):
@@ -101,14 +101,16 @@ def test_crowded_bands(frame, monkeypatch, most):
 
 
 def test_size_of_a_band_is_that_of_its_paragraphs(spark):
-    """However many tasks gave a paragraph, it counts once."""
-    signed = [(7, p) for p in range(3)] + [(7, 1)] * 240 + [(8, 5)] * 9
+    """However many tasks gave a paragraph, it counts once; the hub is what meets most in all of its bands."""
+    signed = [(7, p) for p in range(3)] + [(7, 1)] * 240 + [(8, 5)] * 9 + [(9, 2), (9, 6), (9, 8)]
     crowded = P._crowded(spark.createDataFrame(signed, "band long, para long").repartition(16))
-    assert sorted(map(tuple, crowded.collect())) == [(7, 0, 0), (7, 1, 0), (7, 2, 0)]
+    assert sorted(map(tuple, crowded.collect())) == [(7, 0, 2), (7, 1, 2), (7, 2, 2), (9, 2, 2), (9, 6, 2), (9, 8, 2)]
 
 
-def test_all_of_a_crowded_band_is_compared(spark, frame):
-    """A band of 130 paragraphs that differ from the smallest, with a few like pairs among them."""
+@pytest.mark.parametrize("block", [512, 16])
+def test_all_of_a_crowded_band_is_compared(spark, frame, monkeypatch, block):
+    """A band of 130 paragraphs, most of which differ from all others, with some like pairs among them."""
+    monkeypatch.setattr(P, "BLOCK", block)
     rng = random.Random(6)
     fresh = lambda: [f"w{rng.randrange(10**9)}" for _ in range(60)]
     lines = [fresh() for _ in range(100)]
@@ -116,11 +118,34 @@ def test_all_of_a_crowded_band_is_compared(spark, frame):
     texts = [" ".join(line) for line in lines]
     keys = [P.paragraph_id(t.encode().split()) for t in texts]
     band = P._crowded(spark.createDataFrame([(3, k) for k in keys], "band long, para long"))
-    links = {frozenset(r) for r in P._links(frame(list(enumerate(texts))), band, P.MIN_WORDS).collect()}
+    members = {r.node: r.component for r in P._members(frame(list(enumerate(texts))), band, P.MIN_WORDS).collect()}
     sets = dict(zip(keys, (P.shingles(t.encode().split()) for t in texts)))
     like = lambda a, b: len(sets[a] & sets[b]) >= P.SIMILARITY * len(sets[a] | sets[b])
-    want = {frozenset((a, b)) for i, a in enumerate(keys) for b in keys[i + 1 :] if like(a, b)}
-    assert len(want) > 10 and links == want
+    want = {max(a, b): min(a, b) for a, b in zip(keys, keys[100:]) if like(a, b)}
+    assert len(want) > 10 and members == want
+
+
+def test_recall_in_a_crowd_of_near_copies(frame):
+    """Copies of one text with edits of their own, unlike each other but like their origin, are one class."""
+    rng = random.Random(8)
+    line = [f"v{i}" for i in range(100)]
+    rows = [(i, " ".join(edited(rng, line, 2 if i else 0))) for i in range(400)]
+    got = P.repeated_paragraphs(frame(rows)).collect()
+    want = brute(rows)
+    assert len(want) > 380 and len(got) >= 0.99 * len(want)
+    assert len({(r.class_doc_id, r.class_paragraph) for r in got}) == 1
+
+
+def test_stretches_of_enough_words(frame):
+    """Units in a row count together; a lone sentence and a license line do not."""
+    words = lambda c, n: " ".join(f"{c}{i}" for i in range(n)) + "."
+    passage = f"{words('p', 15)} {words('q', 4)} {words('r', 24)}"
+    rows = [(1, f"{words('a', 30)} {passage} {words('b', 30)}"), (2, f"{words('c', 30)} {passage} {words('d', 30)}")]
+    rows += [(3, f"{words('e', 30)} {words('p', 15)} {words('f', 30)}"), (4, f"{words('l', 12)}\n{words('g', 50)}")]
+    rows += [(5, f"{words('l', 12)}\n{words('h', 50)}"), (None, words("z", 50)), (None, words("z", 50))]
+    got = sorted(((r.doc_id, r.n_words, r.removed) for r in P.repeated_paragraphs(frame(rows), kept_lines=True, min_passage=40).collect()), key=str)
+    assert got == sorted([(1, 15, False), (1, 24, False), (2, 15, True), (2, 24, True), (None, 50, False), (None, 50, False)], key=str)
+    assert P.repeated_paragraphs(frame([]), min_passage=40).collect() == []
 
 
 def test_odd_rows(frame):
