@@ -510,6 +510,15 @@ from (select *, unnest(range(cast(epoch(timestamp '2024-01-05 06:00:00') as bigi
 left join b using (n, host, event)""")
 ORACLES["compaction_report"] = _with(_STORED, select="""
 select date, true as before, date < date '2024-01-12' as after from dated group by date""")
+ORACLES["stored_raw_lookup"] = ORACLES["packed_raw_lookup"] = _r("""
+select * from h where time > timestamp '2024-01-05' and host = 'srv2.cluster' and event in ('nclients', 'load_eff')""")
+ORACLES["stored_distinct_dims"] = ORACLES["distinct_dims"].replace(H, R)
+ORACLES["stored_active_share"] = ORACLES["latest_active_share"].replace(H, R)
+ORACLES["stored_job_extent"] = _r("select min(time) as first_time, max(time) as last_time from h where jid = 'j7'")
+ORACLES["stored_recent_rows"] = ORACLES["recent_rows"].replace(H, R)
+ORACLES["packed_rows"] = _r("select * replace (round(value, 6) as value) from h")
+ORACLES["packed_gapfill"] = ORACLES["gapfill_avg"]
+ORACLES["packed_job_detail"] = ORACLES["job_detail"]
 ORACLES["total_bytes"] = "select true as sized"
 ORACLES["compact_again"] = "select 0 as new_files"
 

@@ -18,7 +18,7 @@ from iolens.operators import tagging as M
 from iolens.operators import view as V
 from iolens.plans import pages, reports
 from iolens.schema import DERIVED, LEVELS, ORDER, TAGS
-from iolens.sources import captured, history_table, mappings
+from iolens.sources import captured, history_days, history_table, mappings
 from iolens.sources import reports as P
 from iolens.streaming.reports import export_stream, open_buckets, stream_buckets, stream_rates
 
@@ -603,6 +603,76 @@ def compaction_report(spark, sf):
     return report.select("date", sized("before_bytes"), sized("after_bytes"))
 
 
+def stored_recent(spark, sf):
+    """Some days of history in a new folder, in two writes, with the older days also as segments."""
+    path = T.work_dir(spark)
+    rows = recent(spark, sf)
+    for half in (0, 1):
+        history_table.write_history(rows.where(F.pmod(F.unix_seconds(F.col("time").cast("timestamp")), 2) == half), path)
+    return path
+
+
+def packed_recent(spark, sf):
+    """The same, read from segments as far as there are any."""
+    path = stored_recent(spark, sf)
+    border = history_table.compact_history(spark, path, path + "-compact", PACKED_NOW)
+    return history_table.read_history(spark, path, path + "-compact", border)
+
+
+PACKED_NOW = dt.datetime(2024, 1, 20)
+
+
+@query
+def stored_raw_lookup(spark, sf):
+    table = history_table.read_history(spark, stored_recent(spark, sf))
+    return H.raw_lookup(table, "2024-01-05 00:00:00", HOST, ["nclients", "load_eff"]).drop("date")
+
+
+@query
+def stored_distinct_dims(spark, sf):
+    return history_days.distinct_dims(history_days.read_days(spark, stored_recent(spark, sf)))
+
+
+@query
+def stored_active_share(spark, sf):
+    path = stored_recent(spark, sf)
+    table, days = history_table.read_history(spark, path), history_days.read_days(spark, path)
+    out = history_days.latest_active_share(table, days, "jid", "load_eff")
+    return rounded(out, "value", "total", "share", "angle")
+
+
+@query
+def stored_job_extent(spark, sf):
+    return history_days.job_extent(history_days.read_days(spark, stored_recent(spark, sf)), "j7")
+
+
+@query
+def stored_recent_rows(spark, sf):
+    path = stored_recent(spark, sf)
+    return history_days.recent_rows(history_table.read_history(spark, path), history_days.read_days(spark, path))
+
+
+@query
+def packed_rows(spark, sf):
+    return rounded(packed_recent(spark, sf).drop("date"), "value")
+
+
+@query
+def packed_raw_lookup(spark, sf):
+    return H.raw_lookup(packed_recent(spark, sf), "2024-01-05 00:00:00", HOST, ["nclients", "load_eff"]).drop("date")
+
+
+@query
+def packed_gapfill(spark, sf):
+    filled = H.gapfill(packed_recent(spark, sf), "1h", START, END)
+    return rounded(filled, "value")
+
+
+@query
+def packed_job_detail(spark, sf):
+    return rounded(pages.job_detail(packed_recent(spark, sf), "j7"), "value")
+
+
 @query
 def total_bytes(spark, sf):
     return history_table.total_bytes(spark, stored_history(spark, sf)).select((F.col("bytes") > 0).alias("sized"))

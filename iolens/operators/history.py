@@ -228,6 +228,11 @@ def latest_active_share(
         .join(latest_active(df), ["host", "time"], "left_semi")
         .select(tag, "host", "system", "time", "value")
     )
+    return shares(rows)
+
+
+def shares(rows: DataFrame) -> DataFrame:
+    """Add the total of a host's moment, and each row's share and angle of it."""
     total = F.sum("value").over(Window.partitionBy("host", "time"))
     share = F.col("value") / F.col("total")
     return rows.withColumn("total", total).withColumns(
