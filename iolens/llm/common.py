@@ -15,6 +15,9 @@ from pyspark.sql import functions as F
 BLANKS = " \t\n\x0b\x0c\r"
 BLANK_RUN = r"[\x20\x09-\x0D]+"
 
+#: For applications on one machine without a shared folder, one of our own.
+_own_dirs: dict[str, str] = {}
+
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder the cluster shares; one of our own only where none is set and one machine runs all."""
@@ -22,8 +25,8 @@ def shared_dir(spark: SparkSession) -> str:
     if shared is None:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder all executors share")
-        shared = tempfile.mkdtemp(prefix="iolens-")
-        spark.conf.set("spark.checkpoint.dir", shared)
+        app = spark.sparkContext.applicationId
+        shared = _own_dirs.get(app) or _own_dirs.setdefault(app, tempfile.mkdtemp(prefix="iolens-"))
     return f"{shared}/iolens-{spark.sparkContext.applicationId}"
 
 

@@ -124,7 +124,7 @@ select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
 
 
 def _site_lines() -> str:
-    from iolens.llm.site_lines import BREAKS, HIDDEN, MIN_PAGES, RATIO, TAGS
+    from iolens.llm.site_lines import BREAKS, CERTAINTY, HIDDEN, RATIO, TAGS
 
     def quoted(pattern: str) -> str:
         return "'" + pattern.replace("'", "''") + "'"
@@ -141,10 +141,12 @@ with listed as (
                        lambda s: trim(regexp_replace(s, ' +', ' ', 'g'))), lambda s: s <> '') as lines
     from pages
 ), totals as (
-    select host, count(*) as pages from listed where host is not null group by host having count(*) >= {MIN_PAGES}
+    select host, count(*) as pages from listed where host is not null group by host
 ), common as (
     select host, line from (select host, unnest(list_distinct(lines)) as line from listed)
-    join totals using (host) group by host, line, pages having count(*) > {RATIO} * pages
+    join totals using (host) group by host, line, pages 
+    having count(*) > {RATIO} * pages
+       and (count(*) - {RATIO} * pages) * (count(*) - {RATIO} * pages) > {CERTAINTY**2 * RATIO * (1 - RATIO)!r}::double * pages
 ), numbered as (
     select r, host, generate_subscripts(lines, 1) as i, unnest(lines) as line from listed
 ), kept as (

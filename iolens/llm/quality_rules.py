@@ -237,14 +237,24 @@ def verdict(rules: tuple[Rule, ...] = RULES) -> Column:
 
 
 def judged(measured: DataFrame, cuts: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
-    """Add ``kept``. The cutoffs have a row per stratum of a fixed list, so they may be broadcast."""
+    """Add ``kept``, in place of a column of that name; ``cut_<rule>`` columns of the input are left out.
+
+    The cutoffs have a row per stratum of a fixed list, so they may be broadcast. Without cutoffs, as for
+    an empty or unlabelled table, only the base decides.
+    """
+    measured = measured.drop(*[f"cut_{r.name}" for r in rules])
     joined = measured.join(F.broadcast(cuts), "stratum", "left")
     return joined.withColumn("kept", ~F.col("base_failed") & verdict(rules))
 
 
 def with_rules(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
-    """Measures, stratum, bins and ``base_failed`` of each row; a missing ``lang`` counts as null."""
+    """Measures, stratum, bins and ``base_failed`` of each row; a missing ``lang`` counts as null.
+
+    Input columns of these names are replaced. Null and empty texts fail the base. Repeated rows each have a
+    result. An empty table gives no rows.
+    """
     lang = F.col("lang") if "lang" in docs.columns else F.lit(None).cast("string")
+    docs = docs.drop("stratum", "base_failed", *[f"bin_{r.name}" for r in rules])
     return measures(docs).select(
         "*", stratum(lang).alias("stratum"), F.expr(BASE_FAILED).alias("base_failed"), *bins(rules)
     )

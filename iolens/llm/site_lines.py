@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 from iolens.llm.common import stored
 
 RATIO = 0.5
-MIN_PAGES = 10
+#: Standard errors by which a share must exceed the ratio.
+CERTAINTY = 1.645
 
 # What has no text, and the tags that begin or end a line.
 HIDDEN = r"(?is)<!--.*?-->|<script\b.*?</script\s*>|<style\b.*?</style\s*>"
@@ -38,21 +39,24 @@ def host_of(url: Column) -> Column:
 
 
 def drop_site_lines(
-    pages: DataFrame, host: str, lines: str, ratio: float = RATIO, min_pages: int = MIN_PAGES
+    pages: DataFrame, host: str, lines: str, ratio: float = RATIO, certainty: float = CERTAINTY
 ) -> DataFrame:
     """Replace the array ``lines`` by those that are not boilerplate, and add ``n_dropped``.
 
-    A line is boilerplate on a host if more than ``ratio`` of the host's rows contain it. Hosts of
-    fewer than ``min_pages`` rows and rows without a host lose nothing; null lines count as none.
-    Repeated rows each count. The result has no more columns than ``pages`` and ``n_dropped``; give
-    the input stored, as it is read three times.
+    A line is boilerplate on a host if the share of the host's rows that contain it exceeds ``ratio``, by
+    ``certainty`` standard errors of a share seen on that many rows: of a host of three rows a line of all of
+    them goes, of a large host one a little over the ratio. Rows without a host lose nothing; null lines count as
+    none. Repeated rows each count. The result has the columns of ``pages`` and ``n_dropped``, which takes
+    the place of a column of that name; give the input stored, as it is read three times.
 
     A host has at most (lines per page / ratio) boilerplate lines, so one row can hold their hashes.
     """
     listed = pages.select(F.col(host).alias("h"), F.explode(F.array_distinct(_digests(F.col(lines)))).alias("line"))
     pages_with = listed.where("h is not null").groupBy("h", "line").agg(F.count("*").alias("n"))
     totals = pages.where(F.col(host).isNotNull()).groupBy(F.col(host).alias("h")).agg(F.count("*").alias("pages"))
-    common = pages_with.join(totals.where(F.col("pages") >= min_pages), "h").where(F.col("n") > ratio * F.col("pages"))
+    over = F.col("n") - ratio * F.col("pages")
+    sure = (over > 0) & (over * over > certainty**2 * ratio * (1 - ratio) * F.col("pages"))
+    common = pages_with.join(totals, "h").where(sure)
     # stored, so that the join below can split the pages of a large host
     drops = stored(common.groupBy("h").agg(F.collect_list("line").alias("__drops")), "site-drops")
     joined = pages.join(drops, pages[host] == drops["h"], "left")
@@ -60,7 +64,7 @@ def drop_site_lines(
     kept = F.when(F.col("__drops").isNull(), own).otherwise(
         F.filter(own, lambda s: ~F.array_contains("__drops", F.unhex(F.md5(s))))
     )
-    columns = [kept.alias(lines) if c == lines else pages[c] for c in pages.columns]
+    columns = [kept.alias(lines) if c == lines else pages[c] for c in pages.columns if c != "n_dropped"]
     return joined.select(*columns, (F.size(own) - F.size(kept)).cast("long").alias("n_dropped"))
 
 

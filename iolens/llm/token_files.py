@@ -43,7 +43,7 @@ _PIECES = re.compile(
 
 
 class Encoder:
-    """Ids of whole texts as the tokenizers library gives them, without special tokens.
+    """Ids of whole texts as the tokenizers library gives them, without adding special tokens.
 
     For the lower-casing word vocabulary, whose pieces do not depend on their neighbours, pieces of
     Latin-1 texts are encoded by the library's model once and remembered. All other texts and
@@ -52,7 +52,8 @@ class Encoder:
 
     def __init__(self, path: str, end: int = END) -> None:
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True  # their names in a text are ordinary text
+        added = self.tokenizer.get_added_tokens_decoder().values()
+        self.named = re.compile("|".join(re.escape(t.content) for t in added) or "(?!)")  # the library finds their names in a text
         self.code = "H" if self.tokenizer.get_vocab_size() <= 1 << 16 else "I"
         self.end = array(self.code, [end]).tobytes()
         self.piecewise = _is_word_vocabulary(path)
@@ -64,7 +65,7 @@ class Encoder:
         """Little-endian ids of the text and the end id."""
         if not text:
             return self.end
-        if self.piecewise and _PLAIN.fullmatch(text):
+        if self.piecewise and _PLAIN.fullmatch(text) and not self.named.search(text):
             return self._by_pieces(text) + self.end
         return array(self.code, self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes() + self.end
 

@@ -85,7 +85,6 @@ def test_mixing(steps):
 def test_token_files(steps):
     before, after = steps[4]
     tokenizer = Tokenizer.from_file(vocabulary())
-    tokenizer.encode_special_tokens = True
     want, start = [], 0
     for doc_id, text in sorted((r[0], r[1]) for r in rows(before)):
         n = len(tokenizer.encode(text, add_special_tokens=False).ids) + 1

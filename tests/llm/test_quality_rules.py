@@ -107,3 +107,13 @@ def test_base_and_odd_rows(frame):
     want = [(1, True, False), (None, True, False), (2, False, True), (2, False, True), (3, True, False)]
     assert rows == sorted(want, key=str)
     assert Q.judged(Q.with_rules(frame([])), none).collect() == []
+
+
+def test_columns_with_the_names_of_its_own(spark):
+    names = ["stratum", "base_failed", "bin_symbols", "kept", "cut_symbols", "n_words"]
+    text = " ".join(f"w{i}" for i in range(30))
+    df = spark.createDataFrame([(1, text, "en"), (2, None, None), (None, "", "xx")], "doc_id long, text string, lang string")
+    measured = Q.with_rules(df.selectExpr("*", *[f"'x' as {c}" for c in names]))
+    labels = spark.createDataFrame([(1, 1), (1, None)], "doc_id long, quality int")
+    got = Q.judged(measured, Q.thresholds(measured, labels)).select("doc_id", "stratum", "n_words", "base_failed", "kept").collect()
+    assert sorted(map(tuple, got), key=str) == sorted([(1, "en", 30, False, True), (2, "other", 0, True, False), (None, "other", 0, True, False)], key=str)

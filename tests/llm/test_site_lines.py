@@ -42,7 +42,8 @@ def test_against_brute_force(spark):
             count.update((host, s) for s in set(lines or ()))
 
     def drop(host, s):
-        return host is not None and total[host] >= S.MIN_PAGES and count[host, s] > S.RATIO * total[host]
+        over = count[host, s] - S.RATIO * total[host]
+        return host is not None and over > 0 and over**2 > S.CERTAINTY**2 * S.RATIO * (1 - S.RATIO) * total[host]
 
     want = []
     for page, host, lines, _ in rows:

@@ -15,7 +15,6 @@ from iolens.llm.token_files import END, HEADER, Encoder, TokenFile, _file, read_
 @pytest.fixture(scope="module")
 def library():
     tokenizer = Tokenizer.from_file(vocabulary())
-    tokenizer.encode_special_tokens = True
     return lambda text: tokenizer.encode(text or "", add_special_tokens=False).ids + [END]
 
 
@@ -62,10 +61,10 @@ def _encoder():
     return _kept[0]
 
 
-def test_special_names_are_text(library):
+def test_special_names_in_a_text(library):
     text = "a <|endoftext|> b <|startoftext|>"
     assert ids(_encoder().encode(text)) == library(text)
-    assert 49407 not in library(text)
+    assert library("a <|endoftext|> b")[:-1] == [320, 49407, 321]
 
 
 def check(rows, got, library):
@@ -104,7 +103,6 @@ def test_empty(frame, spark):
 def test_other_vocabulary(frame, spark):
     name = vocabulary("byte_bpe_50k.json")
     tokenizer = Tokenizer.from_file(name)
-    tokenizer.encode_special_tokens = True
     encoder = Encoder(name)
     assert not encoder.piecewise
     assert ids(encoder.encode("Some text, é")) == tokenizer.encode("Some text, é", add_special_tokens=False).ids + [END]
