@@ -444,6 +444,10 @@ select server, time, {_tags(J)} event, round(value, 6) as value from g""")
 _ARRIVAL = "(time - 1704067200) // 16384 * 8 + cast(right(server, 1) as int)"
 ORACLES["reports_to_groups_range"] = _with(FEED, _feed_groups(J), select=f"""
 select server, time, {_tags(J)} event, round(value, 6) as value from g where {_ARRIVAL} between 400 and 640""")
+_END = "(select (max(time) - 1704067200) // 16384 * 8 + 8 from g)"
+ORACLES["reports_to_groups_tenth"] = _with(FEED, _feed_groups(J), select=f"""
+select server, time, {_tags(J)} event, round(value, 6) as value from g
+where {_ARRIVAL} between {_END} * 6 // 10 and {_END} * 7 // 10 - 1""")
 # Only the last sample of each tick of a host counts; node messages stay as they are.
 _TICK_SAMPLES = f"""
 all_counters as ({T.duck(T.COUNTERS)}),

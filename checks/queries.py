@@ -543,6 +543,19 @@ def reports_to_groups_range(spark, sf):
     return rounded(seconds(R.group_events(groups)), "value")
 
 
+@query
+def reports_to_groups_tenth(spark, sf):
+    """The reports of a tenth of the feed, from what the blocks before it leave."""
+    path, messages = T.work_dir(spark), feed(spark, sf).drop("load", "block")
+    end = int(messages.agg(F.max("time")).first()[0] - 1704067200) // 16384 * 8 + 8  # a round of reports has 8 places
+    for load, part in (("a", F.col("arrival_seq") < end // 2), ("b", F.col("arrival_seq") >= end // 2)):
+        stored = P.store_messages(messages.where(part), path, load, FEED_BLOCK)
+    first, last = end * 6 // 10, end * 7 // 10 - 1
+    carry = P.read_carry(spark, path)
+    groups = reports.groups_from_messages(stored, first=first, last=last, block=FEED_BLOCK, carry=carry)
+    return rounded(seconds(R.group_events(groups)), "value")
+
+
 @query
 def reports_to_groups_ticks(spark, sf):
     groups = reports.groups_from_messages(feed(spark, sf, late=False), every=40000.0)

@@ -161,13 +161,15 @@ def gapfill(
         F.when(F.row_number().over(along) == 1, bucket(start)).otherwise(F.col("__n")).alias("__from"),
         F.coalesce(F.lead("__n").over(along) - 1, bucket(end)).alias("__to"),
     )
-    # runs of buckets first, then the buckets of a run: no row holds a long array
-    runs = spans.withColumn(
-        "__run",
-        F.explode(F.sequence(F.floor(F.col("__from") / _FILLED), F.floor(F.col("__to") / _FILLED))),
-    )
-    first = F.greatest("__from", F.col("__run") * _FILLED)
-    last = F.least("__to", F.col("__run") * _FILLED + (_FILLED - 1))
+    first, last, runs = F.col("__from"), F.col("__to"), spans
+    if (times.seconds_since_epoch(end) - times.seconds_since_epoch(start)) / step > _FILLED:
+        # runs of buckets first, then the buckets of a run: no row holds a long array
+        runs = spans.withColumn(
+            "__run",
+            F.explode(F.sequence(F.floor(F.col("__from") / _FILLED), F.floor(F.col("__to") / _FILLED))),
+        )
+        first = F.greatest("__from", F.col("__run") * _FILLED)
+        last = F.least("__to", F.col("__run") * _FILLED + (_FILLED - 1))
     return runs.withColumn("__b", F.explode(F.sequence(first, last))).select(
         times.from_epoch(F.col("__b") * step, kind).alias("t"), *keys,
         F.when(F.col("__b") == F.col("__n"), F.coalesce("__value", F.lit(fill)))

@@ -12,7 +12,6 @@ from iolens.schema import ORDER, SERVER_CLASSES, TAGS
 
 SAMPLES_PER_CHUNK = 256
 BLOCK_ROWS = 1 << 24  # width of a block of the arrival order
-SALTS = 32
 
 _SAMPLE = ("host", *ORDER)
 
@@ -93,16 +92,8 @@ def newest_samples(samples: DataFrame) -> DataFrame:
     place = F.struct("time", *[(-F.col(c)).alias(c) for c in ORDER])
     last = samples.groupBy("host").agg(F.max(place).alias("__last"))
     ahead = F.struct(*ORDER) < F.struct(*[(-F.col("__last")[c]).alias(c) for c in ORDER])
-    # salted, so that the samples of one host are not joined in one task
-    salts = F.sequence(F.lit(0), F.lit(SALTS - 1)).cast("array<bigint>")
-    pairs = (
-        samples.withColumn("__salt", F.pmod("arrival_seq", F.lit(SALTS)).cast("bigint"))
-        .join(last.withColumn("__salt", F.explode(salts)), ["host", "__salt"])
-        .groupBy("host", "__salt", "__last")
-        .agg(F.max(F.when(ahead, place)).alias("__prev"))
-        .groupBy("host", "__last")
-        .agg(F.max("__prev").alias("__prev"))
-    )
+    # one row a host: Spark broadcasts it below its limit, and else splits a host's samples at run time
+    pairs = samples.join(last, "host").groupBy("host", "__last").agg(F.max(F.when(ahead, place)).alias("__prev"))
 
     def row(sample: str, prev_time: Column, number: int) -> Column:
         return F.struct(

@@ -23,6 +23,7 @@ from iolens.operators.view import rank, top_view
 from iolens.schema import ORDER, TAGS
 from iolens.sources.reports import (
     BLOCK,
+    carried_between,
     classify_messages,
     clients_of,
     explode_entries,
@@ -73,6 +74,7 @@ def groups_from_messages(
     last: int | None = None,
     lookback: int = BLOCK,
     block: int = BLOCK,
+    carry: DataFrame | None = None,
 ) -> DataFrame:
     """All tag groups of a feed.
 
@@ -81,9 +83,14 @@ def groups_from_messages(
     last report of a host in each tick of so many seconds. ``first`` and ``last`` give the
     groups of the reports that arrived in between, from that part of the store and
     ``lookback`` arrivals before it; hosts that were silent for longer go on from their last
-    accepted report, so the rows are those of the feed up to ``last``.
+    accepted report, so the rows are those of the feed up to ``last``. With the store's ``carry``
+    (:func:`iolens.sources.reports.read_carry`) nothing before the block of ``first`` is read but that and
+    one report of each host; ticks of ``every`` seconds are not in it.
     """
-    if first is not None or last is not None:
+    if carry is not None and every is None:
+        first, last = first or 0, (1 << 63) - 1 if last is None else last
+        messages = kept(carried_between(messages, carry, first, last, block), "range")
+    elif first is not None or last is not None:
         first, last = first or 0, (1 << 63) - 1 if last is None else last
         narrow = samples_of(messages.where(F.col("arrival_seq") <= last))
         if every is not None:

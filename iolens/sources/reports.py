@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -120,7 +122,82 @@ def store_messages(messages: DataFrame, path: str, load: str = "0", block: int =
     # the messages of a block come from few tasks, so that it has few files
     dealt = rows.repartitionByRange("block", "kind", "arrival_seq")
     dealt.write.mode("overwrite").partitionBy("block", "kind").parquet(f"{path}/load={load}")
-    return read_messages(messages.sparkSession, path)
+    spark = messages.sparkSession
+    told = spark.read.schema(f"{STORED}, block bigint, kind string").parquet(f"{path}/load={load}")
+    carried = carry_of(told).repartition("block")
+    carried.write.mode("overwrite").partitionBy("block").parquet(f"{path}/{CARRY}/load={load}")
+    return read_messages(spark, path)
+
+
+CARRY = "_carry"  # readers of the messages pass over folders that begin so
+_TOLD = ("system", "jid", "uid")
+
+
+def carry_of(messages: DataFrame) -> DataFrame:
+    """What each block leaves to those after it, one row per node, host and tag: ``block, what, time`` and a message.
+
+    Of ``what``, ``node`` is the last host of a node id, ``tag`` the last value of a host's tag, and ``sample`` the place
+    of the host's report of the latest time, the earliest to arrive of those. Counters are not read.
+    """
+    place, none = F.struct(*ORDER), F.lit(None).cast("string")
+    df = classify_messages(messages)
+    ranked = F.struct("time", *[(-F.col(c)).alias(c) for c in ORDER])
+    hosts = df.where("hostname is not null").groupBy("block", "hostname").agg(
+        F.max(F.when((F.col("kind") == "sample") & F.col("time").isNotNull(), ranked)).alias("__sample"),
+        *[F.max(F.when(F.col(c).isNotNull(), F.struct(*ORDER, c))).alias(f"__{c}") for c in _TOLD],
+    )
+    empty = {"nid": none, **{c: none for c in _TOLD}, "time": F.lit(None).cast("double")}
+
+    def row(what: str, order: Sequence[Column], **own: Column) -> Column:
+        names = [f.alias(c) for c, f in zip(ORDER, order)]
+        return F.struct(F.lit(what).alias("what"), *names, *[v.alias(c) for c, v in (empty | own).items()])
+
+    tags = [F.when(F.col(f"__{c}").isNotNull(), row("tag", [F.col(f"__{c}")[o] for o in ORDER], **{c: F.col(f"__{c}")[c]})) for c in _TOLD]
+    last = F.col("__sample")
+    sample = F.when(last.isNotNull(), row("sample", [-last[o] for o in ORDER], time=last["time"]))
+    of_hosts = hosts.select("block", "hostname", F.inline(F.array_compact(F.array(*tags, sample))))
+    nodes = df.where("kind = 'node'").groupBy("block", "nid").agg(F.max_by("hostname", place).alias("hostname"), F.max(place).alias("__at"))
+    of_nodes = nodes.select("block", "hostname", "nid", F.lit("node").alias("what"), *[F.col("__at")[c].alias(c) for c in ORDER])
+    return of_hosts.unionByName(of_nodes, allowMissingColumns=True)
+
+
+def read_carry(spark: SparkSession, path: str) -> DataFrame:
+    """What the blocks of a store leave to later ones, for ranges of :func:`carried_between`."""
+    fields = "hostname string, what string, arrival_seq bigint, msg_idx int, nid string, system string, jid string, uid string, time double"
+    return spark.read.schema(f"{fields}, load string, block bigint").parquet(f"{path}/{CARRY}")
+
+
+def carried_between(messages: DataFrame, carry: DataFrame, first: int, last: int, block: int = BLOCK) -> DataFrame:
+    """All that the reports that arrived from ``first`` to ``last`` need of a store.
+
+    These are the messages of the range, the mappings as they were before it, and the last accepted report of each
+    host. Before the range only the block it begins in is read; of all blocks before that one their carry.
+    """
+    seq, edge, place = F.col("arrival_seq"), first // block, F.struct(*ORDER)
+    df = classify_messages(messages)
+    near = df.where((F.col("block") >= edge) & (F.col("block") <= last // block) & (seq >= first) & (seq <= last))
+    begun = df.where((F.col("block") == edge) & (seq < first))
+    old = carry.where(F.col("block") < edge)
+    # one row per node id, and per host and tag, however many blocks there are
+    nodes = old.where("what = 'node'").groupBy("nid").agg(F.max_by("hostname", place).alias("hostname"), F.max(place).alias("__at"))
+    nodes = nodes.select("nid", "hostname", F.lit("node").alias("kind"), *[F.col("__at")[c].alias(c) for c in ORDER])
+    told = F.coalesce(*[F.when(F.col(c).isNotNull(), F.lit(c)) for c in _TOLD])
+    tags = old.where("what = 'tag'").groupBy("hostname", told.alias("__told")).agg(F.max(F.struct(*ORDER, *_TOLD)).alias("__last"))
+    tags = tags.select("hostname", F.lit("host").alias("kind"), "__last.*")
+    known = nodes.unionByName(tags, allowMissingColumns=True)
+
+    ranked = F.struct("time", *[(-F.col(c)).alias(c) for c in ORDER])
+    seen = samples_of(begun).select(F.col("host").alias("hostname"), *ORDER, "time")
+    seen = seen.unionByName(old.where("what = 'sample'").select("hostname", *ORDER, "time"))
+    newest = seen.groupBy("hostname").agg(F.max(ranked).alias("__last"))
+    places = newest.select("hostname", *[(-F.col("__last")[c]).cast(t).alias(c) for c, t in df.select(*ORDER).dtypes])
+    places = places.withColumn("block", F.floor(F.col("arrival_seq") / block).cast("bigint"))
+    # the joined side is split by block, so only blocks with such a report are read; their tags are among the mappings
+    reports = df.where((F.col("kind") == "sample") & (F.col("block") <= edge) & (seq < first))
+    reports = reports.join(places, ["hostname", *ORDER, "block"], "left_semi")
+    reports = reports.withColumns({c: F.lit(None).cast("string") for c in _TOLD}).select(df.columns)
+    before = mappings_of(begun).unionByName(known, allowMissingColumns=True).select(df.columns)
+    return near.unionByName(before).unionByName(reports)
 
 
 def read_messages(spark: SparkSession, path: str) -> DataFrame:
