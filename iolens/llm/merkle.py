@@ -88,23 +88,29 @@ def row_hash(fields: Iterable[Column]) -> Column:
     return F.sha2(F.concat(*parts), 256)
 
 
+def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
+    """One row at a time as Python values: a row can be a whole partition of leaves."""
+    for batch in batches:
+        for i in range(batch.num_rows):
+            yield batch.slice(i, 1).to_pylist()[0]
+
+
 _NODE = "tree long, leaves long, level int, place long, hash string"
 
 
 def _tops(batches: Iterator[pa.RecordBatch], level: int, height: int, inner: bool) -> Iterator[pa.RecordBatch]:
     """Fold rows of neighbouring nodes of a level; their top, and with ``inner`` all nodes between, come out."""
-    for batch in batches:
-        out = []
-        for tree, leaves, nodes in zip(*(batch.column(c).to_pylist() for c in ("tree", "leaves", "nodes"))):
-            below = {n["place"]: n["hash"] for n in nodes}
-            top = min(level + height, depth(leaves))
-            if not inner and top == level:
-                out += [(tree, leaves, level, p, h) for p, h in below.items()]
-            for at in range(level, top):
-                lefts = sorted({p & ~1 for p in below})
-                below = {p >> 1: node(below[p], below.get(p + 1, "")) for p in lefts}
-                if inner or at + 1 == top:
-                    out += [(tree, leaves, at + 1, p, h) for p, h in below.items()]
+    for row in _rows(batches):
+        out, tree, leaves = [], row["tree"], row["leaves"]
+        below = {n["place"]: n["hash"] for n in row["nodes"]}
+        top = min(level + height, depth(leaves))
+        if not inner and top == level:
+            out += [(tree, leaves, level, p, h) for p, h in below.items()]
+        for at in range(level, top):
+            lefts = sorted({p & ~1 for p in below})
+            below = {p >> 1: node(below[p], below.get(p + 1, "")) for p in lefts}
+            if inner or at + 1 == top:
+                out += [(tree, leaves, at + 1, p, h) for p, h in below.items()]
         columns = list(zip(*out)) or [()] * 5
         kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.string()]
         yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], ["tree", "leaves", "level", "place", "hash"])
@@ -151,12 +157,11 @@ def expanded(parts: DataFrame, nodes: DataFrame, tops: DataFrame, expand: Expand
     arrow = to_arrow_schema(_parse(parts, schema))
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for row in batch.to_pylist():
-                others = {(o["level"], o["place"]): o["hash"] for o in row["fetched"] or ()}
-                levels = derive({x["place"]: x["hash"] for x in row["nodes"]}, row["leaves"], others)
-                out = [expand(x, siblings(x["place"], row["leaves"], levels), row["above"]) for x in row["nodes"]]
-                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out), arrow)], schema=arrow)
+        for row in _rows(batches):
+            others = {(o["level"], o["place"]): o["hash"] for o in row["fetched"] or ()}
+            levels = derive({x["place"]: x["hash"] for x in row["nodes"]}, row["leaves"], others)
+            out = [expand(x, siblings(x["place"], row["leaves"], levels), row["above"]) for x in row["nodes"]]
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out), arrow)], schema=arrow)
 
     above = tops.select("tree", F.struct(*[c for c in tops.columns if c != "tree"]).alias("above"))
     rows = parts.join(fetched, ["tree", "part"], "left").join(above, "tree")

@@ -307,16 +307,14 @@ def _block_links(members: DataFrame, texts: DataFrame) -> DataFrame:
     own = F.pmod(F.xxhash64("para", "band"), F.col("blocks")).cast("int")
     dealt = held.join(blocks, "band").withColumn("own", own)
     met = dealt.select("*", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
-    met = met.select("band", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), F.struct("own", "component", "text").alias("member"))
-    pairs = met.groupBy("band", "i", "j").agg(F.collect_list("member").alias("members"))
-    return pairs.select("members").mapInArrow(_linked, "a long, b long")
+    met = met.select("band", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "component", "text")
+    return met.groupBy("band", "i", "j").applyInArrow(_linked, "a long, b long")
 
 
-def _linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for members in batch.column("members"):
-            columns = list(zip(*_component_links(members.as_py()))) or [()] * 2
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], ["a", "b"])
+def _linked(blocks: pa.Table) -> pa.Table:
+    members = blocks.select(["own", "component", "text"]).to_pylist()
+    columns = list(zip(*_component_links(members))) or [()] * 2
+    return pa.table([pa.array(c, pa.int64()) for c in columns], ["a", "b"])
 
 
 def _component_links(members: list[dict]) -> Iterator[tuple[int, int]]:
