@@ -337,6 +337,7 @@ ORACLES["tag_entries_asof"] = _with(
     select="""
 select arrival_seq, client_nid, coalesce(client, client_nid) as client, coalesce(system, '*') as system,
        coalesce(jid, '*') as jid, coalesce(uid, '*') as uid, split_part(target, '-', 1) as fid from with_uid""")
+ORACLES["tag_entries_asof_sparse"] = ORACLES["tag_entries_asof"]
 ORACLES["fs_name"] = _with(M, select="""
 select left(target, length(target) - 8) as fid, count(*) as n from m where kind = 'sample' group by all""")
 

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from checks import tables as T
+from iolens.functions.blocks import equal_blocks
 from iolens.functions.hostlists import collapse_hosts, expand_hosts, expand_tasks_per_node
 from iolens.functions.names import epoch_seconds, fs_name, local_time, natural_key, short_host
 from iolens.operators import groups as G
@@ -457,6 +458,16 @@ def tag_entries_asof(spark, sf):
     return M.tag_entries_asof(P.explode_entries(messages), messages, block_rows=1024).select(*_TAGGED)
 
 
+@query
+def tag_entries_asof_sparse(spark, sf):
+    """The same on an order like nanoseconds, with most of the rows near its end; blocks hold equal rows."""
+    messages = T.messages(spark, sf).withColumn("arrival_seq", F.col("arrival_seq") * 1_000_003 + F.lit(1_700_000_000 * 10**9))
+    entries = P.explode_entries(messages)
+    tagged = M.tag_entries_asof(entries, messages, block_rows=equal_blocks(entries, "arrival_seq", 500))
+    place = F.floor((F.col("arrival_seq") - F.lit(1_700_000_000 * 10**9)) / 1_000_003)
+    return tagged.withColumn("arrival_seq", place).select(*_TAGGED)
+
+
 @query
 def fs_name_query(spark, sf):
     return message_entries(spark, sf).groupBy(fs_name("target").alias("fid")).agg(F.count(F.lit(1)).alias("n"))

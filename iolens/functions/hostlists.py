@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from iolens.functions.names import natural_key
+from iolens.sources.shared import kept
 
 MAX_SIZE = 100000  # fixed value: the usual largest range, expanded part, or repetition
 _COUNTABLE = 10**15  # more names than that are not numbered
@@ -282,8 +283,9 @@ def expand_tasks_per_node(
 # collapse
 # ---------------------------------------------------------------------------
 
-_DIGITS = 18  # digits of a bigint; those before them in a longer number go with its prefix
+_DIGITS = (18, 37)  # digits that fit a bigint, and a decimal; those before them in a longer number go with its prefix
 _NO_NUMBER = -1
+_KEPT_PASSES = 4  # passes after which a plan is cut
 _ISLAND_BLOCK = 1 << 16
 
 
@@ -301,7 +303,7 @@ def _islands(df: DataFrame, keys: Sequence[str], block: int) -> DataFrame:
     inside = Window.partitionBy(*keys, "__block").orderBy("num")
     runs = (
         df.withColumn("__block", F.floor(F.col("num") / block))
-        .withColumn("__run", F.col("num") - F.row_number().over(inside))
+        .withColumn("__run", (F.col("num") - F.row_number().over(inside)).cast(df.schema["num"].dataType))
         .groupBy(*keys, "__block", "__run")
         .agg(F.min("num").alias("low"), F.max("num").alias("high"))
         .withColumn("__border", (F.col("low") % block == 0) | ((F.col("high") + 1) % block == 0))
@@ -319,21 +321,25 @@ def _islands(df: DataFrame, keys: Sequence[str], block: int) -> DataFrame:
     return merged.unionByName(runs.where("not __border").select(*keys, "low", "high"))
 
 
-_CHAIN = "struct<low:bigint,high:bigint,width:int>"
-
-
-def _joined_ranges(ranges: Column) -> Column:
+def _joined_ranges(ranges: Column, number: str) -> Column:
     """Join zero-padded runs to unpadded ones at powers of ten.
 
     ``ranges`` holds all runs of one prefix and suffix as (low, high, width),
     width 0 for unpadded numbers. 08-09 goes on with 10, so a padded run that
     ends just below a power of ten takes over the unpadded numbers from there,
-    unless an unpadded range that began earlier is already running through it.
+    unless an unpadded range that began earlier is already running through it. ``number`` is the type of the ends.
     """
+    chains = f"array<struct<low:{number},high:{number},width:int>>"
+
+    def ends_low(r: Column) -> Column:
+        """All nines, with one digit less than the width: the next number is unpadded."""
+        text = r["high"].cast("string")
+        return (F.length(text) == r["width"] - 1) & text.rlike("^9+$")
+
     padded = F.filter(ranges, lambda r: r["width"] > 0)
     tails = F.array_sort(
         F.transform(
-            F.filter(padded, lambda r: r["high"] + 1 == F.pow(F.lit(10), r["width"] - 1)),
+            F.filter(padded, ends_low),
             lambda r: F.struct(
                 r["width"].alias("width"), r["low"].alias("low"), r["high"].alias("high")
             ),
@@ -367,7 +373,7 @@ def _joined_ranges(ranges: Column) -> Column:
     def run(natural: Column) -> Column:
         begin = F.struct(
             natural["low"].alias("first"),
-            F.array().cast(f"array<{_CHAIN}>").alias("done"),
+            F.array().cast(chains).alias("done"),
             F.struct(
                 natural["low"].alias("low"),
                 natural["high"].alias("high"),
@@ -386,7 +392,6 @@ def _joined_ranges(ranges: Column) -> Column:
 
     runs = F.transform(F.filter(ranges, lambda r: r["width"] == 0), run)
     used = F.flatten(F.transform(runs, lambda r: r["used"]))
-    ends_low = lambda r: r["high"] + 1 == F.pow(F.lit(10), r["width"] - 1)
     alone = F.filter(padded, lambda r: ~(ends_low(r) & F.array_contains(used, r["width"])))
     natural = F.flatten(F.transform(runs, lambda r: r["ranges"]))
     chain = lambda r: F.struct(r["low"], r["width"], r["high"])
@@ -402,13 +407,14 @@ def _joined_ranges(ranges: Column) -> Column:
     return F.array_sort(F.when(F.exists(padded, ends_low), joined).otherwise(as_they_are))
 
 
-def _collapse_once(df: DataFrame, by: Sequence[str], block: int) -> DataFrame:
+def _collapse_once(df: DataFrame, by: Sequence[str], block: int, most: int) -> DataFrame:
     """Fold the rightmost number of ``left`` into a range expression in ``right``.
 
     A name without one moves to ``right`` as it is written: it gets the width
-    ``_NO_NUMBER``. Of a number too long for a bigint the last digits are folded.
+    ``_NO_NUMBER``. Of a number of more than ``most`` digits the last of them are folded.
     """
-    digits = F.regexp_extract("left", r"([0-9]{1,18})[^0-9]*$", 1)
+    kind = "bigint" if most <= _DIGITS[0] else "decimal(38,0)"
+    digits = F.regexp_extract("left", rf"([0-9]{{1,{most}}})[^0-9]*$", 1)
     tail = F.regexp_extract("left", r"([^0-9]*)$", 1)
     usable = F.col("__digits") != ""
     cut = F.length("left") - F.length("__digits") - F.length("__tail")
@@ -424,7 +430,7 @@ def _collapse_once(df: DataFrame, by: Sequence[str], block: int) -> DataFrame:
         .when(padded, F.length("__digits"))
         .otherwise(0)
         .alias("width"),
-        F.when(usable, F.col("__digits").try_cast("bigint")).otherwise(0).alias("num"),
+        F.when(usable, F.col("__digits").try_cast(kind)).otherwise(F.lit(0).cast(kind)).alias("num"),
     )
     group = [*by, "prefix", "suffix"]
     ranges = (
@@ -435,7 +441,7 @@ def _collapse_once(df: DataFrame, by: Sequence[str], block: int) -> DataFrame:
     fixed = F.get("__ranges", F.lit(0))["width"] == _NO_NUMBER
     ranges = ranges.withColumn(
         "__joined",
-        F.when(fixed, F.col("__ranges")).otherwise(_joined_ranges(F.col("__ranges"))),
+        F.when(fixed, F.col("__ranges")).otherwise(_joined_ranges(F.col("__ranges"), kind)),
     )
     texts = F.transform(
         "__joined",
@@ -457,23 +463,29 @@ def collapse_hosts(
     df: DataFrame,
     by: Sequence[str],
     host: str,
-    numeric_fields: int = 4,
+    numeric_fields: int | None = None,
     block: int = _ISLAND_BLOCK,
 ) -> DataFrame:
     """Rows ``(*by, hostlist, error)``: the short written form of each group's hosts.
 
     Names are trimmed, blanks and duplicates dropped. A name with a bracket or
-    comma sets ``error`` of its group; the others are still collapsed. The last
-    ``numeric_fields`` numbers of a name are folded into ranges, each by a pass
-    of its own; numbers before them stay as they are written.
+    comma sets ``error`` of its group; the others are still collapsed. The numbers of a name are folded into
+    ranges from the right, each by a pass of its own, as many as the name with most numbers has (a small job
+    finds that), or the last ``numeric_fields`` of them. Numbers up to 37 digits are folded whole.
     """
     names = df.select(*by, F.trim(host).alias("left")).where("left <> ''").distinct()
     # forbidden names go along as one row of their group without a number
     forbidden = F.col("left").rlike(r"[\[\],]")
     marked = names.select(*by, F.when(~forbidden, F.col("left")).otherwise("").alias("left"), forbidden.alias("__bad"))
     parts = marked.distinct().withColumn("right", F.lit(""))
-    for _ in range(numeric_fields):
-        parts = _collapse_once(parts, [*by, "__bad"], block)
+    numbers = F.regexp_extract_all("left", F.lit("[0-9]+"), F.lit(0))
+    longest = F.array_max(F.transform(numbers, lambda n: F.length(n)))
+    counted = names.agg(F.max(F.size(numbers)).alias("fields"), F.max(longest).alias("digits")).first()
+    most = _DIGITS[(counted["digits"] or 0) > _DIGITS[0]]
+    for n in range((counted["fields"] or 0) if numeric_fields is None else numeric_fields):
+        if n and n % _KEPT_PASSES == 0:
+            parts = kept(parts, "hosts")
+        parts = _collapse_once(parts, [*by, "__bad"], block, most)
     part = F.when(~F.col("__bad"), F.concat("left", "right"))
     return parts.groupBy(*by).agg(
         F.nullif(F.array_join(F.array_sort(F.collect_list(part)), ","), F.lit("")).alias("hostlist"),

@@ -6,8 +6,8 @@ ordinary (map-side combined) aggregate, the summaries - one row per key and
 block - are scanned per key, and the result is carried into a window over
 (key, block). No task ever sees more than one block of one key in full.
 
-The order should be dense, like the offsets of a log: blocks have a fixed width
-on its axis, and one that holds few rows is no summary.
+Blocks have a fixed width on the axis, which suits a dense order such as the offsets of a log;
+for a sparse or uneven one give blocks of equal rows (:mod:`iolens.functions.blocks`).
 """
 
 from __future__ import annotations
@@ -17,6 +17,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from iolens.functions.blocks import Blocks, block_of
+
 BLOCK_ROWS = 1 << 20  # width of a block on the (integral) order axis
 
 _BLOCK = "__block"
@@ -29,7 +31,7 @@ def running(
     order: Sequence[str],
     columns: dict[str, tuple[str, Column]],
     inclusive: bool = False,
-    block_rows: int = BLOCK_ROWS,
+    block_rows: int | Blocks = BLOCK_ROWS,
 ) -> DataFrame:
     """Add running ``max``, non-null ``last`` or ``count`` columns per key.
 
@@ -54,7 +56,7 @@ def running(
         "count": lambda carried, local: F.coalesce(carried, F.lit(0)) + local,
     }
 
-    blocked = df.withColumn(_BLOCK, F.floor(F.col(order[0]) / F.lit(block_rows)))
+    blocked = df.withColumn(_BLOCK, block_of(F.col(order[0]), block_rows))
     before = (
         Window.partitionBy(*keys).orderBy(_BLOCK).rowsBetween(Window.unboundedPreceding, -1)
     )
@@ -94,7 +96,7 @@ def asof_last(
     keys: Sequence[str],
     order: Sequence[str],
     values: Sequence[str],
-    block_rows: int = BLOCK_ROWS,
+    block_rows: int | Blocks = BLOCK_ROWS,
 ) -> DataFrame:
     """Left as-of lookup: the last non-null of each value at or before a probe.
 

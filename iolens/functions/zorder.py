@@ -8,6 +8,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from iolens.functions.blocks import rank_among
+
 BITS = 4  # of each column's rank
 _BYTES = 7  # of a text, after what all texts of the column begin with
 
@@ -27,7 +29,7 @@ def z_order(df: DataFrame, columns: Sequence[str], bits: int = BITS) -> tuple[Da
     found = keyed.agg(*[F.percentile_approx(f"__k{i}", shares, 10_000).alias(f"p{i}") for i in range(len(columns))]).first()
     z = F.lit(0).cast("bigint")
     for i in range(len(columns)):
-        rank = _rank(F.col(f"__k{i}"), sorted(set(found[f"p{i}"] or [])))
+        rank = rank_among(F.col(f"__k{i}"), sorted(set(found[f"p{i}"] or [])))
         for bit in range(bits):
             z = z + F.shiftleft(F.shiftright(rank, bit).bitwiseAND(F.lit(1)).cast("bigint"), bit * len(columns) + i)
     return keyed.withColumn("__z", z).drop(*[f"__k{i}" for i in range(len(columns))]), "__z"
@@ -37,12 +39,3 @@ def _prefix(text: Column, skip: int) -> Column:
     """Some bytes of a text as a number in the order of the texts."""
     digits = F.hex(F.encode(F.coalesce(text, F.lit("")), "utf-8"))
     return F.conv(F.rpad(F.substring(digits, 2 * skip + 1, 2 * _BYTES), 2 * _BYTES, "0"), 16, 10).cast("bigint")
-
-
-def _rank(key: Column, borders: list[int], low: int = 0, high: int | None = None) -> Column:
-    """How many borders are below the key, by halving."""
-    high = len(borders) if high is None else high
-    if low == high:
-        return F.lit(low)
-    middle = (low + high) // 2
-    return F.when(key > borders[middle], _rank(key, borders, middle + 1, high)).otherwise(_rank(key, borders, low, middle))

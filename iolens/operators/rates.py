@@ -8,6 +8,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from iolens.functions.blocks import Blocks, block_of
 from iolens.schema import ORDER, SERVER_CLASSES, TAGS
 
 SAMPLES_PER_CHUNK = 256
@@ -19,7 +20,7 @@ _SAMPLE = ("host", *ORDER)
 def accept_samples(
     samples: DataFrame,
     samples_per_chunk: int = SAMPLES_PER_CHUNK,
-    block_rows: int = BLOCK_ROWS,
+    block_rows: int | Blocks = BLOCK_ROWS,
 ) -> DataFrame:
     """Samples newer than every earlier arrival of their host.
 
@@ -32,7 +33,7 @@ def accept_samples(
     host, so a host with most of the samples is spread over tasks as well.
     """
     blocked = samples.select(
-        *_SAMPLE, "time", F.floor(F.col("arrival_seq") / block_rows).alias("__block")
+        *_SAMPLE, "time", block_of(F.col("arrival_seq"), block_rows).alias("__block")
     )
     forward = Window.partitionBy("host").orderBy("__block")
     backward = Window.partitionBy("host").orderBy(F.col("__block").desc())
@@ -119,7 +120,7 @@ def rates(
     entries: DataFrame,
     samples: DataFrame | None = None,
     samples_per_chunk: int = SAMPLES_PER_CHUNK,
-    block_rows: int = BLOCK_ROWS,
+    block_rows: int | Blocks = BLOCK_ROWS,
 ) -> DataFrame:
     """Rates of all entries. ``samples`` names all samples of the hosts; without
     it a sample that has no entries is not known of."""

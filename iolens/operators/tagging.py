@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from iolens.functions.blocks import Blocks
 from iolens.functions.names import fs_name
 from iolens.functions.scans import BLOCK_ROWS, asof_last, running
 from iolens.schema import ORDER, UNKNOWN
@@ -36,7 +37,7 @@ def host_state(messages: DataFrame, asof: int | None = None) -> DataFrame:
     )
 
 
-def host_state_history(messages: DataFrame, block_rows: int = BLOCK_ROWS) -> DataFrame:
+def host_state_history(messages: DataFrame, block_rows: int | Blocks = BLOCK_ROWS) -> DataFrame:
     """The state of the host after each of its messages."""
     plain = messages.select("hostname", *ORDER, *[F.col(c).alias("__" + c) for c in _ATTRIBUTES])
     return (
@@ -89,7 +90,7 @@ def tag_entries(entries: DataFrame, nodes: DataFrame) -> DataFrame:
 def asof_tags(
     clients: DataFrame,
     messages: DataFrame,
-    block_rows: int = BLOCK_ROWS,
+    block_rows: int | Blocks = BLOCK_ROWS,
     keep: Keep = lambda df: df,
 ) -> DataFrame:
     """``client_nid, *ORDER, client, system, jid, uid`` as known when each report arrived.
@@ -114,7 +115,7 @@ def asof_tags(
 def tag_entries_asof(
     entries: DataFrame,
     messages: DataFrame,
-    block_rows: int = BLOCK_ROWS,
+    block_rows: int | Blocks = BLOCK_ROWS,
     clients: DataFrame | None = None,
 ) -> DataFrame:
     """Tag each entry with the mapping known when its report arrived.

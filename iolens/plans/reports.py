@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from iolens.functions.blocks import Blocks, equal_blocks
 from iolens.operators.groups import derive_events, filter_groups, group_rates
 from iolens.operators.rates import (
     STEP,
@@ -42,23 +43,29 @@ def groups_from_entries(
     return aggregate_with_load(rates(tagged, samples), tags)
 
 
-def tags_of(messages: DataFrame, mode: str = "asof") -> DataFrame:
+#: Rows of a block of an ordered scan, on average.
+BLOCK_ROWS = 1 << 20
+
+
+def tags_of(messages: DataFrame, mode: str = "asof", blocks: Blocks | None = None) -> DataFrame:
     """``client_nid, *ORDER`` and tags of the clients of every report."""
     if mode == "asof":
-        return asof_tags(clients_of(messages), messages, keep=kept)
+        return asof_tags(clients_of(messages), messages, **({"block_rows": blocks} if blocks else {}), keep=kept)
     if mode == "latest":
         nodes = node_map(messages).withColumnRenamed("nid", "client_nid")
         return clients_of(messages).join(nodes, "client_nid")
     raise ValueError(f"unknown tagging mode: {mode!r}")
 
 
-def tagged_reports(messages: DataFrame, accepted: DataFrame, mode: str = "asof") -> DataFrame:
+def tagged_reports(
+    messages: DataFrame, accepted: DataFrame, mode: str = "asof", blocks: Blocks | None = None
+) -> DataFrame:
     """Tagged entries of the accepted samples, with what rates need to match them.
 
     Tags and places are found on narrow rows and joined to the whole reports; the
     counters move once as reports, and once as entries to those of their client.
     """
-    steps = steps_of(accepted).join(tags_by_report(tags_of(messages, mode)), [*ORDER], "left")
+    steps = steps_of(accepted).join(tags_by_report(tags_of(messages, mode, blocks)), [*ORDER], "left")
     samples = messages.where("data is not null").join(
         steps.withColumnRenamed("host", "hostname"), ["hostname", *ORDER]
     )
@@ -100,7 +107,9 @@ def groups_from_messages(
     samples = samples_of(messages)
     if every is not None:
         samples = coalesce_ticks(samples, every)
-    entries = tagged_reports(messages, accept_samples(samples), mode)
+    # a report has some clients and a host many reports: the same borders serve all scans
+    blocks = equal_blocks(samples, "arrival_seq", BLOCK_ROWS)
+    entries = tagged_reports(messages, accept_samples(samples, block_rows=blocks), mode, blocks)
     return aggregate_with_load(rates_of_placed(entries, first), tags)
 
 

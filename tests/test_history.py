@@ -5,12 +5,14 @@ import random
 from collections import defaultdict
 
 import pytest
+from pyspark.sql import functions as F
 
 from iolens.operators import groups as G
 from iolens.operators import history as H
 from iolens.operators import view as V
 from iolens.plans.pages import job_detail
 from iolens.plans.reports import top_report
+from iolens.sources import history_days
 from iolens.sources import history_table as S
 
 ROW = "time timestamp, host string, system string, fid string, jid string, uid string, client string, event string, value double"
@@ -260,3 +262,71 @@ def test_repeated_batch_replaces_its_rows(spark, tmp_path):
 def test_float_values_on_request(spark, tmp_path):
     S.write_history(frame(spark, [row(0, 0.1)]), str(tmp_path / "h"), compat_real=True)
     assert dict(spark.read.parquet(str(tmp_path / "h")).dtypes)["value"] == "float"
+
+
+def test_any_tag_leaves_most_files_alone(spark, tmp_path):
+    """A lookup by one tag, whichever, touches a part of a day's files; times and values come back as they were."""
+    rng = random.Random(3)
+    rows = [
+        (dt.datetime(2024, 1, 1, 0, 0) + dt.timedelta(seconds=i), f"h{rng.randrange(40):02}", f"s{rng.randrange(40):02}", "f", f"job{rng.randrange(400):04}",
+         f"u{rng.randrange(40):02}", "*", f"e{rng.randrange(40):02}", float(i))
+        for i in range(20_000)
+    ]
+    df = spark.createDataFrame(rows, "time timestamp, host string, system string, fid string, jid string, uid string, client string, event string, value double")
+    path = str(tmp_path / "h")
+    S.write_history(df, path, parts=512)
+    table = S.read_history(spark, path)
+    files = lambda d: d.select("_metadata.file_path").distinct().count()
+    whole = files(spark.read.parquet(path))
+    assert whole > 300 and table.count() == len(rows)
+    for tag, value in (("host", "h07"), ("system", "s11"), ("uid", "u39"), ("jid", "job0123"), ("event", "e00")):
+        found = spark.read.parquet(path).where(F.col(tag) == value)
+        assert 0 < files(found) < whole / 3, tag
+
+
+def test_segments_hold_the_rows(spark, tmp_path):
+    """Times to the microsecond, whole and other values, repeated times, and odd numbers."""
+    base = dt.datetime(2024, 1, 1, 0, 0, 0, 1)
+    values = [1.0, 2.5, 1e300, 2.0**60, float("inf"), 0.0, 3.0]
+    rows = [(base + dt.timedelta(microseconds=m * 700_001), "h", "s", "f", None if m % 2 else "j", "u", "*", f"e{m % 3}", values[m % 7]) for m in range(60)]
+    df = spark.createDataFrame(rows + rows[:5], "time timestamp, host string, system string, fid string, jid string, uid string, client string, event string, value double")
+    df = df.withColumn("date", F.to_date("time"))
+    packed = S.segments_of(df)
+    assert packed.count() == 6 and packed.agg(F.sum("rows")).first()[0] == 65
+    back = S.rows_of_segments(packed)
+    assert sorted(map(str, back.select(df.columns).collect())) == sorted(map(str, df.collect()))
+    path = str(tmp_path / "p")
+    packed.write.partitionBy("date").parquet(path)
+    found = H.in_range(S.rows_of_segments(spark.read.parquet(path)), dt.datetime(2024, 1, 1)).where("host = 'h'")
+    mode = spark._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("formatted")
+    text = found._jdf.queryExecution().explainString(mode)
+    assert "EqualTo(host,h)" in text and "date" in text.split("PartitionFilters")[1].split("]")[0]
+
+
+def test_summaries_replace_reading_the_rows(spark, tmp_path):
+    path = str(tmp_path / "h")
+    df = frame(spark, random_rows(400, 5))
+    for half in (0, 1):
+        S.write_history(df.where(F.pmod(F.hash("value"), F.lit(2)) == half), path)
+    table, days = S.read_history(spark, path), history_days.read_days(spark, path)
+    rows = lambda d: sorted(map(str, d.collect()))
+    assert rows(history_days.distinct_dims(days)) == rows(H.distinct_dims(df))
+    assert rows(history_days.job_extent(days, "j1")) == rows(H.job_extent(df, "j1"))
+    assert rows(history_days.recent_rows(table, days, 7)) == rows(H.recent_rows(df.select(*S.HISTORY_COLUMNS), 7))
+    assert history_days.recent_rows(table, days, 10_000).count() == 400
+    active = df.withColumn("event", F.when(F.hash("value") % 3 == 0, "nclients").otherwise("load"))
+    other = str(tmp_path / "a")
+    S.write_history(active, other)
+    table, days = S.read_history(spark, other), history_days.read_days(spark, other)
+    got = history_days.latest_active_share(table, days, "jid", "load")
+    assert rows(got) == rows(H.latest_active_share(active, "jid", "load"))
+    for made in (history_days.distinct_dims(days), history_days.job_extent(days, "j1"), history_days.latest_active(days)):
+        assert all("_days" in f for f in made.inputFiles())
+
+
+def test_summaries_of_a_repeated_batch(spark, tmp_path):
+    path = str(tmp_path / "h")
+    for n, rows in ((0, random_rows(50, 1)), (1, random_rows(20, 2)), (0, random_rows(50, 1))):
+        S.write_history(frame(spark, rows), path, batch_id=n)
+    days = history_days.read_days(spark, path)
+    assert days.where("dim is null").agg(F.sum("rows")).first()[0] == 70

@@ -124,6 +124,25 @@ def test_store_is_read_in_part(spark):
     assert M.node_map(near).count() == M.node_map(stored.where("arrival_seq <= 500")).count()
 
 
+@pytest.mark.parametrize("first,last", [(0, 20), (17, 33), (32, 63), (70, 10_000), (100_000, 100_001)])
+def test_range_from_the_carry_of_older_blocks(spark, first, last):
+    """The rows of the whole feed; before the block of the range only one report a host is read."""
+    path = T.work_dir(spark)
+    feed = T.feed_messages(spark, SF).where("arrival_seq < 120")
+    quiet = feed.where("arrival_seq >= 16 or hostname <> 'oss1'")  # a host that is silent for blocks
+    for load, part in (("a", "arrival_seq % 3 = 0"), ("b", "arrival_seq % 3 > 0")):
+        stored = P.store_messages(quiet.where(part), path, load, block=16)
+    carry = P.read_carry(spark, path)
+    want = groups_from_messages(stored, first=first, last=last, lookback=1 << 20, block=16)
+    got = groups_from_messages(stored, first=first, last=last, block=16, carry=carry)
+    rows = lambda df: sorted(map(str, df.collect()))
+    assert rows(got) == rows(want)
+    text = plan(P.carried_between(stored, carry, first, last, 16))
+    assert "block" in text.split("PartitionFilters")[1].split("]")[0] and "CartesianProduct" not in text
+    taken = P.carried_between(stored, carry, first, last, 16).where("data is not null and arrival_seq < %d" % first)
+    assert taken.groupBy("hostname").count().where("count > 1").count() == 0
+
+
 @pytest.mark.parametrize("every", [None, 10.0])
 def test_range_goes_on_from_older_reports(spark, every):
     """A host silent for longer than the look-back has its rate, and its late report is rejected."""

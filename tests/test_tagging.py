@@ -3,7 +3,9 @@
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
+from iolens.functions.blocks import Blocks, equal_blocks
 from iolens.functions.names import fs_name
 from iolens.operators import tagging as M
 from iolens.plans.reports import groups_from_messages
@@ -169,3 +171,15 @@ def test_job_listing(spark):
     got = {r.hostname: (r.jid, r.uid) for r in table.collect()}
     assert got == {"c1": ("11", "ann"), "c2": ("12", "bob"), "c3": ("-", "-"), "c9": ("12", "bob")}
     assert {(r.line_no, r.error) for r in bad.collect()} == {(2, "too few columns"), (3, "start > stop")}
+
+
+def test_blocks_of_a_sparse_order_hold_equal_rows(spark):
+    """Nanoseconds of which most are in one second, and one host with 90 % of the rows: no block is far over the median."""
+    start = 1_700_000_000 * 10**9
+    sparse = F.when(F.col("id") % 10 == 0, start + F.col("id") * 10**12).otherwise(start + F.col("id") * 7)
+    df = spark.range(200_000).select(sparse.alias("at"), F.when(F.col("id") % 10 < 9, "hot").otherwise(F.concat(F.lit("h"), F.col("id") % 7)).alias("host"))
+    for rows, factor in ((2_000, 2), (100, 5)):  # the second has more blocks than quantiles
+        blocks = equal_blocks(df, "at", rows)
+        sizes = sorted(r["count"] for r in df.groupBy(blocks.of(F.col("at")).alias("b")).count().collect())
+        assert sum(sizes) == 200_000 and sizes[-1] <= factor * max(rows, sizes[len(sizes) // 2])
+    assert equal_blocks(df.limit(0), "at", 10) == Blocks([0, 0]) and len(equal_blocks(df, "at", 10**6).borders) == 2

@@ -56,14 +56,24 @@ def test_large_expressions_are_no_errors(spark):
     assert expand(spark, ["a[0-99999999999999999999]", "a[0-9999999999999999]"]) == [[L.LONG_RANGE], [L.LONG_RANGE]]
 
 
+def test_any_number_of_numbers_and_of_digits_is_folded(spark):
+    base = 9_999_999_999_999_999_999_999_998  # 25 digits, and one more
+    groups = [[f"a{i}b{i}c{i}d{i}e1" for i in (1, 2, 3)], [f"a1b2c3d4e{i}f1" for i in (1, 2, 3)], [f"n{base + i}" for i in range(4)]]
+    groups += [[f"n{999_999_999_999_999_998 + i}" for i in range(4)], [f"a{i}b1c1d1e1f1" for i in range(5)]]
+    got = collapse(spark, groups)
+    assert got[0] == ("a1b1c1d1e1,a2b2c2d2e1,a3b3c3d3e1", None) and got[1] == ("a1b2c3d4e[1-3]f1", None)
+    assert got[2] == (f"n[{base}-{base + 3}]", None)
+    assert got[3] == ("n[999999999999999998-1000000000000000001]", None) and got[4] == ("a[0-4]b1c1d1e1f1", None)
+
+
 def test_long_numbers_are_folded(spark):
     base = 1234567890123456789012345
     names = [f"h{base + i}" for i in range(3)]
-    assert collapse(spark, [names]) == {0: ("h1234567[890123456789012345-890123456789012347]", None)}
-    # a run is not folded over the border of the digits that fit
+    assert collapse(spark, [names]) == {0: ("h[1234567890123456789012345-1234567890123456789012347]", None)}
+    longer = "9" * 20 + "0" * 36  # of more digits the last 37 are folded
+    assert collapse(spark, [[f"h{longer}{i}" for i in range(3)]]) == {0: (f"h{longer[:20]}[{longer[20:]}0-{longer[20:]}2]", None)}
     edge = ["h1999999999999999999", "h2000000000000000000", "h2000000000000000001"]
-    (text, _), = collapse(spark, [edge]).values()
-    assert sorted(expand(spark, [text])[0]) == sorted(edge)
+    assert collapse(spark, [edge]) == {0: ("h[1999999999999999999-2000000000000000001]", None)}
 
 
 def test_alternating_numbers(spark):
