@@ -501,6 +501,7 @@ where value > 0""")
 ORACLES["stream_buckets"] = _r("""
 select cast(epoch(time_bucket(interval '1 hour', time)) as bigint) as t, host, event, round(sum(value), 6) as value
 from h group by all""")
+ORACLES["stream_buckets_late"] = ORACLES["stream_buckets"]
 
 # --- the stored table ------------------------------------------------------------------
 

@@ -21,7 +21,14 @@ from iolens.plans import pages, reports
 from iolens.schema import DERIVED, LEVELS, ORDER, TAGS
 from iolens.sources import captured, history_days, history_table, mappings
 from iolens.sources import reports as P
-from iolens.streaming.reports import export_stream, open_buckets, stream_buckets, stream_rates
+from iolens.streaming.reports import (
+    bucket_sums,
+    export_buckets,
+    export_stream,
+    open_buckets,
+    stream_buckets,
+    stream_rates,
+)
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -759,6 +766,18 @@ def export_stream_query(spark, sf):
     return rounded(seconds(spark.read.parquet(path + "/history").drop("date", "batch_id")), "value")
 
 
+@query
+def stream_buckets_late(spark, sf):
+    """Sums of a stream whose batches each have rows of all hours."""
+    path = T.work_dir(spark)
+    rows = recent(spark, sf).withColumn("time", F.timestamp_seconds(epoch_seconds("time")))
+    for n in range(3):
+        rows.where(F.pmod(F.hash("time", "value"), F.lit(3)) == n).write.mode("append").parquet(path + "/history")
+        stream = spark.readStream.schema(rows.schema).parquet(path + "/history")
+        finish(export_buckets(stream, "1h", path + "/sums"), path)
+    return rounded(bucket_sums(spark, path + "/sums").drop("date").withColumn("t", F.unix_seconds("t")), "value")
+
+
 @query
 def stream_buckets_query(spark, sf):
     path = T.work_dir(spark)

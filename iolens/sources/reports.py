@@ -51,8 +51,17 @@ def _elements(lines: DataFrame) -> DataFrame:
     )
 
 
+_ENTRIES = f"array<struct<{', '.join(f'{f}: string' for f in _ENTRY_FIELDS)}, stats: map<string,string>>>"
+
+
+def _whole_entries(data: Column) -> Column:
+    """All entries of a JSON text at once, and that text where some entry is odd."""
+    text = F.concat(F.lit('{"data":'), data, F.lit("}"))
+    return F.from_json(text, f"data {_ENTRIES}, {_BAD} string", {"columnNameOfCorruptRecord": _BAD})
+
+
 def _entries_of(data: Column) -> Column:
-    """Data entries of their JSON text; what is no object among them is left out."""
+    """Data entries of their JSON text, each by itself; what is no object among them is left out."""
     texts = F.filter(F.from_json(data, "array<string>"), lambda t: t.startswith("{"))
     parsed = F.transform(texts, lambda t: F.from_json(t, _ENTRY))
     return F.transform(
@@ -76,7 +85,10 @@ def parse_reports(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
         "__m", F.when(F.col("__text").startswith("{"), F.from_json("__text", _ELEMENT, {"columnNameOfCorruptRecord": _BAD}))
     )
     time = F.trim("__m.time").try_cast("double")
-    data = F.when(F.col("__m.data").startswith("["), _entries_of(F.col("__m.data")))
+    listed = F.col("__m.data").startswith("[")
+    parsed = parsed.withColumn("__whole", F.when(listed, _whole_entries(F.col("__m.data"))))
+    plain = F.filter("__whole.data", lambda e: e.isNotNull())
+    data = F.when(listed, F.when(F.col(f"__whole.{_BAD}").isNull(), plain).otherwise(_entries_of(F.col("__m.data"))))
     reason = (
         F.when(F.col("msg_idx").isNull(), F.col("__reason"))
         .when(F.col("__m").isNull(), "not a report")

@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import DataStreamWriter
 
+from iolens.functions.times import utc_day
 from iolens.operators.groups import derive_events
 from iolens.operators.history import time_window, to_history
 from iolens.operators.rates import (
@@ -227,6 +228,31 @@ def stream_buckets(
     )
 
 
+def export_buckets(
+    history: DataFrame, width: str, path: str, keys: Sequence[str] = ("host", "event")
+) -> DataStreamWriter:
+    """Keep sums of a history stream up to date, however late its rows come: read them with :func:`bucket_sums`.
+
+    Each batch adds what it has of every bucket it touches, old or new, below the bucket's UTC day. There is no
+    watermark and no state, and a replayed batch replaces its own part.
+    """
+
+    def sink(batch: DataFrame, batch_id: int) -> None:
+        sums = batch.groupBy(time_window(width)["start"].alias("t"), *keys).agg(F.sum("value").alias("value"), F.count("value").alias("rows"))
+        day = utc_day(F.col("t"), sums.schema["t"].dataType)
+        dated = sums.withColumns({"date": day, "batch_id": F.lit(batch_id)})
+        writer = dated.repartition("date").write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+        writer.partitionBy("date", "batch_id").parquet(path)
+
+    return history.select(*HISTORY_COLUMNS).writeStream.foreachBatch(sink)
+
+
+def bucket_sums(spark: SparkSession, path: str, keys: Sequence[str] = ("host", "event")) -> DataFrame:
+    """``date, t, *keys, value`` from the parts of all batches; a filter on ``date`` reads those days only."""
+    parts = spark.read.parquet(path)
+    return parts.groupBy("date", "t", *keys).agg(F.sum("value").alias("value"))
+
+
 def open_buckets(
     history: DataFrame, sums: DataFrame, width: str, keys: Sequence[str] = ("host", "event")
 ) -> DataFrame:
