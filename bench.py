@@ -117,7 +117,7 @@ def streamed(spark: SparkSession, feed: str) -> DataFrame:
     """One micro-batch of rates over the whole feed."""
     path = T.work_dir(spark)
     stream = spark.readStream.schema("arrival_seq bigint, msg string").parquet(feed)
-    writer = stream_rates(P.parse_reports(stream)[0], f"{path}/state", f"{path}/rates")
+    writer = stream_rates(P.parse_reports(stream)[0], f"{path}/rates")
     writer.option("checkpointLocation", f"{path}/offsets").trigger(availableNow=True).start().awaitTermination()
     return spark.read.parquet(f"{path}/rates")
 

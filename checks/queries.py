@@ -751,7 +751,7 @@ def finish(writer, path):
 
 @query
 def stream_rates_query(spark, sf):
-    path = run_feed(spark, sf, lambda messages, path: stream_rates(messages, path + "/state", path + "/rates"))
+    path = run_feed(spark, sf, lambda messages, path: stream_rates(messages, path + "/rates"))
     rows = spark.read.option("basePath", path + "/rates").parquet(path + "/rates")
     rows = seconds(rows).select(
         "server", "time", "client_nid", "target", "client", "system", "jid", "uid", "fid",
@@ -762,7 +762,7 @@ def stream_rates_query(spark, sf):
 
 @query
 def export_stream_query(spark, sf):
-    path = run_feed(spark, sf, lambda messages, path: export_stream(messages, path + "/state", path + "/history"))
+    path = run_feed(spark, sf, lambda messages, path: export_stream(messages, path + "/history"))
     return rounded(seconds(spark.read.parquet(path + "/history").drop("date", "batch_id")), "value")
 
 

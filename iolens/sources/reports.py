@@ -51,13 +51,13 @@ def _elements(lines: DataFrame) -> DataFrame:
     )
 
 
-_ENTRIES = f"array<struct<{', '.join(f'{f}: string' for f in _ENTRY_FIELDS)}, stats: map<string,string>>>"
+ENTRIES = f"array<struct<{', '.join(f'{f}: string' for f in _ENTRY_FIELDS)}, stats: map<string,string>>>"
 
 
 def _whole_entries(data: Column) -> Column:
     """All entries of a JSON text at once, and that text where some entry is odd."""
     text = F.concat(F.lit('{"data":'), data, F.lit("}"))
-    return F.from_json(text, f"data {_ENTRIES}, {_BAD} string", {"columnNameOfCorruptRecord": _BAD})
+    return F.from_json(text, f"data {ENTRIES}, {_BAD} string", {"columnNameOfCorruptRecord": _BAD})
 
 
 def _entries_of(data: Column) -> Column:

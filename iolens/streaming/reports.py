@@ -1,8 +1,8 @@
 """Rates, history export and bucketed sums of a running feed.
 
-The batch operators do the work: each micro-batch is joined with the last
-accepted sample of its hosts and the mappings known so far, and gives the same
-rows as one batch run over the whole feed.
+What lasts from batch to batch is kept by the steps of :mod:`iolens.streaming.steps`.
+The batch operators do the rest on the reports of a micro-batch, and the rows are
+the same as those of one batch run over the whole feed.
 """
 
 from __future__ import annotations
@@ -17,202 +17,98 @@ from iolens.functions.times import utc_day
 from iolens.operators.groups import derive_events
 from iolens.operators.history import time_window, to_history
 from iolens.operators.rates import (
-    accept_samples,
+    SAMPLES_PER_CHUNK,
+    STEP,
     aggregate_with_load,
     host_snapshot,
-    rates_of,
+    rates_of_placed,
 )
-from iolens.operators.tagging import tag_entries_asof
+from iolens.operators.tagging import tag_from_report
 from iolens.schema import HISTORY_COLUMNS, ORDER, TAGS
 from iolens.sources.history_table import write_history
-from iolens.sources.reports import classify_messages, clients_of, explode_entries, samples_of
-from iolens.streaming.state import BatchTable
+from iolens.sources.reports import ENTRIES, explode_entries
+from iolens.streaming.steps import reports_with_tags
 
-_BEFORE = -1  # arrival position of anything known before the batch
-
-_SAMPLE = "host string, arrival_seq bigint, msg_idx int, time double"
-_ENTRY = (
-    f"{_SAMPLE}, obdclass string, entry_idx int, stats_type string, target string, "
-    "client_nid string, stats map<string,bigint>"
-)
+_ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+_TAG_MAP = "map<string, struct<client string, system string, jid string, uid string>>"
 
 
-class ReportState:
-    """Last accepted sample of every host, node map and host tags.
+def rates_of_reports(reports: DataFrame) -> DataFrame:
+    """Rates of the reports that :func:`iolens.streaming.steps.reports_with_tags` gives of one batch.
 
-    With ``idle_after`` seconds, hosts that much behind the newest sample are left out
-    when the state is next written whole; they begin anew if they come back.
+    Reports stay whole until here; they are numbered per host, so each finds the one before it
+    beside it, as in :func:`iolens.operators.rates.rates_of_placed`.
     """
+    number, zero = F.col("number").cast("bigint"), F.lit(0).cast("bigint")
+    part = F.floor(number / SAMPLES_PER_CHUNK)
+    crosses = number % SAMPLES_PER_CHUNK == SAMPLES_PER_CHUNK - 1
+    placed = reports.select(
+        F.col("host").alias("hostname"), *ORDER, "time", "obdclass", F.lit("sample").alias("kind"),
+        F.from_json("report", ENTRIES).alias("data"), F.from_json("tags", _TAG_MAP).alias("tags"),
+        number.alias("sample_no"), F.struct(zero.alias("block"), part.alias("part")).alias("chunk"),
+        F.when(crosses, F.struct(zero.alias("block"), (part + 1).alias("part"))).alias("next_chunk"),
+        (F.col("time") - F.col("prev_time")).alias("__dt"),
+    )
+    return rates_of_placed(tag_from_report(explode_entries(placed, *STEP, "tags")))
 
-    def __init__(self, path: str, compact_every: int = 50, idle_after: float | None = None):
-        self.idle_after = idle_after
-        self.samples = BatchTable(path, "samples", ["host"], _SAMPLE, compact_every)
-        self.entries = BatchTable(path, "entries", ["host"], _ENTRY, compact_every)
-        self.nodes = BatchTable(path, "nodes", ["nid"], "nid string, hostname string", compact_every)
-        self.hosts = BatchTable(
-            path, "hosts", ["hostname"], "hostname string, system string, jid string, uid string",
-            compact_every,
-        )
-
-    def advance(self, messages: DataFrame, batch_id: int, cache: Callable) -> DataFrame:
-        """Rates of one batch of messages; stores the state after it.
-
-        ``cache`` holds on to a frame until the batch is done.
-        """
-        spark = messages.sparkSession
-        now = samples_of(messages)
-        hosts = cache(now.select("host").distinct())
-        before = self.samples.read(spark, batch_id).join(hosts, "host", "left_semi")
-        old_entries = self.entries.read(spark, batch_id).join(hosts, "host", "left_semi")
-        at_start = {"arrival_seq": F.lit(_BEFORE).cast("bigint"), "msg_idx": F.lit(0)}
-        accepted = cache(accept_samples(now.unionByName(before.withColumns(at_start))))
-
-        new_entries = explode_entries(messages)
-        mapped = cache(self._mappings(messages, batch_id))
-        tagged = tag_entries_asof(new_entries, mapped)
-        entries = tagged.unionByName(old_entries.withColumns(at_start), allowMissingColumns=True)
-
-        position = F.struct(*ORDER, "time")
-        last = (
-            accepted.where(F.col("arrival_seq") > _BEFORE)
-            .groupBy("host")
-            .agg(F.max_by(position, "time").alias("__last"))
-            .select("host", *[F.col("__last")[c].alias(c) for c in (*ORDER, "time")])
-        )
-        last = cache(last)
-        idle = None
-        if self.idle_after is not None:
-            newest = last.agg(F.max("time")).first()[0]  # one row
-            idle = F.col("time") < F.lit(newest) - self.idle_after
-        self.samples.write(spark, batch_id, last, idle)
-        self.entries.write(spark, batch_id, new_entries.join(last, ["host", *ORDER], "left_semi"), idle)
-        self._store_mappings(spark, batch_id, mapped, messages)
-        return rates_of(entries, accepted)
-
-    def _mappings(self, messages: DataFrame, batch_id: int) -> DataFrame:
-        """Mappings of the batch after the known ones of the nodes and hosts it names."""
-        nid = F.when(F.col("data").isNull(), F.col("nid"))  # a sample's node id maps nothing
-        told = messages.select(*ORDER, "hostname", nid.alias("nid"), "system", "jid", "uid")
-        told = told.where("coalesce(nid, system, jid, uid) is not null")
-        known = self._known_messages(messages, batch_id)
-        return told.unionByName(known).withColumn("data", F.lit(None).cast("string"))
-
-    def _known_messages(self, messages: DataFrame, batch_id: int) -> DataFrame:
-        """The part of the mapping state a batch can ask for, as messages that arrived before it."""
-        spark = messages.sparkSession
-        clients = clients_of(messages).select(F.col("client_nid").alias("nid")).distinct()
-        nodes = self.nodes.read(spark, batch_id).join(clients, "nid", "left_semi")
-        named = messages.select("hostname").unionByName(nodes.select("hostname")).distinct()
-        hosts = self.hosts.read(spark, batch_id).join(named, "hostname", "left_semi")
-        return (
-            hosts.withColumn("nid", F.lit(None).cast("string"))
-            .unionByName(nodes.withColumns({c: F.lit(None).cast("string") for c in ("system", "jid", "uid")}))
-            .withColumns({"arrival_seq": F.lit(_BEFORE).cast("bigint"), "msg_idx": F.lit(0)})
-        )
-
-    def prune(self, spark: SparkSession, batch_id: int) -> None:
-        for table in (self.samples, self.entries, self.nodes, self.hosts):
-            table.prune(spark, batch_id)
-
-    def _store_mappings(
-        self, spark: SparkSession, batch_id: int, mapped: DataFrame, messages: DataFrame
-    ) -> None:
-        position = F.struct(*ORDER)
-        nodes = (
-            classify_messages(messages)
-            .where("kind = 'node'")
-            .groupBy("nid")
-            .agg(F.max_by("hostname", position).alias("hostname"))
-        )
-        self.nodes.write(spark, batch_id, nodes)
-        named = messages.select("hostname").distinct()
-        tags = (
-            mapped.join(named, "hostname", "left_semi")
-            .groupBy("hostname")
-            .agg(
-                *[
-                    F.max_by(c, F.when(F.col(c).isNotNull(), position)).alias(c)
-                    for c in ("system", "jid", "uid")
-                ]
-            )
-        )
-        self.hosts.write(spark, batch_id, tags)
-
-
-def _each_batch(
-    messages: DataFrame, state: ReportState, sink: Callable[[DataFrame, int], None]
-) -> DataStreamWriter:
-    def run(batch: DataFrame, batch_id: int) -> None:
-        held: list[DataFrame] = []
 
-        def cache(df: DataFrame) -> DataFrame:
-            held.append(df.persist())
-            return df
+def _milliseconds(seconds: float | None) -> int | None:
+    return None if seconds is None else max(1, round(seconds * 1000))
+
 
+def _each_batch(reports: DataFrame, sink: Callable[[DataFrame, int], None]) -> DataStreamWriter:
+    reports.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", _ROCKSDB)
+
+    def run(batch: DataFrame, batch_id: int) -> None:
+        # the stateful steps run once a batch; what follows may read their rows several times
+        held = batch.persist()
         try:
-            sink(cache(state.advance(cache(batch), batch_id, cache)), batch_id)
-            state.prune(batch.sparkSession, batch_id)
+            sink(rates_of_reports(held), batch_id)
         finally:
-            for df in held:
-                df.unpersist()
+            held.unpersist()
 
-    return messages.writeStream.foreachBatch(run)
+    return reports.writeStream.foreachBatch(run)
 
 
-def stream_rates(
-    messages: DataFrame, state_path: str, output_path: str, idle_after: float | None = None
-) -> DataStreamWriter:
+def stream_rates(messages: DataFrame, output_path: str, idle_after: float | None = None) -> DataStreamWriter:
     """Write the rate rows of each batch below ``output_path/batch_id=<n>``.
 
-    Set trigger and checkpoint on the returned writer and start it. A sample not
-    newer than the last accepted one of its host is dropped; there is no other
-    rule for late data. ``idle_after`` is the idle timeout of :class:`ReportState`.
+    Set trigger and checkpoint on the returned writer and start it; the checkpoint holds the state, in
+    RocksDB, to which this sets the session's state store. A sample not newer than the last accepted
+    one of its host is dropped; there is no other rule for late data. A host that sent nothing for
+    ``idle_after`` seconds of processing time is forgotten and begins anew if it comes back. With
+    such a timeout Spark looks for due timers after every batch, so use a processing-time trigger.
     """
 
     def sink(rows: DataFrame, batch_id: int) -> None:
         rows.write.mode("overwrite").parquet(f"{output_path}/batch_id={batch_id}")
 
-    return _each_batch(messages, ReportState(state_path, idle_after=idle_after), sink)
+    return _each_batch(reports_with_tags(messages, idle_ms=_milliseconds(idle_after)), sink)
 
 
 def export_stream(
     messages: DataFrame,
-    state_path: str,
     history_path: str,
     tags: Sequence[str] = TAGS,
     dedupe: bool = True,
+    repeat_after: float = 30.0,
     idle_after: float | None = None,
 ) -> DataStreamWriter:
     """Append each batch's latest groups per server to the history table.
 
-    The trigger interval is the export interval. With ``dedupe=False`` a server
-    that sent nothing new has its last groups written again. A replayed batch
-    replaces its own rows.
+    The trigger interval is the export interval. With ``dedupe=False`` a server of which nothing was
+    accepted for ``repeat_after`` seconds has its last groups written again, by a timer of the state
+    store, and so on until it is heard of or forgotten. A replayed batch replaces its own rows.
+    State, trigger and ``idle_after`` are as in :func:`stream_rates`.
     """
-    derived = (
-        "server string, time timestamp, "
-        + ", ".join(f"{t} string" for t in tags)
-        + ", nclients double, load double, load_eff double, iops double, bytes double, "
-        "events map<string,double>"
-    )
-    snapshots = BatchTable(state_path, "snapshots", ["server"], derived, 1)
 
     def sink(rows: DataFrame, batch_id: int) -> None:
-        spark = rows.sparkSession
         groups = aggregate_with_load(rows, tags)
         latest = rows.groupBy("server").agg(F.max("time").alias("time"))
-        fresh = derive_events(host_snapshot(groups, latest))
-        if dedupe:
-            write_history(to_history(fresh), history_path, batch_id=batch_id)
-            return
-        silent = snapshots.read(spark, batch_id).join(latest, "server", "left_anti")
-        current = fresh.unionByName(silent)
-        current.write.mode("overwrite").parquet(f"{snapshots.path}/batch_id={batch_id}")
-        stored = spark.read.schema(derived).parquet(f"{snapshots.path}/batch_id={batch_id}")
-        write_history(to_history(stored), history_path, batch_id=batch_id)
-        snapshots.prune(spark, batch_id)
-
-    return _each_batch(messages, ReportState(state_path, idle_after=idle_after), sink)
+        write_history(to_history(derive_events(host_snapshot(groups, latest))), history_path, batch_id=batch_id)
+
+    repeat = None if dedupe else _milliseconds(repeat_after)
+    return _each_batch(reports_with_tags(messages, repeat, _milliseconds(idle_after)), sink)
 
 
 def stream_buckets(

@@ -3,6 +3,7 @@
 import json
 import os
 import random
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -11,7 +12,6 @@ from iolens.operators.rates import rates
 from iolens.operators.tagging import tag_entries_asof
 from iolens.sources import reports as P
 from iolens.streaming.reports import (
-    ReportState,
     bucket_sums,
     export_buckets,
     export_stream,
@@ -68,70 +68,94 @@ def plain(df):
 
 
 def test_stream_equals_batch(spark, tmp_path):
-    state, out = str(tmp_path / "state"), str(tmp_path / "rates")
-    start(spark, tmp_path, lambda m: stream_rates(m, state, out))
+    out = str(tmp_path / "rates")
+    start(spark, tmp_path, lambda m: stream_rates(m, out))
     got = plain(spark.read.option("basePath", out).parquet(out))
     assert got and got == plain(batch_rates(spark, tmp_path))
 
 
-def test_replayed_batch_gives_the_same_rows(spark, tmp_path):
-    write_feed(tmp_path / "feed", feed(), 24)
-    messages = P.parse_reports(P.read_reports(spark, str(tmp_path / "feed")))[0].persist()
-    parts = [messages.where(f"arrival_seq between {a} and {a + 7}") for a in (0, 8, 16)]
-    state, held = ReportState(str(tmp_path / "state"), compact_every=2), []
-    keep = lambda df: held.append(df) or df
-    got = [plain(state.advance(p, n, keep)) for n, p in enumerate(parts)]
-    assert plain(state.advance(parts[2], 2, keep)) == got[2]
-    assert sorted(sum(got, []), key=str) == plain(batch_rates(spark, tmp_path))
-
-
-def versions(path):
-    return {t.name: sorted(int(f.name.split("=")[1]) for f in t.iterdir() if "=" in f.name) for t in path.iterdir()}
+def sample(seq, host, time, client="n", opens=None):
+    data = [{"stats_type": "oss", "client_nid": client, "target": "fs0-OST0000", "stats": {"open": seq if opens is None else opens}}]
+    return {"hostname": host, "time": float(time), "obdclass": "oss", "data": data}
+
+
+def in_steps(spark, tmp_path, parts, make, wait=0.0):
+    """One run of the stream for each part of a feed, with the same checkpoint; without batches that have no data."""
+    (tmp_path / "feed").mkdir()
+    seq, before = 0, spark.conf.get("spark.sql.streaming.noDataMicroBatches.enabled")
+    spark.conf.set("spark.sql.streaming.noDataMicroBatches.enabled", "false")
+    try:
+        for n, part in enumerate(parts):
+            (tmp_path / "feed" / f"{n}.txt").write_text("".join(f"{i}\t{json.dumps(m)}\n" for i, m in enumerate(part, seq)))
+            seq += len(part)
+            writer = make(P.parse_reports(P.read_reports(spark, str(tmp_path / "feed"), streaming=True))[0])
+            writer.option("checkpointLocation", str(tmp_path / "offsets")).trigger(availableNow=True).start().awaitTermination()
+            time.sleep(wait)
+    finally:
+        spark.conf.set("spark.sql.streaming.noDataMicroBatches.enabled", before)
+
+
+def test_mappings_change_across_restarts(spark, tmp_path):
+    """A node id moves to another host, and a host to another job, each in a run of its own."""
+    node = lambda host: {"hostname": host, "nid": "n"}
+    tags = lambda host, job: {"hostname": host, "jid": job, "uid": "u"}
+    parts = [
+        [sample(0, "oss0", 1), node("c0"), tags("c0", "1"), sample(3, "oss0", 2)],
+        [sample(4, "oss0", 3), node("c1"), sample(6, "oss0", 4), tags("c1", "2"), tags("c0", "9")],
+        [sample(9, "oss0", 4), sample(10, "oss0", 5), node("c0"), {"hostname": "c0", "uid": "v"}, sample(13, "oss0", 6)],
+    ]
+    out = str(tmp_path / "rates")
+    in_steps(spark, tmp_path, parts, lambda m: stream_rates(m, out))
+    rows = spark.read.parquet(out).orderBy("time")
+    got = [(r.t, r.client, r.jid, r.uid) for r in rows.select(F.unix_seconds("time").alias("t"), "*").collect()]
+    assert got == [(2, "c0", "1", "u"), (3, "c0", "1", "u"), (4, "c1", "*", "*"), (5, "c1", "2", "u"), (6, "c0", "9", "v")]
+    assert plain(rows) == plain(batch_rates(spark, tmp_path))
 
 
-def test_old_state_is_removed_and_the_rest_suffices(spark, tmp_path):
-    write_feed(tmp_path / "feed", feed(40), 40)
-    messages = P.parse_reports(P.read_reports(spark, str(tmp_path / "feed")))[0].persist()
-    state, held, got = ReportState(str(tmp_path / "state"), compact_every=2), [], []
-    keep = lambda df: held.append(df) or df
-    for n in range(10):
-        part = messages.where(f"arrival_seq between {n * 4} and {n * 4 + 3}")
-        for _ in range(2):  # every batch is replayed after its clean-up
-            rows = plain(state.advance(part, n, keep))
-            state.prune(spark, n)
-        got += rows
-    assert sorted(got, key=str) == plain(batch_rates(spark, tmp_path))
-    assert versions(tmp_path / "state") == dict.fromkeys(["samples", "entries", "nodes", "hosts"], [6, 7, 8, 9])
-
-
-def test_idle_hosts_are_forgotten(spark, tmp_path):
-    def sample(seq, host, time):
-        return {"hostname": host, "time": time, "obdclass": "oss", "data": [{"stats_type": "oss", "client_nid": "n", "target": "fs0-OST0000", "stats": {"open": seq}}]}
-
-    feed_ = [sample(0, "old", 1.0), sample(1, "new", 100.0), sample(2, "new", 200.0), sample(3, "new", 300.0), sample(4, "old", 310.0), sample(5, "new", 320.0)]
-    write_feed(tmp_path / "feed", feed_, 10)
-    messages = P.parse_reports(P.read_reports(spark, str(tmp_path / "feed")))[0].persist()
-    for idle, want in ((None, {"old", "new"}), (150.0, {"new"})):
-        state, held, got = ReportState(str(tmp_path / f"state{idle}"), compact_every=1, idle_after=idle), [], set()
-        for n in range(3):
-            rates_ = state.advance(messages.where(f"arrival_seq between {n * 2} and {n * 2 + 1}"), n, lambda df: held.append(df) or df)
-            got |= {r.server for r in rates_.collect() if n == 2}
-        assert got == want
+def test_replayed_batch_gives_the_same_rows(spark, tmp_path):
+    """The last run ends before its commit is noted, and is done again."""
+    parts, out = [feed()[:8], feed()[8:16], feed()[16:]], str(tmp_path / "rates")
+    in_steps(spark, tmp_path, parts, lambda m: stream_rates(m, out))
+    want = plain(batch_rates(spark, tmp_path))
+    assert want and plain(spark.read.parquet(out)) == want
+    last = max(int(f.name) for f in (tmp_path / "offsets/commits").iterdir() if f.name.isdigit())
+    for name in (str(last), f".{last}.crc"):
+        (tmp_path / "offsets/commits" / name).unlink(missing_ok=True)
+    messages = P.parse_reports(P.read_reports(spark, str(tmp_path / "feed"), streaming=True))[0]
+    writer = stream_rates(messages, out).option("checkpointLocation", str(tmp_path / "offsets"))
+    writer.trigger(availableNow=True).start().awaitTermination()
+    assert plain(spark.read.parquet(out)) == want
+
+
+@pytest.mark.parametrize("idle", [None, 0.05])
+def test_idle_hosts_are_forgotten(spark, tmp_path, idle):
+    parts = [
+        [sample(0, "old", 1), sample(1, "new", 100)],
+        [sample(2, "new", 200)],
+        [sample(3, "new", 300)],
+        [sample(4, "old", 310), sample(5, "new", 320)],
+    ]
+    out = str(tmp_path / "rates")
+    in_steps(spark, tmp_path, parts, lambda m: stream_rates(m, out, idle_after=idle), wait=0.2 if idle else 0)
+    servers = {r.server for r in spark.read.parquet(out).select("server").distinct().collect()}
+    # with so short a time each host is idle whenever it is not in a batch; a host in the batch goes on
+    assert servers == ({"new"} if idle else {"old", "new"})
 
 
 @pytest.mark.parametrize("dedupe", [True, False])
 def test_export_appends_the_latest_groups(spark, tmp_path, dedupe):
-    state, out = str(tmp_path / "state"), str(tmp_path / "history")
-    start(spark, tmp_path, lambda m: export_stream(m, state, out, dedupe=dedupe))
-    rows = spark.read.parquet(out)
-    per_batch = rows.groupBy("batch_id", "host").agg(F.countDistinct("time").alias("n")).collect()
-    assert {r.n for r in per_batch} == {1}
-    newest = {r.host: r.t for r in rows.groupBy("host").agg(F.max("time").alias("t")).collect()}
-    want = batch_rates(spark, tmp_path).groupBy("server").agg(F.max("time").alias("t")).collect()
-    assert newest == {r.server: r.t for r in want}
-    last = rows.where(F.col("batch_id") == rows.agg(F.max("batch_id")).first()[0])
-    if not dedupe:
-        assert {r.host for r in last.select("host").distinct().collect()} == {"oss0", "oss1"}
+    out = str(tmp_path / "history")
+    parts = [
+        [sample(0, "oss0", 1), sample(1, "oss0", 2), sample(2, "oss1", 1), sample(3, "oss1", 3)],
+        [sample(4, "oss0", 5), sample(5, "oss1", 3), sample(6, "oss2", 1)],
+        [sample(7, "oss0", 6), sample(8, "oss0", 8)],
+    ]
+    in_steps(spark, tmp_path, parts, lambda m: export_stream(m, out, dedupe=dedupe, repeat_after=0.001))
+    rows = spark.read.parquet(out).where("event = 'open'")
+    got = sorted((r.batch_id, r.host, r.t, r.value) for r in rows.select(F.unix_seconds("time").alias("t"), "*").collect())
+    want = [(0, "oss0", 2, 1.0), (0, "oss1", 3, 0.5), (1, "oss0", 5, 1.0), (2, "oss0", 8, 0.5)]
+    repeated = [(1, "oss1", 3, 0.5), (2, "oss1", 3, 0.5)]
+    assert got == (want if dedupe else sorted(want + repeated))
 
 
 def test_buckets_close_after_the_delay(spark, tmp_path):
