@@ -479,25 +479,34 @@ from feed
 union all
 select host, cast(time as bigint), null, null, null, null, null, null, null, e, rate * f
 from cpu_rated, (values ('system', 1), ('user', 2)) v(e, f)""")
-# Each micro-batch exports the last report of every server in it.
-ORACLES["export_stream"] = _with(
-    FEED,
-    """cuts as (select max(seq) + 1 as span from (
+_CUTS = """cuts as (select max(seq) + 1 as span from (
                   select max(arrival_seq) as seq from cpu union all
                   select max(arrival_seq) + 4 from cpu where host = 'oss1' union all
                   select max(arrival_seq) + 20 from cpu where host = 'oss2' union all
-                  select max(cast(k * 8 + 4 as bigint)) from seen))""",
-    """last as (select host as server, cast(max(time) as bigint) as time
-               from cpu, cuts group by host, floor(arrival_seq * 3 / span))""",
-    _feed_groups(J, "(server, time) in (select server, time from last)"), _derived(J),
-    select=f"""
-select time, server as host, system, fid, jid, uid, '*' as client, event, round(value, 6) as value from (
+                  select max(cast(k * 8 + 4 as bigint)) from seen))"""
+_EXPORTED = f"""
+select part, time, server as host, system, fid, jid, uid, '*' as client, event, round(value, 6) as value from (
   select time, server, {_tags(J)} event,
          case when contains(event, '[bytes') then value * (1.0 / 1048576) else value end as value
   from g where event not in ('nclients', 'load')
   union all select time, server, {_tags(J)} unnest(['nclients', 'load', 'load_eff', 'iops', 'bytes']),
-                   unnest([nclients, load, load_eff, iops, bytes]) from d)
-where value > 0""")
+                   unnest([nclients, load, load_eff, iops, bytes]) from d) join last using (server, time)
+where value > 0"""
+# Each micro-batch exports the last report of every server in it.
+ORACLES["export_stream"] = _with(
+    FEED, _CUTS,
+    """last as (select cast(floor(arrival_seq * 3 / span) as int) as part, host as server, cast(max(time) as bigint) as time
+               from cpu, cuts group by all)""",
+    _feed_groups(J, "(server, time) in (select server, time from last)"), _derived(J),
+    select=f"select * exclude part from ({_EXPORTED})")
+# Each micro-batch exports the last report of every server so far; oss2 is silent in the last.
+ORACLES["export_stream_repeat"] = _with(
+    FEED, _CUTS,
+    """last as (select part, host as server, cast(max(time) as bigint) as time
+               from cpu, cuts, (values (0), (1), (2)) parts(part)
+               where floor(arrival_seq * 3 / span) <= part and (host <> 'oss2' or floor(arrival_seq * 3 / span) < 2)
+               group by all)""",
+    _feed_groups(J, "(server, time) in (select server, time from last)"), _derived(J), select=_EXPORTED)
 ORACLES["stream_buckets"] = _r("""
 select cast(epoch(time_bucket(interval '1 hour', time)) as bigint) as t, host, event, round(sum(value), 6) as value
 from h group by all""")
