@@ -9,6 +9,7 @@ from __future__ import annotations
 import datetime as dt
 import json
 import os
+import sys
 import tempfile
 import time
 
@@ -38,11 +39,10 @@ def session() -> SparkSession:
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.ui.enabled", "false")
         .config("spark.driver.memory", "16g")
+        .config("spark.checkpoint.dir", tempfile.mkdtemp(prefix="iolens-bench-"))
         .getOrCreate()
     )
     spark.sparkContext.setLogLevel("ERROR")
-    if spark.conf.get("spark.checkpoint.dir", None) is None:
-        spark.conf.set("spark.checkpoint.dir", tempfile.mkdtemp(prefix="iolens-bench-"))
     return spark
 
 
@@ -133,7 +133,10 @@ def main() -> None:
     tables = prepare(spark, root)
     prepared = time.perf_counter() - begin
     times = {}
+    wanted = sys.argv[1:]
     for name, job in jobs(spark, tables, root).items():
+        if wanted and name not in wanted:
+            continue
         begin = time.perf_counter()
         run(job())
         times[name] = round(time.perf_counter() - begin, 3)
