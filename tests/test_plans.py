@@ -20,6 +20,7 @@ from iolens.sources import reports as P  # noqa: E402
 SF = "/root/testdata/sf0.001"
 WRITING = {
     "write_history", "compact_history", "storage_report", "stream_rates", "export_stream", "stream_buckets",
+    "export_stream_repeat", "stream_buckets_late",
     "reports_to_groups", "current_top", "reports_to_groups_range", "reports_to_groups_ticks",
     "compact_again", "compaction_report", "total_bytes", "stored_in_range", "stored_gapfill",
 }
@@ -63,7 +64,8 @@ def test_no_cross_join_python_or_single_task(spark):
             assert bad not in text, (name, bad)
         # one task only for a total or a top-k
         if "SinglePartition" in text:
-            assert name in {"colour_range", "bucket_width", "job_extent", "page", "recent_rows", "job_detail"}, name
+            assert name in {"colour_range", "bucket_width", "job_extent", "page", "recent_rows", "job_detail",
+                            "stored_job_extent", "stored_recent_rows"}, name
 
 
 def test_rate_plan_shuffles(spark):
