@@ -65,7 +65,7 @@ def test_no_cross_join_python_or_single_task(spark):
         # one task only for a total or a top-k
         if "SinglePartition" in text:
             assert name in {"colour_range", "bucket_width", "job_extent", "page", "recent_rows", "job_detail",
-                            "stored_job_extent", "stored_recent_rows"}, name
+                            "stored_job_extent", "stored_recent_rows", "packed_job_detail"}, name
 
 
 def test_rate_plan_shuffles(spark):
