@@ -31,7 +31,9 @@ from iolens.sources.reports import (
     last_before,
     mappings_of,
     messages_between,
+    pieces_of,
     samples_of,
+    with_pieces,
 )
 from iolens.sources.shared import kept
 
@@ -48,7 +50,7 @@ BLOCK_ROWS = 1 << 20
 
 
 def tags_of(messages: DataFrame, mode: str = "asof", blocks: Blocks | None = None) -> DataFrame:
-    """``client_nid, *ORDER`` and tags of the clients of every report."""
+    """``client_nid, *ORDER`` and tags of the clients of every report, or of every piece of it."""
     if mode == "asof":
         return asof_tags(clients_of(messages), messages, **({"block_rows": blocks} if blocks else {}), keep=kept)
     if mode == "latest":
@@ -62,12 +64,16 @@ def tagged_reports(
 ) -> DataFrame:
     """Tagged entries of the accepted samples, with what rates need to match them.
 
-    Tags and places are found on narrow rows and joined to the whole reports; the
-    counters move once as reports, and once as entries to those of their client.
+    Tags and places are found on narrow rows and joined to the pieces of the reports; the
+    counters move once as such, and once as entries to those of their client. A row has the
+    tags of its own piece only, however many clients the report has.
     """
-    steps = steps_of(accepted).join(tags_by_report(tags_of(messages, mode, blocks)), [*ORDER], "left")
+    messages = with_pieces(messages)
+    piece = [*ORDER, "entry_from"]
+    steps = pieces_of(messages).join(steps_of(accepted), ["host", *ORDER])
+    steps = steps.join(tags_by_report(tags_of(messages, mode, blocks)), piece, "left")
     samples = messages.where("data is not null").join(
-        steps.withColumnRenamed("host", "hostname"), ["hostname", *ORDER]
+        steps.withColumnRenamed("host", "hostname"), ["hostname", *piece]
     )
     return tag_from_report(explode_entries(samples, *STEP, "tags"))
 
@@ -122,9 +128,10 @@ def current_groups(
     and rate steps, so their cost does not grow with the length of the feed.
     """
     newest = newest_samples(samples_of(messages))
-    places = newest.select(F.col("host").alias("hostname"), *ORDER)
-    messages = classify_messages(messages)
-    recent = messages.join(places, ["hostname", *ORDER], "left_semi")
+    messages = with_pieces(classify_messages(messages))
+    places = pieces_of(messages).join(newest, ["host", *ORDER], "left_semi").withColumnRenamed("host", "hostname")
+    # on the keys of the join that follows, so that the reports move once
+    recent = messages.join(places, ["hostname", *ORDER, "entry_from"], "left_semi")
     told = recent.unionByName(mappings_of(messages))
     return aggregate_with_load(rates_of_placed(tagged_reports(told, newest, mode)), tags)
 

@@ -177,3 +177,21 @@ def test_query_equals_sql(spark, name):
     """A few of them; ``python -m checks.compare`` runs all."""
     text, n = compare.difference(spark, compare.duck(SF), SF, queries()[name], oracle_sql()[name])
     assert not text and n
+
+
+def test_large_reports_are_stored_in_pieces(spark):
+    """No stored row has more than a piece of a report; groups are those of the whole reports."""
+    entry = lambda c, n: f'{{"stats_type":"oss","target":"fs{c % 3}-OST0000","client_nid":"n{c % 700}@tcp","stats":{{"open":"{c * n}"}}}}'
+    feed = [(10 * n + 5, '{"hostname":"oss0","obdclass":"oss","time":%d,"data":[%s]}' % (
+        100 * n, ",".join(['{"stats_type":"cpu","stats":{"system":"%d"}}' % n] + [entry(c, n) for c in range(900)]))) for n in range(1, 5)]
+    feed += [(8 * c % 30, f'{{"hostname":"h{c}","nid":"n{c}@tcp","jid":"j{c % 4}","uid":"u"}}') for c in range(0, 700, 7)]
+    messages = P.parse_reports(spark.createDataFrame(feed, "arrival_seq long, msg string"))[0]
+    stored = P.store_messages(messages, T.work_dir(spark), block=16)
+    assert stored.selectExpr("max(size(data))").first()[0] <= P.PIECE and stored.where("data is not null").count() == 4 * 4
+    again = P.store_messages(stored.drop("load", "block"), T.work_dir(spark), block=16)
+    rows = lambda df: sorted((r.server, r.time, r.jid, r.fid, sorted(r.events.items())) for r in df.collect())
+    want = rows(groups_from_messages(messages))
+    assert want and rows(groups_from_messages(stored)) == want == rows(groups_from_messages(again))
+    assert P.samples_of(stored).count() == 4
+    numbers = P.explode_entries(stored).groupBy("arrival_seq").agg({"entry_idx": "max", "*": "count"}).collect()
+    assert [tuple(r)[1:] for r in numbers] in ([(900, 901)] * 4, [(901, 900)] * 4)
