@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from iolens.operators.rates import rates
 from iolens.operators.tagging import tag_entries_asof
 from iolens.sources import reports as P
+from iolens.streaming.steps import PARTS, events_of
 from iolens.streaming.reports import (
     bucket_sums,
     export_buckets,
@@ -193,3 +194,23 @@ def test_late_rows_correct_their_buckets(spark, tmp_path):
             (tmp_path / "offsets/commits/.1.crc").unlink(missing_ok=True)
     got = {(r.host, r.t.timestamp()): r.value for r in bucket_sums(spark, sums).collect()}
     assert got == {("a", 0.0): 17.0, ("a", 3600.0): 4.0, ("a", 82_800.0): 2.0, ("b", 90_000.0): 40.0}
+
+
+def test_parts_of_a_report(spark, tmp_path):
+    """No event holds more than a part of a report; entries keep their numbers, and the last of equal ones counts."""
+    rng = random.Random(5)
+    entry = lambda c, v: {"stats_type": "oss", "client_nid": f"n{c}", "target": "fs0-OST0000", "stats": {"open": v}}
+    parts = []
+    for n in range(3):
+        data = [{"stats_type": "cpu", "client_nid": "n7", "stats": {"system": n}}, {"stats_type": "cpu", "stats": {"system": 10 * n}}]
+        data += [entry(c, rng.randint(0, 99)) for c in range(200)] + [entry(3, n)]
+        parts.append([{"hostname": "oss0", "time": float(n + 1), "obdclass": "oss", "data": data}, {"hostname": f"c{n}", "nid": "n3"}])
+    out = str(tmp_path / "rates")
+    in_steps(spark, tmp_path, parts, lambda m: stream_rates(m, out))
+    numbered = lambda df: sorted((r.t, r.entry_idx, r.client or "", r.rates["open"] if "open" in r.rates else r.rates["system"])
+                                 for r in df.select(F.unix_micros("time").alias("t"), "*").collect())
+    got = numbered(spark.read.parquet(out))
+    assert len(got) == 2 * 203 and got == numbered(batch_rates(spark, tmp_path))
+    messages = P.parse_reports(P.read_reports(spark, str(tmp_path / "feed")))[0]
+    found = [r for r in events_of(messages).collect() if r.what == "sample"]
+    assert len(found) == 3 * PARTS and max(len(json.loads(r.report)) for r in found) < 60
