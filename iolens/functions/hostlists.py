@@ -19,6 +19,7 @@ from iolens.sources.shared import kept
 MAX_SIZE = 100000  # fixed value: the usual largest range, expanded part, or repetition
 _COUNTABLE = 10**15  # more names than that are not numbered
 _RUN = 4096  # numbers that are made in one row
+_TASKS_A_CORE = 4  # tasks that expressions are dealt over
 
 # Messages of the error column.
 NESTED = "nested brackets"
@@ -165,7 +166,9 @@ def expand_hosts(
     host in the written order; a duplicate keeps its first place. ``max_size``
     makes larger ranges and parts errors; ``MAX_SIZE`` is the usual limit.
     """
-    parts = df.select(
+    # an expression is short and stands for many names: those of a small file are dealt out before they are expanded
+    tasks = _TASKS_A_CORE * df.sparkSession.sparkContext.defaultParallelism
+    parts = df.select(*keys, col).repartition(tasks).select(
         *keys,
         _bracket_error(F.col(col)).alias("__bracket"),
         F.regexp_extract_all(col, F.lit(r"((?:[^,\[]|\[[^\]]*\])+)"), F.lit(1)).alias("__parts"),

@@ -5,6 +5,8 @@ from collections import defaultdict
 
 import pytest
 
+from pyspark.sql.functions import spark_partition_id
+
 from iolens.functions import hostlists as L
 from iolens.functions.names import natural_key
 from iolens.sources import captured
@@ -156,3 +158,11 @@ def test_cpu_text(spark):
     assert [tuple(r[2:]) for r in short.collect()] == [(1, 2, 0, 0, 0, 0, 0)]
     none = captured.parse_cpu_text(lines(spark, ["cpu0 1"]))
     assert [tuple(r[2:]) for r in none.collect()] == [(0,) * 7]
+
+
+def test_expressions_of_one_split_are_dealt_out(spark):
+    """A small table is expanded by all cores, not by the one task that reads it."""
+    df = spark.createDataFrame([(i, f"n[1-{i % 9 + 1}]") for i in range(900)], "job int, expr string").coalesce(1)
+    out = L.expand_hosts(df, "expr", ["job"], allow_duplicates=True)
+    tasks = out.select(spark_partition_id().alias("p")).distinct().count()
+    assert tasks > 4 and out.count() == sum(i % 9 + 1 for i in range(900))
