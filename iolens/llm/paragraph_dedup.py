@@ -17,6 +17,11 @@ nothing but links between components. No pair becomes a row, and a band's size c
 
 A passage is repeated if it has enough words: units that follow each other count together, single
 sentences that many texts share by chance, or license lines, do not.
+
+A passage need not begin or end with a sentence, and its sentences can be short. So runs of ``RUN`` words are
+units of a third kind, wherever they begin: of each ``REACH`` that follow each other the one of least hash, which
+equal words choose alike. Any ``RUN + REACH - 1`` words that two texts share have such a run in both, and
+runs that meet or overlap are one passage again.
 """
 
 from __future__ import annotations
@@ -39,6 +44,8 @@ SIMILARITY = 0.8
 MIN_WORDS = 10
 #: Least words of a repeated passage, which may be several units in a row.
 MIN_PASSAGE = 40
+#: Words of a run, and beginnings of runs of which one is chosen: 51 equal words always share one.
+RUN, REACH = 32, 20
 BANDS, ROWS = 10, 3
 #: Paragraphs of a block on average, and characters of them.
 BLOCK, BLOCK_CHARS = 512, 1_000_000
@@ -86,6 +93,7 @@ def _constants() -> tuple[np.ndarray, np.ndarray]:
 
 _FACTORS, _OFFSETS = _constants()
 _STEP = np.uint64(0x9E3779B97F4A7C15)  # the golden ratio, odd
+_STEP_BACK = np.uint64(pow(int(_STEP), -1, 1 << 64))
 
 
 def _mixed(x: np.ndarray) -> np.ndarray:
@@ -97,8 +105,15 @@ def bands_of(texts: list[list[bytes]]) -> np.ndarray:
     """A row of ``BANDS`` signed band values for each list of at least ``SHINGLE`` words."""
     if not texts:
         return np.empty((0, BANDS), np.int64)
-    digest = xxhash.xxh64_digest
-    words = np.frombuffer(b"".join([digest(w) for t in texts for w in t]), "<u8")
+    return _bands([_digests(t) for t in texts])
+
+
+def _digests(words: list[bytes]) -> np.ndarray:
+    return np.frombuffer(b"".join(map(xxhash.xxh64_digest, words)), "<u8")
+
+
+def _bands(texts: list[np.ndarray]) -> np.ndarray:
+    words = np.concatenate(texts)
     runs = words[: len(words) - SHINGLE + 1].copy()
     for i in range(1, SHINGLE):
         runs = runs * _STEP + words[i : len(words) - SHINGLE + 1 + i]
@@ -119,9 +134,48 @@ def bands_of(texts: list[list[bytes]]) -> np.ndarray:
     return out.view(np.int64)
 
 
+def _extremes(values: np.ndarray, size: int, of: np.ufunc) -> np.ndarray:
+    """The least or largest of each ``size`` values in a row."""
+    step = 1
+    while 2 * step <= size:
+        values, step = of(values[:-step], values[step:]), 2 * step
+    return of(values[: len(values) - size + step], values[size - step :])
+
+
+def runs_of(words: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """First words and signed hashes of the chosen runs of ``size`` words, by the digests of a text's words."""
+    if len(words) < size:
+        return np.empty(0, np.int64), np.empty(0, np.int64)
+    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(words * np.cumprod(np.full(len(words), _STEP)))])
+    back = np.cumprod(np.full(len(words) - size + 1, _STEP_BACK))  # each sum to the same powers
+    hashes = _mixed(_mixed((sums[size:] - sums[:-size]) * back))
+    reach = min(REACH, len(hashes))
+    least = _extremes(hashes, reach, np.minimum)
+    edge = np.zeros(reach - 1, np.uint64)
+    chosen = np.flatnonzero(_extremes(np.concatenate([edge, least, edge]), reach, np.maximum) == hashes)
+    # a text of few words that come back has equal runs: one is enough at a time
+    chosen = chosen[np.lexsort((chosen, hashes[chosen]))]
+    own, part = hashes[chosen], chosen // (REACH // 2)
+    chosen = np.sort(chosen[np.concatenate([[True], (own[1:] != own[:-1]) | (part[1:] != part[:-1])])])
+    return chosen, hashes[chosen].view(np.int64)
+
+
+def places_of(raw: bytes, first: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Lines, and first and last characters, of ``size`` words from each of the first ones on."""
+    letters = np.frombuffer(raw, np.uint8)
+    blank = (letters == 32) | ((letters >= 9) & (letters <= 13))
+    edges = np.flatnonzero(np.diff(blank, prepend=True, append=True))
+    start, end = edges[::2][first], edges[1::2][first + size - 1]
+    line = np.searchsorted(np.flatnonzero(letters == 10), start)
+    if not raw.isascii():
+        before = np.concatenate([[0], np.cumsum((letters & 0xC0) != 0x80)])
+        start, end = before[start], before[end]
+    return line, start, end
+
+
 def repeated_paragraphs(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS,
-    kept_lines: bool = False, min_passage: int = 0,
+    kept_lines: bool = False, min_passage: int = 0, run_words: int = 0,
 ) -> DataFrame:
     """One row per paragraph that has a near copy: where it is, its class, and whether it goes.
 
@@ -136,21 +190,61 @@ def repeated_paragraphs(
     texts have none. A stretch of repeated units of a text, with fewer than ``min_words`` words between
     one and the next, counts from ``min_passage`` words on, so the class may be named by an occurrence without a row. A null id comes before all others. Rows of the same id that hold a paragraph at
     the same place stay or go together. Other columns are not read. An empty table gives no rows.
+
+    With ``run_words`` also passages that other rows of ``docs`` hold word for word have a row, where none of it
+    goes with a row above: all of ``run_words + REACH - 1`` words, none of fewer than ``run_words``, and
+    a row may be up to ``REACH - 1`` words short at either end. Such a passage may span lines; it stays in the first
+    document that keeps it and goes from the others. ``paragraph`` is the line where it begins.
     """
     if min_words < SHINGLE:
         raise ValueError(f"paragraphs need at least {SHINGLE} words")
     chosen = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    signed = stored(chosen.mapInArrow(_signer(min_words), _SIGNED), "paragraphs")
+    given = stored(chosen.mapInArrow(_signer(min_words, run_words), _SIGNED), "paragraphs")
+    signed = given.where("sentence is not null")
     bands = signed.where("bands is not null").select("para", F.explode("bands").alias("band"))
     members = _members(chosen, stored(_crowded(bands), "bands"), min_words)
     named = signed.drop("bands").join(members, signed["para"] == members["node"], "left")
     named = named.withColumn("class", F.coalesce("component", "para")).drop("node", "component")
     found = _found_in_kept(stored(named, "named")) if kept_lines else _found(named)
     found = _passages(found, min_words, min_passage) if min_passage > min_words else found
-    return found.select(
+    found = found.select(
         "doc_id", "paragraph", "start", "end", "n_words",
         F.col("first.doc_id").alias("class_doc_id"), F.col("first.paragraph").alias("class_paragraph"), "removed",
+        "row", "word",
+    )
+    if run_words:
+        found = stored(found, "found")
+        found = found.unionByName(_run_passages(given.where("sentence is null"), found, run_words), True)
+    return found.drop("row", "word")
+
+
+def _run_passages(runs: DataFrame, units_: DataFrame, size: int) -> DataFrame:
+    """Passages of runs that several texts keep when some of ``units_`` go, without those that stay in a unit that stays."""
+    runs = runs.select("doc_id", "paragraph", "start", "end", "para", "row", "word")
+    several = runs.groupBy("para").agg(F.min("row").alias("one"), F.max("row").alias("other")).where("one < other")
+    # stored, so that the joins below can split a common run
+    shared = runs.join(stored(several.select("para"), "shared-runs"), "para")
+    end = F.col("word") + F.col("n_words")
+    at = F.when(F.col("removed"), F.col("word")).otherwise(F.col("word") + size - 1)
+    spans = units_.select("row", at.alias("at"), F.when(F.col("removed"), end).alias("gone"), F.when(~F.col("removed"), end).alias("stays"))
+    both = shared.withColumn("at", F.col("word") + size - 1).unionByName(spans, True)
+    before = Window.partitionBy("row").orderBy("at", F.col("para").isNotNull()).rowsBetween(Window.unboundedPreceding, 0)
+    both = both.withColumn("gone", F.max("gone").over(before)).withColumn("stays", F.max("stays").over(before))
+    kept = both.where("para is not null and coalesce(gone <= word, true)")
+    inside = F.coalesce(F.col("stays") >= F.col("word") + size, F.lit(False))
+    kept = stored(kept.withColumn("inside", inside).drop("at", "gone", "stays"), "kept-runs")
+    first = F.min(F.struct("doc_id", "paragraph")).alias("first")
+    classes = kept.groupBy("para").agg(first, F.min("row").alias("one"), F.max("row").alias("other"))
+    found = kept.join(stored(classes.where("one < other").select("para", "first"), "run-classes"), "para")
+    found = found.withColumn("removed", ~F.col("doc_id").eqNullSafe(F.col("first.doc_id"))).where("removed or not inside")
+    order = Window.partitionBy("row", "first.doc_id").orderBy("word")
+    begins = F.coalesce(F.col("word") - F.lag("word").over(order) > size, F.lit(True)).cast("int")
+    part = found.withColumn("begins", begins).withColumn("stretch", F.sum("begins").over(order))
+    joined = part.groupBy("row", F.col("first.doc_id").alias("class_doc_id"), "stretch").agg(
+        F.min("doc_id").alias("doc_id"), F.min("paragraph").alias("paragraph"), F.min("start").alias("start"), F.max("end").alias("end"),
+        (F.max("word") + size - F.min("word")).alias("n_words"), F.min("first.paragraph").alias("class_paragraph"), F.first("removed").alias("removed"),
     )
+    return joined.drop("row", "stretch")
 
 
 def _passages(found: DataFrame, min_words: int, min_passage: int) -> DataFrame:
@@ -205,7 +299,7 @@ def remove_paragraphs(docs: DataFrame, repeated: DataFrame, id_col: str = "doc_i
 
     def step(acc: Column, cut: Column) -> Column:
         piece = F.substring(text, (acc["at"] + 1).cast("int"), (cut["start"] - acc["at"]).cast("int"))
-        return F.struct((cut["end"] + 1).alias("at"), F.concat(acc["kept"], piece).alias("kept"))
+        return F.struct(F.greatest(acc["at"], cut["end"] + 1).alias("at"), F.concat(acc["kept"], piece).alias("kept"))
 
     def rest(acc: Column) -> Column:
         return F.concat(acc["kept"], F.substring(text, (acc["at"] + 1).cast("int"), F.length(text)))
@@ -218,15 +312,22 @@ _FIELDS = ("doc_id", "paragraph", "start", "end", "n_words", "para", "row", "wor
 _SIGNED = ", ".join(f"{f} long" for f in _FIELDS) + ", sentence boolean, holds boolean, bands array<long>"
 
 
-def _signer(min_words: int):
+def _signer(min_words: int, run_words: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lines, sentences = set(), set()  # bands are given once per task
-        rows, fresh, line_at, sentence_at, held = [], [], [], [], 0
+        rows, fresh, line_at, sentence_at, runs, held = [], [], [], [], [], 0
         row = TaskContext.get().partitionId() << 40
         for batch in batches:
             for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text")):
-                row += 1
-                for number, start, end, word, sentence, words in units(text.as_py(), min_words):
+                row, text = row + 1, text.as_py()
+                raw = text.encode() if text else b""
+                digests = _digests(raw.lower().split())
+                if run_words:
+                    first, hashes = runs_of(digests, run_words)
+                    if len(first):
+                        runs.append((doc_id, row, first, hashes, *places_of(raw, first, run_words)))
+                        held += len(first)
+                for number, start, end, word, sentence, words in units(text, min_words):
                     para = paragraph_id(words)
                     if sentence and para not in sentences:
                         sentences.add(para)
@@ -234,7 +335,7 @@ def _signer(min_words: int):
                     elif not sentence and para not in lines:
                         lines.add(para)
                         line_at.append(len(rows))
-                        fresh.append(words)
+                        fresh.append(digests[word : word + len(words)])
                         held += len(words)
                     if sentence:
                         rows[line][-1] = True
@@ -243,8 +344,10 @@ def _signer(min_words: int):
                     rows.append([doc_id, number, start, end, len(words), para, row, word, sentence, False])
                 if held > HELD_WORDS:  # whole documents, but few at a time
                     yield _signed(rows, line_at, sentence_at, fresh)
-                    rows, fresh, line_at, sentence_at, held = [], [], [], [], 0
+                    yield from _run_rows(runs, run_words)
+                    rows, fresh, line_at, sentence_at, runs, held = [], [], [], [], [], 0
         yield _signed(rows, line_at, sentence_at, fresh)
+        yield from _run_rows(runs, run_words)
 
     return run
 
@@ -252,10 +355,24 @@ def _signer(min_words: int):
 def _signed(rows: list[list], line_at: list[int], sentence_at: list[int], fresh: list) -> pa.RecordBatch:
     values = list(zip(*rows)) or [()] * 10
     columns = [pa.array(c, pa.int64()) for c in values[:8]] + [pa.array(c, pa.bool_()) for c in values[8:]]
-    columns.append(_band_lists(np.array(values[5], np.int64), line_at, sentence_at, bands_of(fresh)))
+    bands = _bands(fresh) if fresh else bands_of([])
+    columns.append(_band_lists(np.array(values[5], np.int64), line_at, sentence_at, bands))
     return pa.RecordBatch.from_arrays(columns, [*_FIELDS, "sentence", "holds", "bands"])
 
 
+def _run_rows(runs: list[tuple], size: int) -> Iterator[pa.RecordBatch]:
+    """Rows of runs: neither lines nor sentences."""
+    if runs:
+        names, rows, *parts = zip(*runs)
+        sizes = [len(first) for first in parts[0]]
+        word, para, line, start, end = (pa.array(np.concatenate(p), pa.int64()) for p in parts)
+        doc_id = pa.array(names, pa.int64()).take(pa.array(np.repeat(np.arange(len(runs)), sizes)))
+        row, n_words = pa.array(np.repeat(np.array(rows), sizes)), pa.array(np.full(len(word), size))
+        columns = [doc_id, line, start, end, n_words, para, row, word]
+        none = [pa.nulls(len(word), kind) for kind in (pa.bool_(), pa.bool_(), pa.list_(pa.int64()))]
+        yield pa.RecordBatch.from_arrays(columns + none, [*_FIELDS, "sentence", "holds", "bands"])
+
+
 def _band_lists(paras: np.ndarray, line_at: list[int], sentence_at: list[int], bands: np.ndarray) -> pa.Array:
     """For new lines the band of equal words and the MinHash bands, for new sentences the first."""
     sizes = np.zeros(len(paras), np.int32)

@@ -218,3 +218,78 @@ def test_recall_of_the_bands():
         x, y = P.bands_of([words, other])
         total, found = total + 1, found + bool(np.any(x == y))
     assert found >= 0.995 * total
+
+
+def holding(passages, rng, word):
+    """Texts of unlike lines and short sentences; each passage stands in the middle of sentences of two or three."""
+    prose = lambda n: " ".join(word() + rng.choice(["", "", "", ".", ".\n"]) for _ in range(n))
+    texts = [prose(rng.randrange(60, 200)) for _ in range(40)]
+    places = []
+    for n, p in enumerate(passages):
+        for i in rng.sample(range(5, 40), 2 + n % 2):
+            texts[i] = f"{texts[i]} {word()} {p} {word()} {prose(30)}"
+            places.append((i, n))
+    return texts, places
+
+
+def test_passages_that_cut_sentences(spark, tmp_path):
+    """Runs of 51 words that two documents share are found wherever they begin and end, also over lines."""
+    from iolens.llm.queries import QUERIES
+
+    rng = random.Random(12)
+    word = lambda: "".join(rng.choice("abcdefghijklmnopé") for _ in range(6))
+    passages = [" ".join(word() + rng.choice(["", "", ".", ",", ".\n" if n % 3 == 0 else ""]) for _ in range(51 + n)) for n in range(12)]
+    texts, places = holding(passages, rng, word)
+    path = str(tmp_path / "documents.parquet")
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(5).write.parquet(path)
+    got = QUERIES["op3_paragraph_dedup"](spark, str(tmp_path)).collect()
+    assert {r.doc_id for r in got} == {i for i, _ in places}
+    firsts = {n: min(i for i, m in places if m == n) for _, n in places}
+    for i, n in places:
+        at = texts[i].index(passages[n])
+        end = at + len(passages[n])
+        inside = [r for r in got if r.doc_id == i and at < r.end and r.start < end]  # or lines that are little longer
+        assert any(r.removed == (i != firsts[n]) and r.class_doc_id == firsts[n] for r in inside)
+        assert i != firsts[n] or not any(r.removed for r in inside)
+        for r in inside:
+            assert r.n_words == len(texts[i][r.start : r.end].split()) and r.paragraph == texts[i][: r.start].count("\n")
+        found = texts[i][max(at, min(r.start for r in inside)) : min(end, max(r.end for r in inside))]
+        assert len(found.split()) >= P.RUN
+    docs = spark.read.parquet(path)
+    cleaned = {r.doc_id: r.text for r in P.remove_paragraphs(docs, spark.createDataFrame(got)).collect()}
+    kept = " ".join(cleaned.values())
+    assert all(passages[n] in cleaned[i] for n, i in firsts.items()) and all(kept.count(p) == 1 for p in passages)
+
+
+def test_chosen_runs():
+    rng = random.Random(3)
+    digests = lambda words: P._digests([w.encode() for w in words])
+    fresh = lambda n: [f"w{rng.randrange(10**9)}" for _ in range(n)]
+    for n in range(60):
+        passage = fresh(P.RUN + P.REACH - 1)
+        a, b = fresh(n) + passage + fresh(30), fresh(2 * n) + passage + fresh(n // 2)
+        (at, mine), (other, theirs) = P.runs_of(digests(a), P.RUN), P.runs_of(digests(b), P.RUN)
+        same = set(mine.tolist()) & set(theirs.tolist())
+        assert same
+        for h in same:
+            i, j = at[mine.tolist().index(h)], other[theirs.tolist().index(h)]
+            assert a[i : i + P.RUN] == b[j : j + P.RUN]
+    assert not len(P.runs_of(digests(fresh(P.RUN - 1)), P.RUN)[0]) and P.runs_of(digests(fresh(P.RUN)), P.RUN)[0].tolist() == [0]
+    again = P.runs_of(digests(["for"] * 1000), P.RUN)[0]
+    assert len(again) <= 100 and max(np.diff(again)) <= P.RUN
+
+
+def test_passages_in_lines_that_go(frame):
+    """Lines that go take their passages along; one that stays gives up what an earlier text holds; nothing is lost."""
+    words = lambda c, n: " ".join(f"{c}{i}" for i in range(n))
+    passage = words("p", 60)
+    line = f"{words('a', 20)} {passage} {words('b', 20)}"
+    rows = [(1, f"{words('x', 9)} {passage} {words('y', 9)}"), (5, line), (9, line), (9, line), (None, words("n", 60)), (None, f"m {words('n', 60)} o")]
+    found = P.repeated_paragraphs(frame(rows), kept_lines=True, min_passage=40, run_words=P.RUN)
+    got = sorted(((r.doc_id, r.class_doc_id, r.removed, r.n_words >= 100) for r in found.collect()), key=str)
+    want = [(1, 1, False, False), (5, 1, True, False), (5, 5, False, True), (9, 5, True, True), (9, 5, True, True)]
+    assert got == sorted([*want, (None, None, False, False), (None, None, False, False)], key=str)
+    cleaned = {r.doc_id: r.text for r in P.remove_paragraphs(frame(rows[:4]), found).collect()}
+    assert cleaned[1] == rows[0][1] and cleaned[9] == "" and line.startswith(cleaned[5][:70]) and cleaned[5].endswith(words("b", 20))
+    assert P.repeated_paragraphs(frame([]), run_words=P.RUN).collect() == []
+    assert P.repeated_paragraphs(frame([(1, "w " * 600), (2, None), (3, "")]), run_words=P.RUN).collect() == []
