@@ -96,6 +96,14 @@ _STEP = np.uint64(0x9E3779B97F4A7C15)  # the golden ratio, odd
 _STEP_BACK = np.uint64(pow(int(_STEP), -1, 1 << 64))
 
 
+def _powers(n: int) -> list[np.ndarray]:
+    return [np.cumprod(np.full(n, x)) for x in (_STEP, _STEP_BACK)]
+
+
+_POWERS = _powers(4_096)  # longer texts make their own
+_BLANK = np.isin(np.arange(256), [32, *range(9, 14)])
+
+
 def _mixed(x: np.ndarray) -> np.ndarray:
     x = (x ^ (x >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9)
     return x ^ (x >> np.uint64(29))
@@ -146,13 +154,18 @@ def runs_of(words: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
     """First words and signed hashes of the chosen runs of ``size`` words, by the digests of a text's words."""
     if len(words) < size:
         return np.empty(0, np.int64), np.empty(0, np.int64)
-    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(words * np.cumprod(np.full(len(words), _STEP)))])
-    back = np.cumprod(np.full(len(words) - size + 1, _STEP_BACK))  # each sum to the same powers
-    hashes = _mixed(_mixed((sums[size:] - sums[:-size]) * back))
+    powers, back = _POWERS if len(words) <= len(_POWERS[0]) else _powers(len(words))
+    sums = np.cumsum(words * powers[: len(words)])
+    sums[size:] -= sums[:-size]
+    # each sum to the same powers
+    hashes = _mixed(_mixed(sums[size - 1 :] * back[: len(words) - size + 1]))
     reach = min(REACH, len(hashes))
     least = _extremes(hashes, reach, np.minimum)
     edge = np.zeros(reach - 1, np.uint64)
     chosen = np.flatnonzero(_extremes(np.concatenate([edge, least, edge]), reach, np.maximum) == hashes)
+    own = np.sort(hashes[chosen])
+    if (own[1:] != own[:-1]).all():
+        return chosen, hashes[chosen].view(np.int64)
     # a text of few words that come back has equal runs: one is enough at a time
     chosen = chosen[np.lexsort((chosen, hashes[chosen]))]
     own, part = hashes[chosen], chosen // (REACH // 2)
@@ -162,9 +175,9 @@ def runs_of(words: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
 
 def places_of(raw: bytes, first: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Lines, and first and last characters, of ``size`` words from each of the first ones on."""
+    blank = _BLANK[np.frombuffer(b" " + raw + b" ", np.uint8)]
+    edges = np.flatnonzero(blank[1:] != blank[:-1])
     letters = np.frombuffer(raw, np.uint8)
-    blank = (letters == 32) | ((letters >= 9) & (letters <= 13))
-    edges = np.flatnonzero(np.diff(blank, prepend=True, append=True))
     start, end = edges[::2][first], edges[1::2][first + size - 1]
     line = np.searchsorted(np.flatnonzero(letters == 10), start)
     if not raw.isascii():
