@@ -737,8 +737,10 @@ def run_feed(spark, sf, writer_of, without="false"):
     ``without`` tells of a line whether it is left out of the last third.
     """
     path = T.work_dir(spark)
-    T.feed_lines(spark, sf).write.parquet(path + "/lines")
-    lines = spark.read.parquet(path + "/lines")
+    # a line holds a whole report: text is written and read line by line, and no batch of lines is held
+    T.feed_lines(spark, sf).select("value").write.text(path + "/lines")
+    seq = F.substring_index(F.left("value", F.lit(20)), "\t", 1).cast("bigint")
+    lines = spark.read.text(path + "/lines").withColumn("arrival_seq", seq)
     span = lines.agg(F.max("arrival_seq")).first()[0] + 1
     for n in range(FEED_PARTS):
         part = lines.where(F.floor(F.col("arrival_seq") * FEED_PARTS / span) == n)

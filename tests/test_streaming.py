@@ -5,14 +5,16 @@ import os
 import random
 import time
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
 from iolens.operators.rates import rates
 from iolens.operators.tagging import tag_entries_asof
 from iolens.sources import reports as P
-from iolens.streaming.steps import PARTS, events_of
+from iolens.streaming.steps import _EVENT, PARTS, REPORTS, HostOfNode, events_of
 from iolens.streaming.reports import (
+    _latest_rates,
     bucket_sums,
     export_buckets,
     export_stream,
@@ -214,3 +216,46 @@ def test_parts_of_a_report(spark, tmp_path):
     messages = P.parse_reports(P.read_reports(spark, str(tmp_path / "feed")))[0]
     found = [r for r in events_of(messages).collect() if r.what == "sample"]
     assert len(found) == 3 * PARTS and max(len(json.loads(r.report)) for r in found) < 60
+
+
+class Held:
+    """A list state, and the handle that gives it."""
+
+    def __init__(self):
+        self.rows = []
+
+    def getListState(self, name, schema):
+        return self
+
+    def get(self):
+        return iter(self.rows)
+
+    def put(self, rows):
+        self.rows = rows
+
+
+def test_many_names_of_a_key():
+    """A step handles all names of a key at once, each with what was told of it before, in this batch or an earlier one."""
+    step, held = HostOfNode(), Held()
+    step.init(held)
+    columns = ["what", "arrival_seq", "nid", "client"]
+    run = lambda rows: [tuple(r) for part in step.handleInputRows((3,), iter([pd.DataFrame(rows, columns=columns).assign(msg_idx=0).reindex(columns=list(_EVENT))]), None)
+                        for r in part[["arrival_seq", "nid", "client"]].astype(object).where(part.notna(), None).itertuples(index=False)]
+    first = run([("ask", 0, "a", None), ("node", 1, "a", "c0"), ("node", 1, "b", "c1"), ("ask", 3, "b", None), ("ask", 2, "a", None), ("ask", 4, "x", None)])
+    assert first == [(0, "a", None), (2, "a", "c0"), (3, "b", "c1"), (4, "x", None)]
+    assert sorted(held.rows) == [("a", "c0"), ("b", "c1")]
+    assert run([("node", 6, "a", "c9"), ("ask", 5, "a", None), ("ask", 7, "a", None), ("ask", 8, "b", None)]) == [(5, "a", "c0"), (7, "a", "c9"), (8, "b", "c1")]
+    assert sorted(held.rows) == [("a", "c9"), ("b", "c1")]
+
+
+def test_latest_rates_read_the_last_reports(spark):
+    """Of most hosts the last two; of one whose last two have no client in common the last that go together."""
+    def rows(host, clients):
+        entry = lambda n, c: {"at": 0, "stats_type": "oss", "client_nid": c, "target": "fs0-OST0000", "stats": {"open": str(n * n)}}
+        return [(host, n, 0, float(n), float(n - 1) if n else None, n, "oss", json.dumps([entry(n, c)]), "{}") for n, c in enumerate(clients)]
+
+    reports = spark.createDataFrame(rows("same", "aaaa") + rows("other", "aaab") + rows("none", "abcd"), REPORTS)
+    found, latest = _latest_rates(reports)
+    got = {(r.server, r.t, r.v) for r in found.select("server", F.unix_seconds("time").alias("t"), F.col("rates")["open"].alias("v")).collect()}
+    assert got == {("same", 3, 5.0), ("other", 1, 1.0), ("other", 2, 3.0)}
+    assert {(r.server, r.t) for r in latest.select("server", F.unix_seconds("time").alias("t")).collect()} == {("same", 3), ("other", 2)}
